@@ -1,0 +1,135 @@
+"""Versioned document and chunk tables on plain Parquet.
+
+Every commit writes new folders and then replaces one small pointer file, so readers see a
+whole commit or none of it and a lost job leaves only unused folders.  A commit of changes
+adds just the rows that changed; reading lays them over the last full snapshot.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrylamp.operators.sizing import lookup_join
+from quarrylamp.operators.topk import first_row
+from quarrylamp.plans.ingest import Changes
+from quarrylamp.schemas import CHUNK, CHUNK_COLUMNS, DOCUMENT, DOCUMENT_COLUMNS
+
+
+class TableStore:
+    """Documents and chunks under one root folder of any Hadoop file system."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    # -- pointer ---------------------------------------------------------------------------
+
+    def _hadoop_path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def state(self) -> dict:
+        path, files = self._hadoop_path("current.json")
+        if not files.exists(path):
+            return {"version": 0, "snapshot": 0, "changes": [], "batch": -1}
+        return json.loads(self.spark.read.text(f"{self.root}/current.json", wholetext=True).first()[0])
+
+    def _publish(self, state: dict) -> None:
+        draft, files = self._hadoop_path(f"_draft-{state['version']}.json")
+        stream = files.create(draft, True)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        target, _ = self._hadoop_path("current.json")
+        options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            files.getUri(), self.spark._jsc.hadoopConfiguration()
+        )
+        overwrite = self.spark.sparkContext._gateway.new_array(options, 1)
+        overwrite[0] = options.OVERWRITE
+        context.rename(draft, target, overwrite)
+
+    # -- writing ---------------------------------------------------------------------------
+
+    def write_snapshot(
+        self, documents: DataFrame, chunks: DataFrame, batch: int | None = None
+    ) -> None:
+        """Replace both tables by full new versions."""
+        state = self.state()
+        version = state["version"] + 1
+        documents.select(*DOCUMENT_COLUMNS).write.parquet(f"{self.root}/documents/v={version}")
+        chunks.select(*CHUNK_COLUMNS).write.parquet(f"{self.root}/chunks/v={version}")
+        self._publish(
+            {
+                "version": version,
+                "snapshot": version,
+                "changes": [],
+                "batch": state["batch"] if batch is None else batch,
+            }
+        )
+
+    def append_changes(self, changes: Changes, batch: int | None = None) -> bool:
+        """Commit the rows of one ingest batch; a batch that is already in is skipped."""
+        state = self.state()
+        if batch is not None and batch <= state["batch"]:
+            return False
+        version = state["version"] + 1
+        stamp = F.lit(version).alias("v_written")
+        for name, rows in (
+            ("document_changes", changes.documents.select(*DOCUMENT_COLUMNS, stamp)),
+            ("chunk_changes", changes.chunks.select(*CHUNK_COLUMNS, stamp)),
+            ("chunk_owners", changes.replaced.select("document_id", stamp)),
+        ):
+            # A version that failed before it was published may have left files behind.
+            rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
+        self._publish(
+            {
+                "version": version,
+                "snapshot": state["snapshot"],
+                "changes": [*state["changes"], version],
+                "batch": state["batch"] if batch is None else batch,
+            }
+        )
+        return True
+
+    def compact(self) -> None:
+        """Fold all changes into a new snapshot."""
+        self.write_snapshot(self.documents(), self.chunks())
+
+    # -- reading ---------------------------------------------------------------------------
+
+    def _snapshot(self, name: str, schema, state: dict) -> DataFrame:
+        if not state["snapshot"]:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v={state['snapshot']}")
+
+    def _changes(self, name: str, state: dict) -> DataFrame:
+        paths = [f"{self.root}/{name}/v={v}" for v in state["changes"]]
+        return self.spark.read.parquet(*paths)
+
+    def documents(self) -> DataFrame:
+        """Latest row of every document."""
+        state = self.state()
+        base = self._snapshot("documents", DOCUMENT, state)
+        if not state["changes"]:
+            return base
+        newer = first_row(self._changes("document_changes", state), ["id"], [-F.col("v_written")])
+        untouched = lookup_join(base, newer.select("id"), ["id"], "left_anti")
+        return untouched.unionByName(newer.select(*DOCUMENT_COLUMNS))
+
+    def chunks(self) -> DataFrame:
+        """Chunks of the latest version of every document."""
+        state = self.state()
+        base = self._snapshot("chunks", CHUNK, state)
+        if not state["changes"]:
+            return base
+        owners = self._changes("chunk_owners", state).groupBy("document_id").agg(
+            F.max("v_written").alias("v_written")
+        )
+        untouched = lookup_join(base, owners.select("document_id"), ["document_id"], "left_anti")
+        newer = self._changes("chunk_changes", state).join(
+            owners, ["document_id", "v_written"], "left_semi"
+        )
+        return untouched.unionByName(newer.select(*CHUNK_COLUMNS))
