@@ -32,6 +32,8 @@ def percentiles(
     values = df.filter(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("value")
     )
+    # The bracket has to span a few rows to hold both neighbours; small groups need none.
+    large = F.col("n") >= 2 * ACCURACY
     brackets = (
         values.withColumnRenamed("value", value)
         .groupBy(*keys)
@@ -43,8 +45,8 @@ def percentiles(
                     *[
                         F.struct(
                             F.lit(float(f)).alias("fraction"),
-                            low.cast("double").alias("low"),
-                            high.cast("double").alias("high"),
+                            F.when(large, low.cast("double")).alias("low"),
+                            F.when(large, high.cast("double")).alias("high"),
                         )
                         for f, low, high in zip(fractions, lows, highs)
                     ]

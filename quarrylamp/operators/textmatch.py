@@ -81,7 +81,11 @@ def _hits(postings: DataFrame, literals: DataFrame, bounded: bool) -> DataFrame:
     """Postings whose lexeme some query asks for, per query."""
     wanted = literals.select("query_id", F.explode("lexemes.lexeme").alias("lexeme")).distinct()
     needed = postings.select("unit_id", "lexeme", "pos", "weight")
-    return lookup_join(needed, wanted, ["lexeme"], bounded=bounded)
+    found = lookup_join(needed, wanted, ["lexeme"], bounded=bounded)
+    # The one shuffle of the job.  What follows is far more work than the bytes suggest, so
+    # the partitions must not be merged by size.
+    partitions = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(partitions, *PAIR)
 
 
 def _places(literals: DataFrame) -> DataFrame:

@@ -12,6 +12,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # A deep result page needs 5001 candidates; keep per-query top-k cuts map-side up to there.
     "spark.sql.optimizer.windowGroupLimitThreshold": "8192",
+    # Composite searches hold more generated classes than the default cache; evicting them
+    # makes every task compile its code again.
+    "spark.sql.codegen.cache.maxEntries": "4096",
     "spark.ui.enabled": "false",
 }
 

@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Below this much per core a table cannot have enough splits to keep every core busy.
+SPLIT_BYTES = 4 << 20
+
+
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Parquet table; a table of fewer files than cores is spread over all of them.
+    """Parquet table; a small table of fewer files than cores is spread over all of them.
 
-    Text work is far more costly than moving a small input once; large inputs have enough
-    splits and are read where they lie.
+    Text work costs far more than moving a small input once.  Anything larger has enough
+    splits of its own and is read where it lies.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
     table = reader.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if len(table.inputFiles()) < cores and table.rdd.getNumPartitions() < cores:
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < cores * SPLIT_BYTES and len(table.inputFiles()) < cores:
         return table.repartition(cores)
     return table
 
