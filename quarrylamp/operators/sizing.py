@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 # Spark's own limit for a broadcast relation.
 BROADCAST_ROWS = 200_000
 
+SETTLED_ROWS = 10_000
+
 
 def checked_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> int | None:
     """Number of rows, or None when there are more than `max_rows`.
@@ -23,6 +25,19 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return checked_rows(df, max_rows) is not None
 
 
+def settle(df: DataFrame, max_rows: int = SETTLED_ROWS) -> tuple[DataFrame, int | None]:
+    """A query-side table worked out once, with its row count.
+
+    A table of at most `max_rows` rows comes back as a local relation, so the plans that use
+    it several times neither repeat its work nor carry its plan.  A larger one is returned
+    as it is, with its count if that is still within the broadcast bound.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df, checked_rows(df)
+    return df.sparkSession.createDataFrame(rows, df.schema), rows.num_rows
+
+
 def fetch(
     few: DataFrame, many: DataFrame, on: list[str], rows: int | None, how: str = "inner"
 ) -> DataFrame:

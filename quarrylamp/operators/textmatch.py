@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarrylamp.functions.text import words
 from quarrylamp.operators.postings import Lexicon, simple_lexicon
-from quarrylamp.operators.sizing import fits, lookup_join
+from quarrylamp.operators.sizing import lookup_join, settle
 from quarrylamp.operators.topk import top_k
 
 # Default weight of each class.
@@ -93,7 +93,7 @@ def _places(literals: DataFrame) -> DataFrame:
     group = Window.partitionBy("query_id", "group_no")
     ordinal = F.sum((~F.col("negated")).cast("int")).over(
         group.orderBy("literal_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    ).cast("int")
     return (
         literals.withColumn("positives", F.sum((~F.col("negated")).cast("int")).over(group).cast("int"))
         .withColumn("ordinal", ordinal)
@@ -213,7 +213,8 @@ def match_and_rank(
     """
     literals = literals.withColumn("query_id", F.col("query_id").cast("long"))
     if bounded is None:
-        bounded = fits(literals)
+        literals, rows = settle(literals)
+        bounded = rows is not None
     hits = _with_running_totals(_hits(postings, literals, bounded), weights or WEIGHTS)
     occurrences = _occurrences(hits, literals, bounded)
     ranked = _cover_rank(occurrences)
@@ -235,8 +236,16 @@ def _cover_rank(occurrences: DataFrame) -> DataFrame:
     All steps group by (query, unit) and more, so the rows stay where they are.
     """
     keys = [*PAIR, "group_no"]
-    excluded = F.bool_or("negated").over(Window.partitionBy(*keys))
-    live = occurrences.withColumn("excluded", excluded).filter("not excluded")
+    group = Window.partitionBy(*keys)
+    # One bit per positive literal seen; groups too large for the mask are decided later.
+    bit = F.when(~F.col("negated"), F.expr("shiftleft(1L, ordinal - 1)"))
+    complete = (F.col("positives") > 62) | (F.bit_count("seen") == F.col("positives"))
+    live = (
+        occurrences.withColumn("excluded", F.bool_or("negated").over(group))
+        .withColumn("seen", F.coalesce(F.bit_or(bit).over(group), F.lit(0)))
+        .filter(~F.col("excluded") & complete)
+        .drop("excluded", "seen")
+    )
     at_end = [*PAIR, *END]
     ends = _closed_groups(live, keys).groupBy(*at_end).agg(*[F.max(c).alias(c) for c in BEGIN])
     # The latest beginning any group allows so far; its first end closes a minimal cover.

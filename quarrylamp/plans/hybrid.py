@@ -9,7 +9,7 @@ from quarrylamp.functions.text import blend, snippet
 from quarrylamp.functions.vectors import cosine, half_precision
 from quarrylamp.operators.nearest import NAN_LAST, nearest
 from quarrylamp.operators.postings import Lexicon, simple_lexicon
-from quarrylamp.operators.sizing import checked_rows, fetch, lookup_join
+from quarrylamp.operators.sizing import fetch, lookup_join, settle
 from quarrylamp.operators.textmatch import match_and_rank, query_literals, top_text
 from quarrylamp.operators.topk import best_row, top_k
 from quarrylamp.operators.vector import best_chunk_per_document, chunk_candidates
@@ -34,9 +34,9 @@ def document_hybrid(
     best if it is among the k nearest, so the full scan hands on k rows per query; the
     similarity of text matches is computed for exactly those pairs.
     """
-    asked_rows = checked_rows(queries)
+    queries, asked_rows = settle(queries)
     bounded = asked_rows is not None
-    literals = query_literals(queries, lexicon=lexicon)
+    literals, _ = settle(query_literals(queries, lexicon=lexicon))
     vectors = documents.select("id", "embedding")
     matches = match_and_rank(
         postings, literals, documents.select(F.col("id").alias("unit_id")), bounded=bounded
@@ -125,10 +125,10 @@ def hybrid_search(
     The candidate cuts come first: nearest chunks, best-ranked chunks and best-ranked
     documents per query; only their documents are looked up and scored.
     """
-    asked_rows = checked_rows(queries)
+    queries, asked_rows = settle(queries)
     bounded = asked_rows is not None
     if literals is None:
-        literals = query_literals(queries, lexicon=lexicon)
+        literals, _ = settle(query_literals(queries, lexicon=lexicon))
     near_rows = _times(asked_rows, _largest(vector_candidates, max_candidates))
     text_rows = _times(asked_rows, _largest(text_candidates, max_candidates))
 

@@ -10,6 +10,7 @@ from quarrylamp.operators.encode import Encoder, encode_queries
 from quarrylamp.operators.ids import random_key
 from quarrylamp.operators.postings import Lexicon, simple_lexicon
 from quarrylamp.operators.sampling import random_documents_batch
+from quarrylamp.operators.sizing import settle
 from quarrylamp.operators.validate import LANDING_ROWS, MAX_PAGE, MAX_PER_PAGE, validate_queries
 from quarrylamp.plans.hybrid import CANDIDATES, THRESHOLD, hybrid_search
 
@@ -90,6 +91,7 @@ def search(
     Returns the result rows and the refused requests.  Requests may bring their own
     `embedding` column, otherwise `encoder` is used, once per distinct text.
     """
+    queries, _ = settle(queries)
     accepted, refused = validate_queries(queries)
     asked = accepted.filter(~F.col("blank"))
     if "embedding" not in queries.columns:

@@ -39,7 +39,10 @@ VECTOR_THRESHOLD = 0.3
 HYBRID_THRESHOLD = 0.2
 PAGE_ROWS = 10
 MODEL = "current"
-NOW = F.lit("2024-06-01").cast("timestamp")
+
+
+def _now() -> F.Column:
+    return F.lit("2024-06-01").cast("timestamp")
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -249,7 +252,7 @@ def latest_per_url(spark: Spark, sf: str) -> DataFrame:
 def _changes(spark: Spark, sf: str) -> ingest.Changes:
     return ingest.ingest_changes(
         recrawl(spark, sf), tb.documents(spark, sf), tb.chunks(spark, sf),
-        encode.hash_encoder(tb.DIMENSIONS), MODEL, NOW,
+        encode.hash_encoder(tb.DIMENSIONS), MODEL, _now(),
     )
 
 
@@ -261,7 +264,7 @@ def upsert_documents(spark: Spark, sf: str) -> DataFrame:
     merged = ingest.merge_documents(tb.documents(spark, sf), _changes(spark, sf).documents)
     return merged.select(
         "id", "url", "title", "description", "source_host", "content_hash",
-        (F.col("crawled_at") == NOW).alias("touched"),
+        (F.col("crawled_at") == _now()).alias("touched"),
     )
 
 
@@ -307,7 +310,7 @@ def stream_ingest(spark: Spark, sf: str) -> DataFrame:
     store = TableStore(spark, f"{root}/store")
     stream = ingest_stream(
         page_stream(spark, f"{root}/incoming", max_files=4), store,
-        encode.hash_encoder(tb.DIMENSIONS), MODEL, f"{root}/progress", NOW,
+        encode.hash_encoder(tb.DIMENSIONS), MODEL, f"{root}/progress", _now(),
     )
     stream.awaitTermination()
     counts = store.chunks().groupBy("document_id").agg(F.count("*").alias("chunks"))
@@ -357,7 +360,7 @@ def backfill_chunks(spark: Spark, sf: str) -> DataFrame:
     ).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "embedding")
     english = texts.filter("lang = 'en'").select(F.col("doc_id").alias("document_id"))
     stored = tb.chunks(spark, sf).join(english, "document_id", "left_semi")
-    _, chunks = maintain.backfill_chunks(whole, stored, NOW)
+    _, chunks = maintain.backfill_chunks(whole, stored, _now())
     return chunks.select(
         "id", "document_id", "chunk_index", content_hash(F.col("content")).alias("content_hash"),
         "embedding_model",
@@ -393,11 +396,11 @@ def reembed_rewrite(spark: Spark, sf: str) -> DataFrame:
     )
     _, rewritten, _ = maintain.reembed(
         tb.documents(spark, sf), stored, encode.hash_encoder(tb.DIMENSIONS), MODEL,
-        max_tokens=128, overlap=32, now=NOW,
+        max_tokens=128, overlap=32, now=_now(),
     )
     return rewritten.select(
         "id", "document_id", "chunk_index", content_hash(F.col("content")).alias("content_hash"),
-        "embedding_model", (F.col("created_at") == NOW).alias("fresh"),
+        "embedding_model", (F.col("created_at") == _now()).alias("fresh"),
     )
 
 
