@@ -84,8 +84,8 @@ def main() -> None:
 
     timed("vector_chunk_candidates", lambda: run(
         vector.chunk_candidates(asked, chunks, 200, HYBRID_THRESHOLD)))
-    timed("text_topk_chunks", lambda: run(
-        textmatch.top_text(textmatch.rank_cover(found, textmatch.query_literals(asked)), 200)))
+    timed("text_topk_documents", lambda: run(
+        textmatch.top_text(textmatch.rank_cover(described, textmatch.query_literals(asked)), 200)))
     timed("document_hybrid", lambda: run(
         document_hybrid(asked, documents.filter("embedding is not null"), described,
                         HYBRID_THRESHOLD, PAGE_ROWS)))

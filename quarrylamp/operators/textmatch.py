@@ -22,6 +22,9 @@ from quarrylamp.operators.topk import top_k
 # Default weight of each class.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 
+# Ranking multiplies its rows, so its tasks are cut finer than usual ones.
+SPREAD = 4
+
 PAIR = ["query_id", "unit_id"]
 LITERAL = ["query_id", "group_no", "literal_no"]
 
@@ -85,7 +88,7 @@ def _hits(postings: DataFrame, literals: DataFrame, bounded: bool) -> DataFrame:
     # The one shuffle of the job.  What follows is far more work than the bytes suggest, so
     # the partitions must not be merged by size.
     partitions = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(partitions, *PAIR)
+    return found.repartition(SPREAD * partitions, *PAIR)
 
 
 def _places(literals: DataFrame) -> DataFrame:
