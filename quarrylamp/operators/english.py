@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The usual English stop words.
 STOP_WORDS = frozenset(
@@ -152,7 +153,7 @@ def english_stem(word: str) -> str:
     return word.lower()
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _lexemes(tokens: pd.Series) -> pd.Series:
     return tokens.map(
         lambda row: [None if w in STOP_WORDS else english_stem(w) for w in row]
