@@ -44,18 +44,23 @@ EXPECTED = {
 }
 
 
-def test_ingest_twice(spark):
+def test_ingest_twice(spark, tmp_path):
     encoder = hash_encoder(8)
     empty = spark.createDataFrame([], DOCUMENT), spark.createDataFrame([], CHUNK)
     documents, chunks, status = ingest(messages(spark, FIRST), *empty, encoder, "m")
     assert {r.url: r.status for r in status.collect()} == {
         "https://a.com/": "new", "https://b.com/": "new"
     }
+    store = TableStore(spark, str(tmp_path / "store"))
+    store.write_snapshot(documents, chunks)
+    documents, chunks = store.documents(), store.chunks()
     before = {r.url: (r.id, r.random_key) for r in documents.collect()}
     again, after_chunks, status = ingest(messages(spark, SECOND), documents, chunks, encoder, "m")
     assert {r.url: r.status for r in status.collect()} == {
         "https://a.com/": "unchanged", "https://b.com/": "changed", "https://e.com/": "new"
     }
+    store.write_snapshot(again, after_chunks)
+    again, after_chunks = store.documents(), store.chunks()
     after = {r.url: (r.id, r.random_key) for r in again.collect()}
     assert all(after[u] == before[u] for u in before)
     assert view(again, after_chunks) == EXPECTED
