@@ -5,25 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylamp.llm import mixing, simhash
+from quarrylamp.llm import classifier, kdsearch, mixing, packing, simhash, votes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    """The installed vocabulary that the packing query counts in."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1, capacity=4096)
+
+
+def op3_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    scored = classifier.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op5_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts, votes and verdicts of all documents."""
+    return votes.quality(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
     return found.select("doc_id", simhash.hex_print(F.col("print")).alias("fingerprint"), "component_id")
 
 
+def op8_kdsearch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every 50th vector among all others."""
+    vectors = kdsearch.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return kdsearch.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_classifier": op3_classifier,
+    "op5_votes": op5_votes,
     "op7_simhash": op7_simhash,
+    "op8_kdsearch": op8_kdsearch,
     "op9_mixing": op9_mixing,
 }
