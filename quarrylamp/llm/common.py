@@ -29,7 +29,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back, so that later jobs start from it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

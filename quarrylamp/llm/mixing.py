@@ -234,9 +234,11 @@ def mixed(documents: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int
         .agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_copies"))
         .filter("_copies > 0")
     )
+    rows = documents.filter(F.btrim("text", F.lit(" \t\n\x0b\f\r")) != "").select(
+        "doc_id", F.struct(*documents.columns).alias("row")
+    )
     return (
-        documents.filter(F.btrim("text", F.lit(" \t\n\x0b\f\r")) != "")
-        .join(copies, F.col("doc_id").eqNullSafe(F.col("_doc")))
-        .withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*documents.columns)
+        rows.join(copies, F.col("doc_id").eqNullSafe(F.col("_doc")))
+        .withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .select("row.*")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylamp.llm import classifier, kdsearch, mixing, packing, simhash, votes
+from quarrylamp.llm import classifier, kdsearch, licences, linededup, mixing, packing, ppm, simhash, votes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +30,21 @@ def op3_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return ppm.scores(table(spark, sf_dir, "documents"))
+
+
 def op5_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts, votes and verdicts of all documents."""
     return votes.quality(table(spark, sf_dir, "documents"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences in all documents."""
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
@@ -52,11 +62,21 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their recurring lines."""
+    return linededup.deduped(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", "text"
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_classifier": op3_classifier,
+    "op4_ppm": op4_ppm,
     "op5_votes": op5_votes,
+    "op6_licences": op6_licences,
     "op7_simhash": op7_simhash,
     "op8_kdsearch": op8_kdsearch,
     "op9_mixing": op9_mixing,
+    "op10_linededup": op10_linededup,
 }

@@ -229,9 +229,8 @@ def keep_one(documents: DataFrame, words: int = 3, radius: int = 2) -> DataFrame
     found = near_duplicates(documents.filter("doc_id is not null"), words, radius)
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    # The join leaves rows sorted by doc_id, so the window moves nothing.
-    named = (
-        documents.join(kept.hint("merge"), "doc_id", "left_semi")
-        .withColumn("_turn", turn).filter("_turn = 1").select(*documents.columns)
-    )
-    return named.unionByName(documents.filter("doc_id is null"))
+    # Rows travel as one struct, so that no column can clash; the join leaves them sorted by
+    # doc_id, so the window moves nothing.
+    rows = documents.filter("doc_id is not null").select("doc_id", F.struct(*documents.columns).alias("row"))
+    named = rows.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("turn", turn).filter("turn = 1")
+    return named.select("row.*").unionByName(documents.filter("doc_id is null"))
