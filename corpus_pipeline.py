@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylamp.llm import mixing, simhash
+from quarrylamp.llm import classifier, linededup, mixing, packing, simhash
 from quarrylamp.llm.common import stored
+from quarrylamp.llm.queries import tokenizer_file
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return classifier.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines whose template an earlier document has are taken out of the text."""
+    return linededup.without_recurring(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +29,17 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of a document in sequences of 4096 tokens."""
+    return packing.pack(docs, tokenizer_file(), end_id=1, capacity=4096)
+
+
 STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
     ("simhash near-dedup", near_dedup),
     ("mixing sources to target weights", source_mix),
+    ("best-fit packing", best_fit_packing),
 ]
 
 #: Fingerprints and model fits have no SQL form.
