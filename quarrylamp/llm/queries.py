@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylamp.llm import classifier, kdsearch, licences, linededup, mixing, packing, ppm, simhash, votes
+from quarrylamp.llm import classifier, kdsearch, licences, linededup, mixing, packing, ppm, simhash, suffixdedup, votes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1, capacity=4096)
 
 
+def op2_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 100-byte strings that start earlier."""
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
+
+
 def op3_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     scored = classifier.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -71,6 +76,7 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_suffixdedup": op2_suffixdedup,
     "op3_classifier": op3_classifier,
     "op4_ppm": op4_ppm,
     "op5_votes": op5_votes,
