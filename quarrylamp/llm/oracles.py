@@ -1,3 +1,141 @@
-"""SQL counterparts of the queries that SQL can express."""
+"""SQL counterparts of the queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+Model fits, hash fingerprints and packing plans have none; their queries are tested against
+plain versions instead.
+"""
+
+from quarrylamp.llm.licences import KNOWN, SPELLINGS
+
+_WORDS = r"list_filter(string_split_regex({}, '[ \t-\r]+'), lambda x: x <> '')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(line: str) -> str:
+    plain = rf"trim(regexp_replace(lower({line}), '[^\p{{L}}\p{{N}}©]+', ' ', 'g'))"
+    for spelling, common in SPELLINGS:
+        plain = f"replace({plain}, {_quoted(spelling)}, {_quoted(common)})"
+    return plain
+
+
+def _licences() -> str:
+    known = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in KNOWN)
+    return rf"""
+        with texts as (
+            select 'known' as side, licence as name, null::bigint as doc_id, text from (values {known}) t(licence, text)
+            union all select 'documents', null, doc_id, coalesce(text, '') from documents
+        ), lines as (
+            select side, name, doc_id, list_filter(list_transform(
+                list_transform(string_split(text, chr(10)), lambda l: {_canonical("l")}),
+                lambda p: case when (starts_with(p, 'copyright ') or starts_with(p, 'c copyright ') or starts_with(p, '©'))
+                          and not starts_with(p, 'copyright owner') then '' else p end), lambda p: p <> '') as parts
+            from texts
+        ), known as (
+            select array_to_string(parts, ' ') as whole, min(name) as licence from lines
+            where side = 'known' and len(parts) > 0 group by 1
+        ), units as (
+            select doc_id, array_to_string(parts, ' ') as unit, true as is_whole from lines where side = 'documents' and len(parts) > 0
+            union all select doc_id, unnest(parts), false from lines where side = 'documents'
+        ), found as (
+            select doc_id, min(case when is_whole then licence end) as whole_licence,
+                   list_sort(list_distinct(list(licence))) as names
+            from units join known on unit = whole group by doc_id
+        )
+        select doc_id, whole_licence, coalesce(array_to_string(names, ','), '') as licences,
+               coalesce(len(names), 0)::int as n_licences
+        from (select distinct doc_id from documents) left join found using (doc_id)
+    """
+
+
+ORACLES: dict[str, str] = {
+    "op6_licences": _licences(),
+    "op8_kdsearch": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)) as v from embeddings
+            where embedding is not null and len(embedding) > 0
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+            from v q join v c on q.vec_id <> c.vec_id and q.vec_id % 50 = 0
+        )
+        select query_id, rank::int as rank, vec_id, score from (
+            select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+        ) where rank <= 5
+    """,
+    "op9_mixing": rf"""
+        with sized as (
+            select doc_id, source, len({_WORDS.format("coalesce(text, '')")})::bigint as size from documents
+        ), weighed as (
+            select source, sum(size)::bigint as source_size, 3.0::double * sum(size) as most,
+                   ([1.0, 2.0, 3.0])[((row_number() over (order by source nulls last) - 1) % 3)::int + 1]::double as weight
+            from sized group by source
+        ), steps as (
+            select most / weight as fills_at,
+                   (sum(source_size) over () - coalesce(sum(most) over before, 0)) /
+                   (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level
+            from weighed
+            window before as (order by most / weight rows between unbounded preceding and 1 preceding)
+        ), aims as (
+            select source, source_size, block, ceil(source_size / block)::bigint as blocks,
+                   least(most, weight * level) as target
+            from (select *, greatest(1, least(1024, source_size // 1024)) as block from weighed),
+                 (select arg_min(level, fills_at)::double as level from steps where fills_at >= level)
+        ), stretches as (
+            select source, blocks, sum(target / block) over (order by source nulls last) as upto, target / block as slots,
+                   sum(target / block) over () as total
+            from aims where target > 0
+        ), slots as (
+            select i as slot, list_sum(list_transform(range(1, 49), lambda k: ((i >> (k - 1)) & 1)::double / pow(2, k))) as point
+            from range((select round(max(total))::bigint from stretches)) t(i)
+        ), turns as (
+            select source, blocks, row_number() over (partition by source order by slot) - 1 as turn
+            from slots join stretches on point >= (upto - slots) / total
+             and point < case when upto = total then 2.0 else upto / total end
+        ), times as (
+            select source, turn % blocks as block_no, count(*) as times from turns where turn < 3 * blocks group by 1, 2
+        ), laid as (
+            select doc_id, source, size, row_number() over () as row,
+                   coalesce(sum(size) over (partition by source order by md5(doc_id::varchar), doc_id, size
+                            rows between unbounded preceding and 1 preceding), 0)::bigint as start
+            from sized
+        ), pieces as (
+            select l.*, source_size, target, block,
+                   unnest(range(start // block, greatest(start // block, (start + size - 1) // block) + 1)) as block_no
+            from laid l join aims a on l.source is not distinct from a.source
+        )
+        select doc_id, any_value(size) as size, any_value(source_size) as source_size, any_value(target) as target,
+               sum(greatest(0, least(start + size, (p.block_no + 1) * block) - greatest(start, p.block_no * block))
+                   * coalesce(times, 0))::bigint as taken
+        from pieces p left join times t on p.source is not distinct from t.source and p.block_no = t.block_no
+        group by row, doc_id
+    """,
+    "op10_linededup": rf"""
+        with lines as (
+            select doc_id, text, unnest(string_split(text, chr(10))) as line,
+                   generate_subscripts(string_split(text, chr(10)), 1) as number
+            from documents where text is not null and text <> ''
+        ), cut as (
+            select *, {_WORDS.format(r"regexp_replace(line, '[^ \t-\r]*[0-9][^ \t-\r]*', '<*>', 'g')")} as tokens from lines
+        ), keys as (
+            select doc_id, number, len(tokens) || ' ' || array_to_string(tokens, ' ') as key from cut
+            where len(tokens) >= 5 and len(tokens) < 8
+            union all
+            select doc_id, number, len(tokens) || ' ' || k || ' ' || array_to_string(
+                tokens[: len(tokens) * k // 5] || [chr(1)] || tokens[len(tokens) * (k + 1) // 5 + 1 :], ' ')
+            from cut, range(1, 5) t(k) where len(tokens) >= 8
+        ), first as (
+            select key, min(doc_id) as doc_id from keys group by key
+        ), gone as (
+            select distinct k.doc_id, k.number from keys k join first f on k.key = f.key and k.doc_id > f.doc_id
+        ), kept as (
+            select l.doc_id, count(*) as n_lines, count(g.number) as n_dropped,
+                   coalesce(string_agg(l.line, chr(10) order by l.number) filter (where g.number is null), '') as text
+            from lines l left join gone g on l.doc_id = g.doc_id and l.number = g.number group by l.doc_id
+        )
+        select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped,
+               case when k.doc_id is null then d.text else k.text end as text
+        from documents d left join kept k on d.doc_id = k.doc_id
+    """,
+}
