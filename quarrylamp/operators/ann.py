@@ -21,9 +21,6 @@ from pyspark.sql import types as T
 from quarrylamp.functions.vectors import l2_normalize
 from quarrylamp.operators.nearest import nearest
 
-TRAIN_PER_CELL = 256
-
-
 @dataclass
 class CellIndex:
     """Centres (bounded by the number of cells) and vectors with their `cell`."""
@@ -54,14 +51,10 @@ def build_cells(
 ) -> CellIndex:
     """Cluster `vectors(id, embedding, ...)` and assign every vector to a cell.
 
-    The centres are learned from a sample whose size depends on the number of cells only;
-    the assignment covers all vectors.
+    Centres are learned from all vectors, at any size.
     """
-    rows = vectors.count()
-    fraction = min(1.0, cells * TRAIN_PER_CELL / max(rows, 1))
     unit = vectors.select(array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
-    training = unit if fraction >= 1.0 else unit.sample(fraction, seed)
-    model = KMeans(k=cells, seed=seed, maxIter=max_iterations, initMode="random").fit(training)
+    model = KMeans(k=cells, seed=seed, maxIter=max_iterations, initMode="random").fit(unit)
     centers = np.array(model.clusterCenters())
     lengths = np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
     centers = centers / lengths

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylamp.functions.urls import canonical_url, normalize_url, source_host
+from quarrylamp.sources.tables import materialized
 
 
 def start_pages(starts: DataFrame, column: str = "url") -> DataFrame:
@@ -17,23 +18,20 @@ def start_pages(starts: DataFrame, column: str = "url") -> DataFrame:
     )
 
 
-def reachable(
-    links: DataFrame, starts: DataFrame, max_depth: int = 2, cut_every: int = 8
-) -> DataFrame:
+def reachable(links: DataFrame, starts: DataFrame, max_depth: int = 2) -> DataFrame:
     """`(start_url, url, depth)` of every URL reached from each start within `max_depth`.
 
     `links(src_url, dst_url)`, `starts(start_url)`.  The start itself has depth 1; only links
-    to the start's host are followed and each URL is visited once.  Long traversals cut the
-    plan with a checkpoint where the session names a checkpoint folder.
+    to the start's host are followed and each URL is visited once.  Edges and each new depth are
+    written to the shared folder, so that no depth is worked out twice.
     """
-    spark = links.sparkSession
     # A link to another host can never be followed, whatever the start.
-    edges = (
+    edges = materialized(
         links.filter(source_host(F.col("src_url")) == source_host(F.col("dst_url")))
         .select("src_url", "dst_url")
         .distinct()
     )
-    frontier = starts.select("start_url", F.col("start_url").alias("url"))
+    frontier = materialized(starts.select("start_url", F.col("start_url").alias("url")))
     visited = frontier.withColumn("depth", F.lit(1))
     for depth in range(2, max(max_depth, 1) + 1):
         found = (
@@ -41,9 +39,6 @@ def reachable(
             .select("start_url", F.col("dst_url").alias("url"))
             .distinct()
         )
-        frontier = found.join(visited, ["start_url", "url"], "left_anti")
+        frontier = materialized(found.join(visited, ["start_url", "url"], "left_anti"))
         visited = visited.unionByName(frontier.withColumn("depth", F.lit(depth)))
-        if depth % cut_every == 0 and spark.conf.get("spark.checkpoint.dir", None):
-            visited = visited.checkpoint()
-            frontier = visited.filter(F.col("depth") == depth).drop("depth")
     return visited

@@ -2,7 +2,7 @@
 
 Both ways below give the same exact result:
 
-* a query batch that passes a size check is broadcast; every task scans its share of the
+* a query batch that passes a check of its bytes and winners is broadcast; every task scans its share of the
   corpus once and hands on only its best k rows per query, so the corpus never moves;
 * a larger batch is laid out against the corpus in a grid of bounded blocks; each grid
   field scores one block of vectors against one block of queries.
@@ -27,6 +27,7 @@ from quarrylamp.operators.topk import top_k
 BROADCAST_BYTES = 64 << 20
 VECTOR_BLOCK = 50_000
 QUERY_BLOCK = 4_096
+WINNERS = 1 << 21  # rows that one task may hold as winners: queries times k
 _TILE = 1 << 21
 
 NAN_FIRST = "first"  # an undefined similarity beats every number and is reported as NaN
@@ -169,6 +170,9 @@ def _collect_queries(queries: DataFrame, probed: bool, max_bytes: int) -> dict |
     rows = queries.limit(rows_allowed + 1).toArrow()
     if rows.num_rows > rows_allowed:
         return None
+    limits = np.maximum(rows.column("k").to_numpy().astype(np.int64), 1)
+    if limits.sum() > WINNERS:
+        return None
     probes = None
     if probed:
         probes = {}
@@ -180,36 +184,41 @@ def _collect_queries(queries: DataFrame, probed: bool, max_bytes: int) -> dict |
     return {
         "ids": rows.column("query_id").to_numpy(),
         "matrix": np.ascontiguousarray(matrix, dtype=np.float32),
-        "limits": np.maximum(rows.column("k").to_numpy().astype(np.int64), 1),
+        "limits": limits,
         "probes": probes,
     }
 
 
 def _grid_scores(queries, vectors, by_cell, task, vector_block, query_block) -> DataFrame:
-    """Fragment-and-replicate layout; fields are bounded whatever the cell sizes are."""
-    if not by_cell:
-        vectors = vectors.withColumn("cell", F.lit(0))
-        queries = queries.withColumn("cells", F.array(F.lit(0)))
-    requests = queries.select("query_id", "embedding", "k", F.explode("cells").alias("cell"))
-    pieces = (
-        vectors.groupBy("cell")
-        .agg(F.ceil(F.count("*") / F.lit(vector_block)).cast("int").alias("v_parts"))
-        .join(
-            requests.groupBy("cell").agg(
-                F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("q_parts")
-            ),
-            "cell",
+    """Fragment-and-replicate layout; fields are bounded whatever the cell sizes are.
+
+    A field's queries are bounded by number and by the winners they may keep.
+    """
+    winners = F.ceil(F.sum(F.greatest("k", F.lit(1))) / F.lit(WINNERS))
+    q_parts = F.greatest(F.ceil(F.count("*") / F.lit(query_block)), winners).cast("int")
+    v_parts = F.ceil(F.count("*") / F.lit(vector_block)).cast("int")
+    if by_cell:
+        requests = queries.select("query_id", "embedding", "k", F.explode("cells").alias("cell"))
+        pieces = (
+            vectors.groupBy("cell").agg(v_parts.alias("v_parts"))
+            .join(requests.groupBy("cell").agg(q_parts.alias("q_parts")), "cell")
         )
-    )
+        left, right = vectors.join(pieces, "cell"), requests.join(pieces, "cell")
+    else:
+        # Two numbers: no join is needed to know them.
+        counts = {
+            "v_parts": F.lit(max(vectors.agg(v_parts).first()[0], 1)),
+            "q_parts": F.lit(max(queries.agg(q_parts).first()[0] or 1, 1)),
+            "cell": F.lit(0),
+        }
+        left, right = vectors.withColumns(counts), queries.withColumns(counts)
     left = (
-        vectors.join(pieces, "cell")
-        .withColumn("v_part", F.pmod(F.xxhash64("id"), F.col("v_parts")).cast("int"))
+        left.withColumn("v_part", F.pmod(F.xxhash64("id"), F.col("v_parts")).cast("int"))
         .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
         .select("cell", "v_part", "q_part", "id", "embedding")
     )
     right = (
-        requests.join(pieces, "cell")
-        .withColumn("q_part", F.pmod(F.xxhash64("query_id"), F.col("q_parts")).cast("int"))
+        right.withColumn("q_part", F.pmod(F.xxhash64("query_id"), F.col("q_parts")).cast("int"))
         .withColumn("v_part", F.explode(F.sequence(F.lit(0), F.col("v_parts") - 1)))
         .select("cell", "v_part", "q_part", "query_id", "embedding", "k")
     )

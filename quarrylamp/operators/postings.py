@@ -76,3 +76,23 @@ def document_postings(documents: DataFrame, lexicon: Lexicon = simple_lexicon) -
     """Title (A), description (B) and content (C) postings of documents."""
     fields = {"title": "A", "description": "B", "content": "C"}
     return build_postings(documents, "id", fields, lexicon)
+
+
+BUCKETS = 64
+
+
+def lexeme_bucket(lexeme: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
+
+
+def write_postings(postings: DataFrame, path: str) -> None:
+    """Store postings for lookup: a folder per lexeme bucket, sorted by lexeme inside.
+
+    A bucket of any size is spread over several files by unit.
+    """
+    laid = postings.withColumn("bucket", lexeme_bucket(F.col("lexeme")))
+    (
+        laid.repartition("bucket", F.pmod(F.xxhash64("unit_id"), F.lit(4)))
+        .sortWithinPartitions("bucket", "lexeme", "unit_id", "pos")
+        .write.partitionBy("bucket").parquet(path)
+    )

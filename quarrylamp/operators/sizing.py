@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows of the query-side tables are a few hundred bytes wide, so this stays far below
-# Spark's own limit for a broadcast relation.
+# A broadcast side stays under both; the second is what counts on the executors.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 SETTLED_ROWS = 10_000
 
 
-def checked_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> int | None:
-    """Number of rows, or None when there are more than `max_rows`.
+def _width(field: T.StructField) -> Column:
+    """Bytes of a column's values, near enough: text and arrays by length, others by type."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 16
+    return F.lit(8)
 
-    Reads no more than needed to tell.
+
+def checked_rows(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> int | None:
+    """Number of rows, or None when there are more than `max_rows` or they exceed `max_bytes`.
+
+    Reads no more rows than needed to tell.
     """
-    rows = df.limit(max_rows + 1).count()
-    return rows if rows <= max_rows else None
+    width = sum((_width(f) for f in df.schema.fields), F.lit(0))
+    rows, size = df.limit(max_rows + 1).agg(
+        F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))
+    ).first()
+    return rows if rows <= max_rows and size <= max_bytes else None
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -32,6 +48,8 @@ def settle(df: DataFrame, max_rows: int = SETTLED_ROWS) -> tuple[DataFrame, int
     it several times neither repeat its work nor carry its plan.  A larger one is returned
     as it is, with its count if that is still within the broadcast bound.
     """
+    if checked_rows(df, max_rows) is None:
+        return df, checked_rows(df)
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
         return df, checked_rows(df)

@@ -15,24 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylamp.functions.text import words
-from quarrylamp.operators.postings import Lexicon, simple_lexicon
+from quarrylamp.operators.covers import fold_batches
+from quarrylamp.operators.postings import Lexicon, lexeme_bucket, simple_lexicon
 from quarrylamp.operators.sizing import lookup_join, settle
 from quarrylamp.operators.topk import top_k
 
 # Default weight of each class.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 
-# Ranking multiplies its rows, so its tasks are cut finer than usual ones.
-SPREAD = 4
-
 PAIR = ["query_id", "unit_id"]
 LITERAL = ["query_id", "group_no", "literal_no"]
 
-# Position, number of query words and summed inverse weight: before a place, and up to it.
-BEGIN = ["begin_pos", "begin_n", "begin_total"]
-END = ["end_pos", "end_n", "end_total"]
-TOTALS = [("pos", "pos"), ("n_before", "n"), ("total_before", "total")]
-
 # A quoted phrase or a bare term, each with an optional minus sign.
 _TERM = r'-?"[^"]*"?|[^\s"]+'
 
@@ -83,84 +76,45 @@ def query_literals(
 def _hits(postings: DataFrame, literals: DataFrame, bounded: bool) -> DataFrame:
     """Postings whose lexeme some query asks for, per query."""
     wanted = literals.select("query_id", F.explode("lexemes.lexeme").alias("lexeme")).distinct()
+    if bounded and "bucket" in postings.columns:
+        # Postings laid out by bucket: only the asked ones are read, however many rows match.
+        asked = [r[0] for r in wanted.select(lexeme_bucket(F.col("lexeme"))).distinct().collect()]
+        postings = postings.filter(F.col("bucket").isin(asked))
     needed = postings.select("unit_id", "lexeme", "pos", "weight")
-    found = lookup_join(needed, wanted, ["lexeme"], bounded=bounded)
-    # The one shuffle of the job.  What follows is far more work than the bytes suggest, so
-    # the partitions must not be merged by size.
-    partitions = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(SPREAD * partitions, *PAIR)
+    return lookup_join(needed, wanted, ["lexeme"], bounded=bounded)
 
 
-def _places(literals: DataFrame) -> DataFrame:
-    """One row per lexeme of a literal, with what its group needs to be satisfied."""
-    group = Window.partitionBy("query_id", "group_no")
-    ordinal = F.sum((~F.col("negated")).cast("int")).over(
-        group.orderBy("literal_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ).cast("int")
-    return (
-        literals.withColumn("positives", F.sum((~F.col("negated")).cast("int")).over(group).cast("int"))
-        .withColumn("ordinal", ordinal)
-        .withColumn("parts", F.size("lexemes"))
-        .select(
-            "query_id", "group_no", "ordinal", "negated", "positives", "parts",
-            F.explode("lexemes").alias("e"),
-        )
-        .select("*", "e.lexeme", "e.offset")
-        .drop("e")
-    )
-
-
-def _occurrences(hits: DataFrame, literals: DataFrame, bounded: bool) -> DataFrame:
-    """Every place a literal occurs, from `start` to `stop`.
+def _folded(
+    postings: DataFrame, literals: DataFrame, weights: dict[str, float], bounded: bool
+) -> DataFrame:
+    """`(query_id, unit_id, text_rank, hit)` of every pair with a hit, after one shuffle.
 
-    A place is a beginning and an end; each is a position with the running totals there.
-    Totals grow with the position, so the three columns can be maximised independently.
-    Phrases are found by counting the lexemes that agree on where the phrase would begin.
+    text_rank is NULL without a match; hit holds the groups of exclusions only that the unit
+    does not pass.
     """
-    found = lookup_join(hits, _places(literals), ["query_id", "lexeme"], bounded=bounded)
-    keys = [*PAIR, "group_no", "ordinal", "negated", "positives"]
-    anchor = F.when(F.col("parts") > 1, F.col("pos") - F.col("offset")).otherwise(F.col("pos"))
+    hit = F.struct("pos", "lexeme", "weight")
+    gathered = (
+        _hits(postings, literals, bounded)
+        .groupBy(*PAIR)
+        .agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+    )
+    literal = F.struct("group_no", "literal_no", "lexemes", "negated")
+    plans = literals.groupBy("query_id").agg(F.to_json(F.collect_list(literal)).alias("plan"))
     return (
-        found.groupBy(*keys, "parts", anchor.alias("anchor"))
-        .agg(
-            F.count("*").alias("agreeing"),
-            *[F.min(before).alias(name) for name, (before, _) in zip(BEGIN, TOTALS)],
-            *[F.max(upto).alias(name) for name, (_, upto) in zip(END, TOTALS)],
+        lookup_join(gathered, plans, ["query_id"], bounded=bounded)
+        .select(
+            *PAIR, F.col("hits.pos").alias("pos"), F.col("hits.lexeme").alias("lexemes"),
+            F.col("hits.weight").alias("classes"), "plan",
+        )
+        .mapInArrow(
+            fold_batches(weights),
+            "query_id long, unit_id long, text_rank double, hit array<int>",
         )
-        .filter("agreeing = parts")
-        .select(*keys, *BEGIN, *END)
-    )
-
-
-def _with_running_totals(hits: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Number and summed inverse weight of query words up to and before each position."""
-    inverse = F.element_at(
-        F.create_map(*[F.lit(x) for c, w in weights.items() for x in (c, 1.0 / w)]),
-        F.col("weight"),
-    )
-    upto = (
-        Window.partitionBy(*PAIR)
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    totals = (
-        hits.withColumn("inverse", inverse)
-        .withColumn("n", F.count("*").over(upto))
-        .withColumn("total", F.sum("inverse").over(upto))
-    )
-    return totals.select(
-        *PAIR,
-        "lexeme",
-        "pos",
-        "n",
-        "total",
-        (F.col("n") - 1).alias("n_before"),
-        (F.col("total") - F.col("inverse")).alias("total_before"),
     )
 
 
 def _negation_only(
-    units: DataFrame, occurrences: DataFrame, literals: DataFrame, bounded: bool
+    units: DataFrame, folded: DataFrame, literals: DataFrame, bounded: bool
 ) -> DataFrame | None:
     """Pairs matched by groups that only exclude: units holding no excluded literal.
 
@@ -180,8 +134,7 @@ def _negation_only(
     share = F.pmod(F.xxhash64("query_id", "group_no"), F.lit(shares)).cast("int").alias("share")
     lists = asked.groupBy(share).agg(F.collect_list(group).alias("asked"))
     hit = (
-        lookup_join(occurrences.select("unit_id", "query_id", "group_no"), asked,
-                    ["query_id", "group_no"], bounded=bounded)
+        folded.select("unit_id", "query_id", F.explode("hit").alias("group_no"))
         .groupBy("unit_id", share)
         .agg(F.collect_set(group).alias("hit"))
     )
@@ -218,12 +171,11 @@ def match_and_rank(
     if bounded is None:
         literals, rows = settle(literals)
         bounded = rows is not None
-    hits = _with_running_totals(_hits(postings, literals, bounded), weights or WEIGHTS)
-    occurrences = _occurrences(hits, literals, bounded)
-    ranked = _cover_rank(occurrences)
+    folded = _folded(postings, literals, weights or WEIGHTS, bounded)
+    ranked = folded.filter("text_rank is not null").select(*PAIR, "text_rank")
     if units is None:
         return ranked
-    excluded = _negation_only(units, occurrences, literals, bounded)
+    excluded = _negation_only(units, folded, literals, bounded)
     if excluded is None:
         return ranked
     return (
@@ -233,69 +185,6 @@ def match_and_rank(
     )
 
 
-def _cover_rank(occurrences: DataFrame) -> DataFrame:
-    """Rank of the pairs with a group whose positive literals all occur and no negated one.
-
-    All steps group by (query, unit) and more, so the rows stay where they are.
-    """
-    keys = [*PAIR, "group_no"]
-    group = Window.partitionBy(*keys)
-    # One bit per positive literal seen; groups too large for the mask are decided later.
-    bit = F.when(~F.col("negated"), F.expr("shiftleft(1L, ordinal - 1)"))
-    complete = (F.col("positives") > 62) | (F.bit_count("seen") == F.col("positives"))
-    live = (
-        occurrences.withColumn("excluded", F.bool_or("negated").over(group))
-        .withColumn("seen", F.coalesce(F.bit_or(bit).over(group), F.lit(0)))
-        .filter(~F.col("excluded") & complete)
-        .drop("excluded", "seen")
-    )
-    at_end = [*PAIR, *END]
-    ends = _closed_groups(live, keys).groupBy(*at_end).agg(*[F.max(c).alias(c) for c in BEGIN])
-    # The latest beginning any group allows so far; its first end closes a minimal cover.
-    so_far = (
-        Window.partitionBy(*PAIR)
-        .orderBy("end_pos")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    covers = (
-        ends.select(*at_end, *[F.max(c).over(so_far).alias(c) for c in BEGIN])
-        .groupBy(*PAIR, *BEGIN)
-        .agg(*[F.min(c).alias(c) for c in END])
-    )
-    inside = F.col("end_n") - F.col("begin_n")
-    inverse = F.col("end_total") - F.col("begin_total")
-    noise = F.col("end_pos") - F.col("begin_pos") + 1 - inside
-    total = F.sum(inside / inverse / (1 + noise))
-    return covers.groupBy(*PAIR).agg((total / (total + 1)).alias("text_rank"))
-
-
-def _closed_groups(live: DataFrame, keys: list[str]) -> DataFrame:
-    """Ends at which a group is complete, with the latest beginning.
-
-    Every end gets a row per literal of its group: the row of its own literal carries the
-    beginning, the others are filled in by the running maximum.
-    """
-    widened = live.withColumn("wanted", F.explode(F.sequence(F.lit(1), "positives")))
-    running = (
-        Window.partitionBy(*keys, "wanted")
-        .orderBy("end_pos")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    own = F.col("ordinal") == F.col("wanted")
-    latest = widened.select(
-        *keys, "positives", "wanted", *END,
-        *[F.max(F.when(own, F.col(c))).over(running).alias(c) for c in BEGIN],
-    )
-    at_end = [*keys, *END, "positives"]
-    return (
-        latest.groupBy(*at_end, "wanted")
-        .agg(*[F.max(c).alias(c) for c in BEGIN])
-        .groupBy(*at_end)
-        .agg(F.count("begin_pos").alias("have"), *[F.min(c).alias(c) for c in BEGIN])
-        .filter("have = positives")
-    )
-
-
 def match(
     postings: DataFrame, literals: DataFrame, units: DataFrame | None = None, **options
 ) -> DataFrame:

@@ -24,14 +24,18 @@ def top_k(
     as 1).  With `spread_by` the rows of a key are cut in `salts` independent pieces first
     and only the survivors meet in the final window; Spark additionally cuts each piece
     before the shuffle when `k` is a literal, or when `bound` states the largest value of
-    the column `k`.
+    the column `k`; a row with a larger value raises an error.
     """
 
     def within(place: Column) -> Column:
         if not isinstance(k, str):
             return place <= max(int(k), 1)
         exact = place <= F.greatest(F.col(k), F.lit(1))
-        return exact if bound is None else exact & (place <= max(int(bound), 1))
+        if bound is None:
+            return exact
+        over = F.raise_error(F.lit(f"a limit in {k} exceeds the stated bound {bound}"))
+        held = F.when(F.col(k) > bound, over.cast("boolean")).otherwise(exact)
+        return held & (place <= max(int(bound), 1))
 
     rows = df
     if spread_by:

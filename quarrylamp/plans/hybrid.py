@@ -13,6 +13,7 @@ from quarrylamp.operators.sizing import fetch, lookup_join, settle
 from quarrylamp.operators.textmatch import match_and_rank, query_literals, top_text
 from quarrylamp.operators.topk import best_row, top_k
 from quarrylamp.operators.vector import best_chunk_per_document, chunk_candidates
+from quarrylamp.sources.tables import materialized
 
 THRESHOLD = 0.78
 CANDIDATES = 200
@@ -94,11 +95,13 @@ def first_chunks(documents: DataFrame, chunks: DataFrame, rows: int | None = Non
 
 
 def candidate_documents(*sets: DataFrame) -> DataFrame:
-    """Distinct (query, document) pairs of several candidate sets."""
-    merged = sets[0].select(*CHUNK_PAIR)
+    """One row per (query, document) of several candidate sets, with the columns of all."""
+    merged = sets[0]
     for other in sets[1:]:
-        merged = merged.union(other.select(*CHUNK_PAIR))
-    return merged.distinct()
+        merged = merged.unionByName(other, allowMissingColumns=True)
+    # A set has a pair at most once, so the maximum is that set's own value.
+    values = [c for c in merged.columns if c not in CHUNK_PAIR]
+    return merged.groupBy(*CHUNK_PAIR).agg(*(F.max(c).alias(c) for c in values))
 
 
 def hybrid_search(
@@ -162,21 +165,14 @@ def hybrid_search(
         "query_id", F.col("unit_id").alias("document_id"), F.col("text_rank").alias("document_rank")
     )
 
-    scored = (
-        candidate_documents(near, by_chunk, by_document)
-        .join(near, CHUNK_PAIR, "left")
-        .join(by_chunk, CHUNK_PAIR, "left")
-        .join(by_document, CHUNK_PAIR, "left")
-        .withColumn(
-            "score",
-            blend(F.col("similarity"), F.col("chunk_rank"), F.col("document_rank")),
-        )
+    scored = candidate_documents(near, by_chunk, by_document).withColumn(
+        "score", blend(F.col("similarity"), F.col("chunk_rank"), F.col("document_rank"))
     )
     # Chunks without a document must not take a place in the ranking.
     rows = None if near_rows is None or text_rows is None else near_rows + 2 * text_rows
     known = fetch(scored, doc_ids, ["document_id"], rows)
-    page = result_window(known, queries, bounded)
-    return _show(page, documents, chunks, rows)
+    # The page is small and read three times below: work it out once.
+    return _show(materialized(result_window(known, queries, bounded)), documents, chunks, rows)
 
 
 def _largest(k: int | str, stated: int | None) -> int | None:
@@ -207,18 +203,17 @@ def result_window(scored: DataFrame, queries: DataFrame, bounded: bool) -> DataF
 
 def _show(page: DataFrame, documents: DataFrame, chunks: DataFrame, rows: int | None):
     """Add document columns and the snippet to the rows of a result page."""
-    texts = chunks.select("id", "content")
-
-    def content_of(column: str, name: str) -> DataFrame:
-        wanted = page.select(F.col(column).alias("id")).distinct()
-        return fetch(wanted, texts, ["id"], rows, "left_semi").toDF(column, name)
-
-    first = first_chunks(page, chunks, rows).withColumnRenamed("content", "first_content")
+    # One scan gives the contents of the best chunks; a vector chunk goes before a text chunk.
+    best = F.coalesce("vector_chunk", "text_chunk")
+    wanted = page.select(best.alias("id")).filter("id is not null").distinct()
+    contents = fetch(wanted, chunks.select("id", "content"), ["id"], rows, "left_semi")
+    without = page.filter(F.coalesce("vector_chunk", "text_chunk").isNull())
+    first = first_chunks(without, chunks, rows).withColumnRenamed("content", "first_content")
     shown = documents.select(F.col("id").alias("document_id"), "url", "title", "description")
     return (
         fetch(page, shown, ["document_id"], rows)
-        .join(content_of("vector_chunk", "vector_content"), "vector_chunk", "left")
-        .join(content_of("text_chunk", "text_content"), "text_chunk", "left")
+        .withColumn("best_chunk", best)
+        .join(contents.toDF("best_chunk", "best_content"), "best_chunk", "left")
         .join(first, "document_id", "left")
         .select(
             "query_id",
@@ -227,9 +222,7 @@ def _show(page: DataFrame, documents: DataFrame, chunks: DataFrame, rows: int |
             "url",
             "title",
             "description",
-            snippet(
-                F.col("vector_content"), F.col("text_content"), F.col("first_content")
-            ).alias("snippet"),
+            snippet(F.col("best_content"), F.col("first_content")).alias("snippet"),
             F.col("score").alias("similarity"),
         )
     )

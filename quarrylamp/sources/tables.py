@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-# Below this much per core a table cannot have enough splits to keep every core busy.
-SPLIT_BYTES = 4 << 20
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Parquet table, read where it lies."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Parquet table; a small table of fewer files than cores is spread over all of them.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
-    Text work costs far more than moving a small input once.  Anything larger has enough
-    splits of its own and is read where it lies.
+    It is the one named in spark.checkpoint.dir.  A session that names none runs on one
+    machine, as tests do, and gets a temporary folder.
     """
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    table = reader.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size < cores * SPLIT_BYTES and len(table.inputFiles()) < cores:
-        return table.repartition(cores)
-    return table
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarrylamp.scratch", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="run-")
+        spark.conf.set("quarrylamp.scratch", folder)
+    return folder.rstrip("/")
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: its plan is cut and runs once."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def append_table(df: DataFrame, path: str) -> None:
