@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -18,8 +17,9 @@ from pyspark.sql import functions as F
 
 from quarrylamp import build_session, testbed as tb
 from quarrylamp.operators import encode, textmatch, vector
-from quarrylamp.operators.postings import chunk_postings, document_postings
+from quarrylamp.operators.postings import chunk_postings, document_postings, write_postings
 from quarrylamp.plans.hybrid import document_hybrid, hybrid_search
+from quarrylamp.sources.tables import shared_folder
 from quarrylamp.workloads import HYBRID_THRESHOLD, PAGE_ROWS, QUERIES
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -40,8 +40,6 @@ def main() -> None:
         {
             "spark.sql.shuffle.partitions": str(2 * int(CPUS)),
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
-            # A single small machine: nothing to re-plan at run time.
-            "spark.sql.adaptive.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },
     )
@@ -57,21 +55,20 @@ def main() -> None:
         df.write.format("noop").mode("overwrite").save()
 
     # Start the Python workers and the code generator before measuring.
-    run(QUERIES["page_fields"](spark, "/root/testdata/sf0.001" if os.path.isdir(
-        "/root/testdata/sf0.001") else SF))
+    run(QUERIES["page_fields"](spark, SF))
 
     for name in DIRECT:
         timed(name, lambda name=name: run(QUERIES[name](spark, SF)))
 
-    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    root = f"{shared_folder(spark)}/bench"
 
     def build_index() -> None:
         documents = tb.documents(spark, SF).join(tb.vectors(spark, SF), "id", "left")
         documents.write.parquet(f"{root}/documents")
         tb.chunks(spark, SF).write.parquet(f"{root}/chunks")
         chunks = spark.read.parquet(f"{root}/chunks")
-        chunk_postings(chunks).write.parquet(f"{root}/chunk_postings")
-        document_postings(documents).write.parquet(f"{root}/doc_postings")
+        write_postings(chunk_postings(chunks), f"{root}/chunk_postings")
+        write_postings(document_postings(documents), f"{root}/doc_postings")
 
     timed("build_index", build_index)
     documents, chunks, found, described = (

@@ -34,7 +34,7 @@ def token_windows(
     white-space separated.
     """
     if not 0 <= overlap < max_tokens:
-        raise ValueError("overlap must be smaller than max_tokens")
+        raise ValueError("windows would not advance")
     step = max_tokens - overlap
 
     def cut(tokens: Column) -> Column:

@@ -69,8 +69,8 @@ def encode_queries(
     """
     text = strip_space(F.col("query"))
     checked = (
-        F.when(F.coalesce(text, F.lit("")) == "", F.raise_error(F.lit("query is required")))
-        .when(F.length(text) > MAX_QUERY_CHARS, F.raise_error(F.lit("query is too long")))
+        F.when(F.coalesce(text, F.lit("")) == "", F.raise_error(F.lit("empty_query")))
+        .when(F.length(text) > MAX_QUERY_CHARS, F.raise_error(F.lit("long_query")))
         .otherwise(text)
     )
     keyed = queries.withColumn("_text", checked)

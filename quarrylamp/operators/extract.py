@@ -78,12 +78,13 @@ def _read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def html_pages(pages: DataFrame) -> DataFrame:
-    """Pages of an HTML content type; all of them when the type was not stored."""
+def html_pages(pages: DataFrame, raw: bool = False) -> DataFrame:
+    """Pages of an HTML content type (raw: plain HTML only); all when the type was not stored."""
     if "content_type" not in pages.columns:
         return pages
     kind = F.lower("content_type")
-    return pages.filter(kind.startswith(HTML_TYPES[0]) | kind.startswith(HTML_TYPES[1]))
+    plain = kind.startswith(HTML_TYPES[0])
+    return pages.filter(plain if raw else plain | kind.startswith(HTML_TYPES[1]))
 
 
 def extract_pages(pages: DataFrame, raw: bool = False, keep: list[str] | None = None) -> DataFrame:
@@ -94,7 +95,7 @@ def extract_pages(pages: DataFrame, raw: bool = False, keep: list[str] | None =
     ''), only successful responses when a `status` column exists.
     """
     keep = keep or []
-    source = html_pages(pages)
+    source = html_pages(pages, raw)
     if raw and "status" in source.columns:
         source = source.filter(F.col("status").between(200, 299))
     kept = source.select(*keep, "url", "html")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrylamp.operators.sizing import lookup_join
 
 ACCURACY = 10_000
+CELLS = 1_024
 
 
 def percentiles(
@@ -15,78 +16,87 @@ def percentiles(
 ) -> DataFrame:
     """`(keys..., fraction, percentile)` with linear interpolation between neighbours.
 
-    A mergeable sketch first brackets each percentile between two stored values; only the
-    distinct values inside the brackets are then counted and ordered exactly.
+    One way for groups of every size: a mergeable sketch brackets each percentile, the bracket is
+    cut into cells that are counted, and only the cells that hold the two neighbours are put in
+    order.  A neighbour that the counts do not place inside raises an error.  Without `keys` an
+    empty table gives 0.0.
     """
     if not keys:
         whole = df.withColumn("_all", F.lit(1))
-        return percentiles(whole, ["_all"], value, fractions).drop("_all")
+        found = percentiles(whole, ["_all"], value, fractions).drop("_all")
+        asked = df.sparkSession.createDataFrame([(float(f),) for f in fractions], "fraction double")
+        return asked.join(found, "fraction", "left").select(
+            "fraction", F.coalesce("percentile", F.lit(0.0)).alias("percentile")
+        )
     step = 4.0 / ACCURACY
     edges = [max(f - step, 0.0) for f in fractions] + [min(f + step, 1.0) for f in fractions]
-    sketch = F.percentile_approx(value, edges, ACCURACY)
-    lows = [F.lit(None) if f - step <= 0 else F.col("edges")[i] for i, f in enumerate(fractions)]
-    highs = [
-        F.lit(None) if f + step >= 1 else F.col("edges")[len(fractions) + i]
-        for i, f in enumerate(fractions)
-    ]
     values = df.filter(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("value")
     )
-    # The bracket has to span a few rows to hold both neighbours; small groups need none.
-    large = F.col("n") >= 2 * ACCURACY
-    brackets = (
-        values.withColumnRenamed("value", value)
-        .groupBy(*keys)
-        .agg(sketch.alias("edges"), F.count("*").alias("n"))
-        .select(
-            *keys, "n",
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(float(f)).alias("fraction"),
-                            F.when(large, low.cast("double")).alias("low"),
-                            F.when(large, high.cast("double")).alias("high"),
-                        )
-                        for f, low, high in zip(fractions, lows, highs)
-                    ]
-                )
-            ).alias("b"),
+    asked = [
+        F.struct(
+            F.lit(float(f)).alias("fraction"),
+            F.col("edges")[i].alias("low"), F.col("edges")[len(fractions) + i].alias("high"),
         )
+        for i, f in enumerate(fractions)
+    ]
+    brackets = (
+        values.groupBy(*keys)
+        .agg(F.percentile_approx("value", edges, ACCURACY).alias("edges"), F.count("*").alias("n"))
+        .select(*keys, "n", F.explode(F.array(*asked)).alias("b"))
         .select(*keys, "n", "b.*")
     )
     counted = values.groupBy(*keys, "value").agg(F.count("*").alias("times"))
-    asked = brackets.withColumnRenamed("n", "n_group")
-    paired = lookup_join(counted, asked, keys)
-    below = F.col("low").isNotNull() & (F.col("value") < F.col("low"))
-    above = F.col("high").isNotNull() & (F.col("value") > F.col("high"))
-    # Everything under the bracket is one number, everything over it is not needed.
-    inside = (
-        paired.filter(~above)
-        .groupBy(*keys, "fraction", "n_group", F.when(~below, F.col("value")).alias("value"))
-        .agg(F.sum("times").alias("times"))
+    # Cell -1 lies below the bracket, cell CELLS + 1 above it.
+    place = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * CELLS
+    cell = (
+        F.when(F.col("value") < F.col("low"), -1)
+        .when(F.col("value") > F.col("high"), CELLS + 1)
+        .when(F.col("high") == F.col("low"), 0)
+        .otherwise(F.floor(place)).cast("int")
+    )
+    paired = lookup_join(counted, brackets, keys).withColumn("cell", cell)
+    cells = paired.groupBy(*keys, "fraction", "n", "cell").agg(
+        F.sum("times").alias("held"), F.min("value").alias("least"), F.max("value").alias("most")
     )
-    running = (
-        Window.partitionBy(*keys, "fraction")
-        .orderBy(F.col("value").asc_nulls_first())
+    upto = F.sum("held").over(
+        Window.partitionBy(*keys, "fraction").orderBy("cell")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    position = (F.col("n_group") - 1) * F.col("fraction")
-    placed = (
-        inside.withColumn("upto", F.sum("times").over(running))
-        .withColumn("position", position)
-        .filter(F.col("value").isNotNull())
+    position = (F.col("n") - 1) * F.col("fraction")
+    wanted = (
+        cells.withColumn("upto", upto)
+        .withColumn("before", F.col("upto") - F.col("held"))
+        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))))
+        .filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
     )
-    lower = F.min(F.when(F.col("upto") > F.floor("position"), F.col("value")))
-    upper = F.min(F.when(F.col("upto") > F.ceil("position"), F.col("value")))
-    weight = F.first(F.col("position") - F.floor("position"))
-    return (
-        placed.groupBy(*keys, "fraction")
-        .agg(lower.alias("lower"), upper.alias("upper"), weight.alias("weight"))
-        .select(
-            *keys, "fraction",
-            (F.col("lower") * (1 - F.col("weight")) + F.col("upper") * F.col("weight")).alias(
-                "percentile"
-            ),
-        )
+    outside = F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")
+    edge = (
+        F.when(F.col("rank") == F.col("before"), F.col("least"))
+        .when(F.col("rank") == F.col("upto") - 1, F.col("most"))
+        .when(F.col("least") == F.col("most"), F.col("least"))
+    )
+    settled = wanted.withColumn("found", edge).withColumn(
+        "found", F.when(F.col("found").isNull() & ~F.col("cell").between(0, CELLS), outside).otherwise(F.col("found"))
+    )
+    inside = settled.filter("found is null").select(
+        *keys, "fraction", "cell", "rank", "before"
+    )
+    in_cell = Window.partitionBy(*keys, "fraction", "rank").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    ordered = (
+        lookup_join(paired.select(*keys, "fraction", "cell", "value", "times"), inside, [*keys, "fraction", "cell"])
+        .withColumn("reached", F.col("before") + F.sum("times").over(in_cell))
+        .filter(F.col("reached") > F.col("rank"))
+        .groupBy(*keys, "fraction", "rank").agg(F.min("value").alias("found"))
+    )
+    ranks = settled.filter("found is not null").select(*keys, "fraction", "rank", "found")
+    both = ranks.unionByName(ordered).groupBy(*keys, "fraction").agg(
+        F.min("found").alias("lower"), F.max("found").alias("upper")
+    )
+    sizes = brackets.select(*keys, "fraction", (position - F.floor(position)).alias("weight"))
+    return both.join(sizes, [*keys, "fraction"]).select(
+        *keys, "fraction",
+        (F.col("lower") * (1 - F.col("weight")) + F.col("upper") * F.col("weight")).alias("percentile"),
     )

@@ -120,17 +120,24 @@ def next_ids(vectors: DataFrame, candidates: DataFrame) -> DataFrame:
         .rangeBetween(Window.currentRow, Window.unboundedFollowing)
     )
     found = merged.withColumn("next_id", F.min("id").over(ahead)).filter("candidate is not null")
+    # Past the last id of its range a candidate takes the first id of the next range that has one.
+    # Ranges are looked up the same way: within a block of ranges, else in the next block.
     later = found.filter("next_id is null").select("candidate", "range")
-    ranges = first_of.select("range", "first_id", F.lit(None).cast("long").alias("candidate"))
-    order = (
-        Window.orderBy("range")
-        .rangeBetween(1, Window.unboundedFollowing)
-    )
-    following = (
-        ranges.unionByName(later.withColumn("first_id", F.lit(None).cast("long")))
-        .withColumn("next_id", F.min("first_id").over(order))
-        .filter("candidate is not null and next_id is not null")
+    block = F.floor(F.col("range") / width).alias("block")
+    ranges = first_of.select(block, "range", "first_id", F.lit(None).cast("long").alias("candidate"))
+    waiting = later.select(block, "range", F.lit(None).cast("long").alias("first_id"), "candidate")
+    in_block = Window.partitionBy("block").orderBy("range").rangeBetween(1, Window.unboundedFollowing)
+    looked = (
+        ranges.unionByName(waiting).withColumn("next_id", F.min("first_id").over(in_block))
+        .filter("candidate is not null")
     )
+    # 2 ** 32 ids make a block: few rows, also for very large tables.
+    blocks = ranges.unionByName(waiting).groupBy("block").agg(F.min("first_id").alias("block_first"))
+    after = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    chained = blocks.select("block", F.min("block_first").over(after).alias("next_first"))
+    following = looked.join(chained, "block", "left").select(
+        "candidate", F.coalesce("next_id", "next_first").alias("next_id")
+    ).filter("next_id is not null")
     return (
         found.filter("next_id is not null")
         .select("candidate", F.col("next_id").alias("id"))
@@ -145,7 +152,7 @@ def sample_ids(vectors: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """
     low, high = vectors.agg(F.min("id"), F.max("id")).first()
     if low is None:
-        raise ValueError("no vectors to sample from")
+        raise ValueError("the vector table is empty")
     spark = vectors.sparkSession
     generator = random.Random(seed)
     drawn = [(i, generator.randint(low, high)) for i in range(n * 20)]
@@ -155,5 +162,5 @@ def sample_ids(vectors: DataFrame, n: int, seed: int = 42) -> DataFrame:
     sampled = picked.orderBy("attempt").limit(n).select("id")
     found = sampled.count()
     if found < n:
-        raise ValueError(f"could only sample {found} query vectors")
+        raise ValueError(f"{n - found} of {n} ids were not reached")
     return sampled

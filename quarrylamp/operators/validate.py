@@ -26,14 +26,14 @@ LANDING_ROWS = 5
 def page_reject_reason(url: Column, title: Column, description: Column, content: Column) -> Column:
     """Why an ingest message is refused, NULL when it is accepted."""
     return (
-        F.when(is_blank(url) | is_blank(content), "url and content are required")
-        .when(F.length(url) > MAX_URL_CHARS, "url is too long")
-        .when(canonical_url(url).isNull(), "url must be HTTP or HTTPS")
+        F.when(is_blank(url) | is_blank(content), "empty_page")
+        .when(F.length(url) > MAX_URL_CHARS, "long_url")
+        .when(canonical_url(url).isNull(), "bad_url")
         .when(
             (F.length(title) > MAX_TITLE_CHARS) | (F.length(description) > MAX_DESCRIPTION_CHARS),
-            "document metadata is too long",
+            "long_metadata",
         )
-        .when(F.octet_length(content) > MAX_CONTENT_BYTES, "document content is too large")
+        .when(F.octet_length(content) > MAX_CONTENT_BYTES, "large_content")
     )
 
 
@@ -80,9 +80,9 @@ def check_queries(queries: DataFrame) -> DataFrame:
         .withColumn("result_per_page", or_default("result_per_page", rows))
         .withColumn(
             "reject_reason",
-            F.when(F.length("query") > MAX_QUERY_CHARS, "query is too long")
-            .when(~page.between(1, MAX_PAGE), "page_number must be between 1 and 100")
-            .when(~size.between(1, MAX_PER_PAGE), "result_per_page must be between 1 and 50"),
+            F.when(F.length("query") > MAX_QUERY_CHARS, "long_query")
+            .when(~page.between(1, MAX_PAGE), "page_out_of_range")
+            .when(~size.between(1, MAX_PER_PAGE), "page_size_out_of_range"),
         )
         .withColumn("result_offset", (page - 1) * size)
     )

@@ -245,10 +245,10 @@ MESSAGES = """messages AS (
   FROM documents)"""
 
 REASON = """CASE
-  WHEN trim(content) = '' THEN 'url and content are required'
-  WHEN length(raw_url) > 2048 THEN 'url is too long'
-  WHEN length(title) > 1000 OR length(description) > 4000 THEN 'document metadata is too long'
-  WHEN strlen(content) > 900000 THEN 'document content is too large' ELSE '' END"""
+  WHEN trim(content) = '' THEN 'empty_page'
+  WHEN length(raw_url) > 2048 THEN 'long_url'
+  WHEN length(title) > 1000 OR length(description) > 4000 THEN 'long_metadata'
+  WHEN strlen(content) > 900000 THEN 'large_content' ELSE '' END"""
 
 RECRAWL = f"""{DOCS},
 {CHUNKS},
@@ -407,9 +407,9 @@ WITH asked AS (
 SELECT conv_id, turn, CAST(page_number AS INTEGER) AS page_number,
   CAST(result_per_page AS INTEGER) AS result_per_page,
   CAST((page_number - 1) * result_per_page AS INTEGER) AS result_offset,
-  CASE WHEN length(query) > 512 THEN 'query is too long'
-    WHEN page_number NOT BETWEEN 1 AND 100 THEN 'page_number must be between 1 and 100'
-    WHEN result_per_page NOT BETWEEN 1 AND 50 THEN 'result_per_page must be between 1 and 50'
+  CASE WHEN length(query) > 512 THEN 'long_query'
+    WHEN page_number NOT BETWEEN 1 AND 100 THEN 'page_out_of_range'
+    WHEN result_per_page NOT BETWEEN 1 AND 50 THEN 'page_size_out_of_range'
     ELSE '' END AS reject_reason FROM asked""",
     "content_hashes": """
 SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc
@@ -545,13 +545,12 @@ WHERE i.query_id NOT IN (SELECT query_id FROM repeated)
     "PARTITION BY query_id ORDER BY round(text_rank, 9) DESC, unit_id) AS rank FROM ranks "
     "QUALIFY rank <= 200",
     "document_hybrid": _with(
-        DOCS, DOC_POSTINGS.format(name="all_post"), ASKED,
-        "post AS (SELECT * FROM all_post WHERE unit_id IN (SELECT vec_id FROM embeddings))",
-        _ranks("post", BOTH),
+        DOCS, DOC_POSTINGS.format(name="post"), ASKED, _ranks("post", BOTH),
+        """carried AS (SELECT d.id, v.embedding FROM docs d JOIN embeddings v
+  ON v.vec_id = d.id * 7 % (SELECT count(*) FROM embeddings))""",
         f"""sims AS (
-  SELECT i.query_id, v.vec_id AS id, {COS.format(a='q.embedding', b='v.embedding')} AS sim
-  FROM items i JOIN embeddings q ON q.vec_id = i.vec_id
-  CROSS JOIN embeddings v WHERE v.vec_id IN (SELECT id FROM docs)),
+  SELECT i.query_id, v.id, {COS.format(a='q.embedding', b='v.embedding')} AS sim
+  FROM items i JOIN embeddings q ON q.vec_id = i.vec_id CROSS JOIN carried v),
 scored AS (
   SELECT s.query_id, s.id, 0.7 * s.sim + 0.3 * coalesce(r.text_rank, 0) AS score
   FROM sims s LEFT JOIN ranks r ON r.query_id = s.query_id AND r.unit_id = s.id

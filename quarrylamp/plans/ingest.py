@@ -11,6 +11,7 @@ from quarrylamp.functions.text import content_hash
 from quarrylamp.operators.chunking import MAX_TOKENS, OVERLAP, chunk
 from quarrylamp.operators.encode import Encoder, encode
 from quarrylamp.operators.ids import next_id, number_rows, random_key
+from quarrylamp.operators.sizing import lookup_join
 from quarrylamp.operators.topk import first_row
 from quarrylamp.operators.validate import validate_pages
 from quarrylamp.schemas import CHUNK_COLUMNS, DOCUMENT_COLUMNS
@@ -44,7 +45,14 @@ def latest_per_url(messages: DataFrame) -> DataFrame:
         "url", "title", "description", "source_host", "seq",
         content_hash(F.col("content")).alias("content_hash"),
     )
-    return first_row(light, ["url"], [-F.col("seq")])
+    # The largest (seq, hash) of a URL: fixed width, so it is reduced before the shuffle.
+    last = light.groupBy("url").agg(F.max(F.struct("seq", "content_hash")).alias("last")).select(
+        "url", "last.seq", "last.content_hash"
+    )
+    kept = light.join(last, (light["url"] == last["url"]) & light["seq"].eqNullSafe(last["seq"])
+                      & light["content_hash"].eqNullSafe(last["content_hash"]), "left_semi")
+    # Messages that agree in all three may still differ in title; the smallest row stays.
+    return first_row(kept, ["url"], [F.col("title"), F.col("description")])
 
 
 def current_documents(candidates: DataFrame, chunks: DataFrame, model: str) -> DataFrame:
@@ -119,10 +127,15 @@ def ingest_changes(
     )
 
     encodable = identified.filter(F.col("status") != UNCHANGED).select(
-        F.col("id").alias("document_id"), "url", "seq"
+        F.col("id").alias("document_id"), "url", "seq", "content_hash"
+    )
+    # Only the changed messages are looked up: broadcast if they are few, so that unchanged
+    # contents stay where they are.  Equal messages give one content.
+    named = messages.select("url", "seq", "content", content_hash(F.col("content")).alias("content_hash"))
+    texts = lookup_join(named, encodable, ["url", "seq", "content_hash"]).groupBy("document_id").agg(
+        F.first("content").alias("content")
     )
-    texts = messages.select("url", "seq", "content").join(encodable, ["url", "seq"])
-    pieces = chunk(texts.select("document_id", "content"), "content", max_tokens, overlap)
+    pieces = chunk(texts, "content", max_tokens, overlap)
     new_chunks = new_chunk_rows(pieces, encoder, model, next_id(chunks), now)
     return Changes(
         documents=written.select(*DOCUMENT_COLUMNS),

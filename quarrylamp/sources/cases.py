@@ -23,7 +23,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     elements = text.select(
         F.posexplode(
             F.when(items.isNull() | ~F.ltrim("value").startswith("["), _refuse(
-                "query file must contain a JSON array"
+                "not_an_array"
             ).cast("array<string>")).otherwise(items)
         ).alias("query_id", "item")
     )
@@ -39,13 +39,13 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
         F.when(graded, F.col("case.relevance")).otherwise(binary), lambda _, grade: grade > 0
     )
     problem = (
-        F.when(F.col("keys").isNull(), "must be an object")
-        .when(F.coalesce("case.query", F.lit("")) == "", "is missing 'query'")
+        F.when(F.col("keys").isNull(), "not_an_object")
+        .when(F.coalesce("case.query", F.lit("")) == "", "no_query")
         .when(
             ~graded & ~F.array_contains("keys", "relevant_urls"),
-            "needs 'relevant_urls' or 'relevance'",
+            "no_labels",
         )
-        .when(F.coalesce(F.size(labels), F.lit(0)) <= 0, "has no relevant URLs")
+        .when(F.coalesce(F.size(labels), F.lit(0)) <= 0, "no_positive_label")
     )
     checked = F.when(
         problem.isNotNull(),

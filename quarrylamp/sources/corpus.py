@@ -100,7 +100,7 @@ def synthetic_corpus(
 ) -> tuple[DataFrame, DataFrame]:
     """`(documents, chunks)` of n synthetic documents with ids from `start_id`."""
     if min(n, chunks_per_document) < 1:
-        raise ValueError("documents and chunks per document must be positive")
+        raise ValueError("a corpus needs documents and chunks")
     ids = spark.range(start_id, start_id + n)
     return synthetic_documents(ids, seed), synthetic_chunks(
         ids, chunks_per_document, dimensions, seed, start_chunk_id, start_id

@@ -59,8 +59,9 @@ class TableStore:
         """Replace both tables by full new versions."""
         state = self.state()
         version = state["version"] + 1
-        documents.select(*DOCUMENT_COLUMNS).write.parquet(f"{self.root}/documents/v={version}")
-        chunks.select(*CHUNK_COLUMNS).write.parquet(f"{self.root}/chunks/v={version}")
+        # A version that failed before it was published may have left files behind.
+        documents.select(*DOCUMENT_COLUMNS).write.mode("overwrite").parquet(f"{self.root}/documents/v={version}")
+        chunks.select(*CHUNK_COLUMNS).write.mode("overwrite").parquet(f"{self.root}/chunks/v={version}")
         self._publish(
             {
                 "version": version,

@@ -122,6 +122,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
+def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with a given vector each, dealt out in turn."""
+    given = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    turn = F.col("id") * 7 % given.count()
+    return documents(spark, sf_dir).withColumn("vec_id", turn).join(given, "vec_id").drop("vec_id")
+
+
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every given vector as a query."""
     return table(spark, sf_dir, "embeddings").select(

@@ -6,7 +6,7 @@ plain SQL.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ from quarrylamp.operators.topk import top_k
 from quarrylamp.plans import evaluate, hybrid, ingest, maintain, search
 from quarrylamp.sources import corpus
 from quarrylamp.sources.store import TableStore
-from quarrylamp.sources.tables import table_stats, without_host
+from quarrylamp.sources.tables import shared_folder, table_stats, without_host
 from quarrylamp.streaming.ingest import ingest_stream, page_stream
 
 Spark = SparkSession
@@ -301,15 +301,13 @@ def replace_host(spark: Spark, sf: str) -> DataFrame:
 
 
 def stream_ingest(spark: Spark, sf: str) -> DataFrame:
-    """The recrawl as a stream over an empty store, four files per micro-batch."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = tempfile.mkdtemp(prefix="run-", dir=None if shared else "/tmp") if not shared else (
-        f"{shared}/stream-{spark.sparkContext.applicationId}-{next(_runs)}"
-    )
-    recrawl(spark, sf).repartition(8, "url").write.parquet(f"{root}/incoming")
+    """The recrawl as a stream over an empty store, in two micro-batches."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    recrawl(spark, sf).repartition("url").write.parquet(f"{root}/incoming")
+    files = len(spark.read.parquet(f"{root}/incoming").inputFiles())
     store = TableStore(spark, f"{root}/store")
     stream = ingest_stream(
-        page_stream(spark, f"{root}/incoming", max_files=4), store,
+        page_stream(spark, f"{root}/incoming", max_files=-(-files // 2)), store,
         encode.hash_encoder(tb.DIMENSIONS), MODEL, f"{root}/progress", _now(),
     )
     stream.awaitTermination()
@@ -319,16 +317,6 @@ def stream_ingest(spark: Spark, sf: str) -> DataFrame:
     ).drop("id", "document_id")
 
 
-def _counter():
-    number = 0
-    while True:
-        yield number
-        number += 1
-
-
-_runs = _counter()
-
-
 # -- chunks, maintenance, encoding -------------------------------------------------------------
 
 
@@ -507,9 +495,8 @@ def text_topk_documents(spark: Spark, sf: str) -> DataFrame:
 
 
 def document_hybrid(spark: Spark, sf: str) -> DataFrame:
-    """Documents searched whole; each carries the vector of its number."""
-    vectors = tb.vectors(spark, sf)
-    stored = tb.documents(spark, sf).drop("content").join(vectors, "id")
+    """Documents searched whole; every one has a given vector, dealt out in turn."""
+    stored = tb.document_vectors(spark, sf).drop("content")
     found = hybrid.document_hybrid(
         tb.search_queries(spark, sf), stored,
         build_postings(stored, "id", {"title": "A", "description": "B"}),

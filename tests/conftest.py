@@ -16,7 +16,6 @@ def spark():
         {
             "spark.sql.shuffle.partitions": "4",
             "spark.default.parallelism": "4",
-            "spark.sql.adaptive.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",
         },

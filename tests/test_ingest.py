@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -122,12 +123,26 @@ def test_reachable(spark):
 def test_read_cases(spark, tmp_path):
     path = tmp_path / "cases.json"
     path.write_text(json.dumps([
-        {"query": "example", "relevant_urls": ["https://EXAMPLE.com"]},
+        {"query": "oil lamps", "relevant_urls": ["http://Lamp.test/A", "http://lamp.test/b"]},
         {"query": "plans", "relevance": {"u": 2, "v": 0, "w": 1.5}, "relevant_urls": ["z"]},
     ]))
     rows = {(r.query, r.url, r.grade) for r in read_cases(spark, str(path)).collect()}
-    assert rows == {("example", "https://EXAMPLE.com", 1.0), ("plans", "u", 2.0), ("plans", "w", 1.5)}
+    assert rows == {("oil lamps", "http://Lamp.test/A", 1.0), ("oil lamps", "http://lamp.test/b", 1.0), ("plans", "u", 2.0), ("plans", "w", 1.5)}
     for bad in ({"query": "x"}, [{"relevant_urls": ["a"]}], [{"query": "x", "relevance": {"a": 0}}]):
         path.write_text(json.dumps(bad))
-        with pytest.raises(Exception, match="JSON array|missing|no relevant"):
+        with pytest.raises(Exception, match="not_an_array|no_query|no_positive_label"):
             read_cases(spark, str(path)).collect()
+
+
+def test_equal_messages_give_one_set_of_chunks(spark):
+    pages = spark.createDataFrame(
+        [("http://lamp.test/a", "t", "one", "", 5), ("http://lamp.test/a", "t", "two", "", 5),
+         ("http://lamp.test/a", "t", "two", "", 5), ("http://lamp.test/a", "t", "old", "", 1)],
+        "url string, title string, content string, description string, seq long",
+    )
+    documents = spark.createDataFrame([], DOCUMENT)
+    chunks = spark.createDataFrame([], CHUNK)
+    stored, pieces, _ = ingest(pages, documents, chunks, hash_encoder(4), "m")
+    (document,), rows = stored.collect(), pieces.collect()
+    assert [(r.document_id, r.chunk_index) for r in rows] == [(document.id, 0)]
+    assert document.content_hash == hashlib.sha256(rows[0].content.encode()).hexdigest()
