@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,3 +51,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             held += size
         if batch.num_rows > first:
             yield batch.slice(first)
+
+
+def give_back() -> None:
+    """Hand memory that a task has freed back to the machine.
+
+    Python workers live on between tasks; what they hold on to is missing to the executor's JVM.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

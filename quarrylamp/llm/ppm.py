@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylamp.llm.common import slices, stored
+from quarrylamp.llm.common import give_back, slices, stored
 
 ORDER = 5
 #: Bytes that no UTF-8 text holds: start context and end symbol.
@@ -58,38 +58,42 @@ def word_key(word: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def _distinct_words(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    words: Counter = Counter()
+    for own in texts:
+        words.update(own)
+    return np.fromiter(map(word_key, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words))
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([k for k, _ in held])
+    counts = np.concatenate([c for _, c in held])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block: its different words and grams with their numbers in training texts."""
-    words: Counter = Counter()
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: dict[int, list] = {WORD: [], GRAM: []}
     block = None
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([k for k, _ in held])
-        counts = np.concatenate([c for _, c in held])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        return keys[first], np.add.reduceat(counts, first)
-
     def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal words, held
-        parts = []
-        if words:
-            parts.append((WORD, np.fromiter(map(word_key, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words))))
-        if held:
-            parts.append((GRAM, *merged()))
-        words, held = Counter(), []
-        for kind, keys, counts in parts:
+        for kind, parts in held.items():
+            if not parts:
+                continue
+            keys, counts = _merged(parts)
+            parts.clear()
             for at in range(0, len(keys), 1 << 16):
                 some = slice(at, at + (1 << 16))
                 n = len(keys[some])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * n, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array(keys[some]), pa.array(counts[some])],
+                    [pa.array(np.full(n, block, np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(keys[some]), pa.array(counts[some])],
                     ["block", "kind", "key", "n"],
                 )
 
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 1 << 20):
         blocks = batch.column("block").to_numpy()
         for own in np.unique(blocks).tolist():
             if own != block:
@@ -102,18 +106,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 some = [t for t, h in zip(raw, held_out) if h != trains]
                 if not some:
                     continue
-                for text in some:
-                    if trains:
-                        words.update(text.split())
-                    else:
-                        words.update(dict.fromkeys(set(text.split()), 0))
+                keys, counts = _distinct_words([t.split() for t in some])
+                held[WORD].append((keys, counts if trains else np.zeros_like(counts)))
                 keys, counts = np.unique(grams(some)[0], return_counts=True)
-                held.append((keys, counts if trains else np.zeros_like(counts)))
-        if len(words) > 1 << 20:  # keeps a large block's memory bounded; repeated keys do no harm
-            yield from flush()
-        if len(held) > 16:
-            held = [merged()]
+                held[GRAM].append((keys, counts if trains else np.zeros_like(counts)))
+            for parts in held.values():
+                if len(parts) > 8:
+                    parts[:] = [_merged(parts)]
     yield from flush()
+    give_back()
 
 
 def _price(order: int):
@@ -153,21 +154,17 @@ def _price(order: int):
     return run
 
 
-def prices(counted: DataFrame) -> DataFrame:
-    """(key, value): log10 probability of every gram of (key, n), n = 0 where it is not in the trie."""
-    trie = counted.filter("n > 0").select(
-        F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).cast("int").alias("symbol"), "key", "n"
-    )
-    totals = trie.groupBy("context").agg(F.sum("n").alias("t"), F.count("*").alias("d"))
-    found = trie.join(totals, "context").select("key", F.log10(F.col("n") / (F.col("t") + F.col("d"))).alias("value"))
-    pending = counted.filter("n = 0").select(
-        "key", F.lit(0.0).alias("spent"), F.lit(bytes(32)).alias("excluded")
+def unseen_prices(trie: DataFrame, unseen: DataFrame) -> DataFrame:
+    """(key, value): log10 probability of grams (key) that the trie (key, n) lacks."""
+    trie = trie.select(
+        F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).cast("int").alias("symbol"), "n"
     )
+    pending = unseen.select("key", F.lit(0.0).alias("spent"), F.lit(bytes(32)).alias("excluded"))
+    found = None
     for order in range(ORDER, -1, -1):
         mask = (1 << 8 * order) - 1
-        context = F.col("context").bitwiseAND(mask)
         nodes = (
-            trie.groupBy(context.alias("at"), "symbol").agg(F.sum("n").alias("n"))
+            trie.groupBy(F.col("context").bitwiseAND(mask).alias("at"), "symbol").agg(F.sum("n").alias("n"))
             .groupBy("at").agg(F.collect_list(F.struct("symbol", "n")).alias("seen"))
             .select("at", F.col("seen.symbol").alias("symbols"), F.col("seen.n").alias("counts"))
         )
@@ -177,7 +174,8 @@ def prices(counted: DataFrame) -> DataFrame:
                 _price(order), "key long, spent double, excluded binary, done boolean"
             )
         )
-        found = found.unionByName(stepped.filter("done").select("key", F.col("spent").alias("value")))
+        done = stepped.filter("done").select("key", F.col("spent").alias("value"))
+        found = done if found is None else found.unionByName(done)
         pending = stepped.filter("not done").select("key", "spent", "excluded")
     return found
 
@@ -188,10 +186,10 @@ class _Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
-        bits = max(10, int(len(keys)).bit_length() + 2)
+        bits = max(10, int(len(keys)).bit_length() + 1)
         self.shift = np.uint64(64 - bits)
-        self.slot = np.zeros(1 << bits, np.int64)
-        self.slot[self._at(self.keys)] = np.arange(len(keys))
+        self.slot = np.zeros(1 << bits, np.int32)
+        self.slot[self._at(self.keys)] = np.arange(len(keys), dtype=np.int32)
 
     def _at(self, keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
@@ -210,21 +208,15 @@ def _score(total: int, different: int, end_count: int):
         keys, values = right.column("key").to_numpy(), right.column("value").to_numpy()
         word_of = _Lookup(keys[kind == WORD], values[kind == WORD]) if (kind == WORD).any() else None
         gram_of = _Lookup(keys[kind == GRAM], values[kind == GRAM])
+        del kind, keys, values, right
         floor = math.log10(total + different + 1)
         end = math.log10(end_count + 1) - floor
-        known: dict[bytes, int] = {}
-        logs: list[float] = []
         rows = [[], [], [], []]
-        for batch in slices(iter(left.combine_chunks().to_batches()), "text", 2 << 20):
+        for batch in slices(iter(left.to_batches()), "text", 1 << 20):
             raw = _lowered(batch.column("text").to_pylist())
             words = [t.split() for t in raw]
-            new = list(set().union(*words).difference(known))
-            if new:
-                seen = word_of(np.fromiter(map(word_key, new), np.int64, len(new)))
-                known.update(zip(new, range(len(known), len(known) + len(new))))
-                logs.append(seen)
-            counts = np.concatenate(logs) if logs else np.empty(0)
-            logs = [counts]
+            known = {w: k for k, w in enumerate(set().union(*words))}
+            counts = word_of(np.fromiter(map(word_key, known), np.int64, len(known))) if known else np.empty(0)
             codes, starts = grams(raw)
             sums = np.add.reduceat(gram_of(codes), starts)
             for own, score in zip(words, sums.tolist()):
@@ -233,6 +225,8 @@ def _score(total: int, different: int, end_count: int):
                 rows[1].append(int((c > 0).sum()) + (end_count > 0))
                 rows[2].append(float(np.log10(c + 1).sum()) - floor * len(own) + end)
                 rows[3].append(score)
+        del word_of, gram_of
+        give_back()
         types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table(
             [left.column("doc_id"), left.column("held_out"), *(pa.array(r, t) for r, t in zip(rows, types))],
@@ -262,18 +256,29 @@ def scores(documents: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     asked = texts.select("text", "held_out", "block").mapInArrow(
         _gather, "block int, kind int, key long, n long"
     )
-    total = F.sum("n").over(Window.partitionBy("kind", "key"))
-    counted = stored(asked.select("block", "kind", "key", total.alias("n")))
-    words = counted.filter(F.col("kind") == WORD)
-    sums = words.groupBy("key").agg(F.max("n").alias("n")).agg(
+    # Rows of a context meet once; a word is its own context.
+    asked = asked.withColumn("context", F.when(F.col("kind") == GRAM, F.shiftright("key", 8)).otherwise(F.col("key")))
+    node, item = Window.partitionBy("kind", "context"), Window.partitionBy("kind", "context", "key")
+    counted = asked.withColumns({"total": F.sum("n").over(item), "turn": F.row_number().over(item.orderBy("block"))})
+    fresh = F.when((F.col("turn") == 1) & (F.col("total") > 0), 1)
+    spread = F.sum("n").over(node) + F.count(fresh).over(node)
+    counted = stored(
+        counted.select("block", "kind", "key", "turn", F.col("total").alias("n"), spread.alias("spread"))
+        .withColumn("value", F.when(F.col("kind") == WORD, F.col("n").cast("double")).when(F.col("n") > 0, F.log10(F.col("n") / F.col("spread"))))
+        .drop("spread")
+    )
+    first = counted.filter("turn = 1")
+    sums = first.filter(F.col("kind") == WORD).agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))
     ).first()
     end_count = texts.filter("not held_out").count()
     tokens, different = sums[0] + end_count, sums[1] + (end_count > 0)
-    symbols = counted.filter(F.col("kind") == GRAM)
-    priced = prices(symbols.select("key", "n").distinct())
-    answers = words.select("block", "kind", "key", F.col("n").cast("double").alias("value")).unionByName(
-        symbols.select("block", "kind", "key").join(priced, "key").select("block", "kind", "key", "value")
+    grams_ = first.filter(F.col("kind") == GRAM)
+    trie = stored(grams_.filter("n > 0").select("key", "n"))
+    priced = unseen_prices(trie, grams_.filter("n = 0").select("key"))
+    missing = counted.filter((F.col("kind") == GRAM) & (F.col("n") == 0))
+    answers = counted.filter("value is not null").select("block", "kind", "key", "value").unionByName(
+        missing.select("block", "kind", "key").join(priced, "key").select("block", "kind", "key", "value")
     )
     scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score(tokens, different, end_count),
