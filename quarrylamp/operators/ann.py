@@ -55,8 +55,12 @@ def build_cells(
     """
     unit = vectors.select(array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=max_iterations, initMode="random").fit(unit)
-    centers = np.array(model.clusterCenters())
-    lengths = np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
+    return cells_around(vectors, np.array(model.clusterCenters()))
+
+
+def cells_around(vectors: DataFrame, centers: np.ndarray) -> CellIndex:
+    """Assign every vector to the nearest of given centres, one cell each."""
+    lengths = np.maximum(np.sqrt((centers**2).sum(axis=1, keepdims=True)), 1e-12)
     centers = centers / lengths
     assigned = _nearest_cells(vectors, centers, 1, "_cells")
     return CellIndex(
@@ -114,11 +118,11 @@ def recall_report(recalls: DataFrame) -> DataFrame:
 
 def recall_benchmark(
     vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = 100,
-    probes: tuple[int, ...] = (1, 2, 4, 8), seed: int = 42,
+    probes: tuple[int, ...] = (1, 2, 4, 8), seed: int = 42, index: CellIndex | None = None,
 ) -> DataFrame:
     """Recall of the cell search against the exact search for several probe counts."""
     exact = nearest(queries, vectors, k, exclude_self=True)
-    index = build_cells(vectors, cells, seed)
+    index = build_cells(vectors, cells, seed) if index is None else index
     runs = [
         search_cells(index, queries, k, p, exclude_self=True).withColumn("config", F.lit(p))
         for p in probes

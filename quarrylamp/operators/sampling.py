@@ -146,17 +146,18 @@ def next_ids(vectors: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def sample_ids(vectors: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """`n` distinct stored ids, drawn by seeded random positions between smallest and largest.
+    """`n` distinct stored ids, drawn by hashed positions between smallest and largest.
 
     Positions between stored ids move up to the next one; at most 20 n positions are tried.
     """
     low, high = vectors.agg(F.min("id"), F.max("id")).first()
     if low is None:
         raise ValueError("the vector table is empty")
-    spark = vectors.sparkSession
-    generator = random.Random(seed)
-    drawn = [(i, generator.randint(low, high)) for i in range(n * 20)]
-    attempts = spark.createDataFrame(drawn, "attempt long, candidate long")
+    code = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id"))), 1, 12), 16, 10)
+    attempts = vectors.sparkSession.range(n * 20).select(
+        F.col("id").alias("attempt"),
+        (F.lit(low) + code.cast("long") % F.lit(high - low + 1)).alias("candidate"),
+    )
     reached = attempts.join(next_ids(vectors, attempts), "candidate")
     picked = reached.groupBy("id").agg(F.min("attempt").alias("attempt"))
     sampled = picked.orderBy("attempt").limit(n).select("id")

@@ -48,6 +48,19 @@ chunk_texts AS (
 
 CHUNKS = _chunk_texts()
 
+REEMBED_PIECES = f"""sizes AS (
+  SELECT document_id, count(*) AS n FROM chunk_texts GROUP BY document_id),
+stale AS (
+  SELECT c.*, s.n, regexp_extract_all(content, {TOKENS}) AS t
+  FROM chunk_texts c JOIN sizes s USING (document_id) WHERE document_id % 7 = 0),
+pieces AS (
+  SELECT document_id, chunk_index, content FROM stale WHERE n > 1
+  UNION ALL
+  SELECT document_id, CAST(i AS INTEGER), CASE WHEN len(t) = 0 THEN content
+    ELSE array_to_string(t[i * 96 + 1 : i * 96 + 128], ' ') END
+  FROM (SELECT *, unnest(range(0, 1 + CASE WHEN len(t) > 128
+    THEN CAST(ceil((len(t) - 128) / 96.0) AS BIGINT) ELSE 0 END)) AS i FROM stale WHERE n = 1))"""
+
 ASKED = f"""items AS (
   SELECT item_id AS query_id, regexp_extract_all(lower(text), {WORDS}) AS w,
     list_filter(list_transform(string_split(text, '.'),
@@ -369,6 +382,56 @@ FROM n""",
     "next_stored_ids": """
 SELECT d.doc_id AS candidate, min(l.doc_id) AS id
 FROM documents d JOIN labels l ON l.doc_id >= d.doc_id GROUP BY d.doc_id""",
+    "sample_query_ids": f"""
+WITH span AS (SELECT min(vec_id) AS low, max(vec_id) AS high FROM embeddings),
+tries AS (SELECT i, low + {_hex("'42:' || i", 12)} % (high - low + 1) AS c FROM range(400) t(i), span),
+found AS (SELECT i, (SELECT min(vec_id) FROM embeddings WHERE vec_id >= c) AS id FROM tries)
+SELECT id FROM (SELECT id, min(i) AS i FROM found GROUP BY id) ORDER BY i LIMIT 20""",
+    "label_cells_recall": f"""
+WITH sums AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS mean FROM (
+    SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL),
+centers AS (SELECT label, list(mean ORDER BY pos) AS c FROM sums GROUP BY label),
+near AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY
+    {COS.format(a='embedding', b='c')} DESC, centers.label) AS place
+  FROM (SELECT vec_id, embedding FROM embeddings) v CROSS JOIN centers),
+pairs AS (SELECT q.vec_id AS q, v.vec_id AS v, {COS.format(a='q.embedding', b='v.embedding')} AS sim
+  FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id),
+exact AS (SELECT q, v FROM pairs QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, v) <= 10),
+configs AS (SELECT unnest([1, 2, (SELECT count(*) FROM centers)]) AS config),
+reach AS (SELECT config, p.q, p.v, p.sim FROM pairs p JOIN near b ON b.vec_id = p.v AND b.place = 1
+  JOIN near a ON a.vec_id = p.q AND a.label = b.label JOIN configs ON a.place <= config),
+got AS (SELECT config, q, v FROM reach
+  QUALIFY row_number() OVER (PARTITION BY config, q ORDER BY sim DESC, v) <= 10),
+shares AS (SELECT config, e.q, count(g.v) / count(*) AS share FROM exact e CROSS JOIN configs
+  LEFT JOIN got g USING (config, q, v) GROUP BY config, e.q)
+SELECT CAST(config AS INTEGER) AS config, round(avg(share), 6) AS recall_at_k FROM shares GROUP BY config""",
+    "collapsed_texts": r"""
+SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed_hash FROM documents""",
+    "bulk_load": """
+SELECT source, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source""",
+    "first_of_source": """
+SELECT min(doc_id) AS doc_id, source, arg_min(lang, doc_id) AS lang FROM documents GROUP BY source""",
+    "stored_cases": """
+SELECT source AS query, doc_id, 2.0::DOUBLE AS grade FROM documents JOIN labels USING (doc_id) WHERE quality = 1""",
+    "query_vectors": _with(DOCS, f"""asked AS (
+  SELECT id, trim(title) AS q FROM docs WHERE trim(title) <> '' AND length(title) <= 512),
+codes AS (SELECT id, {_hex('w', 6)} AS code
+  FROM (SELECT id, unnest(regexp_extract_all(lower(q), {WORDS})) AS w FROM asked)),
+sums AS (
+  SELECT id, (code >> 1) % 64 AS dim, sum(CASE WHEN code % 2 = 1 THEN 1.0 ELSE -1.0 END) AS x
+  FROM codes GROUP BY ALL),
+norms AS (SELECT id, greatest(sqrt(sum(x * x)), 1e-12) AS norm FROM sums GROUP BY id)""") + """
+SELECT c.id, CAST(d.dim AS INTEGER) AS dim,
+  round(CAST(CAST(coalesce(s.x, 0) / coalesce(n.norm, 1) AS FLOAT) AS DOUBLE), 6) AS value
+FROM asked c CROSS JOIN range(0, 64) d(dim)
+LEFT JOIN sums s ON s.id = c.id AND s.dim = d.dim LEFT JOIN norms n ON n.id = c.id""",
+    "reembed_batch": _with(CHUNKS) + """
+SELECT DISTINCT document_id FROM chunk_texts WHERE embedding_model <> 'current' AND document_id > 100
+ORDER BY document_id LIMIT 50""",
+    "reembed_totals": _with(CHUNKS, REEMBED_PIECES) + """
+SELECT count(DISTINCT document_id) AS documents, count(*) AS chunks FROM pieces""",
+    "report_round_trip": "WITH " + EVALUATION + "\nSELECT query_id, "
+    + ", ".join(f"round({m}, 6) AS {m}" for m in METRICS) + " FROM per_case",
     "canonical_urls": f"SELECT page_id, {_canonical('url')} AS canonical, "
     f"{_canonical('url')} AS normalized FROM pages",
     "display_split": """
@@ -468,18 +531,7 @@ FROM conversations GROUP BY conv_id""",
     "reembed_counts": _with(CHUNKS) + """
 SELECT count(DISTINCT document_id) AS documents, count(*) AS chunks
 FROM chunk_texts WHERE embedding_model <> 'current'""",
-    "reembed_rewrite": _with(CHUNKS, f"""sizes AS (
-  SELECT document_id, count(*) AS n FROM chunk_texts GROUP BY document_id),
-stale AS (
-  SELECT c.*, s.n, regexp_extract_all(content, {TOKENS}) AS t
-  FROM chunk_texts c JOIN sizes s USING (document_id) WHERE document_id % 7 = 0),
-pieces AS (
-  SELECT document_id, chunk_index, content FROM stale WHERE n > 1
-  UNION ALL
-  SELECT document_id, CAST(i AS INTEGER), CASE WHEN len(t) = 0 THEN content
-    ELSE array_to_string(t[i * 96 + 1 : i * 96 + 128], ' ') END
-  FROM (SELECT *, unnest(range(0, 1 + CASE WHEN len(t) > 128
-    THEN CAST(ceil((len(t) - 128) / 96.0) AS BIGINT) ELSE 0 END)) AS i FROM stale WHERE n = 1))""") + """
+    "reembed_rewrite": _with(CHUNKS, REEMBED_PIECES) + """
 SELECT id, document_id, chunk_index, sha256(content) AS content_hash, embedding_model,
   false AS fresh FROM chunk_texts WHERE document_id % 7 <> 0
 UNION ALL

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylamp import testbed as tb
-from quarrylamp.functions.text import content_hash, space_tokens
+from quarrylamp.functions.text import collapse_space, content_hash, is_blank, space_tokens
 from quarrylamp.functions.urls import (
     canonical_url,
     display_host,
@@ -28,9 +29,9 @@ from quarrylamp.operators.percentiles import percentiles
 from quarrylamp.operators.postings import build_postings, chunk_postings, document_postings
 from quarrylamp.operators.topk import top_k
 from quarrylamp.plans import evaluate, hybrid, ingest, maintain, search
-from quarrylamp.sources import corpus
+from quarrylamp.sources import cases, corpus
 from quarrylamp.sources.store import TableStore
-from quarrylamp.sources.tables import shared_folder, table_stats, without_host
+from quarrylamp.sources.tables import append_table, shared_folder, table_stats, without_host
 from quarrylamp.streaming.ingest import ingest_stream, page_stream
 
 Spark = SparkSession
@@ -98,6 +99,22 @@ def ivf_recall(spark: Spark, sf: str) -> DataFrame:
     return _rounded(report, "recall_at_k")
 
 
+def label_cells_recall(spark: Spark, sf: str) -> DataFrame:
+    """Recall of a cell index around the mean vector of every label."""
+    given = tb.table(spark, sf, "embeddings")
+    means = (
+        given.select("label", F.posexplode("embedding").alias("at", "x"))
+        .groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+        .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("at", "mean"))).alias("center"))
+        .select("label", "center.mean").orderBy("label").collect()  # one row a label
+    )
+    index = ann.cells_around(tb.vectors(spark, sf), np.array([r["mean"] for r in means]))
+    report = ann.recall_benchmark(
+        tb.vectors(spark, sf), tb.vector_queries(spark, sf), 10, probes=(1, 2, len(means)), index=index
+    )
+    return _rounded(report, "recall_at_k")
+
+
 def next_stored_ids(spark: Spark, sf: str) -> DataFrame:
     stored = tb.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
     wanted = tb.table(spark, sf, "documents").select(F.col("doc_id").alias("candidate"))
@@ -340,6 +357,16 @@ def hash_encode(spark: Spark, sf: str) -> DataFrame:
     return _rounded(long.withColumn("value", F.col("value").cast("double")), "value")
 
 
+def query_vectors(spark: Spark, sf: str) -> DataFrame:
+    """First lines of the documents that pass as queries, encoded."""
+    asked = tb.documents(spark, sf).select("id", F.col("title").alias("query")).filter(
+        ~is_blank(F.col("query")) & (F.length("query") <= encode.MAX_QUERY_CHARS)
+    )
+    encoded = encode.encode_queries(asked, encode.hash_encoder(tb.DIMENSIONS), tb.DIMENSIONS)
+    long = encoded.select("id", F.posexplode("embedding").alias("dim", "value"))
+    return _rounded(long.withColumn("value", F.col("value").cast("double")), "value")
+
+
 def backfill_chunks(spark: Spark, sf: str) -> DataFrame:
     """Whole documents with a given vector; those in English have chunks already."""
     texts = tb.table(spark, sf, "documents")
@@ -372,18 +399,35 @@ def reembed_counts(spark: Spark, sf: str) -> DataFrame:
     return maintain.reembed_counts(tb.chunks(spark, sf), MODEL)
 
 
-def reembed_rewrite(spark: Spark, sf: str) -> DataFrame:
-    """Stale documents encoded again; one-chunk stale documents count as legacy ones."""
+def reembed_batch(spark: Spark, sf: str) -> DataFrame:
+    """The next 50 stale documents after number 100, as a repeated run asks for them."""
+    return maintain.reembed_targets(
+        tb.documents(spark, sf), tb.chunks(spark, sf), MODEL, limit_documents=50, after_id=100
+    )
+
+
+def _legacy_chunks(spark: Spark, sf: str) -> DataFrame:
+    """Chunks in which one-chunk stale documents count as legacy ones."""
     chunks = tb.chunks(spark, sf)
     single = chunks.groupBy("document_id").agg((F.count("*") == 1).alias("single"))
-    stored = chunks.join(single, "document_id").withColumn(
-        "embedding_model",
-        F.when(F.col("single") & (F.col("embedding_model") == "old"), "legacy").otherwise(
-            F.col("embedding_model")
-        ),
+    legacy = F.col("single") & (F.col("embedding_model") == "old")
+    return chunks.join(single, "document_id").withColumn(
+        "embedding_model", F.when(legacy, "legacy").otherwise(F.col("embedding_model"))
+    )
+
+
+def reembed_totals(spark: Spark, sf: str) -> DataFrame:
+    _, _, totals = maintain.reembed(
+        tb.documents(spark, sf), _legacy_chunks(spark, sf), encode.hash_encoder(tb.DIMENSIONS),
+        MODEL, max_tokens=128, overlap=32, now=_now(),
     )
+    return totals
+
+
+def reembed_rewrite(spark: Spark, sf: str) -> DataFrame:
+    """Stale documents encoded again; one-chunk stale documents count as legacy ones."""
     _, rewritten, _ = maintain.reembed(
-        tb.documents(spark, sf), stored, encode.hash_encoder(tb.DIMENSIONS), MODEL,
+        tb.documents(spark, sf), _legacy_chunks(spark, sf), encode.hash_encoder(tb.DIMENSIONS), MODEL,
         max_tokens=128, overlap=32, now=_now(),
     )
     return rewritten.select(
@@ -614,6 +658,53 @@ def eval_summary(spark: Spark, sf: str) -> DataFrame:
     return _rounded(evaluate.summarize(_evaluation(spark, sf)), *means)
 
 
+def report_round_trip(spark: Spark, sf: str) -> DataFrame:
+    """The evaluation as a stored report, read back."""
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    cases.write_report(_evaluation(spark, sf), path)
+    report = spark.read.json(path).select(
+        F.col("query_id").cast("long").alias("query_id"), *(F.col(m).cast("double").alias(m) for m in METRICS)
+    )
+    return _rounded(report, *METRICS)
+
+
+def stored_cases(spark: Spark, sf: str) -> DataFrame:
+    """Labels as a JSON array of cases, one per source, written and read back."""
+    graded = tb.table(spark, sf, "documents").join(tb.table(spark, sf, "labels"), "doc_id").groupBy("source").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), F.col("quality") * 2))).alias("relevance")
+    )
+    path = f"{shared_folder(spark)}/cases-{uuid.uuid4().hex}"
+    case = F.struct(F.col("source").alias("query"), "relevance")
+    # One file is one array.
+    graded.select("source", F.to_json(F.array(case)).alias("value")).write.partitionBy("source").text(path)
+    return cases.read_cases(spark, path).select("query", F.col("url").cast("long").alias("doc_id"), "grade")
+
+
+def first_of_source(spark: Spark, sf: str) -> DataFrame:
+    """Documents as a tab-separated table, of which the first row of every source is kept."""
+    path = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
+    rows = tb.table(spark, sf, "documents").select("doc_id", "source", "lang")
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.csv(path, sep="\t", header=True)
+    return cases.read_pairs(spark, path, rows.schema, "source")
+
+
+def bulk_load(spark: Spark, sf: str) -> DataFrame:
+    """Documents loaded in two batches into one table."""
+    path = f"{shared_folder(spark)}/load-{uuid.uuid4().hex}"
+    texts = tb.table(spark, sf, "documents").select("doc_id", "source", "text")
+    for half in (0, 1):
+        append_table(texts.filter(F.col("doc_id") % 2 == half), path)
+    return spark.read.parquet(path).groupBy("source").agg(
+        F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars")
+    )
+
+
+def collapsed_texts(spark: Spark, sf: str) -> DataFrame:
+    return tb.table(spark, sf, "documents").select(
+        "doc_id", content_hash(collapse_space(F.col("text"))).alias("collapsed_hash")
+    )
+
+
 def latency_percentiles(spark: Spark, sf: str) -> DataFrame:
     events = tb.table(spark, sf, "events")
     return _rounded(percentiles(events, ["event_type"], "value", [0.5, 0.95, 0.99]), "percentile")
@@ -624,7 +715,9 @@ QUERIES = {
     for f in (
         vector_search_threshold, knn_exclude_self, vector_chunk_candidates,
         best_chunk_per_document, half_precision_vectors, normalized_vectors, ivf_recall,
-        next_stored_ids, sample_query_ids, canonical_urls, display_split, page_hosts,
+        label_cells_recall, next_stored_ids, sample_query_ids, query_vectors, reembed_batch,
+        reembed_totals, report_round_trip, stored_cases, first_of_source, bulk_load,
+        collapsed_texts, canonical_urls, display_split, page_hosts,
         page_fields, page_titles, page_fields_raw, page_links, same_host_counts,
         reachable_pages, ingest_validation, query_validation, content_hashes, latest_per_url,
         upsert_status, upsert_documents, replace_chunks, delete_source, replace_host,
