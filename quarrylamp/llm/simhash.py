@@ -6,6 +6,11 @@ fingerprints are grouped first, so copies cost one row.  Two fingerprints within
 table of buckets, and every linked pair meets in one of them.  Inside a bucket the candidates
 are held as bit planes (one machine word of candidates per bit and block); a query updates all
 distances of a block with carry-save counters and leaves it as soon as all exceed the radius.
+
+For similarity in the usual sense (word shingles, Jaccard) a small radius is too strict and a
+large one cannot be banded without loss.  `similar_links` therefore takes more bits, over single
+words, buckets them in many tables, compares prints within a bucket as above, and lets an exact
+comparison of the shingles decide.
 """
 
 from __future__ import annotations
@@ -73,7 +78,6 @@ def close_pairs(prints: np.ndarray, radius: int, block: int = 4096) -> tuple[np.
     """
     left, right = [], []
     n = len(prints)
-    stages = radius.bit_length() + 1
     for first in range(0, n, block):
         part = prints[first : first + block]
         bits = np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -84,29 +88,11 @@ def close_pairs(prints: np.ndarray, radius: int, block: int = 4096) -> tuple[np.
         fixed = [b for b in range(BITS) if planes[b] in (0, full)]
         for q in range(min(first + len(part), n)):
             value = int(prints[q])
-            counters = [0] * stages
-            over = 0
             # Distance on agreeing bits is the same for all candidates: count it once.
             base = sum(1 for b in fixed if (planes[b] != 0) != bool(value >> b & 1)) if q < first else 0
             if base > radius:
                 continue
-            limit = radius - base
-            for b in varying:
-                carry = planes[b] ^ full if value >> b & 1 else planes[b]
-                for s in range(stages):
-                    counters[s], carry = counters[s] ^ carry, counters[s] & carry
-                    if not carry:
-                        break
-                over |= carry
-                # Candidates whose count now exceeds the limit.
-                more = carry
-                for s in range(stages):
-                    if not limit >> s & 1:
-                        more |= _above(counters, limit, s, full)
-                over |= more
-                if over == full:
-                    break
-            near = full & ~over
+            near = _within(planes, varying, full, value, radius - base)
             if q >= first:
                 near &= ~((1 << (q - first + 1)) - 1)
             while near:
@@ -118,6 +104,25 @@ def close_pairs(prints: np.ndarray, radius: int, block: int = 4096) -> tuple[np.
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
+def _within(planes: list[int], bits: range | list[int], full: int, value: int, limit: int) -> int:
+    """Candidates (as bits) whose planes differ from `value` in at most `limit` of `bits`."""
+    counters = [0] * (limit.bit_length() + 1)
+    over = 0
+    for b in bits:
+        carry = planes[b] ^ full if value >> b & 1 else planes[b]
+        for s in range(len(counters)):
+            counters[s], carry = counters[s] ^ carry, counters[s] & carry
+            if not carry:
+                break
+        over |= carry
+        for s in range(len(counters)):
+            if not limit >> s & 1:
+                over |= _above(counters, limit, s, full)
+        if over == full:
+            break
+    return full & ~over
+
+
 def _above(counters: list[int], limit: int, stage: int, full: int) -> int:
     """Candidates whose counter exceeds `limit` first at bit `stage` (equal above it)."""
     found = counters[stage]
@@ -220,13 +225,155 @@ def hex_print(print_: Column) -> Column:
     return F.lower(F.lpad(F.hex(print_), 16, "0"))
 
 
-def keep_one(documents: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """Keep the row with the smallest doc_id of every component; all columns stay.
+#: Similarity search: bits of all prints of a text, cut into tables of so many bits each.
+PRINTS, TABLE_BITS = 12, 24
+_MIXERS = np.random.default_rng(5).integers(1, 1 << 62, PRINTS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_prints(tokens: list[bytes], seed: int = 42) -> np.ndarray:
+    """PRINTS fingerprints over the different words of a text; few edits change few bits."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in set(tokens)), np.uint64)
+    sums = np.zeros((PRINTS, BITS), np.int64)
+    for first in range(0, len(hashes), 1 << 10):
+        mixed = hashes[None, first : first + (1 << 10)] * _MIXERS[:, None]
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        bits = np.unpackbits(mixed.view(np.uint8).reshape(*mixed.shape, 8), axis=2, bitorder="little")
+        sums += bits.sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * sums > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row: its word sequence as a digest, one print, and its bucket in every table."""
+    tables = PRINTS * BITS // TABLE_BITS
+    for batch in slices(batches, "text"):
+        classes, prints, keys = [], [], []
+        for text in batch.column("text").to_pylist():
+            tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            own = word_prints(tokens)
+            bits = np.unpackbits(own.view(np.uint8), bitorder="little").reshape(tables, TABLE_BITS)
+            buckets = bits.astype(np.int64) @ (1 << np.arange(TABLE_BITS, dtype=np.int64))
+            classes.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
+            prints.append(int(own[:1].view(np.int64)[0]))
+            keys.append(buckets + (np.arange(tables) << TABLE_BITS))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"), pa.array(classes, pa.binary()), pa.array(prints, pa.int64()),
+                pa.array(keys, pa.list_(pa.int64())),
+            ],
+            ["doc_id", "class", "print", "keys"],
+        )
+
+
+def _leaders(radius: int):
+    """Link every member of a bucket to the leaders within the radius; without any it leads.
+
+    A bucket gives at most a few links a member, however many members it has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, leaders, ids, planes = None, [], [], [0] * BITS
+        for batch in batches:
+            left, right = [], []
+            columns = (batch.column(c).to_pylist() for c in ("key", "print", "id"))
+            for own_key, print_, id_ in zip(*columns):
+                if own_key != key:
+                    key, leaders, ids, planes = own_key, [], [], [0] * BITS
+                value = print_ & ((1 << BITS) - 1)
+                if len(leaders) <= BITS:
+                    near = [k for k, other in enumerate(leaders) if (value ^ other).bit_count() <= radius]
+                else:
+                    mask = _within(planes, range(BITS), (1 << len(leaders)) - 1, value, radius)
+                    near = [k for k in range(len(leaders)) if mask >> k & 1] if mask else []
+                if near:
+                    left += [ids[k] for k in near]
+                    right += [id_] * len(near)
+                    continue
+                for b in range(BITS):
+                    planes[b] |= (value >> b & 1) << len(leaders)
+                leaders.append(value)
+                ids.append(id_)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return run
 
-    Of rows that repeat this doc_id one stays.  A row without doc_id cannot be told from
-    others and stays.  An empty table gives an empty one.
+
+def _shingle_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = []
+            for text in batch.column("text").to_pylist():
+                tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                shingles = {b" ".join(tokens[k : k + words]) for k in range(max(1, len(tokens) - words + 1))}
+                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles))
+                sets.append(np.sort(hashes).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    return run
+
+
+def _alike(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_links(documents: DataFrame, words: int = 5, least: float = 0.8, radius: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Members and links of `documents` (doc_id, text) by similarity of their word shingles.
+
+    Returns (doc_id, representative): rows with the same word sequence have the smallest doc_id
+    among them; and (a, b): pairs of representatives whose sets of `words`-word shingles have
+    a Jaccard similarity of at least `least`, exactly.  Candidates are texts that share a bucket
+    of SimHash bits and whose prints differ in at most `radius` bits; every pair found is right,
+    and nearly all pairs are found.  Texts under `words` words are one shingle.
+    """
+    rows = stored(
+        documents.filter("doc_id is not null").select("doc_id", "text")
+        .mapInArrow(_profiles, "doc_id long, class binary, print long, keys array<long>")
+    )
+    distinct = rows.groupBy("class").agg(
+        F.min("doc_id").alias("id"), F.first("print").alias("print"), F.first("keys").alias("keys")
+    )
+    buckets = distinct.select("id", "print", F.explode("keys").alias("key"))
+    pairs = stored(
+        buckets.repartition("key").sortWithinPartitions("key", F.xxhash64("id", "key"))
+        .mapInArrow(_leaders(radius), "a long, b long").filter("a != b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    )
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = documents.select(F.col("doc_id").alias("id"), "text").join(asked, "id")
+    sets = stored(
+        texts.groupBy("id").agg(F.min("text").alias("text"))
+        .mapInArrow(_shingle_sets(words), "id long, shingles binary")
+    )
+    links = (
+        pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        .select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long")
+    )
+    members = rows.select("doc_id", "class").join(distinct.select("class", "id"), "class")
+    return members.select("doc_id", F.col("id").alias("representative")), links
+
+
+def keep_one(documents: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """Keep the row with the smallest doc_id of every group of similar texts; all columns stay.
+
+    Groups are chains of links of `similar_links`; texts without words are all alike.  Of rows
+    that repeat the kept doc_id one stays.  A row without doc_id cannot be told from others and
+    stays.  An empty table gives an empty one.
     """
-    found = near_duplicates(documents.filter("doc_id is not null"), words, radius)
+    members, links = similar_links(documents, words, least)
+    roots = connected_components(links).withColumnRenamed("node", "representative")
+    found = members.join(roots, "representative", "left").select(
+        "doc_id", F.coalesce("root", "representative").alias("component_id")
+    )
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
     # Rows travel as one struct, so that no column can clash; the join leaves them sorted by

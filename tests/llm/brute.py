@@ -70,6 +70,24 @@ def classes(rows, radius):
     return [(doc, f"{prints[k]:016x}", least.get(find(k))) for k, (doc, _) in enumerate(rows)]
 
 
+def alike(rows, size=5, least=0.8):
+    """Smallest doc_id of every row's group of similar shingle sets, by comparing all pairs."""
+    sets = []
+    for _, text in rows:
+        w = words(text)
+        sets.append({b" ".join(w[k : k + size]) for k in range(max(1, len(w) - size + 1))})
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    lowest = {}
+    for g, (doc, _) in zip(group, rows):
+        lowest[g] = min(lowest.get(g, LAST), doc)
+    return {lowest[g] for g in group}
+
+
 def remainder(doc, folds):
     return zlib.crc32(b"" if doc is None else str(doc).encode()) % folds
 
