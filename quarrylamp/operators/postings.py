@@ -85,6 +85,13 @@ def lexeme_bucket(lexeme: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
 
 
+def laid_out_like(stored: DataFrame, postings: DataFrame) -> DataFrame:
+    """New postings with the columns of a stored table."""
+    if "bucket" in stored.columns:
+        postings = postings.withColumn("bucket", lexeme_bucket(F.col("lexeme")))
+    return postings.select(*stored.columns)
+
+
 def write_postings(postings: DataFrame, path: str) -> None:
     """Store postings for lookup: a folder per lexeme bucket, sorted by lexeme inside.
 

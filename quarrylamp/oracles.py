@@ -301,6 +301,14 @@ renewed AS (
     'current' AS embedding_model
   FROM rewindows)"""
 
+MERGED_POSTINGS = f"""merged AS (
+  SELECT id, document_id, content FROM chunk_texts
+  WHERE document_id NOT IN (SELECT id FROM identified WHERE status <> 'unchanged')
+  UNION ALL SELECT id, document_id, content FROM renewed),
+post AS (
+  SELECT id AS unit_id, document_id, unnest(w) AS lexeme, unnest(range(1, len(w) + 1)) AS pos, 10.0 AS inv
+  FROM (SELECT id, document_id, regexp_extract_all(lower(content), {WORDS}) AS w FROM merged))"""
+
 EVALUATION = f"""{CHUNK_RANKS},
 {_ranks("post", SENTENCE_LITERALS, prefix="s_")},
 relevant AS (
@@ -432,6 +440,16 @@ ORDER BY document_id LIMIT 50""",
 SELECT count(DISTINCT document_id) AS documents, count(*) AS chunks FROM pieces""",
     "report_round_trip": "WITH " + EVALUATION + "\nSELECT query_id, "
     + ", ".join(f"round({m}, 6) AS {m}" for m in METRICS) + " FROM per_case",
+    "chunk_index_after_recrawl": _with(RECRAWL, RENEWED_CHUNKS, MERGED_POSTINGS) + """
+SELECT lexeme, count(DISTINCT unit_id) AS units, count(DISTINCT document_id) AS documents,
+  count(*) AS places, CAST(sum(pos) AS BIGINT) AS pos_sum FROM post GROUP BY lexeme""",
+    "document_index_after_recrawl": _with(RECRAWL, """titled AS (
+  SELECT id, title, description FROM docs WHERE id NOT IN (SELECT id FROM identified)
+  UNION ALL SELECT id, title, description FROM identified)""",
+        DOC_POSTINGS.format(name="post").replace("FROM docs)", "FROM titled)"))
+    + "SELECT unit_id, lexeme, CAST(pos AS INTEGER) AS pos, weight FROM post",
+    "search_after_recrawl": _with(RECRAWL, RENEWED_CHUNKS, MERGED_POSTINGS, ASKED, _ranks("post", BOTH))
+    + "SELECT query_id, unit_id, round(text_rank, 6) AS text_rank FROM ranks",
     "canonical_urls": f"SELECT page_id, {_canonical('url')} AS canonical, "
     f"{_canonical('url')} AS normalized FROM pages",
     "display_split": """

@@ -9,8 +9,16 @@ from quarrylamp.functions.stats import ordered_text
 from quarrylamp.operators.chunking import LEGACY_MODEL, MAX_TOKENS, OVERLAP, rechunk
 from quarrylamp.operators.encode import Encoder
 from quarrylamp.operators.ids import next_id, number_rows
+from quarrylamp.operators.postings import (
+    Lexicon,
+    chunk_postings,
+    document_postings,
+    laid_out_like,
+    simple_lexicon,
+)
+from quarrylamp.operators.sizing import lookup_join
 from quarrylamp.operators.topk import best_row
-from quarrylamp.plans.ingest import new_chunk_rows, replace_chunks
+from quarrylamp.plans.ingest import Changes, new_chunk_rows, replace_chunks
 from quarrylamp.schemas import CHUNK_COLUMNS
 
 
@@ -132,11 +140,30 @@ def reembed(
     return updated, replace_chunks(chunks, targets, rewritten), totals
 
 
-def refresh_postings(
-    postings: DataFrame, gone_units: DataFrame, new_postings: DataFrame
-) -> DataFrame:
-    """Postings with those of `gone_units(unit_id)` exchanged for the new ones."""
-    return postings.join(gone_units, "unit_id", "left_anti").unionByName(new_postings)
+def refreshed_postings(
+    chunk_index: DataFrame,
+    document_index: DataFrame,
+    changes: Changes,
+    gone: DataFrame | None = None,
+    lexicon: Lexicon = simple_lexicon,
+) -> tuple[DataFrame, DataFrame]:
+    """Both postings tables after an ingest batch and the removal of documents `gone(id)`.
+
+    Chunk postings go with their document, document postings also for a change of title or
+    description alone.  What did not change is neither read as text nor moved: the changed ids
+    are few and looked up.
+    """
+    void_chunks, void_documents = changes.replaced, changes.documents.select(F.col("id").alias("unit_id"))
+    if gone is not None:
+        void_chunks = void_chunks.unionByName(gone.select(F.col("id").alias("document_id")))
+        void_documents = void_documents.unionByName(gone.select(F.col("id").alias("unit_id")))
+    chunks = lookup_join(chunk_index, void_chunks, ["document_id"], "left_anti").unionByName(
+        laid_out_like(chunk_index, chunk_postings(changes.chunks, lexicon))
+    )
+    documents = lookup_join(document_index, void_documents, ["unit_id"], "left_anti").unionByName(
+        laid_out_like(document_index, document_postings(changes.documents, lexicon))
+    )
+    return chunks, documents
 
 
 def first_chunk_contents(chunks: DataFrame) -> DataFrame:

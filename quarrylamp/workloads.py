@@ -483,6 +483,31 @@ def weighted_postings(spark: Spark, sf: str) -> DataFrame:
     return document_postings(tb.documents(spark, sf))
 
 
+def _index_after_recrawl(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    return maintain.refreshed_postings(
+        chunk_postings(tb.chunks(spark, sf)), document_postings(tb.documents(spark, sf)), _changes(spark, sf)
+    )
+
+
+def chunk_index_after_recrawl(spark: Spark, sf: str) -> DataFrame:
+    chunks, _ = _index_after_recrawl(spark, sf)
+    return chunks.groupBy("lexeme").agg(
+        F.count_distinct("unit_id").alias("units"), F.count_distinct("document_id").alias("documents"),
+        F.count("*").alias("places"), F.sum("pos").alias("pos_sum"),
+    )
+
+
+def document_index_after_recrawl(spark: Spark, sf: str) -> DataFrame:
+    return _index_after_recrawl(spark, sf)[1]
+
+
+def search_after_recrawl(spark: Spark, sf: str) -> DataFrame:
+    """The keyword queries answered from the index that the recrawl has been applied to."""
+    chunks, _ = _index_after_recrawl(spark, sf)
+    ranks = textmatch.rank_cover(chunks, textmatch.query_literals(tb.keyword_queries(spark, sf)))
+    return _rounded(ranks, "text_rank")
+
+
 def keyword_match(spark: Spark, sf: str) -> DataFrame:
     found, units = _text_units(spark, sf)
     return textmatch.match(found, textmatch.query_literals(_repeated_words(spark, sf)), units)
@@ -717,7 +742,8 @@ QUERIES = {
         best_chunk_per_document, half_precision_vectors, normalized_vectors, ivf_recall,
         label_cells_recall, next_stored_ids, sample_query_ids, query_vectors, reembed_batch,
         reembed_totals, report_round_trip, stored_cases, first_of_source, bulk_load,
-        collapsed_texts, canonical_urls, display_split, page_hosts,
+        collapsed_texts, chunk_index_after_recrawl, document_index_after_recrawl,
+        search_after_recrawl, canonical_urls, display_split, page_hosts,
         page_fields, page_titles, page_fields_raw, page_links, same_host_counts,
         reachable_pages, ingest_validation, query_validation, content_hashes, latest_per_url,
         upsert_status, upsert_documents, replace_chunks, delete_source, replace_host,
