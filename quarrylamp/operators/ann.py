@@ -81,13 +81,14 @@ def write_cells(index: CellIndex, path: str) -> CellIndex:
 
 
 def search_cells(
-    index: CellIndex, queries: DataFrame, k: int = 10, probes: int = 8,
+    index: CellIndex, queries: DataFrame, k: int | str = 10, probes: int = 8,
     exclude_self: bool = False, **layout,
 ) -> DataFrame:
     """Approximate `(query_id, id, similarity, rank)`, exact within the probed cells."""
     wanted = max(1, min(probes, len(index.centers)))
     asked = _nearest_cells(
-        queries.select("query_id", "embedding"), index.centers, wanted, "cells"
+        queries.select("query_id", "embedding", *([k] if isinstance(k, str) else [])),
+        index.centers, wanted, "cells"
     )
     stored = index.vectors.select("id", "embedding", "cell")
     return nearest(asked, stored, k, exclude_self=exclude_self, by_cell=True, **layout)

@@ -632,6 +632,7 @@ best AS (
 SELECT b.query_id, b.rank, b.id, d.url, round(b.score, 6) AS similarity
 FROM best b JOIN docs d USING (id)""",
     "hybrid_search": _hybrid(0),
+    "hybrid_search_cells": _hybrid(0),
     "hybrid_page_2": _hybrid(10),
     "hybrid_search_half": _hybrid(0, True),
     "paged_search": _with(_hybrid_ctes()) + """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylamp.functions.text import blend, snippet
 from quarrylamp.functions.vectors import cosine, half_precision
+from quarrylamp.operators.ann import CellIndex
 from quarrylamp.operators.nearest import NAN_LAST, nearest
 from quarrylamp.operators.postings import Lexicon, simple_lexicon
 from quarrylamp.operators.sizing import fetch, lookup_join, settle
@@ -117,13 +118,16 @@ def hybrid_search(
     lexicon: Lexicon = simple_lexicon,
     literals: DataFrame | None = None,
     max_candidates: int | None = None,
+    cells: CellIndex | None = None,
+    probes: int = 8,
 ) -> DataFrame:
     """Chunked hybrid search of a query batch.
 
     `queries(query_id, query, embedding, result_offset, result_limit)`; candidate counts are
     numbers or columns of `queries` (`max_candidates` then states their largest value).
     Returns `(query_id, rank, id, url, title, description, snippet, similarity)`, ranked
-    from 1 over the whole result with the requested window kept.
+    from 1 over the whole result with the requested window kept.  With `cells` the vector
+    candidates come from an index of the chunks' vectors instead of a scan.
 
     The candidate cuts come first: nearest chunks, best-ranked chunks and best-ranked
     documents per query; only their documents are looked up and scored.
@@ -136,7 +140,7 @@ def hybrid_search(
     text_rows = _times(asked_rows, _largest(text_candidates, max_candidates))
 
     near_chunks = chunk_candidates(
-        queries, chunks, vector_candidates, threshold, half=half, rows=near_rows
+        queries, chunks, vector_candidates, threshold, half=half, rows=near_rows, cells=cells, probes=probes
     )
     near = best_chunk_per_document(near_chunks).select(
         *CHUNK_PAIR, F.col("chunk_id").alias("vector_chunk"), "similarity"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylamp.functions.urls import display_host, display_path
+from quarrylamp.operators.ann import CellIndex
 from quarrylamp.operators.encode import Encoder, encode_queries
 from quarrylamp.operators.ids import random_key
 from quarrylamp.operators.postings import Lexicon, simple_lexicon
@@ -85,6 +86,7 @@ def search(
     half: bool = True,
     lexicon: Lexicon = simple_lexicon,
     seed: int = 0,
+    cells: CellIndex | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Answer `queries(query_id, query, page_number, result_per_page)`.
 
@@ -103,6 +105,7 @@ def search(
         asked, documents, chunks, chunk_postings, doc_postings, threshold,
         "vector_k", "text_k", half, lexicon,
         max_candidates=max(vector_candidates, text_candidates, MAX_PAGE * MAX_PER_PAGE + 1),
+        cells=cells,
     )
     found = page_of(ranked, asked).select(
         "query_id", "rank", "url", "title", F.col("snippet").alias("content"),

@@ -99,16 +99,22 @@ def ivf_recall(spark: Spark, sf: str) -> DataFrame:
     return _rounded(report, "recall_at_k")
 
 
-def label_cells_recall(spark: Spark, sf: str) -> DataFrame:
-    """Recall of a cell index around the mean vector of every label."""
+def _label_means(spark: Spark, sf: str) -> np.ndarray:
+    """The mean vector of every label, one row a label."""
     given = tb.table(spark, sf, "embeddings")
     means = (
         given.select("label", F.posexplode("embedding").alias("at", "x"))
         .groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("mean"))
         .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("at", "mean"))).alias("center"))
-        .select("label", "center.mean").orderBy("label").collect()  # one row a label
+        .select("label", "center.mean").orderBy("label").collect()
     )
-    index = ann.cells_around(tb.vectors(spark, sf), np.array([r["mean"] for r in means]))
+    return np.array([r["mean"] for r in means])
+
+
+def label_cells_recall(spark: Spark, sf: str) -> DataFrame:
+    """Recall of a cell index around the mean vector of every label."""
+    means = _label_means(spark, sf)
+    index = ann.cells_around(tb.vectors(spark, sf), means)
     report = ann.recall_benchmark(
         tb.vectors(spark, sf), tb.vector_queries(spark, sf), 10, probes=(1, 2, len(means)), index=index
     )
@@ -574,14 +580,16 @@ def document_hybrid(spark: Spark, sf: str) -> DataFrame:
     return _rounded(found.select("query_id", "rank", "id", "url", "similarity"), "similarity")
 
 
-def _hybrid(spark: Spark, sf: str, offset: int, half: bool) -> DataFrame:
+def _hybrid(spark: Spark, sf: str, offset: int, half: bool, centers=None) -> DataFrame:
     asked = tb.search_queries(spark, sf).withColumns(
         {"result_offset": F.lit(offset), "result_limit": F.lit(PAGE_ROWS)}
     )
     documents, chunks = tb.documents(spark, sf), tb.chunks(spark, sf)
+    cells = None if centers is None else ann.cells_around(chunks.select("id", "embedding"), centers)
     found = hybrid.hybrid_search(
         asked, documents, chunks, chunk_postings(tb.chunk_texts(spark, sf)),
-        document_postings(documents), threshold=HYBRID_THRESHOLD, half=half,
+        document_postings(documents), threshold=HYBRID_THRESHOLD, half=half, cells=cells,
+        probes=0 if centers is None else len(centers),
     )
     return _rounded(
         found.select(
@@ -596,6 +604,11 @@ def hybrid_search(spark: Spark, sf: str) -> DataFrame:
     return _hybrid(spark, sf, 0, False)
 
 
+def hybrid_search_cells(spark: Spark, sf: str) -> DataFrame:
+    """The hybrid search over a cell index of which every cell is probed."""
+    return _hybrid(spark, sf, 0, False, _label_means(spark, sf))
+
+
 def hybrid_page_2(spark: Spark, sf: str) -> DataFrame:
     return _hybrid(spark, sf, PAGE_ROWS, False)
 
@@ -743,7 +756,7 @@ QUERIES = {
         label_cells_recall, next_stored_ids, sample_query_ids, query_vectors, reembed_batch,
         reembed_totals, report_round_trip, stored_cases, first_of_source, bulk_load,
         collapsed_texts, chunk_index_after_recrawl, document_index_after_recrawl,
-        search_after_recrawl, canonical_urls, display_split, page_hosts,
+        search_after_recrawl, hybrid_search_cells, canonical_urls, display_split, page_hosts,
         page_fields, page_titles, page_fields_raw, page_links, same_host_counts,
         reachable_pages, ingest_validation, query_validation, content_hashes, latest_per_url,
         upsert_status, upsert_documents, replace_chunks, delete_source, replace_host,
