@@ -3,10 +3,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylamp.operators.ann import build_cells, search_cells
+from quarrylamp.operators.covers import fold
 from quarrylamp.operators.nearest import nearest
 from quarrylamp.operators.percentiles import percentiles
-from quarrylamp.operators.postings import chunk_postings, document_postings
+from quarrylamp.operators.postings import chunk_postings, document_postings, write_postings
 from quarrylamp.operators.sampling import random_documents, random_documents_batch
+from quarrylamp.operators.textmatch import query_literals, rank_cover
 from quarrylamp.operators.topk import top_k
 from quarrylamp.operators.vector import vector_search
 from quarrylamp.plans.evaluate import evaluate, summarize
@@ -128,3 +130,57 @@ def test_percentiles(spark):
     assert found[("s", 0.5)] == 2.5
     assert found[("l", 0.5)] == 15_000.0
     assert found[("l", 0.951)] == pytest.approx(28_530.0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 999, 20_001])
+def test_percentiles_of_any_size(spark, n):
+    draw = np.random.default_rng(n)
+    held = np.round(draw.lognormal(size=n), 2)  # with ties
+    df = spark.createDataFrame([("g", float(v)) for v in held] + [("none", None)], "g string, v double")
+    fractions = [0.0, 0.25, 0.5, 0.95, 0.99, 1.0]
+    found = {r.fraction: r.percentile for r in percentiles(df, ["g"], "v", fractions).collect()}
+    for fraction in fractions:
+        assert found[fraction] == pytest.approx(np.quantile(held, fraction))
+
+
+def test_percentiles_of_nothing(spark):
+    empty = spark.createDataFrame([], "v double")
+    assert [(r.fraction, r.percentile) for r in percentiles(empty, [], "v", [0.5]).collect()] == [(0.5, 0.0)]
+
+
+def test_a_limit_over_the_stated_bound_is_an_error(spark):
+    df = spark.createDataFrame([(1, k, 9) for k in range(12)], "q long, v long, k int")
+    assert top_k(df, ["q"], [F.col("v")], "k", bound=9).count() == 9
+    with pytest.raises(Exception, match="exceeds the stated bound"):
+        top_k(df, ["q"], [F.col("v")], "k", bound=4).collect()
+
+
+def test_cover_rank_by_hand():
+    # a x b a b: covers of "a and b" are (0, 2), (2, 3) and (3, 4).
+    pos, lexemes = [1, 3, 4, 5], ["a", "b", "a", "b"]
+    both = [(0, [([("a", 0)], False), ([("b", 0)], False)])]
+    rank, hit = fold(pos, lexemes, [10.0] * 4, both)
+    total = 0.1 / 2 + 0.1 + 0.1
+    assert rank == pytest.approx(total / (total + 1)) and hit == []
+    phrase = [(0, [([("a", 0), ("b", 1)], False)])]
+    assert fold(pos, lexemes, [10.0] * 4, phrase)[0] == pytest.approx(0.1 / 1.1)
+    without = [(0, [([("a", 0)], False), ([("b", 0)], True)]), (1, [([("b", 0)], True)])]
+    assert fold(pos, lexemes, [10.0] * 4, without) == (None, [1])
+
+
+def test_stored_postings_answer_alike(spark, tmp_path):
+    chunks = spark.createDataFrame(
+        [(k, k // 2, "slate chalk marl " * (k % 3) + f"w{k}") for k in range(30)],
+        "id long, document_id long, content string",
+    )
+    plain = chunk_postings(chunks)
+    write_postings(plain, str(tmp_path / "index"))
+    asked = query_literals(spark.createDataFrame([(1, "slate w4"), (2, "w7 or marl")], "query_id long, query string"))
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(rank_cover(stored, asked)) == key(rank_cover(plain, asked))
+    assert "PartitionFilters: [bucket" in _plan(rank_cover(stored, asked))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
