@@ -309,6 +309,17 @@ post AS (
   SELECT id AS unit_id, document_id, unnest(w) AS lexeme, unnest(range(1, len(w) + 1)) AS pos, 10.0 AS inv
   FROM (SELECT id, document_id, regexp_extract_all(lower(content), {WORDS}) AS w FROM merged))"""
 
+TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+BODY = "regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<!--.*?-->|<[^>]*>', '', 'g')"
+
+
+def _plain_text(markup: str) -> str:
+    """Markup without tags, its character references resolved; the ampersand comes last."""
+    for name, character in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        markup = f"replace({markup}, '&{name};', '{character}')"
+    return markup
+
+
 EVALUATION = f"""{CHUNK_RANKS},
 {_ranks("post", SENTENCE_LITERALS, prefix="s_")},
 relevant AS (
@@ -458,6 +469,14 @@ SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS host,
     "page_hosts": """
 SELECT lower(regexp_extract(url, '://([^/:?#]+)', 1)) AS host, count(*) AS pages
 FROM pages GROUP BY ALL""",
+    "page_fields": f"""
+SELECT page_id, {_canonical('url')} AS url, trim({_plain_text(TITLE)}) AS title, '' AS description,
+  sha256(trim(regexp_replace({_plain_text(BODY)}, '\\s+', ' ', 'g'))) AS body_hash,
+  CAST(len(regexp_extract_all(html, '<a ')) AS INTEGER) AS n_references
+FROM pages WHERE trim({_plain_text(BODY)}) <> ''""",
+    "page_fields_raw": f"""
+SELECT page_id, url, {_plain_text(TITLE)} AS title, CAST(length({_plain_text(BODY)}) AS INTEGER) AS body_chars,
+  CAST(len(regexp_extract_all(html, '<a ')) AS INTEGER) AS n_references FROM pages""",
     "page_titles": """
 SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1),
   '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title, '' AS description FROM pages""",
