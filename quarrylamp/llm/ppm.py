@@ -7,14 +7,16 @@ which the symbols of the longer ones are excluded; below the empty context stand
 A text is followed by an end symbol and preceded by a start context, so probabilities of all
 texts add up to one.
 
-The trie never sits in one place.  Texts are cut into blocks (the tasks of one scan).  Each block
-asks for the keys it needs, its different words and byte strings, once; the keys are counted
-and priced where they meet, and the answers go back to the blocks.
+The trie never sits in one place.  Texts are packed into units.  Each unit asks for the keys it
+needs, its different words and byte strings, once; the keys are counted and priced where they
+meet, and the answers go back to the units.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylamp.llm.common import give_back, slices, stored
+from quarrylamp.llm.common import give_back, stored
+from quarrylamp.llm.units import text_units, unpacked
 
 ORDER = 5
 #: Bytes that no UTF-8 text holds: start context and end symbol.
@@ -32,8 +35,20 @@ START, END = 0xFE, 0xFF
 WORD, GRAM = 0, 1
 
 
-def _lowered(texts: list[str | None]) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+def held_out(doc_id: int | None, folds: int, held: int) -> bool:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == held
+
+
+def _runs(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Cut a list of texts into runs of about `limit` bytes."""
+    first, size = 0, 0
+    for k, text in enumerate(texts):
+        if size and size + len(text) > limit:
+            yield first, k
+            first, size = k, 0
+        size += len(text)
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def grams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,47 +89,48 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block: its different words and grams with their numbers in training texts."""
-    held: dict[int, list] = {WORD: [], GRAM: []}
-    block = None
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for kind, parts in held.items():
-            if not parts:
-                continue
-            keys, counts = _merged(parts)
-            parts.clear()
-            for at in range(0, len(keys), 1 << 16):
-                some = slice(at, at + (1 << 16))
-                n = len(keys[some])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block, np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(keys[some]), pa.array(counts[some])],
-                    ["block", "kind", "key", "n"],
-                )
-
-    for batch in slices(batches, "text", 1 << 20):
-        blocks = batch.column("block").to_numpy()
-        for own in np.unique(blocks).tolist():
-            if own != block:
-                yield from flush()
-                block = own
-            part = batch.filter(pa.array(blocks == own))
-            raw = _lowered(part.column("text").to_pylist())
-            held_out = part.column("held_out").to_pylist()
-            for trains in (True, False):
-                some = [t for t, h in zip(raw, held_out) if h != trains]
-                if not some:
+def _gather(is_held):
+    """Per unit: its different words and grams with their numbers in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {WORD: [], GRAM: []}
+        unit = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.items():
+                if not parts:
                     continue
-                keys, counts = _distinct_words([t.split() for t in some])
-                held[WORD].append((keys, counts if trains else np.zeros_like(counts)))
-                keys, counts = np.unique(grams(some)[0], return_counts=True)
-                held[GRAM].append((keys, counts if trains else np.zeros_like(counts)))
-            for parts in held.values():
-                if len(parts) > 8:
-                    parts[:] = [_merged(parts)]
-    yield from flush()
-    give_back()
+                keys, counts = _merged(parts)
+                parts.clear()
+                for at in range(0, len(keys), 1 << 16):
+                    some = slice(at, at + (1 << 16))
+                    n = len(keys[some])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, unit, np.int64)), pa.array(np.full(n, kind, np.int32)), pa.array(keys[some]), pa.array(counts[some])],
+                        ["unit", "kind", "key", "n"],
+                    )
+
+        for batch in batches:
+            for unit, packed in zip(batch.column("unit").to_pylist(), batch.column("packed")):
+                ids, texts = unpacked(packed.as_py())
+                for first, last in _runs(texts):
+                    raw = [t.lower() for t in texts[first:last]]
+                    for trains in (True, False):
+                        some = [t for t, d in zip(raw, ids[first:last]) if is_held(d) != trains]
+                        if not some:
+                            continue
+                        keys, counts = _distinct_words([t.split() for t in some])
+                        held[WORD].append((keys, counts if trains else np.zeros_like(counts)))
+                        keys, counts = np.unique(grams(some)[0], return_counts=True)
+                        held[GRAM].append((keys, counts if trains else np.zeros_like(counts)))
+                    for parts in held.values():
+                        if len(parts) > 8:
+                            parts[:] = [_merged(parts)]
+                del ids, texts
+                yield from flush()
+        give_back()
+
+    return run
 
 
 def _price(order: int):
@@ -202,36 +218,38 @@ class _Lookup:
         return self.values[at]
 
 
-def _score(total: int, different: int, end_count: int):
+def _score(total: int, different: int, end_count: int, is_held):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = right.column("kind").to_numpy()
         keys, values = right.column("key").to_numpy(), right.column("value").to_numpy()
-        word_of = _Lookup(keys[kind == WORD], values[kind == WORD]) if (kind == WORD).any() else None
+        word_of = _Lookup(keys[kind == WORD], values[kind == WORD])
         gram_of = _Lookup(keys[kind == GRAM], values[kind == GRAM])
-        del kind, keys, values, right
+        del kind, keys, values
         floor = math.log10(total + different + 1)
         end = math.log10(end_count + 1) - floor
-        rows = [[], [], [], []]
-        for batch in slices(iter(left.to_batches()), "text", 1 << 20):
-            raw = _lowered(batch.column("text").to_pylist())
-            words = [t.split() for t in raw]
-            known = {w: k for k, w in enumerate(set().union(*words))}
-            counts = word_of(np.fromiter(map(word_key, known), np.int64, len(known))) if known else np.empty(0)
-            codes, starts = grams(raw)
-            sums = np.add.reduceat(gram_of(codes), starts)
-            for own, score in zip(words, sums.tolist()):
-                c = counts[np.fromiter(map(known.__getitem__, own), np.int64, len(own))]
-                rows[0].append(len(own) + 1)
-                rows[1].append(int((c > 0).sum()) + (end_count > 0))
-                rows[2].append(float(np.log10(c + 1).sum()) - floor * len(own) + end)
-                rows[3].append(score)
+        rows: list[list] = [[], [], [], [], [], []]
+        for packed in left.column("packed"):
+            ids, texts = unpacked(packed.as_py())
+            rows[0] += ids
+            rows[1] += map(is_held, ids)
+            for first, last in _runs(texts):
+                raw = [t.lower() for t in texts[first:last]]
+                words = [t.split() for t in raw]
+                known = {w: k for k, w in enumerate(set().union(*words))}
+                counts = word_of(np.fromiter(map(word_key, known), np.int64, len(known))) if known else np.empty(0)
+                codes, starts = grams(raw)
+                sums = np.add.reduceat(gram_of(codes), starts)
+                for own, score in zip(words, sums.tolist()):
+                    c = counts[np.fromiter(map(known.__getitem__, own), np.int64, len(own))]
+                    rows[2].append(len(own) + 1)
+                    rows[3].append(int((c > 0).sum()) + (end_count > 0))
+                    rows[4].append(float(np.log10(c + 1).sum()) - floor * len(own) + end)
+                    rows[5].append(score)
         del word_of, gram_of
         give_back()
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table(
-            [left.column("doc_id"), left.column("held_out"), *(pa.array(r, t) for r, t in zip(rows, types))],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-        )
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+        return pa.table([pa.array(r, t) for r, t in zip(rows, types)], names=names)
 
     return run
 
@@ -247,23 +265,19 @@ def scores(documents: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     stand there.  With nothing to train on every symbol is uniform; an empty table gives an
     empty one.  Words are told apart by 64-bit hashes.
     """
-    digest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    texts = stored(
-        documents.select(
-            "doc_id", "text", (digest % folds == held).alias("held_out"), F.spark_partition_id().alias("block")
-        )
-    )
-    asked = texts.select("text", "held_out", "block").mapInArrow(
-        _gather, "block int, kind int, key long, n long"
-    )
-    # Rows of a context meet once; a word is its own context.
-    asked = asked.withColumn("context", F.when(F.col("kind") == GRAM, F.shiftright("key", 8)).otherwise(F.col("key")))
+    is_held = functools.partial(held_out, folds=folds, held=held)
+    texts = stored(text_units(documents))
+    asked = texts.mapInArrow(_gather(is_held), "unit long, kind int, key long, n long")
+    # Rows of a context meet in one shuffle, which serves both windows; a word is its own context.
+    asked = asked.withColumn(
+        "context", F.when(F.col("kind") == GRAM, F.shiftright("key", 8)).otherwise(F.col("key"))
+    ).repartition("kind", "context")
     node, item = Window.partitionBy("kind", "context"), Window.partitionBy("kind", "context", "key")
-    counted = asked.withColumns({"total": F.sum("n").over(item), "turn": F.row_number().over(item.orderBy("block"))})
+    counted = asked.withColumns({"total": F.sum("n").over(item), "turn": F.row_number().over(item.orderBy("unit"))})
     fresh = F.when((F.col("turn") == 1) & (F.col("total") > 0), 1)
     spread = F.sum("n").over(node) + F.count(fresh).over(node)
     counted = stored(
-        counted.select("block", "kind", "key", "turn", F.col("total").alias("n"), spread.alias("spread"))
+        counted.select("unit", "kind", "key", "turn", F.col("total").alias("n"), spread.alias("spread"))
         .withColumn("value", F.when(F.col("kind") == WORD, F.col("n").cast("double")).when(F.col("n") > 0, F.log10(F.col("n") / F.col("spread"))))
         .drop("spread")
     )
@@ -271,17 +285,18 @@ def scores(documents: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     sums = first.filter(F.col("kind") == WORD).agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))
     ).first()
-    end_count = texts.filter("not held_out").count()
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
+    end_count = documents.filter(remainder != held).count()
     tokens, different = sums[0] + end_count, sums[1] + (end_count > 0)
     grams_ = first.filter(F.col("kind") == GRAM)
     trie = stored(grams_.filter("n > 0").select("key", "n"))
     priced = unseen_prices(trie, grams_.filter("n = 0").select("key"))
     missing = counted.filter((F.col("kind") == GRAM) & (F.col("n") == 0))
-    answers = counted.filter("value is not null").select("block", "kind", "key", "value").unionByName(
-        missing.select("block", "kind", "key").join(priced, "key").select("block", "kind", "key", "value")
+    answers = counted.filter("value is not null").select("unit", "kind", "key", "value").unionByName(
+        missing.select("unit", "kind", "key").join(priced, "key").select("unit", "kind", "key", "value")
     )
-    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score(tokens, different, end_count),
+    scored = texts.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(
+        _score(tokens, different, end_count, is_held),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))

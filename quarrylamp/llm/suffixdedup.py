@@ -21,25 +21,23 @@ those whose seed occurs more than once.
 from __future__ import annotations
 
 import hashlib
-import io
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylamp.llm.common import slices, stored
+from quarrylamp.llm.common import give_back, stored
 from quarrylamp.llm.losertree import common_prefix, merged
+from quarrylamp.llm.units import text_units, unpacked
 
 SEED = 32
 LAST = (1 << 63) - 1
-#: Bytes of text that are hashed at once, and that make a unit.
-STRETCH, UNIT = 1 << 20, 24 << 20
+#: Bytes of text that are hashed at once.
+STRETCH = 1 << 20
 
 _rng = np.random.default_rng(11)
 _TABLE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,44 +133,6 @@ def _joined(rows, offsets, parts):
     return np.array(rows), np.array(offsets), ends, b"".join(parts)
 
 
-def _packed(ids: list[int | None], texts: list[bytes]) -> bytes:
-    batch = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.large_binary())], ["doc_id", "text"])
-    sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
-
-
-def unpacked(data: bytes) -> tuple[list[int | None], list[bytes]]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    table = pa.ipc.open_stream(raw).read_all()
-    return table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unit = TaskContext.get().partitionId() << 24
-    ids: list[int | None] = []
-    texts: list[bytes] = []
-    held = 0
-
-    def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([unit], pa.int64()), pa.array([_packed(ids, texts)], pa.binary())], ["unit", "packed"]
-        )
-
-    for batch in slices(batches, "text"):
-        new = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-        size = sum(map(len, new))
-        if ids and held + size > UNIT:
-            yield row()
-            unit, ids, texts, held = unit + 1, [], [], 0
-        ids += batch.column("doc_id").to_pylist()
-        texts += new
-        held += size
-    if ids:
-        yield row()
-
-
 def _name(length: int):
     """Each unit's different seed hashes and how often it has them."""
 
@@ -286,6 +246,8 @@ def _send(length: int, buckets: int):
                 out.append((SUFFIX, unit, row, doc, start, stop, bucket, place, shared, suffix[shared:], before, None))
                 previous = suffix
         columns = list(zip(*out)) or [()] * len(_SENT_TYPES)
+        del contexts, strings, runs, out
+        give_back()
         return pa.table([pa.array(c, t) for c, t in zip(columns, _SENT_TYPES)], names=_SENT_NAMES)
 
     return run
@@ -375,7 +337,7 @@ def remove_repeats(
     at equal places.  An empty table gives an empty one.  Seeds with more than `often`
     occurrences are dealt out string by string; the result is the same.
     """
-    units = stored(documents.select("doc_id", "text").mapInArrow(_pack, "unit long, packed binary"))
+    units = stored(text_units(documents))
     named = units.mapInArrow(_name(length), "unit long, seed long, n int")
     total = F.sum("n").over(Window.partitionBy("seed"))
     asked = named.withColumn("total", total).filter("total > 1").select(
