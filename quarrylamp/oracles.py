@@ -477,6 +477,20 @@ FROM pages WHERE trim({_plain_text(BODY)}) <> ''""",
     "page_fields_raw": f"""
 SELECT page_id, url, {_plain_text(TITLE)} AS title, CAST(length({_plain_text(BODY)}) AS INTEGER) AS body_chars,
   CAST(len(regexp_extract_all(html, '<a ')) AS INTEGER) AS n_references FROM pages""",
+    "page_ingest": f"""
+WITH found AS (
+  SELECT page_id, {_canonical('url')} AS url, trim({_plain_text(TITLE)}) AS title,
+    trim(regexp_replace({_plain_text(BODY)}, '\\s+', ' ', 'g')) AS body FROM pages),
+last AS (
+  SELECT *, regexp_extract_all(body, {TOKENS}) AS t FROM found WHERE body <> '' AND url IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1),
+pieces AS (
+  SELECT *, unnest(range(0, 1 + CASE WHEN len(t) > 384
+    THEN CAST(ceil((len(t) - 384) / 320.0) AS BIGINT) ELSE 0 END)) AS i FROM last)
+SELECT dense_rank() OVER (ORDER BY md5(url)) AS id, url, title, regexp_extract(url, '://([^/:]+)', 1) AS source_host,
+  sha256(body) AS content_hash, count(*) AS chunks,
+  max(length(array_to_string(t[i * 320 + 1 : i * 320 + 384], ' '))) AS longest
+FROM pieces GROUP BY url, title, body""",
     "page_titles": """
 SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1),
   '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title, '' AS description FROM pages""",

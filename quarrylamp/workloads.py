@@ -29,9 +29,10 @@ from quarrylamp.operators.percentiles import percentiles
 from quarrylamp.operators.postings import build_postings, chunk_postings, document_postings
 from quarrylamp.operators.topk import top_k
 from quarrylamp.plans import evaluate, hybrid, ingest, maintain, search
+from quarrylamp.schemas import CHUNK, DOCUMENT
 from quarrylamp.sources import cases, corpus
 from quarrylamp.sources.store import TableStore
-from quarrylamp.sources.tables import append_table, shared_folder, table_stats, without_host
+from quarrylamp.sources.tables import append_table, materialized, shared_folder, table_stats, without_host
 from quarrylamp.streaming.ingest import ingest_stream, page_stream
 
 Spark = SparkSession
@@ -279,6 +280,22 @@ def _changes(spark: Spark, sf: str) -> ingest.Changes:
     )
 
 
+def page_ingest(spark: Spark, sf: str) -> DataFrame:
+    """The raw pages, extracted and ingested into an empty store."""
+    # Parsed once; every step of the ingest starts from the stored messages.
+    found = materialized(extract.ingest_messages(_extracted(spark, sf), "page_id"))
+    documents, chunks, _ = ingest.ingest(
+        found, spark.createDataFrame([], DOCUMENT), spark.createDataFrame([], CHUNK),
+        encode.hash_encoder(tb.DIMENSIONS), MODEL, _now(),
+    )
+    texts = chunks.groupBy("document_id").agg(
+        F.count("*").alias("chunks"), F.max(F.length("content")).cast("long").alias("longest")
+    )
+    return documents.select("id", "url", "title", "source_host", "content_hash").join(
+        texts.withColumnRenamed("document_id", "id"), "id"
+    )
+
+
 def upsert_status(spark: Spark, sf: str) -> DataFrame:
     return _changes(spark, sf).status
 
@@ -756,7 +773,7 @@ QUERIES = {
         label_cells_recall, next_stored_ids, sample_query_ids, query_vectors, reembed_batch,
         reembed_totals, report_round_trip, stored_cases, first_of_source, bulk_load,
         collapsed_texts, chunk_index_after_recrawl, document_index_after_recrawl,
-        search_after_recrawl, hybrid_search_cells, canonical_urls, display_split, page_hosts,
+        search_after_recrawl, page_ingest, hybrid_search_cells, canonical_urls, display_split, page_hosts,
         page_fields, page_titles, page_fields_raw, page_links, same_host_counts,
         reachable_pages, ingest_validation, query_validation, content_hashes, latest_per_url,
         upsert_status, upsert_documents, replace_chunks, delete_source, replace_host,
