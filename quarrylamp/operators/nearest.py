@@ -19,7 +19,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarrylamp.functions.vectors import SCORE_DIGITS
 from quarrylamp.operators.topk import top_k
