@@ -93,8 +93,11 @@ def _folded(
     does not pass.
     """
     hit = F.struct("pos", "lexeme", "weight")
+    # Folding is far more work than the bytes suggest, so partitions must not be merged by size.
+    partitions = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gathered = (
         _hits(postings, literals, bounded)
+        .repartition(partitions, *PAIR)
         .groupBy(*PAIR)
         .agg(F.sort_array(F.collect_list(hit)).alias("hits"))
     )
