@@ -231,14 +231,17 @@ def _send(length: int, buckets: int):
         settled = [(row, start, stop) for doc, start, row, stop, *_ in contexts.late + strings.late]
         for row, start, stop in _joined_spans(settled):
             out.append((GONE, unit, row, None, start, stop, None, None, None, None, None, None))
-        for digest, places in strings.kept.items():
+        while strings.kept:
+            digest, places = strings.kept.popitem()
             for doc, start, row, stop in places:
                 out.append((STRING, unit, row, doc, start, stop, None, None, None, None, None, digest))
         runs = defaultdict(list)
-        for content, places in contexts.kept.items():
+        while contexts.kept:  # what has been taken over need not be held twice
+            content, places = contexts.kept.popitem()
             for doc, start, row, stop, cut, seed in places:
                 runs[seed % buckets].append((content[cut:], content[:cut], doc, start, row, stop))
-        for bucket, suffixes in runs.items():
+        for bucket in list(runs):
+            suffixes = runs.pop(bucket)
             suffixes.sort()
             previous = b""
             for place, (suffix, before, doc, start, row, stop) in enumerate(suffixes):

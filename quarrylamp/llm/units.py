@@ -25,7 +25,7 @@ def _packed(ids: list[int | None], texts: list[bytes]) -> bytes:
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
 
 
 def unpacked(data: bytes) -> tuple[list[int | None], list[bytes]]:
