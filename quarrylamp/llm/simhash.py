@@ -8,13 +8,15 @@ are held as bit planes (one machine word of candidates per bit and block); a que
 distances of a block with carry-save counters and leaves it as soon as all exceed the radius.
 
 For similarity in the usual sense (word shingles, Jaccard) a small radius is too strict and a
-large one cannot be banded without loss.  `similar_links` therefore takes more bits, over single
+large one cannot be banded without loss.  `similar_groups` therefore takes more bits, over single
 words, buckets them in many tables, compares prints within a bucket as above, and lets an exact
-comparison of the shingles decide.
+comparison of the shingles decide.  What the buckets leave apart meets by exact prefixes: texts of
+similarity t share one of the first (1 - t) of their shingles in any order that all texts keep.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -250,11 +252,11 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         classes, prints, keys = [], [], []
         for text in batch.column("text").to_pylist():
-            tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            tokens = _tokens(text)
             own = word_prints(tokens)
             bits = np.unpackbits(own.view(np.uint8), bitorder="little").reshape(tables, TABLE_BITS)
             buckets = bits.astype(np.int64) @ (1 << np.arange(TABLE_BITS, dtype=np.int64))
-            classes.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
+            classes.append(_class(tokens))
             prints.append(int(own[:1].view(np.int64)[0]))
             keys.append(buckets + (np.arange(tables) << TABLE_BITS))
         yield pa.RecordBatch.from_arrays(
@@ -299,20 +301,199 @@ def _leaders(radius: int):
     return run
 
 
+def shingles(tokens: list[bytes], words: int) -> np.ndarray:
+    """Sorted different 64-bit hashes of the `words`-word shingles; one under `words` tokens."""
+    n = len(tokens)
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, n)
+    size = min(words, n)
+    made = np.full(n - size + 1, size, np.uint64)
+    for k in range(size):
+        made = made * np.uint64(0x9E3779B97F4A7C15) + each[k : n - size + 1 + k]
+    made ^= made >> np.uint64(31)
+    made *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(made ^ (made >> np.uint64(29)))
+
+
+def _tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _class(tokens: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(tokens))
+
+
 def _shingle_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = []
-            for text in batch.column("text").to_pylist():
-                tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                shingles = {b" ".join(tokens[k : k + words]) for k in range(max(1, len(tokens) - words + 1))}
-                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles))
-                sets.append(np.sort(hashes).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+            ids, sets = [], []
+            columns = (batch.column(c).to_pylist() for c in ("id", "class", "text"))
+            for id_, class_, text in zip(*columns):
+                if _class(tokens := _tokens(text)) == class_:
+                    ids.append(id_)
+                    sets.append(shingles(tokens, words).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    return run
+
+
+#: Cells that count shingles, rows of one message of counts, and members of a shingle compared in one task.
+CELLS, CELL_ROWS, MEMBERS = 1 << 21, 1 << 15, 1 << 13
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
+
+
+def _counts(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in slices(batches, "text"):
+            found = [_cells(shingles(_tokens(t), words)) for t in batch.column("text").to_pylist()]
+            counts += np.bincount(np.concatenate(found), minlength=CELLS)
+        for part, some in enumerate(counts.reshape(-1, CELL_ROWS)):
+            at = np.flatnonzero(some)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([part], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()),
+                        pa.array([some[at].astype("<i8").tobytes()], pa.binary()),
+                    ],
+                    ["part", "at", "n"],
+                )
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the counts of all tasks; a task holds the parts dealt to it, whatever their messages."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, at, n in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "n"))):
+            total = sums.setdefault(part, np.zeros(CELL_ROWS, np.int64))
+            total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
+    for part, total in sums.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "n"]
+        )
+
+
+def _heat(documents: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per cell: a byte that grows with the count of its shingles, and blocks to deal them over.
+
+    Both only order and spread work; any values give the same links.
+    """
+    sums = (
+        documents.select("text").mapInArrow(_counts(words), "part int, at binary, n binary")
+        .repartition("part").mapInArrow(_summed, "part int, n binary")
+    )
+    counts = np.zeros((CELLS // CELL_ROWS, CELL_ROWS), np.int64)
+    for part, n in sums.toLocalIterator():
+        counts[part] = np.frombuffer(n, np.int64)
+    counts = counts.ravel()
+    extra = np.maximum(0, counts - 2 * int(counts.mean()))
+    heat = np.minimum(255, np.round(6 * np.log2(counts + 1))).astype(np.uint8)
+    return heat, np.minimum(1 + extra // MEMBERS, (1 << 15) - 1).astype(np.int16)
+
+
+PREFIX = "key long, root long, id long, size int, at int, side byte"
+
+
+def _prefixes(words: int, least: float, heat: np.ndarray, blocks: np.ndarray):
+    """The first shingles of every text, rarest first: two texts of similarity `least` share one.
+
+    A frequent shingle's texts are dealt over blocks, and every two blocks meet under one key.
+    """
+    mix = np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            made: list[list[np.ndarray]] = [[] for _ in range(6)]
+            columns = (batch.column(c).to_pylist() for c in ("id", "root", "class", "text"))
+            for id_, root, class_, text in zip(*columns):
+                if _class(tokens := _tokens(text)) != class_:
+                    continue
+                own = shingles(tokens, words)
+                n = len(own)
+                cells = _cells(own)
+                order = np.argsort(
+                    (heat[cells].astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8)), kind="stable"
+                )[: n - math.ceil(least * n - 1e-9) + 1]
+                key, count, at = own[order], blocks[cells[order]].astype(np.int64), np.arange(len(order))
+                side = np.zeros(len(key), np.int8)
+                if (count > 1).any():
+                    copy = np.repeat(np.arange(len(key)), count)
+                    other = np.arange(len(copy)) - np.repeat(np.cumsum(count) - count, count)
+                    block = ((xxhash.xxh3_64_intdigest(b"%d" % id_) >> 2) % count)[copy]
+                    low, high = np.minimum(block, other).astype(np.uint64), np.maximum(block, other).astype(np.uint64)
+                    side = np.where(block == other, 0, np.where(block < other, 1, 2)).astype(np.int8)
+                    key, at = key[copy] + (low * mix + high) * mix, at[copy]
+                for held, column in zip(made, (key, np.full(len(key), root), np.full(len(key), id_), np.full(len(key), n), at, side)):
+                    held.append(column)
+            if made[0]:
+                kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int8)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c).astype(k)) for c, k in zip(made, kinds)],
+                    ["key", "root", "id", "size", "at", "side"],
+                )
 
     return run
 
 
+def _meetings(least: float, limit: int = 1 << 16):
+    """Pairs of different roots under one key that can still be alike, by sizes and places.
+
+    Rows come sorted by key and root.  Rows of the last key are held, as it may go on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "root", "id", "size", "at", "side")]
+            if not len(rows[0]):
+                continue
+            done = 0
+            if held is not None:
+                done = len(held[0])
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            key, root, id_, size, at, side = rows
+            n = len(key)
+            new_key = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, n]
+            end = new_key[np.searchsorted(new_key, np.arange(n), "right")]
+            new_root = np.r_[np.flatnonzero((key[1:] != key[:-1]) | (root[1:] != root[:-1])) + 1, n]
+            next_ = np.maximum(new_root[np.searchsorted(new_root, np.arange(n), "right")], done)
+            i = np.flatnonzero(next_ < end)
+            j = next_[i]
+            found, waiting = [], 0
+            while len(i):
+                x, y = size[i].astype(float), size[j].astype(float)
+                fits = np.minimum(x, y) >= least * np.maximum(x, y) - 1e-6
+                # The first shingle that both have leaves room for all that they must share.
+                rest = np.minimum(x - at[i], y - at[j])
+                fits &= rest * (1 + least) >= least * (x + y) - 1e-6
+                fits &= (side[i] == 0) | (side[i] != side[j])
+                if fits.any():
+                    found.append((i[fits], j[fits]))
+                    waiting += len(found[-1][0])
+                j = j + 1
+                on = j < end[i]
+                i, j = i[on], j[on]
+                if found and (waiting >= limit or not len(i)):
+                    yield _met(id_, root, *(np.concatenate(x) for x in zip(*found)))
+                    found, waiting = [], 0
+            keep = int(np.searchsorted(new_key, n - 1, "right"))
+            first = int(new_key[keep - 1]) if keep else 0
+            held = [x[first:].copy() for x in rows]
+
+    return run
+
+
+def _met(id_: np.ndarray, root: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    i, j = np.where(id_[i] < id_[j], i, j), np.where(id_[i] < id_[j], j, i)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in (id_[i], id_[j], root[i], root[j])], ["a", "b", "root_a", "root_b"]
+    )
+
+
 def _alike(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,24 +502,42 @@ def _alike(least: float):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.drop_columns(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def similar_links(documents: DataFrame, words: int = 5, least: float = 0.8, radius: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Members and links of `documents` (doc_id, text) by similarity of their word shingles.
+def _own_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of `wanted` (id, class, ...) among the rows of that id, every one once."""
+    texts = documents.select(F.col("doc_id").alias("id"), "text").join(wanted, "id")
+    return texts.groupBy(*texts.columns).agg(F.lit(1).alias("one")).drop("one")
 
-    Returns (doc_id, representative): rows with the same word sequence have the smallest doc_id
-    among them; and (a, b): pairs of representatives whose sets of `words`-word shingles have
-    a Jaccard similarity of at least `least`, exactly.  Candidates are texts that share a bucket
-    of SimHash bits and whose prints differ in at most `radius` bits; every pair found is right,
-    and nearly all pairs are found.  Texts under `words` words are one shingle.
-    """
-    rows = stored(
-        documents.filter("doc_id is not null").select("doc_id", "text")
-        .mapInArrow(_profiles, "doc_id long, class binary, print long, keys array<long>")
+
+def _checked(documents: DataFrame, pairs: DataFrame, named: DataFrame, words: int, least: float) -> DataFrame:
+    """The rows of `pairs` (a, b, ...) whose texts have a similarity of at least `least`."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = stored(
+        _own_texts(documents, named.select("id", "class").join(asked, "id", "left_semi"))
+        .mapInArrow(_shingle_sets(words), "id long, shingles binary")
     )
+    kind = ", ".join(f"{c} long" for c in pairs.columns)
+    return (
+        pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        .select(*pairs.columns, "x", "y").mapInArrow(_alike(least), kind)
+    )
+
+
+def similar_groups(documents: DataFrame, words: int = 5, least: float = 0.8, radius: int = 16) -> DataFrame:
+    """(doc_id, component_id): rows of `documents` (doc_id, text) by similarity of their shingles.
+
+    Two texts are linked when their sets of `words`-word shingles have a Jaccard similarity of at
+    least `least`; component_id is the smallest doc_id reached over chains of links.  Texts that
+    share a bucket of SimHash bits with a leader within `radius` bits are linked first.  Every
+    other linked pair is then found by shingle prefixes, so none is missed (shingles are compared
+    by 64-bit hashes).  Texts under `words` words are one shingle.
+    """
+    documents = documents.filter("doc_id is not null").select("doc_id", "text")
+    rows = stored(documents.mapInArrow(_profiles, "doc_id long, class binary, print long, keys array<long>"))
     distinct = rows.groupBy("class").agg(
         F.min("doc_id").alias("id"), F.first("print").alias("print"), F.first("keys").alias("keys")
     )
@@ -348,32 +547,30 @@ def similar_links(documents: DataFrame, words: int = 5, least: float = 0.8, radi
         .mapInArrow(_leaders(radius), "a long, b long").filter("a != b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = documents.select(F.col("doc_id").alias("id"), "text").join(asked, "id")
-    sets = stored(
-        texts.groupBy("id").agg(F.min("text").alias("text"))
-        .mapInArrow(_shingle_sets(words), "id long, shingles binary")
+    named = distinct.select("id", "class")
+    roots = connected_components(_checked(documents, pairs, named, words, least)).toDF("id", "root")
+    named = stored(named.join(roots, "id", "left").select("id", "class", F.coalesce("root", "id").alias("root")))
+    prefixes = _own_texts(documents, named).mapInArrow(_prefixes(words, least, *_heat(documents, words)), PREFIX)
+    apart = stored(
+        prefixes.repartition("key").sortWithinPartitions("key", "root")
+        .mapInArrow(_meetings(least), "a long, b long, root_a long, root_b long").distinct()
     )
-    links = (
-        pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        .select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long")
+    joined = _checked(documents, apart, named, words, least).select(
+        F.col("root_a").alias("a"), F.col("root_b").alias("b")
     )
-    members = rows.select("doc_id", "class").join(distinct.select("class", "id"), "class")
-    return members.select("doc_id", F.col("id").alias("representative")), links
+    tops = connected_components(joined).toDF("root", "top")
+    members = rows.select("doc_id", "class").join(named.select("class", "root"), "class")
+    return members.join(tops, "root", "left").select("doc_id", F.coalesce("top", "root").alias("component_id"))
 
 
 def keep_one(documents: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """Keep the row with the smallest doc_id of every group of similar texts; all columns stay.
 
-    Groups are chains of links of `similar_links`; texts without words are all alike.  Of rows
+    Groups are chains of links of `similar_groups`; texts without words are all alike.  Of rows
     that repeat the kept doc_id one stays.  A row without doc_id cannot be told from others and
     stays.  An empty table gives an empty one.
     """
-    members, links = similar_links(documents, words, least)
-    roots = connected_components(links).withColumnRenamed("node", "representative")
-    found = members.join(roots, "representative", "left").select(
-        "doc_id", F.coalesce("root", "representative").alias("component_id")
-    )
+    found = similar_groups(documents, words, least)
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
     # Rows travel as one struct, so that no column can clash; the join leaves them sorted by

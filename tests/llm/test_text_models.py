@@ -118,6 +118,69 @@ def test_one_of_similar_texts_stays(spark, rows):
     assert simhash.keep_one(table.limit(0)).count() == 0
 
 
+def _kept_of_pairs(spark, texts):
+    """Numbers of pairs (texts 2k and 2k + 1) of which not exactly the first stays."""
+    table = spark.createDataFrame(list(enumerate(texts)), TEXT)
+    kept = {r.doc_id for r in simhash.keep_one(table).collect()}
+    return [k for k in range(len(texts) // 2) if {2 * k, 2 * k + 1} & kept != {2 * k}]
+
+
+def test_near_copies_within_a_family_of_template_pages(spark):
+    draw = random.Random(11)
+    page = [f"page{k}" for k in range(240)]
+    texts = []
+    for k in range(400):
+        own = page.copy()
+        for place in draw.sample(range(0, 240, 10), 8):
+            own[place] = f"own{draw.randrange(10 ** 9)}"
+        other = own.copy()
+        other[draw.randrange(2, 238)] = f"edit{k}"
+        texts += [" ".join(own), " ".join(other)]
+    sets = [frozenset(simhash.shingles(t.encode().split(), 5).tolist()) for t in texts]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    assert not any(len(a & b) >= 0.8 * len(a | b) for a in sets[::8] for b in sets[2::8])
+    assert _kept_of_pairs(spark, texts) == []
+
+
+def test_near_copies_with_an_added_or_cut_passage(spark):
+    draw = random.Random(12)
+    texts = []
+    for k in range(400):
+        size = draw.choice((12, 60, 160, 600))
+        own = [f"w{draw.randrange(10 ** 6)}" for _ in range(size)]
+        # 0.8 of the shingles exactly, or a little more.
+        more = draw.randint(1, (size - 4) // 4)
+        if k % 2:
+            texts += [" ".join(own), " ".join(own + [f"n{draw.randrange(10 ** 6)}" for _ in range(more)])]
+        else:
+            texts += [" ".join(own), " ".join(own[: size - max(1, (size - 4) // 5)])]
+    assert _kept_of_pairs(spark, texts) == []
+
+
+def test_meetings_compare_all_pairs_once_over_batches_and_blocks(monkeypatch):
+    draw = random.Random(13)
+    monkeypatch.setattr(simhash, "CELLS", 1 << 12)
+    texts = {k: " ".join(draw.choice("abc") for _ in range(draw.randint(1, 14))) for k in range(150)}
+    batch = pa.RecordBatch.from_pydict({
+        "id": list(texts), "root": [k // 2 for k in texts], "text": list(texts.values()),
+        "class": [simhash._class(simhash._tokens(t)) for t in texts.values()],
+    })
+    sets = {k: set(simhash.shingles(simhash._tokens(t), 2).tolist()) for k, t in texts.items()}
+    want = {
+        (a, b) for a in texts for b in texts
+        if a < b and a // 2 != b // 2 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    }
+    for blocks in (1, 3):
+        heat = np.random.default_rng(blocks).integers(0, 255, 1 << 12).astype(np.uint8)
+        spread = np.full(1 << 12, blocks, np.int16)
+        rows = pa.Table.from_batches(simhash._prefixes(2, 0.8, heat, spread)(iter([batch])))
+        rows = rows.sort_by([("key", "ascending"), ("root", "ascending")])
+        made = pa.Table.from_batches(simhash._meetings(0.8)(iter(rows.to_batches(max_chunksize=7))))
+        pairs = set(zip(made["a"].to_pylist(), made["b"].to_pylist()))
+        assert want and want <= pairs
+        assert all(a // 2 != b // 2 and sets[a] & sets[b] for a, b in pairs)
+
+
 def test_a_large_bucket_gives_few_links():
     draw = random.Random(3)
     base = draw.getrandbits(64)
