@@ -2,7 +2,8 @@
 
 A line is parsed by its token count, its leading tokens and then its template: tokens with a
 digit are variable fields, and one more run of tokens (a fifth of the line, not the leading
-one) may vary too.  Lines that agree on all the rest share a template.  A line goes when an
+one) may vary too.  Where too few constant tokens are left, the fields' values count as well.
+Lines that agree on all the rest share a template.  A line goes when an
 earlier document (smaller doc_id) has a line of the same template, so each recurring template
 stays in the first document that has it and leaves the others.
 
@@ -28,6 +29,8 @@ from quarrylamp.llm.common import slices, whole_text
 _DIGIT = re.compile(rb"\d")
 _FIELD = re.compile(rb"\S*\d\S*")
 RUNS = 5
+#: Tokens without digits that a template must show, as a share of the line, for others to be fields.
+CONSTANT = 0.5
 LAST = (1 << 63) - 1
 
 
@@ -35,23 +38,31 @@ def template_keys(line: bytes, least: int = 5, loose: int = 8) -> list[int]:
     """Signed 64-bit template keys of a line; none under `least` tokens.
 
     From `loose` tokens on, one key for each of the runs after the leading one left open;
-    shorter lines have a single key of all their tokens.
+    shorter lines have a single key of all their tokens.  A key whose tokens without digits are
+    under CONSTANT of the line keeps the values of its other tokens.
     """
-    if _DIGIT.search(line):
-        line = _FIELD.sub(b"<*>", line)
-    tokens = line.split()
-    n = len(tokens)
+    values = line.split()
+    n = len(values)
     if n < least:
         return []
+    tokens, words = values, None
+    if _DIGIT.search(line):
+        tokens = _FIELD.sub(b"<*>", line).split()
+        words = [v is t or v == t for v, t in zip(values, tokens)]
     if n < loose:
+        if words and sum(words) < CONSTANT * n:
+            tokens = values
         return [_signed(xxhash.xxh64_intdigest(b"%d " % n + b" ".join(tokens)))]
     edges = [n * k // RUNS for k in range(RUNS + 1)]
-    parts = [
-        xxhash.xxh64_intdigest(b" ".join(tokens[a:b])) for a, b in zip(edges, edges[1:])
-    ]
+    bounds = list(zip(edges, edges[1:]))
+    parts = [xxhash.xxh64_intdigest(b" ".join(tokens[a:b])) for a, b in bounds]
+    exact = None
     keys = []
     for k in range(1, RUNS):
         shown = parts.copy()
+        if words and sum(words) - sum(words[slice(*bounds[k])]) < CONSTANT * n:
+            exact = exact or [xxhash.xxh64_intdigest(b" ".join(values[a:b])) for a, b in bounds]
+            shown = exact.copy()
         shown[k] = k
         keys.append(_signed(xxhash.xxh64_intdigest(struct.pack("<6Q", n, *shown))))
     return keys

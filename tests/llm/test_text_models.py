@@ -269,6 +269,17 @@ def test_line_dedup(spark, rows):
     assert linededup.deduped(table.limit(0)).count() == 0
 
 
+def test_rows_of_numbers_are_not_one_template(spark):
+    texts = [
+        (1, "1 2 3 4 5\n2024-01-01,7 10:00 0.5 a1 b2 c3 d4 e5\n1 2 3 4 these words here 5 6 7 8 9\nError 404 in module 7 of the main server"),
+        (2, "6 7 8 9 10\n2024-01-02,8 11:00 0.7 a2 b3 c4 d5 e6\n9 8 7 6 these words here 5 4 3 2 1\nError 500 in module 9 of the main server"),
+        (3, "1 2 3 4 5\n2024-01-01,7 10:00 0.5 a1 b2 c3 d4 e5"),
+    ]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in linededup.deduped(spark.createDataFrame(texts, TEXT)).collect()}
+    # A sentence with fields is a template; a row of values goes only where all its values recur.
+    assert got == {1: (texts[0][1], 0), 2: (texts[1][1].rsplit("\n", 1)[0], 1), 3: ("", 2)}
+
+
 def test_licences(spark):
     known = licences.known_licences(spark)
     texts = [
