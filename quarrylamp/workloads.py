@@ -723,15 +723,24 @@ def report_round_trip(spark: Spark, sf: str) -> DataFrame:
     return _rounded(report, *METRICS)
 
 
-def stored_cases(spark: Spark, sf: str) -> DataFrame:
-    """Labels as a JSON array of cases, one per source, written and read back."""
-    graded = tb.table(spark, sf, "documents").join(tb.table(spark, sf, "labels"), "doc_id").groupBy("source").agg(
+def stored_cases(spark: Spark, sf: str, labels_a_case: int = 1 << 16) -> DataFrame:
+    """Labels as JSON arrays of cases, written and read back.
+
+    A source has as many cases, each a file of its own, as keep any near `labels_a_case` labels.
+    """
+    labelled = tb.table(spark, sf, "documents").join(tb.table(spark, sf, "labels"), "doc_id").select(
+        "source", "doc_id", "quality"
+    )
+    parts = 1 + labelled.count() // labels_a_case
+    graded = labelled.groupBy("source", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part")).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), F.col("quality") * 2))).alias("relevance")
     )
+    # A case without a positive grade is refused when read; it holds nothing to read back.
+    graded = graded.filter(F.exists(F.map_values("relevance"), lambda grade: grade > 0))
     path = f"{shared_folder(spark)}/cases-{uuid.uuid4().hex}"
     case = F.struct(F.col("source").alias("query"), "relevance")
     # One file is one array.
-    graded.select("source", F.to_json(F.array(case)).alias("value")).write.partitionBy("source").text(path)
+    graded.select("source", "part", F.to_json(F.array(case)).alias("value")).write.partitionBy("source", "part").text(path)
     return cases.read_cases(spark, path).select("query", F.col("url").cast("long").alias("doc_id"), "grade")
 
 

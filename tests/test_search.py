@@ -13,6 +13,8 @@ from quarrylamp.operators.topk import top_k
 from quarrylamp.operators.vector import vector_search
 from quarrylamp.plans.evaluate import evaluate, summarize
 from quarrylamp.plans.search import search
+from quarrylamp.sources import cases
+from quarrylamp.workloads import stored_cases
 
 
 @pytest.fixture(scope="module")
@@ -184,3 +186,23 @@ def test_stored_postings_answer_alike(spark, tmp_path):
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_stored_case_grows_with_its_source(spark, tmp_path, monkeypatch):
+    count = 1000
+    documents = spark.range(count).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 900, "hot").otherwise("cold").alias("source"))
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(count).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 1).otherwise(0).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    largest = []
+    read = cases.read_cases
+
+    def watched(spark, path):
+        found = read(spark, path)
+        files = spark.read.text(path, wholetext=True)
+        largest.append(files.select(F.max(F.size(F.split("value", ":")))).first()[0])
+        return found
+
+    monkeypatch.setattr(cases, "read_cases", watched)
+    got = [tuple(r) for r in stored_cases(spark, str(tmp_path), labels_a_case=50).collect()]
+    assert sorted(got) == sorted(("hot" if k < 900 else "cold", k, 2.0) for k in range(0, count, 3))
+    assert largest[0] < 150
