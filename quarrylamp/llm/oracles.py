@@ -138,4 +138,26 @@ ORACLES: dict[str, str] = {
                case when k.doc_id is null then d.text else k.text end as text
         from documents d left join kept k on d.doc_id = k.doc_id
     """,
+    "op11_negatives": """
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list_transform(embedding, lambda x: floor(x::double * 256)) as v from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_dot_product(a.v, c.v)::bigint as score
+            from v a join v c on a.vec_id <> c.vec_id and a.vec_id % 100 = 0
+        ), positives as (
+            select anchor_id, vec_id as positive_id, score as positive_score from (
+                select *, row_number() over (partition by anchor_id order by score desc, vec_id) as rank from scored where same
+            ) where rank <= 5
+        ), ranked as (
+            select p.*, s.vec_id as negative_id, s.score as negative_score,
+                   row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+            from positives p join scored s on p.anchor_id = s.anchor_id and not s.same
+             and 100 * s.score between 30 * positive_score and 90 * positive_score
+        )
+        select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score
+        from ranked where rank <= 10
+    """,
 }

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylamp.llm import classifier, kdsearch, licences, linededup, mixing, packing, ppm, simhash, suffixdedup, votes
+from quarrylamp.llm import (
+    bytebpe, classifier, kdsearch, licences, linededup, mixing, negatives, packing, ppm, simhash, suffixdedup, votes,
+    whitening,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_file() -> str:
-    """The installed vocabulary that the packing query counts in."""
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """An installed vocabulary; the packing query counts in the first one."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +77,25 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of the five positives of every 100th vector."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.whole_vectors(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+    return negatives.mine(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors whitened to 32 components."""
+    return whitening.whiten(whitening.whole_numbers(table(spark, sf_dir, "embeddings")), components=32)
+
+
+def op13_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again, as digests."""
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents"), path)
+    return bytebpe.digests(bytebpe.decode(encoded, path))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_suffixdedup": op2_suffixdedup,
@@ -85,4 +107,7 @@ QUERIES = {
     "op8_kdsearch": op8_kdsearch,
     "op9_mixing": op9_mixing,
     "op10_linededup": op10_linededup,
+    "op11_negatives": op11_negatives,
+    "op12_whitening": op12_whitening,
+    "op13_bytebpe": op13_bytebpe,
 }
