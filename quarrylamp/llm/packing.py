@@ -200,13 +200,22 @@ def _knapsack(sizes: list[int], prices: np.ndarray, capacity: int) -> tuple[np.n
     return found, float(prices @ found)
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 128, large_part: int = 8) -> list[Run]:
+#: Groupings of which the plan with the fewest sequences is taken: (groups, part of the capacity
+#: from which on a length is large).  Many groups lose little to rounding where two pieces fill a
+#: sequence; sequences of many pieces gain more from their configurations than fine groups would.
+GROUPINGS = ((256, 3), (128, 4), (64, 8))
+
+
+def plan(
+    histogram: dict[int, int], capacity: int, groupings: tuple[tuple[int, int], ...] = GROUPINGS
+) -> list[Run]:
     """Runs that place every piece of the histogram (length: count) once, in few sequences.
 
-    Rounding up can cost a few sequences where hardly any small piece is there to fill the gaps;
-    a coarser grouping and none at all (best fit alone) are tried too, and the shortest plan stays.
+    Every plan tried groups the large lengths and fills configurations of the groups first.
     """
-    plans = [_grouped(histogram, capacity, n, large_part) for n in (groups, groups // 4, 0)]
+    if not groupings or min(min(g) for g in groupings) < 1:
+        raise ValueError("a plan needs at least one group and a part of the capacity")
+    plans = [_grouped(histogram, capacity, groups, part) for groups, part in groupings]
     return min(plans, key=lambda p: p[1])[0]
 
 
@@ -225,7 +234,7 @@ def _grouped(histogram: dict[int, int], capacity: int, groups: int, large_part:
     # Linear grouping of the large lengths: equal cardinality, rounded up to the largest.
     large = sorted((length for length in left if length * large_part > capacity), reverse=True)
     total = sum(left[length] for length in large)
-    if total and groups:
+    if total:
         share = -(-total // groups)
         members: list[list[list[int]]] = []
         room = 0
@@ -358,7 +367,8 @@ def _place(runs: list[Run]):
 
 
 def pack(
-    documents: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, groups: int = 128
+    documents: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096,
+    groupings: tuple[tuple[int, int], ...] = GROUPINGS,
 ) -> DataFrame:
     """Pack all rows' tokens into sequences of at most `capacity` ids.
 
@@ -376,7 +386,7 @@ def pack(
     histogram = {
         r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()
     }  # at most `capacity` rows
-    runs = plan(histogram, capacity, groups)
+    runs = plan(histogram, capacity, groupings)
     before = F.sum("n").over(
         Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -63,6 +63,27 @@ def test_plan_beats_best_fit_where_pairs_hide_triples():
     assert packing.plan({}, 4096) == []
 
 
+def test_every_plan_is_a_grouped_one(monkeypatch):
+    draw = random.Random(8)
+    histogram = collections.Counter(min(4096, int(draw.lognormvariate(6.5, 1)) + 1) for _ in range(4000))
+    solved = []
+    real = packing.configurations
+
+    def spy(sizes, demand, capacity, **options):
+        found = real(sizes, demand, capacity, **options)
+        solved.append((len(sizes), sum(often for often, _ in found)))
+        return found
+
+    monkeypatch.setattr(packing, "configurations", spy)
+    used = placed(histogram, 4096, packing.plan(dict(histogram), 4096))
+    assert len(solved) == len(packing.GROUPINGS) and all(sizes > 1 and often > 0.01 * used for sizes, often in solved)
+    # Rounding up within groups costs at most a few sequences.
+    assert used <= 1.01 * best_fit(histogram, 4096)
+    for wrong in ((), ((0, 3),), ((128, 0),)):
+        with pytest.raises(ValueError, match="group"):
+            packing.plan(dict(histogram), 4096, wrong)
+
+
 def test_pack(spark, table):
     from tokenizers import Tokenizer
 
