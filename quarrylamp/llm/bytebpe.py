@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -33,10 +34,13 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_BLANKS, AFTER_SPACE, ONE_TO_GO, TWO
 ENDINGS = {1: "stmd", 2: ("re", "ve", "ll")}
 
 #: Entries that a worker's table of merged pieces may hold before it starts anew.
-CACHE = 1 << 19
+CACHE = 1 << 18
 
-#: Bytes up to which a piece is merged by scanning its pairs instead of a heap.
-SHORT_PIECE = 128
+#: Bytes up to which pieces are merged side by side; longer ones are merged alone, with a heap.
+SHORT_PIECE = 32
+
+#: Bytes of text, or ids, that are worked on at once: a batch takes some fifty times its size.
+AT_ONCE, IDS_AT_ONCE = 1 << 20, 1 << 18
 
 
 def _machine() -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +74,8 @@ def code_point_classes() -> np.ndarray:
     """LETTER, NUMBER, OTHER or BLANK for every code point, by the tables of the tiktoken library.
 
     Unicode grows from version to version, so the classes are asked of the library whose pieces
-    are to be met: one run over all code points for each of the three classes.
+    are to be met: one run over all code points for each of the three classes, on the driver; tasks
+    get the packed table.
     """
     import tiktoken
 
@@ -111,9 +116,9 @@ def states(kinds: np.ndarray, block: int = 512) -> np.ndarray:
     return before.T.ravel()[:n]
 
 
-def piece_starts(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
+def piece_starts(points: np.ndarray, edges: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Places where a piece starts; `edges` are the places of separators between texts."""
-    kinds = code_point_classes()[points]
+    kinds = classes[points]
     kinds[edges] = EDGE
     if not len(kinds):
         return np.empty(0, np.int64)
@@ -146,28 +151,61 @@ class Vocabulary:
         self.length = np.array([len(t) for t in tokens], np.int64)
         self.place = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.single = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
+        # Every way in which two tokens make a third.
+        ways = sorted(
+            (self.rank[token[:k]] * size + self.rank[token[k:]], rank)
+            for token, rank in self.rank.items()
+            for k in range(1, len(token))
+            if token[:k] in self.rank and token[k:] in self.rank
+        )
+        self.pairs, self.pair_rank = np.array(ways, np.int64).reshape(-1, 2).T.copy()
         self.merged: dict[bytes, tuple[int, ...]] = {}
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Token ids of one piece: the pair of lowest rank is joined first, the leftmost of equals."""
-        whole = self.rank.get(piece)
-        if whole is not None:
-            return (whole,)
-        return self._merge_short(piece) if len(piece) <= SHORT_PIECE else self._merge_long(piece)
-
-    def _merge_short(self, piece: bytes) -> tuple[int, ...]:
-        rank, none = self.rank, len(self.length)
-        parts = [piece[k : k + 1] for k in range(len(piece))]
-        pairs = [rank.get(piece[k : k + 2], none) for k in range(len(piece) - 1)]
-        while pairs and (least := min(pairs)) < none:
-            at = pairs.index(least)
-            parts[at] += parts.pop(at + 1)
-            pairs.pop(at)
-            if at < len(pairs):
-                pairs[at] = rank.get(parts[at] + parts[at + 1], none)
-            if at:
-                pairs[at - 1] = rank.get(parts[at - 1] + parts[at], none)
-        return tuple([rank[part] for part in parts])
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that two tokens make together; the vocabulary's size where there is none."""
+        key = left * len(self.length) + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_rank[at], len(self.length))
+
+    def _merge_short(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Token ids of many pieces side by side: each round joins one pair of every piece.
+
+        The pair of lowest rank is joined, the leftmost of equals; pieces without one are done.
+        """
+        none = len(self.length)
+        ids = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        piece = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        pair = np.append(np.where(piece[1:] == piece[:-1], self._joined(ids[:-1], ids[1:]), none), none)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+            counts = np.diff(np.append(starts, len(ids)))
+            least = np.minimum.reduceat(pair, starts)
+            going = least < none
+            stay = np.repeat(going, counts)
+            done.append((piece[~stay], ids[~stay]))
+            ids, piece, pair = ids[stay], piece[stay], pair[stay]
+            least, counts = least[going], counts[going]
+            if not len(ids):
+                break
+            hits = np.flatnonzero(pair == np.repeat(least, counts))
+            at = hits[np.append(True, piece[hits][1:] != piece[hits][:-1])]
+            ids[at] = least
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            ids, piece, pair = ids[kept], piece[kept], pair[kept]
+            # Every piece before has lost one place.
+            at -= np.arange(len(at))
+            for first in (at, at[at > 0] - 1):
+                second = np.minimum(first + 1, len(ids) - 1)
+                same = (piece[first] == piece[second]) & (first < second)
+                pair[first] = np.where(same, self._joined(ids[first], ids[second]), none)
+        owner = np.concatenate([p for p, _ in done])
+        order = np.argsort(owner, kind="stable")
+        flat = np.concatenate([i for _, i in done])[order].tolist()
+        stops = np.cumsum(np.bincount(owner, minlength=len(pieces))).tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *stops], stops)]
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
         """Pairs wait in a heap and neighbours in linked lists, so the cost is n log n."""
@@ -197,21 +235,19 @@ class Vocabulary:
 
     def ids(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Token ids of every piece; each different piece is merged once while the table holds it."""
-        merged = self.merged
-        found = list(map(merged.get, pieces))
-        if None in found:
-            for k, ids in enumerate(found):
-                if ids is None:
-                    piece = pieces[k]
-                    ids = merged.get(piece)
-                    if ids is None:
-                        ids = self.merge(piece)
-                        if len(piece) <= 256:
-                            if len(merged) >= CACHE:
-                                merged.clear()
-                            merged[piece] = ids
-                    found[k] = ids
-        return found
+        found = list(map(self.merged.get, pieces))
+        if None not in found:
+            return found
+        new = list({piece for piece, ids in zip(pieces, found) if ids is None})
+        known = {piece: (rank,) for piece in new if (rank := self.rank.get(piece)) is not None}
+        short = [p for p in new if p not in known and len(p) <= SHORT_PIECE]
+        known.update(zip(short, self._merge_short(short) if short else ()))
+        if len(self.merged) + len(known) > CACHE:
+            self.merged.clear()
+        if len(known) <= CACHE:
+            self.merged.update(known)
+        known.update((p, self._merge_long(p)) for p in new if p not in known)
+        return [known[piece] if ids is None else ids for piece, ids in zip(pieces, found)]
 
 
 @lru_cache(maxsize=2)
@@ -219,13 +255,15 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode_texts(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encode_texts(
+    texts: list[str], vocabulary: Vocabulary, classes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids of all texts, ends of the tokens in bytes of their text, number of ids per text)."""
     joined = "\0".join(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
     edges = (np.cumsum(sizes) + np.arange(len(texts)))[:-1]
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
-    starts = piece_starts(points, edges)
+    starts = piece_starts(points, edges, classes)
     width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
     place = np.concatenate([[0], np.cumsum(width)])
     real = ~np.isin(starts, edges, assume_unique=True)
@@ -250,11 +288,11 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def _encode(path: str):
+def _encode(path: str, classes: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(path)
-        for part in slices(batches, "text"):
-            ids, ends, counts = encode_texts(part.column("text").to_pylist(), known)
+        known, kinds = vocabulary(path), np.frombuffer(zlib.decompress(classes), np.uint8)
+        for part in slices(batches, "text", AT_ONCE):
+            ids, ends, counts = encode_texts(part.column("text").to_pylist(), known, kinds)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), _lists(ids, counts, pa.int32()), _lists(ends, counts, pa.int32())],
                 ["doc_id", "ids", "ends"],
@@ -273,7 +311,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     whole, however long, up to the two gigabytes that a value may have.
     """
     return documents.select("doc_id", whole_text().alias("text")).mapInArrow(
-        _encode(path), "doc_id long, ids array<int>, ends array<int>"
+        _encode(path, zlib.compress(code_point_classes().tobytes())), "doc_id long, ids array<int>, ends array<int>"
     )
 
 
@@ -281,7 +319,6 @@ def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
         for batch in batches:
-            # A few megabytes of ids at a time: gathering takes some tens of bytes for each byte of text.
             counts = np.diff(batch.column("ids").offsets.to_numpy())
             parts = np.cumsum(counts) // (1 << 20)
             cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]

@@ -21,13 +21,14 @@ PATH = tokenizer_file("byte_bpe_50k.tiktoken")
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 OWN = bytebpe.vocabulary(PATH)
+CLASSES = bytebpe.code_point_classes()
 
 #: Characters that meet in every way: blanks of many kinds, apostrophes, endings, numbers, marks.
 LETTERS = "''''strevlmdSLx  \n\t 　\x1c\x85\0 1½٣é漢ª!?-😀​"
 
 
 def encoded(texts):
-    ids, ends, counts = bytebpe.encode_texts(texts, OWN)
+    ids, ends, counts = bytebpe.encode_texts(texts, OWN, CLASSES)
     stops = np.cumsum(counts)
     return [(ids[s - c : s].tolist(), ends[s - c : s].tolist()) for s, c in zip(stops, counts)]
 
@@ -51,7 +52,7 @@ def test_starts_are_those_of_the_pattern():
         text = "".join(draw.choice(ascii_only) for _ in range(draw.randint(1, 25)))
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
         want = [m.start() for m in regex.finditer(public_tokenizers.PATTERN, text)]
-        assert bytebpe.piece_starts(points, np.empty(0, np.int64)).tolist() == want, text
+        assert bytebpe.piece_starts(points, np.empty(0, np.int64), CLASSES).tolist() == want, text
 
 
 @pytest.mark.parametrize("block", [1, 3, 64, 512])
@@ -68,15 +69,14 @@ def test_long_pieces():
     draw = random.Random(7)
     check(["a" * 200_000, " " * 70_000 + "x", "".join(draw.choice("abcdeiou") for _ in range(60_000)), "ab" * 40_000 + "\n" * 999])
     pieces = ["".join(draw.choice("etaoin") for _ in range(n)).encode() for n in range(2, 300)]
-    for piece in pieces:
-        assert OWN._merge_short(piece) == OWN._merge_long(piece)
+    assert OWN._merge_short(pieces) == [OWN._merge_long(piece) for piece in pieces]
 
 
 def test_table_of_pieces_starts_anew(monkeypatch):
     monkeypatch.setattr(bytebpe, "CACHE", 5)
     known = bytebpe.Vocabulary(PATH)
     texts = ["one two three four five six seven eight nine ten"] * 3
-    ids, _, _ = bytebpe.encode_texts(texts, known)
+    ids, _, _ = bytebpe.encode_texts(texts, known, CLASSES)
     assert ids.tolist() == LIBRARY.encode_ordinary(texts[0]) * 3 and len(known.merged) <= 5
 
 
