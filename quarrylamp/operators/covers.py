@@ -1,7 +1,8 @@
-"""Boolean match and cover density of one (query, unit) pair, from its sorted hits.
+"""Boolean match and cover density of many (query, unit) pairs at once, from their posting lists.
 
-A pair's hits are few (a unit is one chunk, or a title with its description), so they are
-gathered once and folded in one pass instead of being windowed step by step.
+All hits of a batch lie in one array, ordered by query, unit and position.  Occurrences of
+literals, covers and ranks are array operations over the hits of all pairs of a query; places of
+different pairs are far apart, so nothing reaches from one pair into the next.
 """
 
 from __future__ import annotations
@@ -10,68 +11,92 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 
+from quarrylamp.operators.postings import summed_gaps
 
-def _places(lexemes: list[tuple[str, int]], at: dict[str, list[int]], pos: list[int]) -> list[tuple[int, int]]:
-    """(first hit, last hit) of every occurrence of a literal, in order of its place."""
-    if len(lexemes) == 1:
-        return [(k, k) for k in at.get(lexemes[0][0], ())]
-    by_place = [{pos[k]: k for k in at.get(lexeme, ())} for lexeme, _ in lexemes]
-    offsets = [offset for _, offset in lexemes]
-    found = []
-    for place in by_place[0]:
-        begin = place - offsets[0]
-        hits = [known.get(begin + offset) for known, offset in zip(by_place, offsets)]
-        if None not in hits:
-            found.append((min(hits), max(hits)))
-    return found
+#: Distance between the places of two pairs; no unit has so many positions.
+APART = 1 << 32
 
 
-def fold(pos: list[int], lexemes: list[str], inverse: list[float], groups: list) -> tuple[float | None, list[int]]:
-    """Text rank (None without a match) and the excluding groups that the unit does hit.
+class Hits:
+    """Hits of the pairs of one query in order of pair and position."""
 
-    `groups` holds (group_no, [(lexemes with offsets, negated)]); `inverse` the inverse weight
-    of every hit.  For each end at which a group is complete the latest beginning counts; the
-    first end of a beginning closes a minimal cover.
+    def __init__(self, pair: np.ndarray, pos: np.ndarray, lexeme: np.ndarray, inverse: np.ndarray):
+        self.pair, self.lexeme = pair, lexeme
+        self.place = pair * APART + pos
+        fresh = np.append(True, pair[1:] != pair[:-1])
+        self.first = np.maximum.accumulate(np.where(fresh, np.arange(len(pair)), 0))
+        self.total = np.append(0.0, np.cumsum(inverse))
+
+    def occurrences(self, lexemes: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """First and last hit of every occurrence of a literal, given as (lexeme, offset)."""
+        begin = end = np.flatnonzero(self.lexeme == lexemes[0][0])
+        base = self.place[begin] - lexemes[0][1]
+        for lexeme, offset in lexemes[1:]:
+            own = np.flatnonzero(self.lexeme == lexeme)
+            if not len(own):
+                return own, own
+            at = own[np.minimum(np.searchsorted(self.place[own], base + offset), len(own) - 1)]
+            there = self.place[at] == base + offset
+            base, at = base[there], at[there]
+            begin, end = np.minimum(begin[there], at), np.maximum(end[there], at)
+        return begin, end
+
+    def covers(self, literals: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """For each end at which all literals are complete: the end and its latest beginning."""
+        ends = np.unique(np.concatenate([end for _, end in literals]))
+        begins = np.full(len(ends), np.iinfo(np.int64).max)
+        for begin, end in literals:
+            if not len(end):
+                return ends[:0], begins[:0]
+            order = np.argsort(end, kind="stable")
+            latest = np.maximum.accumulate(begin[order])
+            at = np.searchsorted(end[order], ends, side="right") - 1
+            begins = np.minimum(begins, np.where(at >= 0, latest[np.maximum(at, 0)], -1))
+        whole = begins >= self.first[ends]  # else a literal has not been met in this pair
+        return ends[whole], begins[whole]
+
+
+def fold(hits: Hits, pairs: int, groups: list) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Text rank of every pair (NaN without a match), and per excluding group the pairs it hits.
+
+    `groups` holds (group_no, [(lexemes with offsets, negated)]).  For each end at which a group
+    is complete the latest beginning counts; the first end of a beginning closes a minimal cover.
     """
-    at: dict[str, list[int]] = {}
-    for k, lexeme in enumerate(lexemes):
-        at.setdefault(lexeme, []).append(k)
-    begins: dict[int, int] = {}
-    hit = []
+    rank = np.full(pairs, np.nan)
+    hit, ends, begins = [], [], []
     for number, literals in groups:
-        positive = [_places(words, at, pos) for words, negated in literals if not negated]
-        excluded = any(negated and _places(words, at, pos) for words, negated in literals)
+        excluded = np.zeros(pairs, bool)
+        for lexemes, negated in literals:
+            if negated:
+                excluded[hits.pair[hits.occurrences(lexemes)[0]]] = True
+        positive = [hits.occurrences(lexemes) for lexemes, negated in literals if not negated]
         if not positive:
-            if excluded:
-                hit.append(number)
+            hit.append((number, np.flatnonzero(excluded)))
             continue
-        if excluded or not all(positive):
-            continue
-        latest: list[int | None] = [None] * len(positive)
-        events = sorted((end, begin, which) for which, places in enumerate(positive) for begin, end in places)
-        for n, (end, begin, which) in enumerate(events):
-            latest[which] = begin if latest[which] is None else max(latest[which], begin)
-            if n + 1 < len(events) and events[n + 1][0] == end:
-                continue
-            if None not in latest:
-                begins[end] = max(begins.get(end, -1), min(latest))
-    if not begins:
-        return None, hit
-    totals = [0.0]
-    for value in inverse:
-        totals.append(totals[-1] + value)
-    rank, reached = 0.0, -1
-    for end in sorted(begins):
-        begin = begins[end]
-        if begin <= reached:
-            continue
-        reached = begin
-        inside = end + 1 - begin
-        noise = pos[end] - pos[begin] + 1 - inside
-        rank += inside / (totals[end + 1] - totals[begin]) / (1 + noise)
-    return rank / (rank + 1), hit
+        end, begin = hits.covers(positive)
+        kept = ~excluded[hits.pair[end]]
+        ends.append(end[kept])
+        begins.append(begin[kept])
+    end, begin = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (ends, begins))
+    if not len(end):
+        return rank, hit
+    # The latest beginning of an end, over all groups; then only ends that start anew.
+    order = np.lexsort((begin, end))
+    end, begin = end[order], begin[order]
+    last = np.append(end[1:] != end[:-1], True)
+    end, begin = end[last], begin[last]
+    fresh = begin > np.append(-1, np.maximum.accumulate(begin)[:-1])
+    end, begin = end[fresh], begin[fresh]
+    inside = end + 1 - begin
+    noise = hits.place[end] - hits.place[begin] + 1 - inside
+    density = inside / (hits.total[end + 1] - hits.total[begin]) / (1 + noise)
+    found = np.unique(hits.pair[end])
+    summed = np.bincount(hits.pair[end], density, minlength=pairs)[found]
+    rank[found] = summed / (summed + 1)
+    return rank, hit
 
 
 @lru_cache(maxsize=4096)
@@ -83,24 +108,70 @@ def _parsed(plan: str) -> list:
     return list(groups.items())
 
 
-def fold_batches(weights: dict[str, float]):
-    """Task body over (query_id, unit_id, pos, lexemes, classes, plan)."""
-    inverse = {name: 1.0 / w for name, w in weights.items()}
+def _folded(batch: pa.RecordBatch, inverse: np.ndarray) -> pa.RecordBatch:
+    n = batch.num_rows
+    hits = batch.column("hits")
+    counts = np.diff(hits.offsets.to_numpy())
+    lists = hits.flatten()
+    gaps, weights, lexemes = (lists.field(lists.type.get_field_index(c)) for c in ("gaps", "weights", "lexeme"))
+    coded = lexemes.dictionary_encode()
+    code_of = {lexeme: code for code, lexeme in enumerate(coded.dictionary.to_pylist())}
+    plans = batch.column("plan").dictionary_encode()
+    plan = plans.indices.to_numpy()
+    # Pairs numbered by plan, so that the hits of a query lie together.
+    turn = np.empty(n, np.int64)
+    turn[np.argsort(plan, kind="stable")] = np.arange(n)
+    of_list, pos = summed_gaps(gaps)
+    pair = turn[np.repeat(np.arange(n), counts)[of_list]]
+    order = np.argsort(pair * APART + pos, kind="stable")
+    pair, pos = pair[order], pos[order]
+    lexeme = coded.indices.to_numpy().astype(np.int64)[of_list][order]
+    letters = np.frombuffer("".join(weights.to_pylist()).encode(), np.uint8)
+    weight = inverse[letters][order]
+    ranks = np.full(n, np.nan)
+    hit_pair, hit_group = [], []
+    sizes = np.bincount(plan, minlength=len(plans.dictionary))
+    first = 0
+    for text, size in zip(plans.dictionary.to_pylist(), sizes.tolist()):
+        a, b = np.searchsorted(pair, (first, first + size))
+        own = Hits(pair[a:b] - first, pos[a:b], lexeme[a:b], weight[a:b])
+        groups = [
+            (number, [([(code_of.get(word, -1), at) for word, at in words], negated) for words, negated in literals])
+            for number, literals in _parsed(text)
+        ]
+        ranks[first : first + size], found = fold(own, size, groups)
+        for number, pairs in found:
+            hit_pair.append(pairs + first)
+            hit_group.append(np.full(len(pairs), number, np.int32))
+        first += size
+    pairs, numbers = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (hit_pair, hit_group))
+    by = np.argsort(pairs, kind="stable")
+    offsets = np.append(0, np.cumsum(np.bincount(pairs, minlength=n))).astype(np.int32)
+    hit = pa.ListArray.from_arrays(pa.array(offsets), pa.array(numbers[by], pa.int32())).take(pa.array(turn))
+    rank = ranks[turn]
+    return pa.RecordBatch.from_arrays(
+        [batch.column("query_id"), batch.column("unit_id"), pa.array(rank, mask=np.isnan(rank)), hit],
+        ["query_id", "unit_id", "text_rank", "hit"],
+    )
+
+
+def fold_batches(weights: dict[str, float], hits_at_once: int = 1 << 20):
+    """Task body over (query_id, unit_id, hits(lexeme, gaps, weights), plan)."""
+    inverse = np.zeros(256)
+    for name, weight in weights.items():
+        inverse[ord(name)] = 1.0 / weight
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ranks, hits = [], []
-            columns = (batch.column(c).to_pylist() for c in ("pos", "lexemes", "classes", "plan"))
-            for pos, lexemes, classes, plan in zip(*columns):
-                rank, hit = fold(pos, lexemes, [inverse[c] for c in classes], _parsed(plan))
-                ranks.append(rank)
-                hits.append(hit)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("query_id"), batch.column("unit_id"),
-                    pa.array(ranks, pa.float64()), pa.array(hits, pa.list_(pa.int32())),
-                ],
-                ["query_id", "unit_id", "text_rank", "hit"],
-            )
+            hits = batch.column("hits")
+            gaps = hits.flatten()
+            places = np.diff(gaps.field(gaps.type.get_field_index("gaps")).offsets.to_numpy())
+            ends = np.append(0, np.cumsum(places))[np.cumsum(np.diff(hits.offsets.to_numpy()))]
+            # Some pairs at a time: a batch of long lists would take several times its size.
+            part = ends // hits_at_once
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for first, last in zip(cuts, cuts[1:]):
+                if last > first:
+                    yield _folded(batch.slice(first, last - first), inverse)
 
     return run

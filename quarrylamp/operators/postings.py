@@ -1,9 +1,11 @@
-"""Positional postings: one row per (unit, lexeme, position)."""
+"""Posting lists: one row per (unit, lexeme), positions as gaps."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,21 +15,76 @@ Lexicon = Callable[[Column], Column]
 
 WEIGHT_CLASSES = ("A", "B", "C", "D")
 
+#: Words that are sorted at once while lists are built; one unit may have more.
+WORDS_AT_ONCE = 1 << 20
+
 
 def simple_lexicon(tokens: Column) -> Column:
     """Every word is its own lexeme."""
     return tokens
 
 
-def _entries(lexemes: Column, offset: Column, weight: str) -> Column:
-    return F.transform(
-        lexemes,
-        lambda lexeme, i: F.struct(
-            lexeme.alias("lexeme"),
-            (offset + i + 1).cast("int").alias("pos"),
-            F.lit(weight).alias("weight"),
-        ),
-    )
+def _runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rows with about `limit` words in all."""
+    first, held = 0, 0
+    for at, size in enumerate(sizes.tolist()):
+        if held and held + size > limit:
+            yield first, at
+            first, held = at, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def _listed(keep: list[str], classes: list[str]):
+    """Task body over (unit_id, kept columns, one array of lexemes per field)."""
+
+    def lists(rows: pa.RecordBatch) -> pa.RecordBatch:
+        n = rows.num_rows
+        start = np.zeros(n, np.int64)
+        row, pos, weight, tokens = [], [], [], []
+        for number, name in enumerate(classes):
+            found = rows.column(f"_lexemes{number}")
+            sizes = np.diff(found.offsets.to_numpy())
+            flat = found.flatten()
+            of = np.repeat(np.arange(n), sizes)
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+            real = flat.is_valid().to_numpy(zero_copy_only=False)
+            row.append(of[real])
+            pos.append((start[of] + at)[real])
+            weight.append(np.full(int(real.sum()), ord(name), np.uint8))
+            tokens.append(flat.filter(pa.array(real)))
+            used = np.zeros(n, np.int64)
+            used[of[real]] = at[real]  # the last one of a row stays
+            start += used
+        row, pos, weight = np.concatenate(row), np.concatenate(pos), np.concatenate(weight)
+        coded = pa.concat_arrays(tokens).dictionary_encode()
+        key = row * max(len(coded.dictionary), 1) + coded.indices.to_numpy()
+        order = np.argsort(key, kind="stable")  # positions rise within a unit already
+        key, row, pos, weight = key[order], row[order], pos[order], weight[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        gaps = np.diff(pos, prepend=0)
+        gaps[starts] = pos[starts]
+        bounds = np.append(starts, len(key)).astype(np.int32)
+        owner = pa.array(row[starts])
+        weights = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(weight.tobytes()))
+        lexemes = coded.dictionary.take(coded.indices.take(pa.array(order[starts])))
+        return pa.RecordBatch.from_arrays(
+            [
+                rows.column("unit_id").take(owner), *(rows.column(c).take(owner) for c in keep), lexemes,
+                pa.ListArray.from_arrays(pa.array(bounds), pa.array(gaps, pa.int32())), weights,
+            ],
+            ["unit_id", *keep, "lexeme", "gaps", "weights"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(f"_lexemes{k}") for k in range(len(classes))]
+            sizes = sum(np.diff(c.offsets.to_numpy()) for c in columns)
+            for first, last in _runs(sizes, WORDS_AT_ONCE):
+                yield lists(batch.slice(first, last - first))
+
+    return run
 
 
 def build_postings(
@@ -37,43 +94,70 @@ def build_postings(
     lexicon: Lexicon = simple_lexicon,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """`(unit_id, lexeme, pos, weight)` of the given text columns.
-
-    `fields` maps a column to its weight class; later fields continue after the last
-    position an earlier field really uses.  A lexicon maps an array of words to an array of
-    lexemes of the same length, with NULL for stop words, which keep their position.
-    The whole job is row-local: no shuffle, whatever the vocabulary.
+    """`(unit_id, lexeme, gaps, weights)` of the given text columns.
+
+    A list holds the first position of the lexeme and the steps to the next ones, and a letter
+    for the weight class of each.  `fields` maps a column to its weight class; later fields
+    continue after the last position an earlier field really uses.  A lexicon maps an array of
+    words to an array of lexemes of the same length, with NULL for stop words, which keep their
+    position.  Units without an id are left out.  The whole job is row-local: no shuffle,
+    whatever the vocabulary.
     """
     if not set(fields.values()) <= set(WEIGHT_CLASSES):
         raise ValueError(f"weight classes are {WEIGHT_CLASSES}")
-    names = [f"_lexemes{i}" for i in range(len(fields))]
-    rows = df.select(
-        F.col(unit).alias("unit_id"),
-        *(keep or []),
+    keep = keep or []
+    rows = df.filter(F.col(unit).isNotNull()).select(
+        F.col(unit).cast("long").alias("unit_id"),
+        *keep,
         *[
-            lexicon(words(F.coalesce(F.col(column), F.lit("")))).alias(name)
-            for name, column in zip(names, fields)
+            lexicon(words(F.coalesce(F.col(column), F.lit("")))).alias(f"_lexemes{i}")
+            for i, column in enumerate(fields)
         ],
     )
-    start: Column = F.lit(0)
-    entries = []
-    for name, weight in zip(names, fields.values()):
-        entries.append(_entries(F.col(name), start, weight))
-        used = F.transform(F.col(name), lambda lexeme, i: F.when(lexeme.isNotNull(), i + 1))
-        start = start + F.coalesce(F.array_max(used), F.lit(0))
-    exploded = rows.select("unit_id", *(keep or []), F.explode(F.concat(*entries)).alias("e"))
-    return exploded.select("unit_id", *(keep or []), "e.lexeme", "e.pos", "e.weight").filter(
-        F.col("lexeme").isNotNull()
-    )
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in keep)
+    schema = f"unit_id long, {kept}lexeme string, gaps array<int>, weights string"
+    return rows.mapInArrow(_listed(keep, list(fields.values())), schema)
+
+
+def positions(postings: DataFrame) -> DataFrame:
+    """One row per (unit, lexeme, pos, weight) of posting lists; other columns stay."""
+    kept = [c for c in postings.columns if c not in ("gaps", "weights", "bucket")]
+    types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in postings.schema.fields if f.name in kept)
+    return postings.select(*kept, "gaps", "weights").mapInArrow(_unnested(kept), f"{types}pos int, weight string")
+
+
+def summed_gaps(gaps: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the list, position) of every entry of lists of gaps."""
+    sizes = np.diff(gaps.offsets.to_numpy())
+    steps = gaps.flatten().to_numpy().astype(np.int64)
+    total = np.cumsum(steps)
+    before = np.append(0, total)[np.cumsum(sizes) - sizes]
+    return np.repeat(np.arange(len(sizes)), sizes), total - np.repeat(before, sizes)
+
+
+def _unnested(kept: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, pos = summed_gaps(batch.column("gaps"))
+            letters = np.frombuffer("".join(batch.column("weights").to_pylist()).encode(), np.uint8)
+            weight = pa.StringArray.from_buffers(
+                len(pos), pa.py_buffer(np.arange(len(pos) + 1, dtype=np.int32)), pa.py_buffer(letters.tobytes())
+            )
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(pa.array(row)) for c in kept), pa.array(pos, pa.int32()), weight],
+                [*kept, "pos", "weight"],
+            )
+
+    return run
 
 
 def chunk_postings(chunks: DataFrame, lexicon: Lexicon = simple_lexicon) -> DataFrame:
-    """Unweighted postings of chunk contents, with the owning document."""
+    """Unweighted posting lists of chunk contents, with the owning document."""
     return build_postings(chunks, "id", {"content": "D"}, lexicon, keep=["document_id"])
 
 
 def document_postings(documents: DataFrame, lexicon: Lexicon = simple_lexicon) -> DataFrame:
-    """Title (A), description (B) and content (C) postings of documents."""
+    """Title (A), description (B) and content (C) posting lists of documents."""
     fields = {"title": "A", "description": "B", "content": "C"}
     return build_postings(documents, "id", fields, lexicon)
 
@@ -100,6 +184,6 @@ def write_postings(postings: DataFrame, path: str) -> None:
     laid = postings.withColumn("bucket", lexeme_bucket(F.col("lexeme")))
     (
         laid.repartition("bucket", F.pmod(F.xxhash64("unit_id"), F.lit(4)))
-        .sortWithinPartitions("bucket", "lexeme", "unit_id", "pos")
+        .sortWithinPartitions("bucket", "lexeme", "unit_id")
         .write.partitionBy("bucket").parquet(path)
     )

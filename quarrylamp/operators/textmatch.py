@@ -80,7 +80,7 @@ def _hits(postings: DataFrame, literals: DataFrame, bounded: bool) -> DataFrame:
         # Postings laid out by bucket: only the asked ones are read, however many rows match.
         asked = [r[0] for r in wanted.select(lexeme_bucket(F.col("lexeme"))).distinct().collect()]
         postings = postings.filter(F.col("bucket").isin(asked))
-    needed = postings.select("unit_id", "lexeme", "pos", "weight")
+    needed = postings.select("unit_id", "lexeme", "gaps", "weights")
     return lookup_join(needed, wanted, ["lexeme"], bounded=bounded)
 
 
@@ -92,23 +92,20 @@ def _folded(
     text_rank is NULL without a match; hit holds the groups of exclusions only that the unit
     does not pass.
     """
-    hit = F.struct("pos", "lexeme", "weight")
-    # Folding is far more work than the bytes suggest, so partitions must not be merged by size.
-    partitions = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gathered = (
-        _hits(postings, literals, bounded)
-        .repartition(partitions, *PAIR)
-        .groupBy(*PAIR)
-        .agg(F.sort_array(F.collect_list(hit)).alias("hits"))
-    )
+    hit = F.struct("lexeme", "gaps", "weights")
+    gathered = _hits(postings, literals, bounded).groupBy(*PAIR).agg(F.collect_list(hit).alias("hits"))
     literal = F.struct("group_no", "literal_no", "lexemes", "negated")
     plans = literals.groupBy("query_id").agg(F.to_json(F.collect_list(literal)).alias("plan"))
+    # The words that each group asks for: none for a group of exclusions, whose hits are wanted too.
+    asked = F.when(~F.col("negated"), F.col("lexemes.lexeme"))
+    groups = literals.groupBy("query_id", "group_no").agg(F.flatten(F.collect_list(asked)).alias("words"))
+    plans = plans.join(groups.groupBy("query_id").agg(F.collect_list("words").alias("needs")), "query_id")
+    # Pairs in which no group has all its words are dropped before anything is folded.
+    whole = F.exists("needs", lambda words: F.size(F.array_except(words, F.col("hits.lexeme"))) == 0)
     return (
         lookup_join(gathered, plans, ["query_id"], bounded=bounded)
-        .select(
-            *PAIR, F.col("hits.pos").alias("pos"), F.col("hits.lexeme").alias("lexemes"),
-            F.col("hits.weight").alias("classes"), "plan",
-        )
+        .filter(whole)
+        .select(*PAIR, "hits", "plan")
         .mapInArrow(
             fold_batches(weights),
             "query_id long, unit_id long, text_rank double, hit array<int>",

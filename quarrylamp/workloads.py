@@ -26,7 +26,7 @@ from quarrylamp.functions.vectors import half_precision, l2_normalize
 from quarrylamp.operators import ann, encode, extract, links, sampling, textmatch, validate, vector
 from quarrylamp.operators.ids import next_id
 from quarrylamp.operators.percentiles import percentiles
-from quarrylamp.operators.postings import build_postings, chunk_postings, document_postings
+from quarrylamp.operators.postings import build_postings, chunk_postings, document_postings, positions
 from quarrylamp.operators.topk import top_k
 from quarrylamp.plans import evaluate, hybrid, ingest, maintain, search
 from quarrylamp.schemas import CHUNK, DOCUMENT
@@ -496,14 +496,14 @@ def _repeated_words(spark: Spark, sf: str) -> DataFrame:
 
 
 def postings(spark: Spark, sf: str) -> DataFrame:
-    return chunk_postings(tb.chunk_texts(spark, sf)).groupBy("lexeme").agg(
+    return positions(chunk_postings(tb.chunk_texts(spark, sf))).groupBy("lexeme").agg(
         F.count_distinct("unit_id").alias("units"), F.count("*").alias("places"),
         F.sum("pos").alias("pos_sum"),
     )
 
 
 def weighted_postings(spark: Spark, sf: str) -> DataFrame:
-    return document_postings(tb.documents(spark, sf))
+    return positions(document_postings(tb.documents(spark, sf)))
 
 
 def _index_after_recrawl(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -514,14 +514,14 @@ def _index_after_recrawl(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def chunk_index_after_recrawl(spark: Spark, sf: str) -> DataFrame:
     chunks, _ = _index_after_recrawl(spark, sf)
-    return chunks.groupBy("lexeme").agg(
+    return positions(chunks).groupBy("lexeme").agg(
         F.count_distinct("unit_id").alias("units"), F.count_distinct("document_id").alias("documents"),
         F.count("*").alias("places"), F.sum("pos").alias("pos_sum"),
     )
 
 
 def document_index_after_recrawl(spark: Spark, sf: str) -> DataFrame:
-    return _index_after_recrawl(spark, sf)[1]
+    return positions(_index_after_recrawl(spark, sf)[1])
 
 
 def search_after_recrawl(spark: Spark, sf: str) -> DataFrame:

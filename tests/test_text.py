@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrylamp.operators import chunking, textmatch
 from quarrylamp.operators.english import english_lexicon
-from quarrylamp.operators.postings import build_postings
+from quarrylamp.operators.postings import build_postings, positions
 
 DOCS = {1: "a x b a b", 2: "b a", 3: "a c", 4: "c d e", 5: ""}
 
@@ -83,7 +83,7 @@ def test_stop_words_keep_their_place(spark):
 
 def test_field_positions_continue(spark):
     df = spark.createDataFrame([(1, "x y", "z")], "id long, title string, description string")
-    rows = build_postings(df, "id", {"title": "A", "description": "B"}).collect()
+    rows = positions(build_postings(df, "id", {"title": "A", "description": "B"})).collect()
     assert {(r.lexeme, r.pos, r.weight) for r in rows} == {
         ("x", 1, "A"), ("y", 2, "A"), ("z", 3, "B")
     }
@@ -120,3 +120,37 @@ def test_rechunk(spark, stored, on, expected):
     )
     found = chunking.rechunk(chunks, 5, 2, on).orderBy("chunk_index").collect()
     assert [r.content for r in found] == expected
+
+
+def test_posting_lists_are_gaps_per_unit(spark):
+    rows = [(k, f"w{k % 3} common " * (k % 5), None if k % 4 else "common tail") for k in range(40)] + [(None, "lost", "lost")]
+    df = spark.createDataFrame(rows, "id long, title string, content string").withColumn("gaps", F.lit("x"))
+    want = set()
+    for k, title, content in rows[:-1]:
+        words = [(w, "A") for w in title.split()] + [(w, "C") for w in (content or "").split()]
+        want |= {(k, w, at, weight) for at, (w, weight) in enumerate(words, 1)}
+    plain = build_postings(df, "id", {"title": "A", "content": "C"})
+    assert {tuple(r) for r in positions(plain).collect()} == want
+    one = plain.filter("unit_id = 4 and lexeme = 'common'").first()
+    assert one.gaps == [2, 2, 2, 2, 1] and one.weights == "AAAAC"
+    assert plain.groupBy("unit_id", "lexeme").count().filter("count > 1").count() == 0
+
+
+def test_fold_takes_many_pairs_in_parts(spark):
+    import pyarrow as pa
+
+    from quarrylamp.operators.covers import fold_batches
+    from quarrylamp.operators.textmatch import WEIGHTS
+
+    plan = '[{"group_no":0,"literal_no":0,"lexemes":[{"lexeme":"a","offset":0}],"negated":false},' \
+        '{"group_no":0,"literal_no":1,"lexemes":[{"lexeme":"b","offset":0}],"negated":false}]'
+    hits = [[{"lexeme": "a", "gaps": [1 + k, 5], "weights": "DD"}, {"lexeme": "b", "gaps": [3 + k], "weights": "D"}] for k in range(50)]
+    kind = pa.list_(pa.struct([("lexeme", pa.string()), ("gaps", pa.list_(pa.int32())), ("weights", pa.string())]))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1] * 50), pa.array(range(50)), pa.array(hits, kind), pa.array([plan] * 50)],
+        ["query_id", "unit_id", "hits", "plan"],
+    )
+    whole, parts = (pa.Table.from_batches(fold_batches(WEIGHTS, n)(iter([batch]))).to_pylist() for n in (1 << 20, 7))
+    assert whole == parts and len({r["text_rank"] for r in whole}) == 1
+    words = "a x b x x a".split()
+    assert whole[0]["text_rank"] == brute_rank(words, [["a", "b"]])
