@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,28 +13,33 @@ from quarrylamp.functions.text import content_hash
 from quarrylamp.operators.chunking import MAX_TOKENS, OVERLAP, chunk
 from quarrylamp.operators.encode import Encoder, encode
 from quarrylamp.operators.ids import next_id, number_rows, random_key
-from quarrylamp.operators.sizing import lookup_join
+from quarrylamp.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join
 from quarrylamp.operators.topk import first_row
 from quarrylamp.operators.validate import validate_pages
 from quarrylamp.schemas import CHUNK_COLUMNS, DOCUMENT_COLUMNS
+from quarrylamp.sources.tables import materialized
 
 NEW, CHANGED, UNCHANGED = "new", "changed", "unchanged"
 
 
 @dataclass
 class Changes:
-    """Rows an ingest batch adds or replaces."""
+    """Rows an ingest batch adds or replaces.
+
+    The classification is stored once and all results start from it; chunks are cut and encoded
+    only where they are asked for.
+    """
 
     documents: DataFrame  # full rows of new and touched documents
-    chunks: DataFrame  # all chunks of new and changed documents
     replaced: DataFrame  # (document_id) whose stored chunks are void
     status: DataFrame  # (url, id, status)
     rejects: DataFrame
-    held: DataFrame | None = None
+    make_chunks: Callable[[], DataFrame]
 
-    def release(self) -> None:
-        if self.held is not None:
-            self.held.unpersist()
+    @cached_property
+    def chunks(self) -> DataFrame:
+        """All chunks of new and changed documents."""
+        return self.make_chunks()
 
 
 def latest_per_url(messages: DataFrame) -> DataFrame:
@@ -98,23 +105,18 @@ def ingest_changes(
     max_tokens: int = MAX_TOKENS,
     overlap: int = OVERLAP,
     seed: int = 0,
-    hold: bool = False,
 ) -> Changes:
-    """What `pages(url, title, content, description, seq)` change in the stored tables.
-
-    All results read the classified messages; `hold` keeps those in executor storage
-    (spilling to disk) until `Changes.release` is called.
-    """
+    """What `pages(url, title, content, description, seq)` change in the stored tables."""
     now = F.current_timestamp() if now is None else now
     messages, rejects = validate_pages(pages)
-    classified = classify(latest_per_url(messages), documents, chunks, model)
-    fresh = number_rows(
-        classified.filter(F.col("status") == NEW).drop("id"), F.col("url"), next_id(documents)
+    classified = materialized(classify(latest_per_url(messages), documents, chunks, model))
+    # Only the new URLs are numbered; the rest of their rows stays where it is.
+    numbers = materialized(
+        number_rows(classified.filter(F.col("status") == NEW).select("url"), F.col("url"), next_id(documents), "new_id")
+    )
+    identified = (
+        classified.join(numbers, "url", "left").withColumn("id", F.coalesce("id", "new_id")).drop("new_id")
     )
-    known = classified.filter(F.col("status") != NEW)
-    identified = known.unionByName(fresh)
-    if hold:
-        identified = identified.persist()
 
     kept = documents.select("id", F.col("random_key").alias("stored_key"))
     new_key = random_key(F.col("url"), seed)
@@ -129,21 +131,25 @@ def ingest_changes(
     encodable = identified.filter(F.col("status") != UNCHANGED).select(
         F.col("id").alias("document_id"), "url", "seq", "content_hash"
     )
-    # Only the changed messages are looked up: broadcast if they are few, so that unchanged
-    # contents stay where they are.  Equal messages give one content.
-    named = messages.select("url", "seq", "content", content_hash(F.col("content")).alias("content_hash"))
-    texts = lookup_join(named, encodable, ["url", "seq", "content_hash"]).groupBy("document_id").agg(
-        F.first("content").alias("content")
-    )
-    pieces = chunk(texts, "content", max_tokens, overlap)
-    new_chunks = new_chunk_rows(pieces, encoder, model, next_id(chunks), now)
+    def make_chunks() -> DataFrame:
+        # Only the changed messages are looked up: broadcast if they are few, so that unchanged
+        # contents stay where they are.  Equal messages give one content.
+        rows, size = encodable.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("url") + 128), F.lit(0))).first()
+        named = messages.select("url", "seq", "content", content_hash(F.col("content")).alias("content_hash"))
+        found = lookup_join(
+            named, encodable, ["url", "seq", "content_hash"],
+            bounded=rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES,
+        )
+        texts = found.groupBy("document_id").agg(F.first("content").alias("content"))
+        pieces = chunk(texts, "content", max_tokens, overlap)
+        return new_chunk_rows(pieces, encoder, model, next_id(chunks), now)
+
     return Changes(
         documents=written.select(*DOCUMENT_COLUMNS),
-        chunks=new_chunks,
         replaced=encodable.select("document_id"),
         status=identified.select("url", "id", "status"),
         rejects=rejects,
-        held=identified if hold else None,
+        make_chunks=make_chunks,
     )
 
 

@@ -45,10 +45,9 @@ def ingest_stream(
             return
         changes = ingest_changes(
             batch, store.documents(), store.chunks(), encoder, model,
-            now, hold=True, **options,
+            now, **options,
         )
         store.append_changes(changes, number)
-        changes.release()
         if len(state["changes"]) + 1 >= compact_after:
             store.compact()
 
