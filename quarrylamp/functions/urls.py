@@ -132,7 +132,10 @@ def display_path(url: Column) -> Column:
 
 
 def same_host(url: Column, start_url: Column) -> Column:
-    return source_host(url) == source_host(start_url)
+    """Whether two URLs have one host; plain ones that begin alike are not taken apart."""
+    begin = F.substring_index(url, "/", 3)
+    alike = (begin == F.substring_index(start_url, "/", 3)) & begin.rlike(r"^https?://[A-Za-z0-9.\-]+$")
+    return F.when(alike, F.lit(True)).otherwise(source_host(url) == source_host(start_url))
 
 
 def is_start_url(url: Column) -> Column:

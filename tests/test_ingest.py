@@ -146,3 +146,33 @@ def test_equal_messages_give_one_set_of_chunks(spark):
     (document,), rows = stored.collect(), pieces.collect()
     assert [(r.document_id, r.chunk_index) for r in rows] == [(document.id, 0)]
     assert document.content_hash == hashlib.sha256(rows[0].content.encode()).hexdigest()
+
+
+def test_reachable_by_sets_of_starts(spark):
+    import random
+
+    from quarrylamp.operators.links import numbered_starts, reachable_sets
+
+    draw = random.Random(4)
+    page = lambda k: f"https://h{k % 3}.example.com/{k}"
+    edges = [(page(draw.randrange(300)), page(draw.randrange(300))) for _ in range(1500)]
+    edges += [(page(k), page(0)) for k in range(0, 300, 3)]  # a hub of its host
+    starts = [page(k) for k in range(200)]
+    links = spark.createDataFrame(edges + edges[:50], "src_url string, dst_url string")
+    begin = spark.createDataFrame([(s,) for s in starts], "start_url string")
+    out = {}
+    for r in edges:
+        if r[0].split("/")[2] == r[1].split("/")[2]:
+            out.setdefault(r[0], set()).add(r[1])
+    want = set()
+    for start in starts:
+        seen, frontier = {start}, {start}
+        want.add((start, start, 1))
+        for depth in (2, 3, 4):
+            frontier = {d for u in frontier for d in out.get(u, ())} - seen
+            seen |= frontier
+            want |= {(start, u, depth) for u in frontier}
+    assert {tuple(r) for r in reachable(links, begin, 4).collect()} == want
+    sets = reachable_sets(links, numbered_starts(begin.coalesce(1)), 2).filter("depth = 2")
+    # The hub is reached by a third of all starts and takes far fewer rows.
+    assert sets.filter(f"url = '{page(0)}'").count() < 10

@@ -93,3 +93,13 @@ def test_vector_columns(spark):
 )
 def test_english_stems(word, stem):
     assert english_stem(word) == stem
+
+
+def test_same_host_without_taking_plain_urls_apart(spark):
+    from quarrylamp.functions.urls import same_host, source_host
+
+    urls = ["http://a.com/x", "http://a.com", "https://a.com/x/y", "http://A.com/x", "http://a.com:80/z", "http://b.com/x",
+            "http://u@a.com/x", "a.com/x", "/x/y/z", "", "http:///x", "http://[::1]/x", "http://a.com?x=/y/z", None, " http://a.com/x"]
+    pairs = spark.createDataFrame([(a, b) for a in urls for b in urls], "a string, b string")
+    both = pairs.select("a", "b", same_host(F.col("a"), F.col("b")).alias("got"), (source_host(F.col("a")) == source_host(F.col("b"))).alias("want"))
+    assert both.filter("not (got <=> want)").collect() == []
