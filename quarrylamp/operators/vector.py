@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylamp.operators.ann import CellIndex, search_cells
+from quarrylamp.operators.rings import RingIndex, search_rings
 from quarrylamp.operators.nearest import NAN_FIRST, NAN_LAST, nearest
 from quarrylamp.operators.sizing import fetch
 from quarrylamp.operators.topk import best_row
@@ -50,19 +51,22 @@ def chunk_candidates(
     threshold: float | None = None,
     half: bool = False,
     rows: int | None = None,
-    cells: CellIndex | None = None,
+    cells: CellIndex | RingIndex | None = None,
     probes: int = 8,
 ) -> DataFrame:
     """`(query_id, chunk_id, document_id, similarity)` of the k nearest chunks per query.
 
     The cut to k comes before the threshold and before any per-document choice.  `rows`
     states an upper bound of the result size, if one is known.  With `cells` (an index of the
-    chunks' vectors) only the `probes` nearest cells of a query are searched.
+    chunks' vectors) only the `probes` nearest cells of a query are searched; an index of rings
+    is searched until no unread ring can hold a better row.
     """
     if cells is None:
         hits = nearest(
             queries, chunks.select("id", "embedding"), k, _pushable(threshold), NAN_LAST, half=half
         )
+    elif isinstance(cells, RingIndex):
+        hits = search_rings(cells, queries, k, min_similarity=_pushable(threshold), half=half)
     else:
         hits = search_cells(
             cells, queries, k, probes, min_similarity=_pushable(threshold), nan_order=NAN_LAST, half=half

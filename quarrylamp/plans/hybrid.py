@@ -10,6 +10,7 @@ from quarrylamp.functions.vectors import cosine, half_precision
 from quarrylamp.operators.ann import CellIndex
 from quarrylamp.operators.nearest import NAN_LAST, nearest
 from quarrylamp.operators.postings import Lexicon, simple_lexicon
+from quarrylamp.operators.rings import RingIndex
 from quarrylamp.operators.sizing import fetch, lookup_join, settle
 from quarrylamp.operators.textmatch import match_and_rank, query_literals, top_text
 from quarrylamp.operators.topk import best_row, top_k
@@ -118,7 +119,7 @@ def hybrid_search(
     lexicon: Lexicon = simple_lexicon,
     literals: DataFrame | None = None,
     max_candidates: int | None = None,
-    cells: CellIndex | None = None,
+    cells: CellIndex | RingIndex | None = None,
     probes: int = 8,
 ) -> DataFrame:
     """Chunked hybrid search of a query batch.

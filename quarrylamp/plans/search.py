@@ -10,6 +10,7 @@ from quarrylamp.operators.ann import CellIndex
 from quarrylamp.operators.encode import Encoder, encode_queries
 from quarrylamp.operators.ids import random_key
 from quarrylamp.operators.postings import Lexicon, simple_lexicon
+from quarrylamp.operators.rings import RingIndex
 from quarrylamp.operators.sampling import random_documents_batch
 from quarrylamp.operators.sizing import settle
 from quarrylamp.operators.validate import LANDING_ROWS, MAX_PAGE, MAX_PER_PAGE, validate_queries
@@ -86,12 +87,15 @@ def search(
     half: bool = True,
     lexicon: Lexicon = simple_lexicon,
     seed: int = 0,
-    cells: CellIndex | None = None,
+    cells: CellIndex | RingIndex | None = None,
+    probes: int = 8,
 ) -> tuple[DataFrame, DataFrame]:
     """Answer `queries(query_id, query, page_number, result_per_page)`.
 
     Returns the result rows and the refused requests.  Requests may bring their own
-    `embedding` column, otherwise `encoder` is used, once per distinct text.
+    `embedding` column, otherwise `encoder` is used, once per distinct text.  With `cells`, an
+    index of the chunks' vectors, `probes` cells are read per request; an index of rings is read
+    until no unread ring can hold a better row.
     """
     queries, _ = settle(queries)
     accepted, refused = validate_queries(queries)
@@ -105,7 +109,7 @@ def search(
         asked, documents, chunks, chunk_postings, doc_postings, threshold,
         "vector_k", "text_k", half, lexicon,
         max_candidates=max(vector_candidates, text_candidates, MAX_PAGE * MAX_PER_PAGE + 1),
-        cells=cells,
+        cells=cells, probes=probes,
     )
     found = page_of(ranked, asked).select(
         "query_id", "rank", "url", "title", F.col("snippet").alias("content"),

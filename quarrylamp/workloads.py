@@ -23,7 +23,7 @@ from quarrylamp.functions.urls import (
     source_host,
 )
 from quarrylamp.functions.vectors import half_precision, l2_normalize
-from quarrylamp.operators import ann, encode, extract, links, sampling, textmatch, validate, vector
+from quarrylamp.operators import ann, encode, extract, links, rings, sampling, textmatch, validate, vector
 from quarrylamp.operators.ids import next_id
 from quarrylamp.operators.percentiles import percentiles
 from quarrylamp.operators.postings import build_postings, chunk_postings, document_postings, positions
@@ -122,6 +122,13 @@ def label_cells_recall(spark: Spark, sf: str) -> DataFrame:
     return _rounded(report, "recall_at_k")
 
 
+def knn_rings(spark: Spark, sf: str) -> DataFrame:
+    """Neighbours of every vector over rings around the label means, read until none can be better."""
+    index = rings.ring_index(ann.cells_around(tb.vectors(spark, sf), _label_means(spark, sf)))
+    found = rings.search_rings(index, tb.vector_queries(spark, sf), 10, exclude_self=True)
+    return _rounded(found, "similarity")
+
+
 def next_stored_ids(spark: Spark, sf: str) -> DataFrame:
     stored = tb.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
     wanted = tb.table(spark, sf, "documents").select(F.col("doc_id").alias("candidate"))
@@ -779,7 +786,7 @@ QUERIES = {
     for f in (
         vector_search_threshold, knn_exclude_self, vector_chunk_candidates,
         best_chunk_per_document, half_precision_vectors, normalized_vectors, ivf_recall,
-        label_cells_recall, next_stored_ids, sample_query_ids, query_vectors, reembed_batch,
+        label_cells_recall, knn_rings, next_stored_ids, sample_query_ids, query_vectors, reembed_batch,
         reembed_totals, report_round_trip, stored_cases, first_of_source, bulk_load,
         collapsed_texts, chunk_index_after_recrawl, document_index_after_recrawl,
         search_after_recrawl, page_ingest, hybrid_search_cells, canonical_urls, display_split, page_hosts,

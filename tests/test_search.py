@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylamp.operators.ann import build_cells, search_cells
-from quarrylamp.operators.covers import fold
+from quarrylamp.operators.covers import Hits, fold
 from quarrylamp.operators.nearest import nearest
 from quarrylamp.operators.percentiles import percentiles
 from quarrylamp.operators.postings import chunk_postings, document_postings, write_postings
@@ -158,16 +158,19 @@ def test_a_limit_over_the_stated_bound_is_an_error(spark):
 
 
 def test_cover_rank_by_hand():
-    # a x b a b: covers of "a and b" are (0, 2), (2, 3) and (3, 4).
-    pos, lexemes = [1, 3, 4, 5], ["a", "b", "a", "b"]
-    both = [(0, [([("a", 0)], False), ([("b", 0)], False)])]
-    rank, hit = fold(pos, lexemes, [10.0] * 4, both)
+    # a x b a b: covers of "a and b" are (0, 2), (2, 3) and (3, 4); the second pair has no b.
+    a, b = 0, 1
+    hits = Hits(np.array([0, 0, 0, 0, 1]), np.array([1, 3, 4, 5, 9]), np.array([a, b, a, b, a]), np.full(5, 10.0))
+    both = [(0, [([(a, 0)], False), ([(b, 0)], False)])]
+    rank, hit = fold(hits, 2, both)
     total = 0.1 / 2 + 0.1 + 0.1
-    assert rank == pytest.approx(total / (total + 1)) and hit == []
-    phrase = [(0, [([("a", 0), ("b", 1)], False)])]
-    assert fold(pos, lexemes, [10.0] * 4, phrase)[0] == pytest.approx(0.1 / 1.1)
-    without = [(0, [([("a", 0)], False), ([("b", 0)], True)]), (1, [([("b", 0)], True)])]
-    assert fold(pos, lexemes, [10.0] * 4, without) == (None, [1])
+    assert rank[0] == pytest.approx(total / (total + 1)) and np.isnan(rank[1]) and hit == []
+    phrase = [(0, [([(a, 0), (b, 1)], False)])]
+    assert fold(hits, 2, phrase)[0][0] == pytest.approx(0.1 / 1.1)
+    without = [(0, [([(a, 0)], False), ([(b, 0)], True)]), (1, [([(b, 0)], True)])]
+    rank, hit = fold(hits, 2, without)
+    assert np.isnan(rank[0]) and rank[1] == pytest.approx(0.1 / 1.1)
+    assert [(number, pairs.tolist()) for number, pairs in hit] == [(1, [0])]
 
 
 def test_stored_postings_answer_alike(spark, tmp_path):
@@ -206,3 +209,26 @@ def test_no_stored_case_grows_with_its_source(spark, tmp_path, monkeypatch):
     got = [tuple(r) for r in stored_cases(spark, str(tmp_path), labels_a_case=50).collect()]
     assert sorted(got) == sorted(("hot" if k < 900 else "cold", k, 2.0) for k in range(0, count, 3))
     assert largest[0] < 150
+
+
+def test_rings_are_read_until_none_can_be_better(spark):
+    from quarrylamp.operators.ann import cells_around
+    from quarrylamp.operators.nearest import nearest
+    from quarrylamp.operators.rings import ring_index, search_rings
+
+    draw = np.random.default_rng(3)
+    centers = draw.normal(size=(30, 8))
+    vectors = np.repeat(centers, 40, axis=0) + draw.normal(size=(1200, 8)) * 0.1
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)] + [(5000, [0.0] * 8), (5001, vectors[0].tolist())]
+    stored = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = stored.filter("id % 60 = 0 or id > 4999").select(F.col("id").alias("query_id"), "embedding", (F.lit(1) + F.col("id") % 7).alias("n"))
+    index = ring_index(cells_around(stored, centers))
+    assert index.rows.sum() == len(rows)
+    for options in ({}, {"exclude_self": True}, {"min_similarity": 0.99}, {"half": True}):
+        for k in (5, "n", 2000):
+            want = nearest(asked, stored, k, **options).select("query_id", "id", "similarity", "rank")
+            got, used = search_rings(index, asked, k, counted=True, **options)
+            assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    _, used = search_rings(index, asked.filter("query_id < 5000"), 5, counted=True)
+    # Clusters are narrow: a query reads far less than half of the rings.
+    assert max(r.rings for r in used.collect()) < len(index.rings) / 2
