@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 # products were summed; ties then fall to the smaller id.
 SCORE_DIGITS = 9
 
+# Fixed value: from here on a number rounds beyond the largest half-precision value.
+HALF_LIMIT = 65520.0
+
 
 def dot(left: Column, right: Column) -> Column:
     return F.aggregate(
@@ -40,12 +43,18 @@ def l2_normalize(vector: Column) -> Column:
 
 
 def half_value(value: Column) -> Column:
-    """Round a number to the nearest half-precision value, ties to even."""
+    """Round a number to the nearest half-precision value, ties to even.
+
+    A finite number that would round beyond the largest half value fails the job.
+    """
     exact = value.cast("double")
     size = F.abs(exact)
     exponent = F.greatest(F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0)))), F.lit(-14))
     scale = F.pow(F.lit(2.0), F.lit(10) - exponent)
-    return F.when(size == 0, F.lit(0.0)).otherwise(F.rint(exact * scale) / scale).cast("float")
+    beyond = (size >= HALF_LIMIT) & (size < F.lit(float("inf")))
+    message = F.concat(exact.cast("string"), F.lit(" is out of range for half precision"))
+    rounded = F.when(size == 0, F.lit(0.0)).otherwise(F.rint(exact * scale) / scale).cast("float")
+    return F.when(beyond, F.raise_error(message).cast("float")).otherwise(rounded)
 
 
 def half_precision(vector: Column) -> Column:

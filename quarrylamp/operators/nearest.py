@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quarrylamp.functions.vectors import SCORE_DIGITS
 from quarrylamp.operators.topk import top_k
+from quarrylamp.sources.halves import halved
 
 BROADCAST_BYTES = 64 << 20
 VECTOR_BLOCK = 50_000
@@ -70,7 +71,7 @@ class _Best:
 
 def _unit(matrix: np.ndarray, half: bool) -> np.ndarray:
     """Rows scaled to length 1; zero rows turn into NaN."""
-    values = matrix.astype(np.float16).astype(np.float64) if half else matrix.astype(np.float64)
+    values = (halved(matrix) if half else matrix).astype(np.float64)
     length = np.sqrt(np.einsum("ij,ij->i", values, values))
     with np.errstate(divide="ignore", invalid="ignore"):
         return values / length[:, None]

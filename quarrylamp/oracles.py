@@ -704,3 +704,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, url, title, '' AS content, descr
         for f in (0.5, 0.95, 0.99)
     ),
 }
+
+# Stored at half precision and read back, the vectors are the rounded ones.
+ORACLES["half_stored_vectors"] = ORACLES["half_precision_vectors"]
+ORACLES["hybrid_search_half_stored"] = ORACLES["hybrid_search_half"]

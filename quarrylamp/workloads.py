@@ -31,6 +31,7 @@ from quarrylamp.operators.topk import top_k
 from quarrylamp.plans import evaluate, hybrid, ingest, maintain, search
 from quarrylamp.schemas import CHUNK, DOCUMENT
 from quarrylamp.sources import cases, corpus
+from quarrylamp.sources.halves import pack_halves, unpack_halves
 from quarrylamp.sources.store import TableStore
 from quarrylamp.sources.tables import append_table, materialized, shared_folder, table_stats, without_host
 from quarrylamp.streaming.ingest import ingest_stream, page_stream
@@ -87,6 +88,18 @@ def half_precision_vectors(spark: Spark, sf: str) -> DataFrame:
     )
 
 
+def _stored_halves(vectors: DataFrame) -> DataFrame:
+    """The vectors of a table, written as half-precision bytes and read back."""
+    return unpack_halves(materialized(pack_halves(vectors)))
+
+
+def half_stored_vectors(spark: Spark, sf: str) -> DataFrame:
+    read = _stored_halves(tb.vectors(spark, sf))
+    return read.select("id", F.posexplode("embedding").alias("dim", "value")).withColumn(
+        "value", F.col("value").cast("double")
+    )
+
+
 def normalized_vectors(spark: Spark, sf: str) -> DataFrame:
     unit = tb.vectors(spark, sf).withColumn("embedding", l2_normalize(F.col("embedding")))
     long = unit.select("id", F.posexplode("embedding").alias("dim", "value"))
@@ -604,11 +617,13 @@ def document_hybrid(spark: Spark, sf: str) -> DataFrame:
     return _rounded(found.select("query_id", "rank", "id", "url", "similarity"), "similarity")
 
 
-def _hybrid(spark: Spark, sf: str, offset: int, half: bool, centers=None) -> DataFrame:
+def _hybrid(spark: Spark, sf: str, offset: int, half: bool, centers=None, packed: bool = False) -> DataFrame:
     asked = tb.search_queries(spark, sf).withColumns(
         {"result_offset": F.lit(offset), "result_limit": F.lit(PAGE_ROWS)}
     )
     documents, chunks = tb.documents(spark, sf), tb.chunks(spark, sf)
+    if packed:
+        chunks = _stored_halves(chunks)
     cells = None if centers is None else ann.cells_around(chunks.select("id", "embedding"), centers)
     found = hybrid.hybrid_search(
         asked, documents, chunks, chunk_postings(tb.chunk_texts(spark, sf)),
@@ -641,6 +656,11 @@ def hybrid_search_half(spark: Spark, sf: str) -> DataFrame:
     return _hybrid(spark, sf, 0, True)
 
 
+def hybrid_search_half_stored(spark: Spark, sf: str) -> DataFrame:
+    """The hybrid search over chunks whose vectors are stored at half precision."""
+    return _hybrid(spark, sf, 0, True, packed=True)
+
+
 def paged_search(spark: Spark, sf: str) -> DataFrame:
     """Requests of five rows on page 1, 2 or 3, with look-ahead."""
     asked = tb.search_queries(spark, sf).withColumns(
@@ -785,7 +805,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_search_threshold, knn_exclude_self, vector_chunk_candidates,
-        best_chunk_per_document, half_precision_vectors, normalized_vectors, ivf_recall,
+        best_chunk_per_document, half_precision_vectors, half_stored_vectors, normalized_vectors, ivf_recall,
         label_cells_recall, knn_rings, next_stored_ids, sample_query_ids, query_vectors, reembed_batch,
         reembed_totals, report_round_trip, stored_cases, first_of_source, bulk_load,
         collapsed_texts, chunk_index_after_recrawl, document_index_after_recrawl,
@@ -797,7 +817,8 @@ QUERIES = {
         reassemble_documents, reembed_counts, reembed_rewrite, synthetic_documents,
         synthetic_chunks, corpus_stats, postings, weighted_postings, keyword_match,
         phrase_match, negated_match, cover_rank, text_topk_chunks, text_topk_documents,
-        document_hybrid, hybrid_search, hybrid_page_2, hybrid_search_half, paged_search,
+        document_hybrid, hybrid_search, hybrid_page_2, hybrid_search_half,
+        hybrid_search_half_stored, paged_search,
         random_documents, landing_rows, eval_per_case, eval_summary, latency_percentiles,
     )
 }

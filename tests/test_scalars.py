@@ -103,3 +103,28 @@ def test_same_host_without_taking_plain_urls_apart(spark):
     pairs = spark.createDataFrame([(a, b) for a in urls for b in urls], "a string, b string")
     both = pairs.select("a", "b", same_host(F.col("a"), F.col("b")).alias("got"), (source_host(F.col("a")) == source_host(F.col("b"))).alias("want"))
     assert both.filter("not (got <=> want)").collect() == []
+
+
+def test_vectors_stored_at_half_precision(spark):
+    from quarrylamp.operators.nearest import nearest
+    from quarrylamp.sources.halves import pack_halves, unpack_halves
+
+    rows = [(1, [1.0, -0.1, 65519.0]), (2, None), (3, []), (4, [6e-8, 1 / 3, 0.0]), (5, [float("nan"), float("inf"), 2.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    packed = pack_halves(df)
+    assert packed.schema["embedding"].dataType.simpleString() == "binary"
+    assert {r.id: r.embedding and len(r.embedding) for r in packed.collect()} == {1: 6, 2: None, 3: b"", 4: 6, 5: 6} | {3: bytearray()}
+    got = {r.id: r.embedding for r in unpack_halves(packed).collect()}
+    for k, vector in rows:
+        want = None if vector is None else np.array(vector, np.float32).astype(np.float16).astype(np.float32).tolist()
+        assert got[k] is want or np.array_equal(got[k], want, equal_nan=True)
+    big = spark.createDataFrame([(1, [70000.0, 1.0])], "id long, embedding array<float>")
+    asked = big.withColumnRenamed("id", "query_id")
+    for refused in (pack_halves(big), big.select(vectors.half_precision(F.col("embedding")))):
+        with pytest.raises(Exception, match="out of range for half precision"):
+            refused.collect()
+    with pytest.raises(Exception, match="out of range for half precision"):
+        nearest(asked, big, 1, half=True).collect()
+    with pytest.raises(Exception, match="null component"):
+        pack_halves(spark.createDataFrame([(1, [None, 1.0])], "id long, embedding array<float>")).collect()
+    assert pack_halves(df.limit(0)).count() == 0
