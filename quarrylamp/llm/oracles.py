@@ -4,7 +4,7 @@ Model fits, hash fingerprints and packing plans have none; their queries are tes
 plain versions instead.
 """
 
-from quarrylamp.llm.licences import KNOWN, SPELLINGS
+from quarrylamp.llm.licences import COPYRIGHT, SENTENCE, SPELLINGS, notices, whole_texts
 
 _WORDS = r"list_filter(string_split_regex({}, '[ \t-\r]+'), lambda x: x <> '')"
 
@@ -21,7 +21,7 @@ def _canonical(line: str) -> str:
 
 
 def _licences() -> str:
-    known = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in KNOWN)
+    known = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in notices() + whole_texts())
     return rf"""
         with texts as (
             select 'known' as side, licence as name, null::bigint as doc_id, text from (values {known}) t(licence, text)
@@ -29,8 +29,8 @@ def _licences() -> str:
         ), lines as (
             select side, name, doc_id, list_filter(list_transform(
                 list_transform(string_split(text, chr(10)), lambda l: {_canonical("l")}),
-                lambda p: case when (starts_with(p, 'copyright ') or starts_with(p, 'c copyright ') or starts_with(p, '©'))
-                          and not starts_with(p, 'copyright owner') then '' else p end), lambda p: p <> '') as parts
+                lambda p: case when regexp_matches(p, '{COPYRIGHT}')
+                          and not regexp_matches(p, '^copyright ({"|".join(SENTENCE)})s?( |$)') then '' else p end), lambda p: p <> '') as parts
             from texts
         ), known as (
             select array_to_string(parts, ' ') as whole, min(name) as licence from lines

@@ -284,7 +284,7 @@ def test_licences(spark):
     known = licences.known_licences(spark)
     texts = [
         (1, "released UNDER the mit licence"), (2, "Some text.\n  Licensed under CC-BY-NC 4.0!\nAll rights reserved."),
-        (3, "Copyright (c) 2020 Someone\n" + licences.KNOWN[-1][1]), (4, "Licensed under CC BY-NC 4.0 or not"),
+        (3, "Copyright (c) 2020 Someone\n" + dict(licences.whole_texts())["0BSD"]), (4, "Licensed under CC BY-NC 4.0 or not"),
         (5, None), (6, ""), (None, "All rights reserved"), (1, "All rights reserved"), (7, "© 1999 A. Body"),
     ]
     table = spark.createDataFrame(texts, TEXT).withColumn("digest", F.lit(0)).withColumn("licence", F.lit(""))
@@ -295,3 +295,40 @@ def test_licences(spark):
         None: ("all-rights-reserved", "all-rights-reserved", 1), 7: (None, "", 0),
     }
     assert licences.scan(table.limit(0), known).count() == 0
+
+
+def test_whole_licence_texts(spark):
+    import json
+    import textwrap
+
+    with open(licences.TEXTS) as lines:
+        texts = {one["licence"]: one["text"] for one in map(json.loads, lines)}
+    rows, want = [], {}
+    for number, (name, text) in enumerate(sorted(texts.items())):
+        body = text.strip().partition("\n\n")[2]
+        wrapped = [p if "Copyright (" in p else textwrap.fill(" ".join(p.split()), 60) for p in text.replace("=", "").split("\n\n")]
+        versions = [
+            text, text.upper(), body, "Copyright (c) 1999-2020, A. N. Other and others. All rights reserved.\n\n" + body,
+            "\n\n".join(wrapped), text.replace("\n", "\r\n"),
+        ]
+        for k, version in enumerate(versions):
+            rows.append((100 * number + k, version))
+            want[100 * number + k] = name
+        rows.append((100 * number + 50, text + "\nAnd one condition more."))
+        want[100 * number + 50] = None
+    table = spark.createDataFrame(rows, TEXT)
+    got = {r.doc_id: r.whole_licence for r in licences.scan(table, licences.known_licences(spark)).collect()}
+    wrong = {doc: (got[doc], name) for doc, name in want.items() if got[doc] != name}
+    assert not wrong, wrong
+
+
+def test_licence_notices(spark):
+    rows = [
+        (1, "Some text.\nThis program is licensed under the GNU GPL v3.\nmore"), (2, "// SPDX-License-Identifier: MIT"),
+        (3, "SPDX-License-Identifier: BSD-2-Clause"), (4, "LICENCED UNDER THE APACHE LICENCE 2.0"),
+        (5, "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+        (6, "x " * 600_000 + "\nReleased under the MIT License."), (7, "Licensed under the Imaginary License."),
+    ]
+    table = spark.createDataFrame(rows, TEXT).withColumn("licence", F.lit("x")).withColumn("digest", F.lit("y"))
+    got = {r.doc_id: r.licences for r in licences.scan(table, licences.known_licences(spark)).collect()}
+    assert got == {1: "GPL-3.0", 2: "MIT", 3: "BSD-2-Clause", 4: "Apache-2.0", 5: "CC-BY-4.0", 6: "MIT", 7: ""}
