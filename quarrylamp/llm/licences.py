@@ -32,7 +32,7 @@ SPELLINGS = [
 COPYRIGHT = "^(©|(c )?copyright( (c|©)( |$)| [0-9]|.* (19|20)[0-9][0-9]( |$)| by | year))"
 
 #: Words that follow `copyright` where a line goes on with a sentence.
-SENTENCE = ["owner", "notice", "law", "license", "and", "interest", "statement", "or", "permission"]
+SENTENCE = ["owner", "notice", "law", "license", "and", "interest", "statement", "or", "permission", "treaty"]
 
 #: What licences are called in notices.
 NAMES = {
