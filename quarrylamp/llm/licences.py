@@ -97,11 +97,16 @@ def known_licences(spark: SparkSession, path: str = TEXTS) -> DataFrame:
     return spark.createDataFrame(notices() + whole_texts(path), "licence string, text string")
 
 
-def canonical(line: Column) -> Column:
-    """One line in canonical form; empty where it is blank or a copyright line."""
-    plain = F.btrim(F.regexp_replace(F.lower(line), "[^\\p{L}\\p{N}©]+", " "))
+def spelled(plain: Column) -> Column:
+    """Canonical text with equivalent spellings made one."""
     for spelling, common in SPELLINGS:
         plain = F.replace(plain, F.lit(spelling), F.lit(common))
+    return plain
+
+
+def canonical(line: Column) -> Column:
+    """One line in canonical form; empty where it is blank or a copyright line."""
+    plain = spelled(F.btrim(F.regexp_replace(F.lower(line), "[^\\p{L}\\p{N}©]+", " ")))
     mark = plain.rlike(COPYRIGHT)
     sentence = plain.rlike(f"^copyright ({'|'.join(SENTENCE)})s?( |$)")
     return F.when(mark & ~sentence, "").otherwise(plain)
@@ -110,9 +115,10 @@ def canonical(line: Column) -> Column:
 def _digested(texts: DataFrame) -> DataFrame:
     """Add `whole` (digest of all lines) and `parts` (digests of single lines) for a column `text`."""
     lines = F.filter(F.transform(F.split("text", "\n"), canonical), lambda x: x != "")
+    # A spelling may be cut by the end of a line, so the whole is spelled anew.
     return texts.withColumn("lines", lines).withColumns(
         {
-            "whole": F.when(F.size("lines") > 0, F.md5(F.array_join("lines", " "))),
+            "whole": F.when(F.size("lines") > 0, F.md5(spelled(F.array_join("lines", " ")))),
             "parts": F.array_distinct(F.transform("lines", lambda x: F.md5(x))),
         }
     ).drop("lines", "text")

@@ -14,7 +14,10 @@ def _quoted(text: str) -> str:
 
 
 def _canonical(line: str) -> str:
-    plain = rf"trim(regexp_replace(lower({line}), '[^\p{{L}}\p{{N}}©]+', ' ', 'g'))"
+    return _spelled(rf"trim(regexp_replace(lower({line}), '[^\p{{L}}\p{{N}}©]+', ' ', 'g'))")
+
+
+def _spelled(plain: str) -> str:
     for spelling, common in SPELLINGS:
         plain = f"replace({plain}, {_quoted(spelling)}, {_quoted(common)})"
     return plain
@@ -33,10 +36,10 @@ def _licences() -> str:
                           and not regexp_matches(p, '^copyright ({"|".join(SENTENCE)})s?( |$)') then '' else p end), lambda p: p <> '') as parts
             from texts
         ), known as (
-            select array_to_string(parts, ' ') as whole, min(name) as licence from lines
+            select {_spelled("array_to_string(parts, ' ')")} as whole, min(name) as licence from lines
             where side = 'known' and len(parts) > 0 group by 1
         ), units as (
-            select doc_id, array_to_string(parts, ' ') as unit, true as is_whole from lines where side = 'documents' and len(parts) > 0
+            select doc_id, {_spelled("array_to_string(parts, ' ')")} as unit, true as is_whole from lines where side = 'documents' and len(parts) > 0
             union all select doc_id, unnest(parts), false from lines where side = 'documents'
         ), found as (
             select doc_id, min(case when is_whole then licence end) as whole_licence,
