@@ -18,11 +18,13 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one named in spark.checkpoint.dir.  A session that names none runs on one
-    machine, as tests do, and gets a temporary folder.
+    It is the one named in spark.checkpoint.dir.  Without one, a session on one machine, as in
+    tests, gets a temporary folder; on a cluster that is an error, as machines share no such folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarrylamp.scratch", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="run-")
         spark.conf.set("quarrylamp.scratch", folder)
     return folder.rstrip("/")

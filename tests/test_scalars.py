@@ -128,3 +128,15 @@ def test_vectors_stored_at_half_precision(spark):
     with pytest.raises(Exception, match="null component"):
         pack_halves(spark.createDataFrame([(1, [None, 1.0])], "id long, embedding array<float>")).collect()
     assert pack_halves(df.limit(0)).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from quarrylamp.sources.tables import shared_folder
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session(spark_master="spark://host:7077"))
+    assert shared_folder(Session(spark_master="yarn", spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y"
