@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from quarrylamp.operators.topk import first_row
 from quarrylamp.schemas import RELEVANCE_CASE
+from quarrylamp.sources.tables import materialized
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -63,9 +64,26 @@ def _refuse(message) -> F.Column:
     return F.raise_error(F.lit(message) if isinstance(message, str) else message)
 
 
-def write_report(per_case: DataFrame, path: str) -> None:
-    """Per-case metrics as JSON, one object per line; parent folders are created."""
-    per_case.write.mode("overwrite").json(path)
+def write_report(per_case: DataFrame, path: str, cases_a_file: int = 10_000) -> None:
+    """Per-case metrics as JSON documents `{"cases": [...]}`; parent folders are created.
+
+    A file is one document of about `cases_a_file` cases in order of their columns; a report of
+    any size is several files.  No cases give one document with an empty list.
+    """
+    held = materialized(per_case)
+    rows = held.count()
+    part = F.pmod(F.xxhash64(*held.columns), F.lit(1 + rows // cases_a_file)).alias("part")
+    listed = held.groupBy(part).agg(F.array_sort(F.collect_list(F.struct(*held.columns))).alias("cases"))
+    if not rows:
+        listed = held.sparkSession.range(1).select(F.col("id").alias("part"), F.array().alias("cases"))
+    documents = listed.select("part", F.to_json(F.struct("cases")).alias("value"))
+    documents.write.mode("overwrite").partitionBy("part").text(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The cases of a stored report, one row each."""
+    cases = spark.read.json(path).select(F.explode("cases").alias("case"))
+    return cases.select("case.*")
 
 
 def read_pairs(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:

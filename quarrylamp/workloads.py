@@ -744,7 +744,7 @@ def report_round_trip(spark: Spark, sf: str) -> DataFrame:
     """The evaluation as a stored report, read back."""
     path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
     cases.write_report(_evaluation(spark, sf), path)
-    report = spark.read.json(path).select(
+    report = cases.read_report(spark, path).select(
         F.col("query_id").cast("long").alias("query_id"), *(F.col(m).cast("double").alias(m) for m in METRICS)
     )
     return _rounded(report, *METRICS)

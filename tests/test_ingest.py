@@ -176,3 +176,21 @@ def test_reachable_by_sets_of_starts(spark):
     sets = reachable_sets(links, numbered_starts(begin.coalesce(1)), 2).filter("depth = 2")
     # The hub is reached by a third of all starts and takes far fewer rows.
     assert sets.filter(f"url = '{page(0)}'").count() < 10
+
+
+def test_report_is_documents_of_cases(spark, tmp_path):
+    import json
+
+    from quarrylamp.sources.cases import read_report, write_report
+
+    rows = [(k, k / 8, [f"u{k}"]) for k in range(50)]
+    per_case = spark.createDataFrame(rows, "query_id long, mrr double, returned_urls array<string>")
+    write_report(per_case, str(tmp_path / "a" / "report"), cases_a_file=10)
+    texts = [f.read_text() for f in (tmp_path / "a" / "report").rglob("*.txt")]
+    found = [json.loads(t)["cases"] for t in texts]
+    assert len(found) > 2 and sorted(c["query_id"] for cases in found for c in cases) == list(range(50))
+    back = read_report(spark, str(tmp_path / "a" / "report")).select(per_case.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, per_case.collect()))
+    write_report(per_case.limit(0), str(tmp_path / "none"))
+    (only,) = (tmp_path / "none").rglob("*.txt")
+    assert json.loads(only.read_text()) == {"cases": []}
