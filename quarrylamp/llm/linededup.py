@@ -1,19 +1,28 @@
 """Line dedup with a log-template tree of fixed depth.
 
-A line is parsed by its token count, its leading tokens and then its template: tokens with a
-digit are variable fields, and one more run of tokens (a fifth of the line, not the leading
-one) may vary too.  Where too few constant tokens are left, the fields' values count as well.
-Lines that agree on all the rest share a template.  A line goes when an
-earlier document (smaller doc_id) has a line of the same template, so each recurring template
-stays in the first document that has it and leaves the others.
-
-Every line has as many template keys as it has runs that may vary, so finding recurrences is one
-grouping by key.  Tasks first settle the recurrences they see themselves and send only the
-lines of their earliest document for every key; a template found everywhere is sent once a task.
+A line goes down the tree by its token count, its leading token and a branch.  Its tokens are pieces
+(a line of more than 16 is cut into 16 equal pieces); the pieces after the first are cut into runs,
+and there is a branch for the content of each run.  On the way a piece with a digit is a wildcard.
+A branch holds templates.  A line joins a template of its branch if three quarters of its pieces
+agree with it (wildcards never count), so the other pieces are the template's variable fields; else
+it opens a template of its own.  There are as many runs as fields are allowed plus one, so that one
+run at least is free of fields, but four at most: fields in all four runs are not seen.
+
+A line goes when it joins, in any of its branches, a template that an earlier document
+(smaller doc_id) has opened, or when an earlier document has the same line.  Lines under five tokens
+and lines with too few pieces without digits (rows of numbers) have no branch: they go only where the
+same line comes again.  So each recurring template stays in the first document that has it.
+
+Every task grows the tree of its own lines first and sends on what its own templates do not cover;
+a template found everywhere is sent once a task.  Branches then meet by key, in order of documents,
+and are merged by the same rule in a stream that holds only the templates of one branch.  A line may
+join a template that another task's template covers in turn, so where templates form chains, which
+of them stay depends on how the input is split.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -21,134 +30,191 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylamp.llm.common import slices, whole_text
 
 _DIGIT = re.compile(rb"\d")
-_FIELD = re.compile(rb"\S*\d\S*")
-RUNS = 5
-#: Tokens without digits that a template must show, as a share of the line, for others to be fields.
-CONSTANT = 0.5
+#: Lines from this many tokens on have branches.
+LEAST = 5
+#: Pieces of a line at most, and the share of them that must agree with a template.
+PIECES, AGREE = 16, 0.75
+#: Branches of a line at most.
+BRANCHES = 4
 LAST = (1 << 63) - 1
 
 
-def template_keys(line: bytes, least: int = 5, loose: int = 8) -> list[int]:
-    """Signed 64-bit template keys of a line; none under `least` tokens.
+def needed(pieces: int) -> int:
+    """Pieces that must agree."""
+    return math.ceil(AGREE * pieces)
+
+
+def _key(*parts: bytes) -> int:
+    value = xxhash.xxh64_intdigest(b" ".join(parts))
+    return value - (1 << 64) if value >> 63 else value
+
+
+def paths(line: bytes) -> tuple[bytes, list[int]]:
+    """32-bit tags of a line's pieces and its keys: of the whole line, then of its branches.
 
-    From `loose` tokens on, one key for each of the runs after the leading one left open;
-    shorter lines have a single key of all their tokens.  A key whose tokens without digits are
-    under CONSTANT of the line keeps the values of its other tokens.
+    The tag of a piece with a digit is 0.  No key for a line without a token.
     """
-    values = line.split()
-    n = len(values)
-    if n < least:
-        return []
-    tokens, words = values, None
+    tokens = line.split()
+    n = len(tokens)
+    if not n:
+        return b"", []
+    keys = [_key(b"%d" % n, *tokens)]
+    if n < LEAST:
+        return b"", keys
+    lead, pieces = tokens[0], tokens
+    if n > PIECES:
+        edges = [n * k // PIECES for k in range(PIECES + 1)]
+        pieces = [b" ".join(tokens[a:b]) for a, b in zip(edges, edges[1:])]
+    tags = [xxhash.xxh32_intdigest(piece) or 1 for piece in pieces]
+    size = len(tags)
     if _DIGIT.search(line):
-        tokens = _FIELD.sub(b"<*>", line).split()
-        words = [v is t or v == t for v, t in zip(values, tokens)]
-    if n < loose:
-        if words and sum(words) < CONSTANT * n:
-            tokens = values
-        return [_signed(xxhash.xxh64_intdigest(b"%d " % n + b" ".join(tokens)))]
-    edges = [n * k // RUNS for k in range(RUNS + 1)]
-    bounds = list(zip(edges, edges[1:]))
-    parts = [xxhash.xxh64_intdigest(b" ".join(tokens[a:b])) for a, b in bounds]
-    exact = None
-    keys = []
-    for k in range(1, RUNS):
-        shown = parts.copy()
-        if words and sum(words) - sum(words[slice(*bounds[k])]) < CONSTANT * n:
-            exact = exact or [xxhash.xxh64_intdigest(b" ".join(values[a:b])) for a, b in bounds]
-            shown = exact.copy()
-        shown[k] = k
-        keys.append(_signed(xxhash.xxh64_intdigest(struct.pack("<6Q", n, *shown))))
-    return keys
-
-
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+        fields = [k for k, piece in enumerate(pieces) if _DIGIT.search(piece)]
+        if size - len(fields) < needed(size):
+            return b"", keys
+        pieces = pieces.copy()
+        for k in fields:
+            pieces[k], tags[k] = b"<*>", 0
+        if _DIGIT.search(lead):
+            lead = b"<*>"
+    runs = min(BRANCHES, size - needed(size) + 1)
+    edges = [1 + (size - 1) * k // runs for k in range(runs + 1)]
+    keys += [_key(b"%d %d" % (n, k), lead, *pieces[a:b]) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+    return struct.pack(f"<{size}I", *tags), keys
+
+
+def joined(docs: np.ndarray, tags: list[bytes], templates: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Which lines of a branch, in order of documents, join a template of an earlier document.
+
+    Lines that join none are added to `templates`.  Empty tags agree with each other.
+    """
+    rows = np.frombuffer(b"".join(tags), np.uint32).reshape(len(tags), len(tags[0]) // 4)
+    least = needed(rows.shape[1])
+    known = np.zeros(len(docs), bool)
+    gone = np.zeros(len(docs), bool)
+
+    def meet(owner: int, template: np.ndarray, start: int) -> None:
+        agree = ((rows[start:] == template) & (template != 0)).sum(1) >= least
+        known[start:] |= agree
+        gone[start:] |= agree & (docs[start:] > owner)
 
+    for owner, template in templates:
+        meet(owner, template, 0)
+    start = 0
+    while not known[start:].all():
+        start += int(np.argmin(known[start:]))
+        templates.append((int(docs[start]), rows[start].copy()))
+        meet(*templates[-1], start)
+    return gone
 
-def _parse(least: int, loose: int):
-    """Per task: `gone` rows already settled, and one document's lines for every other key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, rows, lines = [], [], [], []
-        docs: list[int] = []
-        texts: list[int] = []
-        for batch in slices(batches, "text"):
-            own_keys: list[int] = []
-            counts: list[int] = []
-            at: list[int] = []
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                for number, line in enumerate(raw.split(b"\n")):
-                    found = template_keys(line, least, loose)
-                    if found:
-                        own_keys += found
-                        counts.append(len(found))
-                        at.append(number)
-                        rows.append(len(docs))
-                docs.append(doc)
-                texts.append(_signed(xxhash.xxh64_intdigest(raw, 42)))  # as Spark's xxhash64
-            keys.append(np.array(own_keys, np.int64))
-            base = len(rows) - len(counts)
-            owners.append(np.repeat(np.arange(base, base + len(counts)), counts))
-            lines += at
-        if not docs:
-            return
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        doc_of_row = np.array(docs, np.int64)
-        row_of_line = np.array(rows, np.int64)
-        if not len(key):
-            return
-        doc = doc_of_row[row_of_line[owner]]
-        order = np.lexsort((doc, key))
-        key, owner, doc = key[order], owner[order], doc[order]
-        fresh = np.r_[True, key[1:] != key[:-1]]
-        first_doc = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        late = doc > first_doc
-        gone = np.unique(owner[late])
-        # Lines already settled need not be asked about again; they may still be what makes a
-        # key recur, but only an earlier document matters and theirs is not the earliest.
-        settled = np.zeros(len(row_of_line), bool)
-        settled[gone] = True
-        number = np.array(lines, np.int32)
-        text_of_row = np.array(texts, np.int64)
-        ask = ~late
-        for k, o, flag in ((np.zeros(len(gone), np.int64), gone, True), (key[ask], owner[ask], False)):
-            for first in range(0, len(o), 1 << 16):
-                some = o[first : first + (1 << 16)]
-                row = row_of_line[some]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(k[first : first + (1 << 16)]),
-                        pa.array(doc_of_row[row]),
-                        pa.array(text_of_row[row]),
-                        pa.array(number[some]),
-                        pa.array(np.full(len(some), flag)),
-                    ],
-                    ["key", "doc", "text_key", "line", "gone"],
-                )
-
-    return run
-
-
-def recurring_lines(documents: DataFrame, least: int = 5, loose: int = 8) -> DataFrame:
+
+_SENT = "key long, doc long, text_key long, line int, tags binary, gone boolean"
+
+
+def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: `gone` lines that its own tree covers, and for all other keys the lines to merge."""
+    keys, counts, rows, numbers = [], [], [], []
+    tags: list[bytes] = []
+    docs: list[int] = []
+    texts: list[int] = []
+    for batch in slices(batches, "text"):
+        own_keys: list[int] = []
+        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            for number, line in enumerate(raw.split(b"\n")):
+                tag, found = paths(line)
+                if found:
+                    own_keys += found
+                    counts.append(len(found))
+                    rows.append(len(docs))
+                    numbers.append(number)
+                    tags.append(tag)
+            docs.append(doc)
+            value = xxhash.xxh64_intdigest(raw, 42)  # as Spark's xxhash64
+            texts.append(value - (1 << 64) if value >> 63 else value)
+        keys.append(np.array(own_keys, np.int64))
+    if not counts:
+        return
+    key, count = np.concatenate(keys), np.array(counts)
+    owner = np.repeat(np.arange(len(count)), count)
+    whole = np.zeros(len(key), bool)
+    whole[np.cumsum(count) - count] = True
+    doc_of, text_of = np.array(docs, np.int64)[rows], np.array(texts, np.int64)[rows]
+    number_of = np.array(numbers, np.int32)
+
+    order = np.lexsort((number_of[owner], text_of[owner], doc_of[owner], key))
+    key, owner, whole = key[order], owner[order], whole[order]
+    doc = doc_of[owner]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    settled = np.zeros(len(count), bool)
+    settled[owner[whole & (doc > np.repeat(doc[starts], sizes))]] = True
+    # A line that has come before joins what its like has joined, in every branch.
+    covered = settled[owner]
+    several = ~whole[starts] & (doc[starts] < doc[starts + sizes - 1])
+    for start, size in zip(starts[several], sizes[several]):
+        some = np.arange(start, start + size)
+        some = some[~covered[some]]
+        if len(some) > 1:
+            covered[some] = joined(doc[some], [tags[k] for k in owner[some]], [])
+    settled[owner[covered]] = True
+
+    gone = np.flatnonzero(settled)
+    for lines, their, flag in ((gone, None, True), (owner[~covered], key[~covered], False)):
+        alone = whole[~covered]
+        for first in range(0, len(lines), 1 << 14):
+            some = lines[first : first + (1 << 14)]
+            part = slice(first, first + len(some))
+            sent = [None] * len(some) if flag else [b"" if a else tags[k] for k, a in zip(some, alone[part])]
+            at = np.zeros(len(some), np.int64) if flag else their[part]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(at), pa.array(doc_of[some]), pa.array(text_of[some]), pa.array(number_of[some]),
+                    pa.array(sent, pa.binary()), pa.array(np.full(len(some), flag)),
+                ],
+                ["key", "doc", "text_key", "line", "tags", "gone"],
+            )
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines that go, of rows sorted by key and document."""
+    last, templates = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        doc = batch.column("doc").to_numpy()
+        gone = batch.column("gone").to_numpy(zero_copy_only=False).copy()
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        asked = sizes > 1
+        asked[-1] = True  # the next batch may go on with its branch
+        asked[0] |= key[0] == last
+        for start, size in zip(starts[asked], sizes[asked]):
+            if gone[start]:
+                last = None
+                continue
+            if key[start] != last:
+                last, templates = key[start], []
+            part = slice(start, start + size)
+            gone[part] = joined(doc[part], batch.column("tags").slice(start, size).to_pylist(), templates)
+        yield batch.select(["doc", "text_key", "line"]).filter(pa.array(gone))
+
+
+def recurring_lines(documents: DataFrame) -> DataFrame:
     """(doc, text_key, lines): line numbers (from 0) that recur from an earlier document."""
     named = documents.select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("doc"), "text")
-    asked = named.mapInArrow(
-        _parse(least, loose), "key long, doc long, text_key long, line int, gone boolean"
-    )
-    # Settled rows are spread by their document; the others meet by key.
-    spread = F.when(F.col("gone"), F.xxhash64("doc", "line")).otherwise(F.col("key"))
-    first = F.min("doc").over(Window.partitionBy("spread", "gone"))
+    grown = named.mapInArrow(_grow, _SENT)
+    # Lines already settled are spread by themselves; the others meet by key.
+    spread = F.when(F.col("gone"), F.xxhash64("doc", "text_key", "line")).otherwise(F.col("key"))
+    met = grown.withColumn("key", spread).repartition("key").sortWithinPartitions("key", "doc", "text_key", "line")
     return (
-        asked.withColumn("spread", spread).withColumn("first", first)
-        .filter("gone or doc > first")
+        met.mapInArrow(_merge, "doc long, text_key long, line int")
         .groupBy("doc", "text_key").agg(F.collect_set("line").alias("lines"))
     )
 
@@ -168,16 +234,16 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def deduped(documents: DataFrame, least: int = 5, loose: int = 8) -> DataFrame:
+def deduped(documents: DataFrame) -> DataFrame:
     """Every row of `documents` with its recurring lines taken out of `text`.
 
-    Adds n_lines (before) and n_dropped; columns of these names are replaced.  Lines under
-    `least` tokens always stay, as does what recurs only within one document.  Null and empty
+    Adds n_lines (before) and n_dropped; columns of these names are replaced.  Lines without a
+    token always stay, as does what recurs only within one document.  Null and empty
     texts stay as they are (0 lines); a document may become empty.  Rows that share a doc_id
     count as one document.  Rows without doc_id come after all others and cannot recur among
     themselves.  Other columns stay, whatever their names; an empty table gives an empty one.
     """
-    drops = recurring_lines(documents, least, loose)
+    drops = recurring_lines(documents)
     names = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
     rest = documents.select(*(c for c in names if c != "text"))
     whole = documents.select(
@@ -195,7 +261,11 @@ def deduped(documents: DataFrame, least: int = 5, loose: int = 8) -> DataFrame:
 
 
 def without_recurring(documents: DataFrame) -> DataFrame:
-    """`documents` with its recurring lines taken out and n_chars, where there is one, set anew."""
+    """`documents` with its recurring lines taken out and n_chars, where there is one, set anew.
+
+    Null and empty texts stay, ties and rows without doc_id count as in `deduped`; an empty table
+    gives an empty one.
+    """
     out = deduped(documents)
     changed = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in documents.columns else None
     return out.select(*(

@@ -114,33 +114,6 @@ ORACLES: dict[str, str] = {
         from pieces p left join times t on p.source is not distinct from t.source and p.block_no = t.block_no
         group by row, doc_id
     """,
-    "op10_linededup": rf"""
-        with lines as (
-            select doc_id, text, unnest(string_split(text, chr(10))) as line,
-                   generate_subscripts(string_split(text, chr(10)), 1) as number
-            from documents where text is not null and text <> ''
-        ), cut as (
-            select *, {_WORDS.format(r"regexp_replace(line, '[^ \t-\r]*[0-9][^ \t-\r]*', '<*>', 'g')")} as tokens from lines
-        ), keys as (
-            select doc_id, number, len(tokens) || ' ' || array_to_string(tokens, ' ') as key from cut
-            where len(tokens) >= 5 and len(tokens) < 8
-            union all
-            select doc_id, number, len(tokens) || ' ' || k || ' ' || array_to_string(
-                tokens[: len(tokens) * k // 5] || [chr(1)] || tokens[len(tokens) * (k + 1) // 5 + 1 :], ' ')
-            from cut, range(1, 5) t(k) where len(tokens) >= 8
-        ), first as (
-            select key, min(doc_id) as doc_id from keys group by key
-        ), gone as (
-            select distinct k.doc_id, k.number from keys k join first f on k.key = f.key and k.doc_id > f.doc_id
-        ), kept as (
-            select l.doc_id, count(*) as n_lines, count(g.number) as n_dropped,
-                   coalesce(string_agg(l.line, chr(10) order by l.number) filter (where g.number is null), '') as text
-            from lines l left join gone g on l.doc_id = g.doc_id and l.number = g.number group by l.doc_id
-        )
-        select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped,
-               case when k.doc_id is null then d.text else k.text end as text
-        from documents d left join kept k on d.doc_id = k.doc_id
-    """,
     "op11_negatives": """
         with v as (
             select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
