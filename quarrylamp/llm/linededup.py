@@ -24,8 +24,8 @@ from __future__ import annotations
 
 import math
 import re
-import struct
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,9 @@ LEAST = 5
 PIECES, AGREE = 16, 0.75
 #: Branches of a line at most.
 BRANCHES = 4
+#: Bytes of a tag, the tag of a piece with a digit, and the one for a digest that looks like it.
+WIDTH = 3
+FIELD, OTHER = bytes(WIDTH), bytes(WIDTH - 1) + b"\1"
 LAST = (1 << 63) - 1
 
 
@@ -50,15 +53,23 @@ def needed(pieces: int) -> int:
     return math.ceil(AGREE * pieces)
 
 
+@cache
+def runs(pieces: int) -> list[tuple[int, int]]:
+    """Bounds of the runs of the pieces after the first one."""
+    number = min(BRANCHES, pieces - needed(pieces) + 1)
+    edges = [1 + (pieces - 1) * k // number for k in range(number + 1)]
+    return list(zip(edges, edges[1:]))
+
+
 def _key(*parts: bytes) -> int:
     value = xxhash.xxh64_intdigest(b" ".join(parts))
     return value - (1 << 64) if value >> 63 else value
 
 
 def paths(line: bytes) -> tuple[bytes, list[int]]:
-    """32-bit tags of a line's pieces and its keys: of the whole line, then of its branches.
+    """Tags of a line's pieces, three bytes each, and its keys: of the whole line, then of its branches.
 
-    The tag of a piece with a digit is 0.  No key for a line without a token.
+    The tag of a piece with a digit is FIELD.  No key for a line without a token.
     """
     tokens = line.split()
     n = len(tokens)
@@ -71,7 +82,9 @@ def paths(line: bytes) -> tuple[bytes, list[int]]:
     if n > PIECES:
         edges = [n * k // PIECES for k in range(PIECES + 1)]
         pieces = [b" ".join(tokens[a:b]) for a, b in zip(edges, edges[1:])]
-    tags = [xxhash.xxh32_intdigest(piece) or 1 for piece in pieces]
+    tags = [xxhash.xxh32_digest(piece)[:WIDTH] for piece in pieces]
+    if FIELD in tags:
+        tags = [OTHER if tag == FIELD else tag for tag in tags]
     size = len(tags)
     if _DIGIT.search(line):
         fields = [k for k, piece in enumerate(pieces) if _DIGIT.search(piece)]
@@ -79,22 +92,36 @@ def paths(line: bytes) -> tuple[bytes, list[int]]:
             return b"", keys
         pieces = pieces.copy()
         for k in fields:
-            pieces[k], tags[k] = b"<*>", 0
+            pieces[k], tags[k] = b"<*>", FIELD
         if _DIGIT.search(lead):
             lead = b"<*>"
-    runs = min(BRANCHES, size - needed(size) + 1)
-    edges = [1 + (size - 1) * k // runs for k in range(runs + 1)]
-    keys += [_key(b"%d %d" % (n, k), lead, *pieces[a:b]) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
-    return struct.pack(f"<{size}I", *tags), keys
+    keys += [_key(b"%d %d" % (n, k), lead, *pieces[a:b]) for k, (a, b) in enumerate(runs(size))]
+    return b"".join(tags), keys
+
+
+def shown(tags: bytes, branch: int) -> bytes:
+    """What a branch has to compare: how many pieces must agree outside its own run, and their tags.
+
+    Nothing for branch 0, the whole line, as its key says all.
+    """
+    if not branch:
+        return b""
+    size = len(tags) // WIDTH
+    a, b = runs(size)[branch - 1]
+    own = sum(tags[k : k + WIDTH] != FIELD for k in range(a * WIDTH, b * WIDTH, WIDTH))
+    return bytes([needed(size) - own]) + tags[: a * WIDTH] + tags[b * WIDTH :]
 
 
 def joined(docs: np.ndarray, tags: list[bytes], templates: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """Which lines of a branch, in order of documents, join a template of an earlier document.
 
-    Lines that join none are added to `templates`.  Empty tags agree with each other.
+    `tags` are as `shown` gives them; where that is nothing, all lines agree.  Lines that join none
+    are added to `templates`.
     """
-    rows = np.frombuffer(b"".join(tags), np.uint32).reshape(len(tags), len(tags[0]) // 4)
-    least = needed(rows.shape[1])
+    least = tags[0][0] if tags[0] else 0
+    parts = np.frombuffer(b"".join(tags), np.uint8).reshape(len(tags), len(tags[0]))[:, 1:]
+    parts = parts.reshape(len(tags), -1 if parts.size else 0, WIDTH).astype(np.uint32)
+    rows = parts[..., 0] | parts[..., 1] << 8 | parts[..., 2] << 16
     known = np.zeros(len(docs), bool)
     gone = np.zeros(len(docs), bool)
 
@@ -113,11 +140,11 @@ def joined(docs: np.ndarray, tags: list[bytes], templates: list[tuple[int, np.nd
     return gone
 
 
-_SENT = "key long, doc long, text_key long, line int, tags binary, gone boolean"
+_SENT = "key long, doc long, text_key long, line int, tags binary"
 
 
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: `gone` lines that its own tree covers, and for all other keys the lines to merge."""
+    """Per task: lines that its own tree covers (tags null), and for all other keys the lines to merge."""
     keys, counts, rows, numbers = [], [], [], []
     tags: list[bytes] = []
     docs: list[int] = []
@@ -142,42 +169,42 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     key, count = np.concatenate(keys), np.array(counts)
     owner = np.repeat(np.arange(len(count)), count)
-    whole = np.zeros(len(key), bool)
-    whole[np.cumsum(count) - count] = True
+    branch = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
     doc_of, text_of = np.array(docs, np.int64)[rows], np.array(texts, np.int64)[rows]
     number_of = np.array(numbers, np.int32)
 
     order = np.lexsort((number_of[owner], text_of[owner], doc_of[owner], key))
-    key, owner, whole = key[order], owner[order], whole[order]
+    key, owner, branch = key[order], owner[order], branch[order]
     doc = doc_of[owner]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     settled = np.zeros(len(count), bool)
-    settled[owner[whole & (doc > np.repeat(doc[starts], sizes))]] = True
+    settled[owner[(branch == 0) & (doc > np.repeat(doc[starts], sizes))]] = True
     # A line that has come before joins what its like has joined, in every branch.
     covered = settled[owner]
-    several = ~whole[starts] & (doc[starts] < doc[starts + sizes - 1])
+    several = (branch[starts] > 0) & (doc[starts] < doc[starts + sizes - 1])
     for start, size in zip(starts[several], sizes[several]):
         some = np.arange(start, start + size)
         some = some[~covered[some]]
         if len(some) > 1:
-            covered[some] = joined(doc[some], [tags[k] for k in owner[some]], [])
+            covered[some] = joined(doc[some], [shown(tags[k], branch[start]) for k in owner[some]], [])
     settled[owner[covered]] = True
 
-    gone = np.flatnonzero(settled)
-    for lines, their, flag in ((gone, None, True), (owner[~covered], key[~covered], False)):
-        alone = whole[~covered]
+    sent = np.flatnonzero(~covered)
+    for lines, at in ((np.flatnonzero(settled), None), (owner[sent], sent)):
         for first in range(0, len(lines), 1 << 14):
-            some = lines[first : first + (1 << 14)]
-            part = slice(first, first + len(some))
-            sent = [None] * len(some) if flag else [b"" if a else tags[k] for k, a in zip(some, alone[part])]
-            at = np.zeros(len(some), np.int64) if flag else their[part]
+            some, part = lines[first : first + (1 << 14)], slice(first, first + (1 << 14))
+            if at is None:
+                their, content = np.zeros(len(some), np.int64), [None] * len(some)
+            else:
+                their = key[at[part]]
+                content = [shown(tags[k], b) for k, b in zip(some, branch[at[part]])]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(at), pa.array(doc_of[some]), pa.array(text_of[some]), pa.array(number_of[some]),
-                    pa.array(sent, pa.binary()), pa.array(np.full(len(some), flag)),
+                    pa.array(their), pa.array(doc_of[some]), pa.array(text_of[some]),
+                    pa.array(number_of[some]), pa.array(content, pa.binary()),
                 ],
-                ["key", "doc", "text_key", "line", "tags", "gone"],
+                ["key", "doc", "text_key", "line", "tags"],
             )
 
 
@@ -189,7 +216,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         key = batch.column("key").to_numpy()
         doc = batch.column("doc").to_numpy()
-        gone = batch.column("gone").to_numpy(zero_copy_only=False).copy()
+        gone = batch.column("tags").is_null().to_numpy(zero_copy_only=False).copy()
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         asked = sizes > 1
@@ -211,7 +238,7 @@ def recurring_lines(documents: DataFrame) -> DataFrame:
     named = documents.select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("doc"), "text")
     grown = named.mapInArrow(_grow, _SENT)
     # Lines already settled are spread by themselves; the others meet by key.
-    spread = F.when(F.col("gone"), F.xxhash64("doc", "text_key", "line")).otherwise(F.col("key"))
+    spread = F.when(F.col("tags").isNull(), F.xxhash64("doc", "text_key", "line")).otherwise(F.col("key"))
     met = grown.withColumn("key", spread).repartition("key").sortWithinPartitions("key", "doc", "text_key", "line")
     return (
         met.mapInArrow(_merge, "doc long, text_key long, line int")
