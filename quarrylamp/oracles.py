@@ -61,6 +61,10 @@ pieces AS (
   FROM (SELECT *, unnest(range(0, 1 + CASE WHEN len(t) > 128
     THEN CAST(ceil((len(t) - 128) / 96.0) AS BIGINT) ELSE 0 END)) AS i FROM stale WHERE n = 1))"""
 
+REEMBED_BATCHES = """batches AS (
+  SELECT document_id, (row_number() OVER (ORDER BY document_id) - 1) // 100 AS batch
+  FROM (SELECT DISTINCT document_id FROM pieces))"""
+
 ASKED = f"""items AS (
   SELECT item_id AS query_id, regexp_extract_all(lower(text), {WORDS}) AS w,
     list_filter(list_transform(string_split(text, '.'),
@@ -596,6 +600,27 @@ UNION ALL
 SELECT (SELECT max(id) FROM chunk_texts)
   + row_number() OVER (ORDER BY md5(document_id || ':' || chunk_index)),
   document_id, chunk_index, sha256(content), 'current', true FROM pieces""",
+    "reembed_run": _with(CHUNKS, REEMBED_PIECES, REEMBED_BATCHES) + """
+SELECT batch, max(document_id) AS last_id, count(DISTINCT document_id) AS documents, count(*) AS chunks,
+  CAST(sum(count(DISTINCT document_id)) OVER (ORDER BY batch) AS BIGINT) AS documents_so_far,
+  CAST(sum(count(*)) OVER (ORDER BY batch) AS BIGINT) AS chunks_so_far
+FROM pieces JOIN batches USING (document_id) GROUP BY batch""",
+    "reembed_run_chunks": _with(CHUNKS, REEMBED_PIECES, REEMBED_BATCHES) + """
+SELECT id, document_id, chunk_index, sha256(content) AS content_hash, embedding_model,
+  false AS fresh FROM chunk_texts WHERE document_id % 7 <> 0
+UNION ALL
+SELECT (SELECT max(id) FROM chunk_texts)
+  + row_number() OVER (ORDER BY batch, md5(document_id || ':' || chunk_index)),
+  document_id, chunk_index, sha256(content), 'current', true FROM pieces JOIN batches USING (document_id)""",
+    "reassemble_embedded": """
+SELECT id, content_hash, CAST(dim AS INTEGER) AS dim, round(CAST(embedding[dim + 1] AS DOUBLE), 6) AS value
+FROM (
+  SELECT conv_id AS id, sha256(string_agg(text, ' ' ORDER BY turn)) AS content_hash
+  FROM conversations GROUP BY conv_id
+) JOIN (
+  SELECT conv_id AS id, embedding, unnest(range(0, len(embedding))) AS dim
+  FROM conversations JOIN embeddings ON vec_id = (conv_id * 7) % (SELECT count(*) FROM embeddings) WHERE turn = 0
+) USING (id)""",
     "synthetic_documents": f"""
 SELECT id, 'https://benchmark.local/documents/' || id AS url, 'Benchmark document ' || id AS title,
   'Synthetic benchmark document' AS description, 'benchmark.local' AS source_host,

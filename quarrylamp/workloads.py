@@ -28,7 +28,7 @@ from quarrylamp.operators.ids import next_id
 from quarrylamp.operators.percentiles import percentiles
 from quarrylamp.operators.postings import build_postings, chunk_postings, document_postings, positions
 from quarrylamp.operators.topk import top_k
-from quarrylamp.plans import evaluate, hybrid, ingest, maintain, search
+from quarrylamp.plans import evaluate, hybrid, ingest, maintain, reembed_run as runs, search
 from quarrylamp.schemas import CHUNK, DOCUMENT
 from quarrylamp.sources import cases, corpus
 from quarrylamp.sources.halves import pack_halves, unpack_halves
@@ -479,6 +479,45 @@ def reembed_rewrite(spark: Spark, sf: str) -> DataFrame:
     )
 
 
+def _stopped_run(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame, str, DataFrame]:
+    """A run over all stale documents that stops after its first batch and is taken up again."""
+    documents, chunks = tb.documents(spark, sf), materialized(_legacy_chunks(spark, sf))
+    folder = f"{shared_folder(spark)}/reembed-{uuid.uuid4().hex}"
+    options = {"batch_documents": 100, "max_tokens": 128, "overlap": 32, "now": _now()}
+    encoder = encode.hash_encoder(tb.DIMENSIONS)
+    runs.reembed_run(documents, chunks, encoder, MODEL, folder, max_batches=1, **options)
+    return documents, chunks, folder, runs.reembed_run(documents, chunks, encoder, MODEL, folder, **options)
+
+
+def reembed_run(spark: Spark, sf: str) -> DataFrame:
+    """Progress of a run in batches, with the sums so far."""
+    return _stopped_run(spark, sf)[3]
+
+
+def reembed_run_chunks(spark: Spark, sf: str) -> DataFrame:
+    """All chunks once every batch of the run is put in."""
+    documents, chunks, folder, _ = _stopped_run(spark, sf)
+    return runs.applied(documents, chunks, folder, _now())[1].select(
+        "id", "document_id", "chunk_index", content_hash(F.col("content")).alias("content_hash"),
+        "embedding_model", (F.col("created_at") == _now()).alias("fresh"),
+    )
+
+
+def reassemble_embedded(spark: Spark, sf: str) -> DataFrame:
+    """Conversations put together from turns with a given vector each: the first turn's stays."""
+    given = tb.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    turns = tb.table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), F.col("text").alias("content"),
+        ((F.col("conv_id") * 7 + F.col("turn")) % given.count()).alias("vec_id"),
+    ).join(given, "vec_id")
+    talks = turns.select(F.col("document_id").alias("id")).distinct().withColumn(
+        "content", F.lit(None).cast("string")
+    )
+    whole = maintain.reassemble_documents(talks, turns)
+    long = whole.select("id", content_hash(F.col("content")).alias("content_hash"), F.posexplode("embedding").alias("dim", "value"))
+    return _rounded(long.withColumn("value", F.col("value").cast("double")), "value")
+
+
 def synthetic_documents(spark: Spark, sf: str) -> DataFrame:
     """As many synthetic documents as stored ones, numbered after them."""
     stored = tb.documents(spark, sf)
@@ -814,7 +853,8 @@ QUERIES = {
         reachable_pages, ingest_validation, query_validation, content_hashes, latest_per_url,
         upsert_status, upsert_documents, replace_chunks, delete_source, replace_host,
         stream_ingest, token_chunks, chunk_counts, hash_encode, backfill_chunks,
-        reassemble_documents, reembed_counts, reembed_rewrite, synthetic_documents,
+        reassemble_documents, reembed_counts, reembed_rewrite, reembed_run,
+        reembed_run_chunks, reassemble_embedded, synthetic_documents,
         synthetic_chunks, corpus_stats, postings, weighted_postings, keyword_match,
         phrase_match, negated_match, cover_rank, text_topk_chunks, text_topk_documents,
         document_hybrid, hybrid_search, hybrid_page_2, hybrid_search_half,

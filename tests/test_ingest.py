@@ -9,6 +9,8 @@ from quarrylamp.operators.extract import extract_pages, page_links
 from quarrylamp.operators.ids import number_rows
 from quarrylamp.operators.links import reachable
 from quarrylamp.plans.ingest import ingest
+from quarrylamp.plans.maintain import reembed
+from quarrylamp.plans.reembed_run import applied, batched, reembed_run, totals
 from quarrylamp.schemas import CHUNK, DOCUMENT, INGEST_MESSAGE
 from quarrylamp.sources.cases import read_cases
 from quarrylamp.sources.store import TableStore
@@ -194,3 +196,51 @@ def test_report_is_documents_of_cases(spark, tmp_path):
     write_report(per_case.limit(0), str(tmp_path / "none"))
     (only,) = (tmp_path / "none").rglob("*.txt")
     assert json.loads(only.read_text()) == {"cases": []}
+
+
+def test_batches_follow_ids(spark):
+    ids = [-3, 0, 5, 65535, 65536, 1 << 31, (1 << 33) + 1, 1 << 34, (1 << 34) + 2]
+    got = batched(spark.createDataFrame([(i,) for i in reversed(ids)], "document_id long"), 2)
+    assert {r.document_id: r.batch for r in got.collect()} == {i: k // 2 for k, i in enumerate(ids)}
+
+
+def test_run_goes_on_after_a_lost_driver(spark, tmp_path):
+    encoder, now = hash_encoder(8), F.lit("2030-01-01").cast("timestamp")
+    rows = [(f"https://{k}.com", "t", f"text number {k} " * (1 + k % 3), "d", k) for k in range(1, 24)]
+    empty = spark.createDataFrame([], DOCUMENT), spark.createDataFrame([], CHUNK)
+    documents, chunks, _ = ingest(messages(spark, rows), *empty, encoder, "old")
+    store = TableStore(spark, str(tmp_path / "store"))
+    store.write_snapshot(documents, chunks)
+    documents, chunks = store.documents(), store.chunks()
+    folder = str(tmp_path / "run")
+    options = {"batch_documents": 5, "now": now}
+
+    assert reembed_run(documents, chunks, encoder, "old", str(tmp_path / "none")).count() == 0
+    assert applied(documents, chunks, str(tmp_path / "none"))[1].count() == chunks.count()
+    first = reembed_run(documents, chunks, encoder, "new", folder, max_batches=2, **options).collect()
+    assert [(r.batch, r.documents_so_far) for r in sorted(first)] == [(0, 5), (1, 10)]
+    halfway = applied(documents, chunks, folder, now)
+    assert halfway[1].filter("embedding_model = 'new'").count() == first[-1].chunks_so_far
+    assert halfway[0].filter(F.col("updated_at") == now).count() == 10
+
+    class Lost(Exception):
+        pass
+
+    def failing(texts):
+        raise Lost
+
+    with pytest.raises(Lost):
+        reembed_run(documents, chunks, failing, "new", folder, **options)
+    # A batch whose chunks were written, but whose driver went before it said so, does not count.
+    chunks.limit(3).withColumn("embedding_model", F.lit("new")).write.mode("overwrite").parquet(f"{folder}/chunks/batch=2")
+    assert applied(documents, chunks, folder, now)[1].filter("embedding_model = 'new'").count() == first[-1].chunks_so_far
+
+    last = sorted(reembed_run(documents, chunks, encoder, "new", folder, **options).collect())[-1]
+    assert (last.batch, last.documents_so_far) == (4, 23)
+    assert totals(spark, folder).count() == 5
+    after = applied(documents, chunks, folder, now)
+    whole = reembed(documents, chunks, encoder, "new", now=now)
+    content = lambda table: sorted((r.document_id, r.chunk_index, r.content, r.embedding_model) for r in table.collect())
+    assert content(after[1]) == content(whole[1])
+    assert sorted(after[0].collect()) == sorted(whole[0].collect())
+    assert after[1].select("id").distinct().count() == after[1].count()
