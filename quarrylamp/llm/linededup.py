@@ -108,8 +108,10 @@ def shown(tags: bytes, branch: int) -> bytes:
         return b""
     size = len(tags) // WIDTH
     a, b = runs(size)[branch - 1]
-    own = sum(tags[k : k + WIDTH] != FIELD for k in range(a * WIDTH, b * WIDTH, WIDTH))
-    return bytes([needed(size) - own]) + tags[: a * WIDTH] + tags[b * WIDTH :]
+    own = b - a
+    if FIELD in tags:
+        own = sum(tags[k : k + WIDTH] != FIELD for k in range(a * WIDTH, b * WIDTH, WIDTH))
+    return b"%c" % (needed(size) - own) + tags[: a * WIDTH] + tags[b * WIDTH :]
 
 
 def joined(docs: np.ndarray, tags: list[bytes], templates: list[tuple[int, np.ndarray]]) -> np.ndarray:
@@ -187,7 +189,8 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.arange(start, start + size)
         some = some[~covered[some]]
         if len(some) > 1:
-            covered[some] = joined(doc[some], [shown(tags[k], branch[start]) for k in owner[some]], [])
+            own = int(branch[start])
+            covered[some] = joined(doc[some], [shown(tags[k], own) for k in owner[some].tolist()], [])
     settled[owner[covered]] = True
 
     sent = np.flatnonzero(~covered)
@@ -198,7 +201,7 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 their, content = np.zeros(len(some), np.int64), [None] * len(some)
             else:
                 their = key[at[part]]
-                content = [shown(tags[k], b) for k, b in zip(some, branch[at[part]])]
+                content = [shown(tags[k], b) for k, b in zip(some.tolist(), branch[at[part]].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(their), pa.array(doc_of[some]), pa.array(text_of[some]),
