@@ -32,9 +32,8 @@ from quarrylamp.plans import evaluate, hybrid, ingest, maintain, reembed_run as
 from quarrylamp.schemas import CHUNK, DOCUMENT
 from quarrylamp.sources import cases, corpus
 from quarrylamp.sources.halves import pack_halves, unpack_halves
-from quarrylamp.sources.store import TableStore
 from quarrylamp.sources.tables import append_table, materialized, shared_folder, table_stats, without_host
-from quarrylamp.streaming.ingest import ingest_stream, page_stream
+from quarrylamp.streaming.ingest import create_tables, ingest_stream, page_stream, stored_chunks, stored_documents
 
 Spark = SparkSession
 
@@ -361,18 +360,18 @@ def replace_host(spark: Spark, sf: str) -> DataFrame:
 
 
 def stream_ingest(spark: Spark, sf: str) -> DataFrame:
-    """The recrawl as a stream over an empty store, in two micro-batches."""
+    """The recrawl as a stream into empty tables, in two micro-batches."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     recrawl(spark, sf).repartition("url").write.parquet(f"{root}/incoming")
     files = len(spark.read.parquet(f"{root}/incoming").inputFiles())
-    store = TableStore(spark, f"{root}/store")
+    create_tables(spark.createDataFrame([], DOCUMENT), spark.createDataFrame([], CHUNK), f"{root}/tables")
     stream = ingest_stream(
-        page_stream(spark, f"{root}/incoming", max_files=-(-files // 2)), store,
-        encode.hash_encoder(tb.DIMENSIONS), MODEL, f"{root}/progress", _now(),
+        page_stream(spark, f"{root}/incoming", max_files=-(-files // 2)), f"{root}/tables",
+        encode.hash_encoder(tb.DIMENSIONS), MODEL, _now(),
     )
     stream.awaitTermination()
-    counts = store.chunks().groupBy("document_id").agg(F.count("*").alias("chunks"))
-    return store.documents().select("id", "url", "title", "content_hash").join(
+    counts = stored_chunks(spark, f"{root}/tables").groupBy("document_id").agg(F.count("*").alias("chunks"))
+    return stored_documents(spark, f"{root}/tables").select("id", "url", "title", "content_hash").join(
         counts, F.col("id") == F.col("document_id")
     ).drop("id", "document_id")
 

@@ -13,8 +13,10 @@ from quarrylamp.plans.maintain import reembed
 from quarrylamp.plans.reembed_run import applied, batched, reembed_run, totals
 from quarrylamp.schemas import CHUNK, DOCUMENT, INGEST_MESSAGE
 from quarrylamp.sources.cases import read_cases
-from quarrylamp.sources.store import TableStore
-from quarrylamp.streaming.ingest import ingest_stream, page_stream
+from quarrylamp.sources.tables import materialized
+from quarrylamp.streaming.ingest import (
+    create_tables, ingest_stream, page_stream, stored_chunks, stored_documents,
+)
 
 FIRST = [
     ("https://a.com", "t", "one two", "d", 1),
@@ -47,23 +49,20 @@ EXPECTED = {
 }
 
 
-def test_ingest_twice(spark, tmp_path):
+def test_ingest_twice(spark):
     encoder = hash_encoder(8)
     empty = spark.createDataFrame([], DOCUMENT), spark.createDataFrame([], CHUNK)
     documents, chunks, status = ingest(messages(spark, FIRST), *empty, encoder, "m")
     assert {r.url: r.status for r in status.collect()} == {
         "https://a.com/": "new", "https://b.com/": "new"
     }
-    store = TableStore(spark, str(tmp_path / "store"))
-    store.write_snapshot(documents, chunks)
-    documents, chunks = store.documents(), store.chunks()
+    documents, chunks = materialized(documents), materialized(chunks)
     before = {r.url: (r.id, r.random_key) for r in documents.collect()}
     again, after_chunks, status = ingest(messages(spark, SECOND), documents, chunks, encoder, "m")
     assert {r.url: r.status for r in status.collect()} == {
         "https://a.com/": "unchanged", "https://b.com/": "changed", "https://e.com/": "new"
     }
-    store.write_snapshot(again, after_chunks)
-    again, after_chunks = store.documents(), store.chunks()
+    again, after_chunks = materialized(again), materialized(after_chunks)
     after = {r.url: (r.id, r.random_key) for r in again.collect()}
     assert all(after[u] == before[u] for u in before)
     assert view(again, after_chunks) == EXPECTED
@@ -71,20 +70,58 @@ def test_ingest_twice(spark, tmp_path):
     assert other.first().status == "changed"
 
 
+def streamed(spark, tmp_path, *batches, base=None, model="m"):
+    """Documents and chunks after one run of the stream per list of messages."""
+    incoming, root = str(tmp_path / "in"), str(tmp_path / "tables")
+    empty = spark.createDataFrame([], DOCUMENT), spark.createDataFrame([], CHUNK)
+    create_tables(*(base or empty), root)
+    for rows in batches:
+        messages(spark, rows).coalesce(1).write.mode("append").parquet(incoming)
+        ingest_stream(page_stream(spark, incoming), root, hash_encoder(8), model).awaitTermination()
+    return stored_documents(spark, root), stored_chunks(spark, root)
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    incoming, store = str(tmp_path / "in"), TableStore(spark, str(tmp_path / "store"))
+    first = streamed(spark, tmp_path / "one", FIRST)
+    before = {r.url: (r.id, r.random_key) for r in first[0].collect()}
+    documents, chunks = streamed(spark, tmp_path / "two", FIRST, SECOND)
+    assert view(documents, chunks) == EXPECTED
+    after = {r.url: (r.id, r.random_key) for r in documents.collect()}
+    assert all(after[u] == before[u] for u in before)
+    assert sorted(i for i, _ in after.values()) == [1, 2, 3]
+    assert chunks.select("id").distinct().count() == chunks.count() == 3
 
-    def run():
-        stream = ingest_stream(page_stream(spark, incoming), store, hash_encoder(8), "m",
-                               str(tmp_path / "progress"), compact_after=2)
-        stream.awaitTermination()
 
-    messages(spark, FIRST).coalesce(1).write.mode("append").parquet(incoming)
-    run()
-    messages(spark, SECOND).coalesce(1).write.mode("append").parquet(incoming)
-    run()
-    assert view(store.documents(), store.chunks()) == EXPECTED
-    assert store.state()["changes"] == []
+def test_stream_keeps_the_latest_message(spark, tmp_path):
+    late = [("https://a.com", "late", "older text", "d", 0), ("https://b.com", "t", "no number", "d", None)]
+    assert view(*streamed(spark, tmp_path, FIRST, SECOND, late)) == EXPECTED
+
+
+def test_stream_starts_from_stored_tables(spark, tmp_path):
+    empty = spark.createDataFrame([], DOCUMENT), spark.createDataFrame([], CHUNK)
+    documents, chunks, _ = ingest(messages(spark, FIRST), *empty, hash_encoder(8), "m")
+    base = materialized(documents), materialized(chunks)
+    owned = {r.document_id: r.id for r in base[1].collect()}
+    after = streamed(spark, tmp_path / "same", SECOND, base=base)
+    assert view(*after) == EXPECTED
+    ids = {r.url: r.id for r in after[0].collect()}
+    kept = {r.document_id: r.id for r in after[1].collect()}
+    a, b = ids["https://a.com/"], ids["https://b.com/"]
+    assert kept[a] == owned[a] and kept[b] not in owned.values()  # unchanged, changed
+    other = streamed(spark, tmp_path / "other", SECOND[:1], base=base, model="new")
+    assert {r.document_id: r.embedding_model for r in other[1].collect()} == {a: "new", b: "m"}
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    documents, chunks = streamed(spark, tmp_path, FIRST, SECOND)
+    rows = [sorted(documents.drop("crawled_at", "updated_at").collect()), sorted(chunks.drop("created_at").collect())]
+    # The batch was written, but its driver went before the stream noted that it was done.
+    (tmp_path / "tables" / "progress" / "commits" / "1").unlink()
+    (tmp_path / "tables" / "progress" / "commits" / ".1.crc").unlink(missing_ok=True)
+    ingest_stream(page_stream(spark, str(tmp_path / "in")), str(tmp_path / "tables"), hash_encoder(8), "m").awaitTermination()
+    root = str(tmp_path / "tables")
+    again = stored_documents(spark, root), stored_chunks(spark, root)
+    assert [sorted(again[0].drop("crawled_at", "updated_at").collect()), sorted(again[1].drop("created_at").collect())] == rows
 
 
 def test_numbering_is_dense(spark):
@@ -209,9 +246,7 @@ def test_run_goes_on_after_a_lost_driver(spark, tmp_path):
     rows = [(f"https://{k}.com", "t", f"text number {k} " * (1 + k % 3), "d", k) for k in range(1, 24)]
     empty = spark.createDataFrame([], DOCUMENT), spark.createDataFrame([], CHUNK)
     documents, chunks, _ = ingest(messages(spark, rows), *empty, encoder, "old")
-    store = TableStore(spark, str(tmp_path / "store"))
-    store.write_snapshot(documents, chunks)
-    documents, chunks = store.documents(), store.chunks()
+    documents, chunks = materialized(documents), materialized(chunks)
     folder = str(tmp_path / "run")
     options = {"batch_documents": 5, "now": now}
 
