@@ -324,17 +324,13 @@ def _plain_text(markup: str) -> str:
     return markup
 
 
-EVALUATION = f"""{CHUNK_RANKS},
-{_ranks("post", SENTENCE_LITERALS, prefix="s_")},
+RELEVANT = f"""{_ranks("post", SENTENCE_LITERALS, prefix="s_")},
 relevant AS (
   SELECT DISTINCT r.query_id, c.document_id, CAST(coalesce(l.quality + 1, 1) AS DOUBLE) AS grade
   FROM s_ranks r JOIN chunk_texts c ON c.id = r.unit_id
-  LEFT JOIN labels l ON l.doc_id = c.document_id),
-best AS (
-  SELECT r.query_id, c.document_id, max(round(r.text_rank, 9)) AS text_rank
-  FROM ranks r JOIN chunk_texts c ON c.id = r.unit_id GROUP BY r.query_id, c.document_id),
-results AS ({_top("best", "text_rank DESC, document_id", 10, "query_id, document_id")}),
-judged AS (
+  LEFT JOIN labels l ON l.doc_id = c.document_id)"""
+
+JUDGED = """judged AS (
   SELECT r.query_id, r.rank, r.document_id, g.grade,
     count(g.grade) OVER (PARTITION BY r.query_id ORDER BY r.rank) AS hits
   FROM results r LEFT JOIN relevant g USING (query_id, document_id)),
@@ -365,6 +361,14 @@ per_case AS (
     coalesce(h10, 0) / n AS recall_10, coalesce(g10, 0) / i10 AS ndcg_10
   FROM best_gain b LEFT JOIN per_query p USING (query_id))"""
 
+EVALUATION = f"""{CHUNK_RANKS},
+{RELEVANT},
+best AS (
+  SELECT r.query_id, c.document_id, max(round(r.text_rank, 9)) AS text_rank
+  FROM ranks r JOIN chunk_texts c ON c.id = r.unit_id GROUP BY r.query_id, c.document_id),
+results AS ({_top("best", "text_rank DESC, document_id", 10, "query_id, document_id")}),
+{JUDGED}"""
+
 METRICS = ["mrr", "ap", "precision_5", "recall_5", "ndcg_5", "precision_10", "recall_10", "ndcg_10"]
 
 # Fixed value: the synthetic vocabulary, in order.
@@ -721,6 +725,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, url, title, '' AS content, descr
   1 AS page_number, false AS has_next FROM placed""",
     "eval_per_case": "WITH " + EVALUATION + "\nSELECT query_id, returned, relevant, "
     + ", ".join(f"round({m}, 6) AS {m}" for m in METRICS) + " FROM per_case",
+    "eval_search": _with(_hybrid_ctes(), RELEVANT, """results AS (
+  SELECT query_id, rank, document_id FROM ranked WHERE rank <= 10)""", JUDGED)
+    + "SELECT query_id, returned, relevant, " + ", ".join(f"round({m}, 6) AS {m}" for m in METRICS) + " FROM per_case",
     "eval_summary": "WITH " + EVALUATION + "\nSELECT count(*) AS cases, "
     + ", ".join(f"round(avg({m}), 6) AS mean_{m}" for m in METRICS) + " FROM per_case",
     "latency_percentiles": " UNION ALL ".join(

@@ -734,11 +734,10 @@ def landing_rows(spark: Spark, sf: str) -> DataFrame:
 # -- evaluation --------------------------------------------------------------------------------
 
 
-def _evaluation(spark: Spark, sf: str) -> DataFrame:
+def _cases(spark: Spark, sf: str) -> DataFrame:
     """Known items: documents holding an item's last sentence are relevant to its query."""
-    chunks = tb.chunk_texts(spark, sf)
-    owner = chunks.select(F.col("id").alias("unit_id"), "document_id")
-    holding = textmatch.match(chunk_postings(chunks), _sentence_literals(spark, sf))
+    owner = tb.chunk_texts(spark, sf).select(F.col("id").alias("unit_id"), "document_id")
+    holding = textmatch.match(chunk_postings(tb.chunk_texts(spark, sf)), _sentence_literals(spark, sf))
     good = tb.table(spark, sf, "labels").select(
         F.col("doc_id").alias("document_id"), (F.col("quality") + 1).alias("grade")
     )
@@ -750,7 +749,12 @@ def _evaluation(spark: Spark, sf: str) -> DataFrame:
             F.coalesce("grade", F.lit(1)).cast("double").alias("grade"),
         )
     )
-    cases = relevant.join(tb.keyword_queries(spark, sf).select("query_id", "query"), "query_id")
+    return relevant.join(tb.keyword_queries(spark, sf).select("query_id", "query"), "query_id")
+
+
+def _evaluation(spark: Spark, sf: str) -> DataFrame:
+    """The known items against the first ten documents by text rank."""
+    owner = tb.chunk_texts(spark, sf).select(F.col("id").alias("unit_id"), "document_id")
     ranks = _chunk_ranks(spark, sf).withColumn("text_rank", F.round("text_rank", 9))
     best = vector.best_chunk_per_document(
         ranks.join(owner, "unit_id").withColumnRenamed("unit_id", "chunk_id"), "text_rank"
@@ -759,20 +763,39 @@ def _evaluation(spark: Spark, sf: str) -> DataFrame:
         best, ["query_id"], [F.col("text_rank").desc(), F.col("document_id")], 10,
         spread_by=["document_id"],
     ).select("query_id", "rank", F.col("document_id").cast("string").alias("url"))
-    return evaluate.evaluate(cases, results)
+    return evaluate.evaluate(_cases(spark, sf), results)
 
 
 METRICS = ["mrr", "ap", "precision_5", "recall_5", "ndcg_5", "precision_10", "recall_10", "ndcg_10"]
 
 
-def eval_per_case(spark: Spark, sf: str) -> DataFrame:
-    report = _evaluation(spark, sf).select(
+def _per_case(evaluation: DataFrame) -> DataFrame:
+    report = evaluation.select(
         "query_id", F.array_join("returned_urls", " ").alias("returned"),
         F.array_join("relevant_urls", " ").alias("relevant"), *METRICS,
     )
     return _rounded(report, *METRICS)
 
 
+def eval_per_case(spark: Spark, sf: str) -> DataFrame:
+    return _per_case(_evaluation(spark, sf))
+
+
+def eval_search(spark: Spark, sf: str) -> DataFrame:
+    """The known items against the first page of the search itself."""
+    asked = tb.search_queries(spark, sf).withColumns({"page_number": F.lit(1), "result_per_page": F.lit(10)})
+    documents = tb.documents(spark, sf)
+    found, _ = search.search(
+        asked, documents, tb.chunks(spark, sf), chunk_postings(tb.chunk_texts(spark, sf)),
+        document_postings(documents), threshold=HYBRID_THRESHOLD, half=False,
+    )
+    # A page of results is small; cases name documents by id.
+    results = documents.select("id", "url").join(found.select("query_id", "rank", "url"), "url").select(
+        "query_id", "rank", F.col("id").cast("string").alias("url")
+    )
+    return _per_case(evaluate.evaluate(_cases(spark, sf), results))
+
+
 def eval_summary(spark: Spark, sf: str) -> DataFrame:
     means = [f"mean_{m}" for m in METRICS]
     return _rounded(evaluate.summarize(_evaluation(spark, sf)), *means)
@@ -858,6 +881,6 @@ QUERIES = {
         phrase_match, negated_match, cover_rank, text_topk_chunks, text_topk_documents,
         document_hybrid, hybrid_search, hybrid_page_2, hybrid_search_half,
         hybrid_search_half_stored, paged_search,
-        random_documents, landing_rows, eval_per_case, eval_summary, latency_percentiles,
+        random_documents, landing_rows, eval_per_case, eval_search, eval_summary, latency_percentiles,
     )
 }
