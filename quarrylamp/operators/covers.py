@@ -1,5 +1,8 @@
 """Boolean match and cover density of many (query, unit) pairs at once, from their posting lists.
 
+`fold_units` takes the lists of a unit once and lets every query of a batch pick its own there;
+`fold_batches` takes pairs that bring their lists and their query along.
+
 All hits of a batch lie in one array, ordered by query, unit and position.  Occurrences of
 literals, covers and ranks are array operations over the hits of all pairs of a query; places of
 different pairs are far apart, so nothing reaches from one pair into the next.
@@ -9,7 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -155,6 +158,17 @@ def _folded(batch: pa.RecordBatch, inverse: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def _parts(batch: pa.RecordBatch, hits_at_once: int) -> Iterator[tuple[int, int]]:
+    """Some rows at a time: a batch of long lists would take several times its size."""
+    hits = batch.column("hits")
+    gaps = hits.flatten()
+    places = np.diff(gaps.field(gaps.type.get_field_index("gaps")).offsets.to_numpy())
+    ends = np.append(0, np.cumsum(places))[np.cumsum(np.diff(hits.offsets.to_numpy()))]
+    part = ends // hits_at_once
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    return ((first, last) for first, last in zip(cuts, cuts[1:]) if last > first)
+
+
 def fold_batches(weights: dict[str, float], hits_at_once: int = 1 << 20):
     """Task body over (query_id, unit_id, hits(lexeme, gaps, weights), plan)."""
     inverse = np.zeros(256)
@@ -163,15 +177,138 @@ def fold_batches(weights: dict[str, float], hits_at_once: int = 1 << 20):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = batch.column("hits")
-            gaps = hits.flatten()
-            places = np.diff(gaps.field(gaps.type.get_field_index("gaps")).offsets.to_numpy())
-            ends = np.append(0, np.cumsum(places))[np.cumsum(np.diff(hits.offsets.to_numpy()))]
-            # Some pairs at a time: a batch of long lists would take several times its size.
-            part = ends // hits_at_once
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-            for first, last in zip(cuts, cuts[1:]):
-                if last > first:
-                    yield _folded(batch.slice(first, last - first), inverse)
+            for first, last in _parts(batch, hits_at_once):
+                yield _folded(batch.slice(first, last - first), inverse)
+
+    return run
+
+
+class _Query:
+    """A query of a batch, with its words as codes."""
+
+    def __init__(self, query_id: int | None, literals: list[tuple], codes: dict[str, int]):
+        self.query_id = query_id
+        groups: dict[int, list] = {}
+        for number, _, lexemes, negated in sorted(literals, key=lambda x: x[:2]):
+            groups.setdefault(number, []).append(([(codes[word], at) for word, at in lexemes], negated))
+        # Words of a literal, of a group, of a query: each once.
+        self.positive = [(n, g) for n, g in groups.items() if not all(negated for _, negated in g)]
+        self.excluding = [[words for words, _ in g] for g in groups.values() if all(negated for _, negated in g)]
+        self.needs = [
+            sorted({code for words, negated in g if not negated for code, _ in words}) for _, g in self.positive
+        ]
+        self.codes = sorted({code for g in groups.values() for words, _ in g for code, _ in words})
+
+
+class _Lists:
+    """Hits of some units, in order of unit and position, and where each word has its own."""
+
+    def __init__(self, batch: pa.RecordBatch, inverse: np.ndarray, words: int):
+        hits = batch.column("hits")
+        lists = hits.flatten()
+        gaps, weights, codes = (lists.field(lists.type.get_field_index(c)) for c in ("gaps", "weights", "code"))
+        self.n = batch.num_rows
+        owner = np.repeat(np.arange(self.n), np.diff(hits.offsets.to_numpy()))
+        of_list, pos = summed_gaps(gaps)
+        unit, code = owner[of_list], codes.to_numpy(zero_copy_only=False).astype(np.int64)[of_list]
+        order = np.argsort(unit * APART + pos, kind="stable")
+        self.unit, self.pos, self.code = unit[order], pos[order], code[order]
+        self.inverse = inverse[np.frombuffer("".join(weights.to_pylist()).encode(), np.uint8)][order]
+        self.by_code = np.argsort(self.code, kind="stable")
+        self.bounds = np.searchsorted(self.code[self.by_code], np.arange(words + 1))
+
+    def of(self, code: int) -> np.ndarray:
+        return self.by_code[self.bounds[code] : self.bounds[code + 1]]
+
+    def holding(self, codes: list[int]) -> np.ndarray:
+        """Units that have every one of the words."""
+        found = sorted((self.of(code) for code in codes), key=len)
+        return reduce(lambda a, b: np.intersect1d(a, np.unique(b)) if len(a) else a, (self.unit[x] for x in found[1:]), np.unique(self.unit[found[0]]))
+
+    def hits(self, codes: list[int], units: np.ndarray | None = None) -> Hits:
+        """Hits of the words, in all units or in some, which are numbered in their order."""
+        at = np.sort(np.concatenate([self.of(code) for code in codes]))
+        if units is not None:
+            inside = np.zeros(self.n, bool)
+            inside[units] = True
+            at = at[inside[self.unit[at]]]
+        unit = self.unit[at]
+        pair = unit if units is None else np.searchsorted(units, unit)
+        return Hits(pair, self.pos[at], self.code[at], self.inverse[at])
+
+    def ranks(self, query: _Query) -> tuple[np.ndarray, np.ndarray]:
+        """Units that match a group with a word to find, and their ranks."""
+        found = [self.holding(need) for need in query.needs]
+        units = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        if not len(units):
+            return units, np.empty(0)
+        rank, _ = fold(self.hits(query.codes, units), len(units), query.positive)
+        there = ~np.isnan(rank)
+        return units[there], rank[there]
+
+    def spared(self, query: _Query) -> np.ndarray:
+        """For every unit: is there a group that only excludes, of which it has nothing?"""
+        spared = np.zeros(self.n, bool)
+        for literals in query.excluding:
+            hits = self.hits(sorted({code for words in literals for code, _ in words}))
+            hit = np.zeros(self.n, bool)
+            for words in literals if query.query_id is not None else ():
+                hit[hits.pair[hits.occurrences(words)[0]]] = True
+            spared |= ~hit
+        return spared
+
+
+def fold_units(
+    literals: list[tuple], codes: dict[str, int], weights: dict[str, float],
+    hits_at_once: int = 1 << 19, rows_at_once: int = 1 << 16,
+):
+    """Task body over (unit_id, hits(code, gaps, weights), listed): ranks of all queries of a batch.
+
+    `literals` holds (query_id, group_no, literal_no, [(lexeme, offset)], negated).  Listed units
+    also answer the groups that only exclude, with rank 0.  A query without id matches no hit.
+    """
+    inverse = np.zeros(256)
+    for name, weight in weights.items():
+        inverse[ord(name)] = 1.0 / weight
+    of_query: dict[int | None, list] = {}
+    for query_id, *literal in literals:
+        of_query.setdefault(query_id, []).append(tuple(literal))
+    queries = [_Query(query_id, mine, codes) for query_id, mine in of_query.items()]
+
+    def found(part: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray, np.ndarray]]:
+        lists = _Lists(part, inverse, len(codes))
+        listed = part.column("listed").to_numpy(zero_copy_only=False).astype(bool)
+        for query in queries:
+            units, rank = lists.ranks(query) if query.query_id is not None else (np.empty(0, np.int64), np.empty(0))
+            if query.excluding and listed.any():
+                free = lists.spared(query) & listed
+                free[units] = False
+                others = np.flatnonzero(free)
+                units, rank = np.append(units, others), np.append(rank, np.zeros(len(others)))
+            if len(units):
+                yield query.query_id, units, rank
+
+    def rows(part: pa.RecordBatch, held: list) -> pa.RecordBatch:
+        ids = [pa.repeat(pa.scalar(query_id, pa.int64()), len(units)) for query_id, units, _ in held]
+        units = np.concatenate([units for _, units, _ in held])
+        ranks = np.concatenate([rank for _, _, rank in held])
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays(ids), part.column("unit_id").take(pa.array(units)), pa.array(ranks)],
+            ["query_id", "unit_id", "text_rank"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last in _parts(batch, hits_at_once):
+                part = batch.slice(first, last - first)
+                held, count = [], 0
+                for one in found(part):
+                    held.append(one)
+                    count += len(one[1])
+                    if count >= rows_at_once:
+                        yield rows(part, held)
+                        held, count = [], 0
+                if held:
+                    yield rows(part, held)
 
     return run

@@ -5,8 +5,10 @@ phrase and may be negated.  Queries are rows of a literals table:
 
     query_id, group_no, literal_no, lexemes array<struct<lexeme, offset>>, negated
 
-Only postings of lexemes some query asks for are touched, and one shuffle on
-(query_id, unit_id) serves the match and the rank.
+Only postings of lexemes some query asks for are touched.  They are gathered by unit in one
+shuffle, in which a list goes once however many queries ask for it; the queries, whose size was
+checked, meet the lists of a unit in the task that holds them.  Only a batch of queries too
+large to be sent to every task is joined first and gathered by (query_id, unit_id).
 """
 
 from __future__ import annotations
@@ -15,9 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylamp.functions.text import words
-from quarrylamp.operators.covers import fold_batches
+from quarrylamp.operators.covers import fold_batches, fold_units
 from quarrylamp.operators.postings import Lexicon, lexeme_bucket, simple_lexicon
-from quarrylamp.operators.sizing import lookup_join, settle
+from quarrylamp.operators.sizing import checked_rows, lookup_join, settle
 from quarrylamp.operators.topk import top_k
 
 # Default weight of each class.
@@ -73,9 +75,8 @@ def query_literals(
     )
 
 
-def _hits(postings: DataFrame, literals: DataFrame, bounded: bool) -> DataFrame:
-    """Postings whose lexeme some query asks for, per query."""
-    wanted = literals.select("query_id", F.explode("lexemes.lexeme").alias("lexeme")).distinct()
+def _hits(postings: DataFrame, wanted: DataFrame, bounded: bool) -> DataFrame:
+    """Postings whose lexeme is among `wanted(lexeme, ...)`, with its other columns."""
     if bounded and "bucket" in postings.columns:
         # Postings laid out by bucket: only the asked ones are read, however many rows match.
         asked = [r[0] for r in wanted.select(lexeme_bucket(F.col("lexeme"))).distinct().collect()]
@@ -84,6 +85,29 @@ def _hits(postings: DataFrame, literals: DataFrame, bounded: bool) -> DataFrame:
     return lookup_join(needed, wanted, ["lexeme"], bounded=bounded)
 
 
+def _by_unit(
+    postings: DataFrame, literals: DataFrame, units: DataFrame | None, weights: dict[str, float]
+) -> DataFrame:
+    """`(query_id, unit_id, text_rank)` of a batch of literals that passed the size check."""
+    asked = [
+        (r["query_id"], r["group_no"], r["literal_no"], [tuple(e) for e in r["lexemes"]], r["negated"])
+        for r in literals.select(*LITERAL, "lexemes", "negated").collect()
+    ]
+    codes = {word: code for code, word in enumerate(sorted({w for _, _, _, lexemes, _ in asked for w, _ in lexemes}))}
+    spark = postings.sparkSession
+    numbered = spark.createDataFrame(list(codes.items()), "lexeme string, code int")
+    hit = F.struct("code", "gaps", "weights").alias("hit")
+    rows = _hits(postings, numbered, True).select("unit_id", hit, F.lit(False).alias("listed"))
+    if units is not None:
+        # Units without any asked word answer the groups that only exclude.
+        none = F.lit(None).cast(rows.schema["hit"].dataType).alias("hit")
+        rows = rows.unionByName(units.select(F.col("unit_id").cast("long"), none, F.lit(True).alias("listed")))
+    gathered = rows.groupBy("unit_id").agg(F.collect_list("hit").alias("hits"), F.max("listed").alias("listed"))
+    return gathered.mapInArrow(
+        fold_units(asked, codes, weights), "query_id long, unit_id long, text_rank double"
+    )
+
+
 def _folded(
     postings: DataFrame, literals: DataFrame, weights: dict[str, float], bounded: bool
 ) -> DataFrame:
@@ -93,7 +117,8 @@ def _folded(
     does not pass.
     """
     hit = F.struct("lexeme", "gaps", "weights")
-    gathered = _hits(postings, literals, bounded).groupBy(*PAIR).agg(F.collect_list(hit).alias("hits"))
+    wanted = literals.select("query_id", F.explode("lexemes.lexeme").alias("lexeme")).distinct()
+    gathered = _hits(postings, wanted, bounded).groupBy(*PAIR).agg(F.collect_list(hit).alias("hits"))
     literal = F.struct("group_no", "literal_no", "lexemes", "negated")
     plans = literals.groupBy("query_id").agg(F.to_json(F.collect_list(literal)).alias("plan"))
     # The words that each group asks for: none for a group of exclusions, whose hits are wanted too.
@@ -113,6 +138,16 @@ def _folded(
     )
 
 
+def _excluding(literals: DataFrame) -> DataFrame:
+    """`(query_id, group_no)` of the groups that only exclude."""
+    return (
+        literals.groupBy("query_id", "group_no")
+        .agg(F.bool_and("negated").alias("only"))
+        .filter("only")
+        .select("query_id", "group_no")
+    )
+
+
 def _negation_only(
     units: DataFrame, folded: DataFrame, literals: DataFrame, bounded: bool
 ) -> DataFrame | None:
@@ -121,12 +156,7 @@ def _negation_only(
     The excluding groups a unit does hit are gathered per unit, so a unit is expanded only
     into the queries it answers.  None when no group is of that kind.
     """
-    asked = (
-        literals.groupBy("query_id", "group_no")
-        .agg(F.bool_and("negated").alias("only"))
-        .filter("only")
-        .select("query_id", "group_no")
-    )
+    asked = _excluding(literals)
     shares = -(-asked.count() // 1_000)
     if not shares:
         return None
@@ -171,6 +201,10 @@ def match_and_rank(
     if bounded is None:
         literals, rows = settle(literals)
         bounded = rows is not None
+    if bounded and checked_rows(literals) is not None:
+        if units is not None and not _excluding(literals).head(1):
+            units = None
+        return _by_unit(postings, literals, units, weights or WEIGHTS)
     folded = _folded(postings, literals, weights or WEIGHTS, bounded)
     ranked = folded.filter("text_rank is not null").select(*PAIR, "text_rank")
     if units is None:
