@@ -14,26 +14,28 @@ def next_id(table: DataFrame, column: str = "id") -> int:
 
 
 def number_rows(
-    df: DataFrame, key: Column, start: int = 1, output: str = "id", hex_digits: int = HEX_DIGITS
+    df: DataFrame, key: Column, start: int = 1, output: str = "id", hex_digits: int = HEX_DIGITS,
+    within: str | None = None,
 ) -> DataFrame:
     """Give rows dense ids from `start`, in the order of the md5 of a unique key.
 
     The leading hash digits split the rows into even buckets that are numbered in parallel;
     only one count per bucket is summed up in one place.  A row's id depends on nothing but
-    the set of keys, so recomputing lost tasks gives the same ids.
+    the set of keys, so recomputing lost tasks gives the same ids.  With `within`, a column of whole
+    numbers, its values are numbered one after the other, each in the order of the hashes.
     """
-    hashed = df.withColumn("_hash", F.md5(key.cast("string"))).withColumn(
-        "_bucket", F.substring("_hash", 1, hex_digits)
-    )
+    digits = F.substring("_hash", 1, hex_digits)
+    bucket = digits if within is None else F.struct(F.col(within), digits)
+    hashed = df.withColumn("_hash", F.md5(key.cast("string"))).withColumn("_bucket", bucket)
     counts = hashed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    within = Window.partitionBy("_bucket").orderBy("_hash")
+    in_bucket = Window.partitionBy("_bucket").orderBy("_hash")
     return (
-        hashed.withColumn("_place", F.row_number().over(within))
-        .join(F.broadcast(offsets), "_bucket")  # at most 16 ** hex_digits rows
+        hashed.withColumn("_place", F.row_number().over(in_bucket))
+        .join(F.broadcast(offsets), "_bucket")  # at most 16 ** hex_digits rows, for each value of `within`
         .withColumn(output, F.lit(start - 1).cast("long") + F.col("_offset") + F.col("_place"))
         .drop("_hash", "_bucket", "_place", "_offset")
     )

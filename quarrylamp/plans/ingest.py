@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarrylamp.functions.text import content_hash
 from quarrylamp.operators.chunking import MAX_TOKENS, OVERLAP, chunk
 from quarrylamp.operators.encode import Encoder, encode
-from quarrylamp.operators.ids import next_id, number_rows, random_key
+from quarrylamp.operators.ids import HEX_DIGITS, next_id, number_rows, random_key
 from quarrylamp.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join
 from quarrylamp.operators.topk import first_row
 from quarrylamp.operators.validate import validate_pages
@@ -154,16 +154,21 @@ def ingest_changes(
 
 
 def new_chunk_rows(
-    pieces: DataFrame, encoder: Encoder, model: str, start_id: int, now: Column
+    pieces: DataFrame, encoder: Encoder, model: str, start_id: int, now: Column,
+    batch: str | None = None, hex_digits: int = HEX_DIGITS,
 ) -> DataFrame:
-    """Encode `(document_id, chunk_index, content)` rows into stored chunks."""
+    """Encode `(document_id, chunk_index, content)` rows into stored chunks.
+
+    With a column `batch`, which stays, the batches get their ids one after the other; a batch
+    is dealt over 16 ** hex_digits tasks at most.
+    """
     place = F.concat_ws(":", "document_id", "chunk_index")
     # Numbered before encoding: the vectors then do not travel with the numbering.
-    numbered = number_rows(pieces, place, start_id)
+    numbered = number_rows(pieces, place, start_id, hex_digits=hex_digits, within=batch)
     encoded = encode(numbered, "content", encoder)
     return encoded.select(
         "id", "document_id", F.col("chunk_index").cast("int").alias("chunk_index"), "content",
-        "embedding", F.lit(model).alias("embedding_model"), now.alias("created_at"),
+        "embedding", F.lit(model).alias("embedding_model"), now.alias("created_at"), *([] if batch is None else [batch]),
     )
 
 

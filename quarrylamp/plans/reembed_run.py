@@ -6,7 +6,7 @@ A run keeps its state in a folder that all machines share:
 * `chunks/batch=N`: the chunks that batch N has encoded;
 * `progress`: a row per finished batch, written after the batch's chunks.
 
-A batch that has no row in `progress` is not done: a run that is called again writes it anew over what
+Small batches are encoded some at a time, in one job, so that a batch costs no jobs of its own.  A batch that has no row in `progress` is not done: a run that is called again writes it anew over what
 was left of it, with the same ids, and goes on from there.  The stored tables must be the same
 ones in every call of a run; they are read only.  `applied` gives the tables with all finished
 batches put in, at any time.
@@ -16,20 +16,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylamp.operators.chunking import MAX_TOKENS, OVERLAP, rechunk
 from quarrylamp.operators.encode import Encoder
-from quarrylamp.operators.ids import next_id
+from quarrylamp.operators.ids import HEX_DIGITS, next_id
 from quarrylamp.plans.ingest import new_chunk_rows, replace_chunks
 from quarrylamp.plans.maintain import reembed_targets
 from quarrylamp.schemas import CHUNK
 
 PLAN = "batch long, document_id long"
 PROGRESS = "batch long, documents long, chunks long, last_id long, next_chunk_id long"
+WRITTEN = T.StructType([*CHUNK.fields, T.StructField("batch", T.LongType())])
 #: The batch number of the row that says that the plan is complete.
 PLANNED = -1
 #: Ids that are numbered in one window, and ranges of ids that are summed up in one.
 RANGE = 1 << 16
+#: Documents that one job encodes if its batches are smaller, and batches that it encodes at most.
+DOCUMENTS_A_JOB, BATCHES_A_JOB = 100_000, 1_000
 
 
 def batched(targets: DataFrame, batch_documents: int) -> DataFrame:
@@ -60,6 +64,11 @@ def _progress(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(PROGRESS).parquet(f"{folder}/progress")
 
 
+def _written(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of all batches with their number, those without a progress row included."""
+    return spark.read.schema(WRITTEN).parquet(f"{folder}/chunks")
+
+
 def _note(spark: SparkSession, folder: str, *rows: tuple) -> None:
     spark.createDataFrame(list(rows), PROGRESS).coalesce(1).write.mode("append").parquet(f"{folder}/progress")
 
@@ -97,18 +106,30 @@ def reembed_run(
     done, start = _progress(spark, folder).agg(F.max("batch"), F.max("next_chunk_id")).first()
     last = plan.agg(F.max("batch")).first()[0]
     end = done if last is None else last
-    for batch in range(done + 1, 1 + (end if max_batches is None else min(end, done + max_batches))):
-        mine = plan.filter(F.col("batch") == batch).select("document_id")
-        low, high, count = mine.agg(F.min("document_id"), F.max("document_id"), F.count("*")).first()
+    end = end if max_batches is None else min(end, done + max_batches)
+    at_once = min(max(DOCUMENTS_A_JOB // batch_documents, 1), BATCHES_A_JOB)
+    # Many batches in one job are tasks enough; their files stay few.
+    digits = HEX_DIGITS if at_once == 1 else 1 if at_once < 64 else 0
+    for first in range(done + 1, 1 + end, at_once):
+        batches = F.col("batch").between(first, min(first + at_once - 1, end))
+        mine = plan.filter(batches)
+        low, high = mine.agg(F.min("document_id"), F.max("document_id")).first()
         theirs = chunks.filter(F.col("document_id").between(low, high)).select(
             "document_id", "chunk_index", "content", "embedding_model"
-        ).join(mine, "document_id", "left_semi")
-        pieces = rechunk(theirs, max_tokens, overlap, rechunk_legacy)
-        path = f"{folder}/chunks/batch={batch}"
-        new_chunk_rows(pieces, encoder, model, start, now).write.mode("overwrite").parquet(path)
-        written = spark.read.schema(CHUNK).parquet(path).count()
-        start += written
-        _note(spark, folder, (batch, count, written, high, start))
+        ).join(mine.select("document_id"), "document_id", "left_semi")
+        pieces = rechunk(theirs, max_tokens, overlap, rechunk_legacy).join(
+            mine.distinct(), "document_id"
+        )
+        new_chunk_rows(pieces, encoder, model, start, now, "batch", digits).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("batch").parquet(f"{folder}/chunks")
+        written = _written(spark, folder).filter(batches).groupBy("batch").agg(F.count("*").alias("chunks"))
+        counts = mine.groupBy("batch").agg(F.count("*").alias("documents"), F.max("document_id").alias("last_id"))
+        finished = []
+        for row in counts.join(written, "batch", "left").orderBy("batch").collect():  # a row a batch
+            start += row["chunks"] or 0
+            finished.append((row["batch"], row["documents"], row["chunks"] or 0, row["last_id"], start))
+        _note(spark, folder, *finished)
     return totals(spark, folder)
 
 
@@ -132,9 +153,7 @@ def applied(
         return documents, chunks
     now = F.current_timestamp() if now is None else now
     finished = spark.read.schema(PLAN).parquet(f"{folder}/plan").filter(F.col("batch") <= done).select("document_id")
-    written = spark.read.schema(CHUNK).option("basePath", f"{folder}/chunks").parquet(f"{folder}/chunks").filter(
-        F.col("batch") <= done
-    )
+    written = _written(spark, folder).filter(F.col("batch") <= done)
     touched = finished.select(F.col("document_id").alias("id"), F.lit(True).alias("_touched"))
     updated = documents.join(touched, "id", "left").withColumn(
         "updated_at", F.when(F.col("_touched"), now).otherwise(F.col("updated_at"))

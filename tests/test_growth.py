@@ -28,3 +28,38 @@ def test_lists_move_once_however_many_queries_ask(spark):
         pairs = match_and_rank(lists, query_literals(queries), listed, bounded=False)
         rows = [sorted((r[0], r[1], round(r[2], 12)) for r in x.collect()) for x in (found, pairs)]
         assert rows[0] == rows[1] and len(rows[0]) > len(asked)
+
+
+def test_next_ids_keeps_its_frames_growing(spark):
+    from quarrylamp.operators.sampling import next_ids
+
+    stored = [1, 5, 5, 70_000, (1 << 33) + 1, None]
+    asked = [0, 1, 2, 5, 6, 65_536, 70_001, (1 << 33) + 1, 1 << 34, None, 2]
+    ids = spark.createDataFrame([(i,) for i in stored], "id long")
+    found = next_ids(ids, spark.createDataFrame([(c,) for c in asked], "candidate long"))
+    known = [i for i in stored if i is not None]
+    expected = {c: min(i for i in known if i >= c) for c in asked if c is not None and c <= max(known)}
+    assert sorted(map(tuple, found.collect())) == sorted(expected.items())
+    assert "unboundedfollowing" not in _plan(found).lower()
+
+
+def test_small_batches_share_their_jobs(spark, tmp_path):
+    from quarrylamp.operators.encode import hash_encoder
+    from quarrylamp.plans.reembed_run import reembed_run
+    from quarrylamp.schemas import CHUNK, DOCUMENT
+
+    rows = [(k * 1000, k, 0, f"text {k}", [0.0], "old", None) for k in range(1, 41)]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    documents = spark.createDataFrame([(k, *[None] * 9) for k in range(1, 41)], DOCUMENT)
+    now = F.lit("2030-01-01").cast("timestamp")
+    folder = str(tmp_path / "run")
+    spark.sparkContext.setJobGroup("batches", "batches")
+    progress = reembed_run(documents, chunks, hash_encoder(8), "new", folder, batch_documents=2, now=now)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("batches"))
+    assert [tuple(r) for r in progress.orderBy("batch").collect()] == [
+        (k, 2 * k + 2, 2, 2, 2 * k + 2, 2 * k + 2) for k in range(20)
+    ]
+    assert jobs < 60  # 20 batches took some ten jobs each
+    written = spark.read.parquet(f"{folder}/chunks").select("batch", "id").collect()
+    assert sorted(i for _, i in written) == list(range(40_001, 40_041))
+    assert all((i - 40_001) // 2 == batch for batch, i in written)
