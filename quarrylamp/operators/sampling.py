@@ -113,11 +113,13 @@ def next_ids(vectors: DataFrame, candidates: DataFrame) -> DataFrame:
                             F.lit(None).cast("long").alias("id"), "candidate")
         )
     )
-    # At equal places the stored id counts for the candidate, hence the range frame.
+    # At equal places the stored id counts for the candidate, hence the range frame.  Windows run
+    # from the largest place down: a frame that only grows is kept up row by row, while one that
+    # shrinks is worked out anew for every row.
     ahead = (
         Window.partitionBy("range")
-        .orderBy("at")
-        .rangeBetween(Window.currentRow, Window.unboundedFollowing)
+        .orderBy(F.col("at").desc())
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
     found = merged.withColumn("next_id", F.min("id").over(ahead)).filter("candidate is not null")
     # Past the last id of its range a candidate takes the first id of the next range that has one.
@@ -126,14 +128,16 @@ def next_ids(vectors: DataFrame, candidates: DataFrame) -> DataFrame:
     block = F.floor(F.col("range") / width).alias("block")
     ranges = first_of.select(block, "range", "first_id", F.lit(None).cast("long").alias("candidate"))
     waiting = later.select(block, "range", F.lit(None).cast("long").alias("first_id"), "candidate")
-    in_block = Window.partitionBy("block").orderBy("range").rangeBetween(1, Window.unboundedFollowing)
+    in_block = (
+        Window.partitionBy("block").orderBy(F.col("range").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    )
     looked = (
         ranges.unionByName(waiting).withColumn("next_id", F.min("first_id").over(in_block))
         .filter("candidate is not null")
     )
     # 2 ** 32 ids make a block: few rows, also for very large tables.
     blocks = ranges.unionByName(waiting).groupBy("block").agg(F.min("first_id").alias("block_first"))
-    after = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     chained = blocks.select("block", F.min("block_first").over(after).alias("next_first"))
     following = looked.join(chained, "block", "left").select(
         "candidate", F.coalesce("next_id", "next_first").alias("next_id")
