@@ -34,13 +34,13 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_BLANKS, AFTER_SPACE, ONE_TO_GO, TWO
 ENDINGS = {1: "stmd", 2: ("re", "ve", "ll")}
 
 #: Entries that a worker's table of merged pieces may hold before it starts anew.
-CACHE = 1 << 18
+CACHE = 1 << 17
 
 #: Bytes up to which pieces are merged side by side; longer ones are merged alone, with a heap.
 SHORT_PIECE = 32
 
 #: Bytes of text, or ids, that are worked on at once: a batch takes some fifty times its size.
-AT_ONCE, IDS_AT_ONCE = 1 << 20, 1 << 18
+AT_ONCE, IDS_AT_ONCE = 1 << 19, 1 << 17
 
 
 def _machine() -> tuple[np.ndarray, np.ndarray]:
@@ -137,20 +137,32 @@ def piece_starts(points: np.ndarray, edges: np.ndarray, classes: np.ndarray) ->
     return np.flatnonzero(STARTS[kinds, states(kinds)])
 
 
-class Vocabulary:
-    """Ranks of byte strings, and the bytes of all tokens in one array with their places."""
+def _ranks(path: str) -> dict[bytes, int]:
+    """Ranks of byte strings in a file of them."""
+    with open(path, "rb") as lines:
+        pairs = (line.split() for line in lines if line.strip())
+        return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
-    def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            pairs = [line.split() for line in lines if line.strip()]
-        self.rank = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        size = max(self.rank.values(), default=-1) + 1
-        tokens = [b""] * size
-        for token, rank in self.rank.items():
-            tokens[rank] = token
+
+class Tokens:
+    """The bytes of all tokens in one array with their places: all that decoding needs."""
+
+    def __init__(self, rank: dict[bytes, int]):
+        tokens = [b""] * (max(rank.values(), default=-1) + 1)
+        for token, number in rank.items():
+            tokens[number] = token
         self.length = np.array([len(t) for t in tokens], np.int64)
         self.place = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+
+class Vocabulary(Tokens):
+    """Tokens with the ranks of byte strings, and the pieces merged so far."""
+
+    def __init__(self, path: str):
+        self.rank = _ranks(path)
+        super().__init__(self.rank)
+        size = len(self.length)
         self.single = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         # Every way in which two tokens make a third.
         ways = sorted(
@@ -255,6 +267,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> Tokens:
+    return Tokens(_ranks(path))
+
+
 def encode_texts(
     texts: list[str], vocabulary: Vocabulary, classes: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -317,10 +334,10 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(path)
+        known = token_bytes(path)
         for batch in batches:
             counts = np.diff(batch.column("ids").offsets.to_numpy())
-            parts = np.cumsum(counts) // (1 << 20)
+            parts = np.cumsum(counts) // IDS_AT_ONCE
             cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
             for first, last in zip(cuts, cuts[1:]):
                 if first == last:
