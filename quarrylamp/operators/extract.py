@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from quarrylamp.functions.urls import normalize_url, resolve_link
 
 HTML_TYPES = ("text/html", "application/xhtml+xml")
 
+#: Characters of HTML that are parsed before their fields are handed on.
+HTML_AT_ONCE = 1 << 20
+
 # Elements that leave an unopened body unopened.
 _HEAD_ONLY = frozenset(
     "html head title meta link base style script noscript template".split()
@@ -69,13 +73,38 @@ def _fields(html: str) -> tuple:
     return page.titles, page.description or "", "".join(page.body), page.links
 
 
-def _read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        fields = [_fields(html) for html in batch["html"]]
-        found = pd.DataFrame(fields, columns=["titles", "description", "body", "links"])
-        yield pd.concat(
-            [batch.drop(columns=["html"]).reset_index(drop=True), found], axis=1
-        )
+def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Stretches of rows with about HTML_AT_ONCE characters in all; one row may have more."""
+    first, held = 0, 0
+    for at, size in enumerate(sizes):
+        if held and held + size > HTML_AT_ONCE:
+            yield first, at
+            first, held = at, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def _read_pages(kept: list[str]):
+    """Task body over (kept columns, html): some pages at a time, however large a batch is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            html = batch.column("html")
+            sizes = pc.fill_null(pc.utf8_length(html), 0).to_pylist()
+            for first, last in _runs(sizes):
+                rows = batch.slice(first, last - first)
+                titles, descriptions, bodies, found = zip(*(_fields(page.as_py()) for page in rows.column("html")))
+                texts = pa.list_(pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(rows.column(c) for c in kept), pa.array(titles, texts), pa.array(descriptions, pa.string()),
+                        pa.array(bodies, pa.string()), pa.array(found, texts),
+                    ],
+                    [*kept, "titles", "description", "body", "links"],
+                )
+
+    return run
 
 
 def html_pages(pages: DataFrame, raw: bool = False) -> DataFrame:
@@ -103,7 +132,7 @@ def extract_pages(pages: DataFrame, raw: bool = False, keep: list[str] | None =
         [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "html"]
         + ["titles array<string>", "description string", "body string", "links array<string>"]
     )
-    found = kept.mapInPandas(_read_pages, schema)
+    found = kept.mapInArrow(_read_pages([c for c in kept.columns if c != "html"]), schema)
     if raw:
         return found.select(
             *keep, "url",

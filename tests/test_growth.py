@@ -63,3 +63,53 @@ def test_small_batches_share_their_jobs(spark, tmp_path):
     written = spark.read.parquet(f"{folder}/chunks").select("batch", "id").collect()
     assert sorted(i for _, i in written) == list(range(40_001, 40_041))
     assert all((i - 40_001) // 2 == batch for batch, i in written)
+
+
+def test_large_batches_of_queries_are_laid_out_in_blocks(spark):
+    from quarrylamp.operators.nearest import nearest
+
+    rows = spark.range(60_000).select(F.col("id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    found = nearest(rows.withColumnRenamed("id", "query_id"), rows, 10)
+    assert "CoGroups" in _plan(found)  # 600,000 winners would be held by every worker
+
+
+def test_pages_are_parsed_some_at_a_time():
+    import pyarrow as pa
+
+    from quarrylamp.operators.extract import HTML_AT_ONCE, _read_pages
+
+    page = "<title>t</title><body>" + "x" * (HTML_AT_ONCE // 4) + "<a href='/a'>y</a><a>"
+    html = [page] * 9 + [None, page * 5, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(html)], ["page_id", "html"])
+    found = list(_read_pages(["page_id"])(iter([batch])))
+    assert [i for part in found for i in part.column("page_id").to_pylist()] == list(range(12))
+    assert len(found) > 3 and all(
+        part.num_rows == 1 or sum(map(len, part.column("body").to_pylist())) <= HTML_AT_ONCE for part in found
+    )
+    assert found[0].column("links").to_pylist()[0] == ["/a", None]
+    assert [part.column("titles").to_pylist() for part in found][-1][-1] == []
+
+
+def test_places_are_told_some_at_a_time():
+    import pyarrow as pa
+
+    from quarrylamp.operators.postings import _unnested
+
+    size, lists = 1 << 15, 12
+    columns = [pa.array(range(lists)), pa.array([[2] * size] * lists, pa.list_(pa.int32())), pa.array(["D" * size] * lists)]
+    found = list(_unnested(["unit_id"])(iter([pa.RecordBatch.from_arrays(columns, ["unit_id", "gaps", "weights"])])))
+    assert len(found) > 1 and sum(part.num_rows for part in found) == size * lists
+    assert all(part.column("pos").to_pylist()[:2] == [2, 4] for part in found)
+
+
+def test_decoding_holds_no_ranks(tmp_path):
+    import base64
+
+    from quarrylamp.llm.bytebpe import Vocabulary, token_bytes
+
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"abc"]
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % k for k, t in enumerate(tokens)))
+    light, whole = token_bytes(str(path)), Vocabulary(str(path))
+    assert not hasattr(light, "rank") and not hasattr(light, "pairs")
+    assert light.length.tolist() == whole.length.tolist() and light.bytes.tobytes() == whole.bytes.tobytes()
