@@ -21,13 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylamp.functions.vectors import SCORE_DIGITS
+from quarrylamp.operators.sizing import give_back
 from quarrylamp.operators.topk import top_k
 from quarrylamp.sources.halves import halved
 
-BROADCAST_BYTES = 64 << 20
+# A worker holds the batch in double precision and some times its winners, and a machine has as
+# many workers as cores: beyond these bounds the grid is used, whose fields are small.
+BROADCAST_BYTES = 16 << 20
 VECTOR_BLOCK = 50_000
-QUERY_BLOCK = 4_096
-WINNERS = 1 << 21  # rows that one task may hold as winners: queries times k
+QUERY_BLOCK = 16_384
+WINNERS = 1 << 19  # rows that one task may hold as winners: queries times k
+PENDING = 1 << 18  # rows that wait to be cut to the winners, or twice the winners if these are more
 _TILE = 1 << 21
 
 NAN_FIRST = "first"  # an undefined similarity beats every number and is reported as NaN
@@ -49,7 +53,7 @@ class _Best:
     def offer(self, query: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
         self.parts.append((query, row, score))
         self.pending += len(query)
-        if self.pending > max(1_000_000, 4 * int(self.limits.sum())):
+        if self.pending > max(PENDING, 2 * int(self.limits.sum())):
             self.compact()
 
     def compact(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,6 +141,7 @@ def _scan_task(queries: dict, nan_order: str, minimum: float | None, skip_self:
             [pa.array(query_ids[query]), pa.array(row), pa.array(score)],
             names=["query_id", "id", "_order"],
         )
+        give_back()
 
     return run
 
@@ -155,6 +160,7 @@ def _grid_task(nan_order: str, minimum: float | None, skip_self: bool, half: boo
         vectors = _unit(np.vstack(left["embedding"].to_numpy()), half)
         _score_block(best, ids, vectors, queries, query_ids, nan_order, skip_self)
         query, row, score = best.compact()
+        give_back()
         return pd.DataFrame({"query_id": query_ids[query], "id": row, "_order": score})
 
     return run
