@@ -15,8 +15,8 @@ Lexicon = Callable[[Column], Column]
 
 WEIGHT_CLASSES = ("A", "B", "C", "D")
 
-#: Words that are sorted at once while lists are built; one unit may have more.
-WORDS_AT_ONCE = 1 << 20
+#: Words that are sorted, and places that are told, at once; one unit, or list, may have more.
+WORDS_AT_ONCE = 1 << 17
 
 
 def simple_lexicon(tokens: Column) -> Column:
@@ -137,16 +137,18 @@ def summed_gaps(gaps: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _unnested(kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, pos = summed_gaps(batch.column("gaps"))
-            letters = np.frombuffer("".join(batch.column("weights").to_pylist()).encode(), np.uint8)
-            weight = pa.StringArray.from_buffers(
-                len(pos), pa.py_buffer(np.arange(len(pos) + 1, dtype=np.int32)), pa.py_buffer(letters.tobytes())
-            )
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(pa.array(row)) for c in kept), pa.array(pos, pa.int32()), weight],
-                [*kept, "pos", "weight"],
-            )
+        for whole in batches:
+            for first, last in _runs(np.diff(whole.column("gaps").offsets.to_numpy()), WORDS_AT_ONCE):
+                batch = whole.slice(first, last - first)
+                row, pos = summed_gaps(batch.column("gaps"))
+                letters = np.frombuffer("".join(batch.column("weights").to_pylist()).encode(), np.uint8)
+                weight = pa.StringArray.from_buffers(
+                    len(pos), pa.py_buffer(np.arange(len(pos) + 1, dtype=np.int32)), pa.py_buffer(letters.tobytes())
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(pa.array(row)) for c in kept), pa.array(pos, pa.int32()), weight],
+                    [*kept, "pos", "weight"],
+                )
 
     return run
 
