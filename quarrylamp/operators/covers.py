@@ -1,6 +1,6 @@
 """Boolean match and cover density of many (query, unit) pairs at once, from their posting lists.
 
-`fold_units` takes the lists of a unit once and lets every query of a batch pick its own there;
+`fold_units` takes the lists of a unit, packed by `pack_hits`, once and lets every query of a batch pick its own there;
 `fold_batches` takes pairs that bring their lists and their query along.
 
 All hits of a batch lie in one array, ordered by query, unit and position.  Occurrences of
@@ -16,12 +16,16 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from quarrylamp.operators.postings import summed_gaps
+from quarrylamp.operators.postings import WORDS_AT_ONCE, runs, summed_gaps
 
 #: Distance between the places of two pairs; no unit has so many positions.
 APART = 1 << 32
 
+#: What `pack_hits` gives for a unit.
+PACKED = ["lists", "steps", "letters"]
+
 
 class Hits:
     """Hits of the pairs of one query in order of pair and position."""
@@ -158,12 +162,12 @@ def _folded(batch: pa.RecordBatch, inverse: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _parts(batch: pa.RecordBatch, hits_at_once: int) -> Iterator[tuple[int, int]]:
-    """Some rows at a time: a batch of long lists would take several times its size."""
-    hits = batch.column("hits")
-    gaps = hits.flatten()
-    places = np.diff(gaps.field(gaps.type.get_field_index("gaps")).offsets.to_numpy())
-    ends = np.append(0, np.cumsum(places))[np.cumsum(np.diff(hits.offsets.to_numpy()))]
+def _parts(batch: pa.RecordBatch, sizes: np.ndarray, hits_at_once: int) -> Iterator[tuple[int, int]]:
+    """Some rows at a time: a batch of long lists would take several times its size.
+
+    `sizes` has the number of places in each element of `hits`.
+    """
+    ends = np.append(0, np.cumsum(sizes))[np.cumsum(np.diff(batch.column("hits").offsets.to_numpy()))]
     part = ends // hits_at_once
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     return ((first, last) for first, last in zip(cuts, cuts[1:]) if last > first)
@@ -177,12 +181,74 @@ def fold_batches(weights: dict[str, float], hits_at_once: int = 1 << 20):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last in _parts(batch, hits_at_once):
+            gaps = batch.column("hits").flatten()
+            sizes = np.diff(gaps.field(gaps.type.get_field_index("gaps")).offsets.to_numpy())
+            for first, last in _parts(batch, sizes, hits_at_once):
                 yield _folded(batch.slice(first, last - first), inverse)
 
     return run
 
 
+def _packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit numbers as bytes, seven bits in each and the lowest first, and how many bytes each takes.
+
+    The top bit of a byte says that the number goes on.
+    """
+    values = values.astype(np.uint32)
+    size = 1 + sum((values >= 1 << bits).astype(np.int64) for bits in (7, 14, 21, 28))
+    start = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for k in range(5):
+        there = np.flatnonzero(size > k)
+        out[start[there] + k] = (values[there] >> (7 * k)) & 127 | np.where(size[there] > k + 1, 128, 0)
+    return out, size
+
+
+def _unpacked(raw: np.ndarray) -> np.ndarray:
+    ends = np.flatnonzero(raw < 128)
+    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+    values = np.zeros(len(ends), np.uint32)
+    for k in range(5):
+        there = np.flatnonzero(ends - starts >= k)
+        values[there] |= (raw[starts[there] + k] & 127).astype(np.uint32) << (7 * k)
+    return values.view(np.int32).astype(np.int64)
+
+
+def _binaries(data: np.ndarray, taken: np.ndarray, owner: np.ndarray, owners: int) -> pa.BinaryArray:
+    """The bytes of every owner, of parts that take some each and lie in order of their owners."""
+    offsets = np.append(0, np.cumsum(np.bincount(owner, taken, owners))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), owners, [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+
+
+def pack_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body over (unit_id, code, gaps, weights): the lists of a unit that lie in one batch as one row.
+
+    `lists` has the code and the length of each list and `steps` the gaps of all, as numbers of few
+    bytes, `letters` all their weights, so that little moves when the rows of a unit are gathered.
+    """
+    for whole in batches:
+        for first, last in runs(np.diff(whole.column("gaps").offsets.to_numpy()), WORDS_AT_ONCE):
+            batch = whole.slice(first, last - first)
+            # Units without an id are one, as in a grouping.
+            unit = batch.column("unit_id").dictionary_encode("encode")
+            number = unit.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(number, kind="stable")
+            gaps, weights = (batch.column(c).take(pa.array(order)) for c in ("gaps", "weights"))
+            number, units = number[order], len(unit.dictionary)
+            sizes = np.diff(gaps.offsets.to_numpy())
+            heads = np.stack([batch.column("code").to_numpy()[order], sizes], 1).ravel()
+            letters = np.frombuffer("".join(weights.to_pylist()).encode(), np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    unit.dictionary,
+                    _binaries(*_packed(heads), np.repeat(number, 2), units),
+                    _binaries(*_packed(gaps.flatten().to_numpy()), np.repeat(number, sizes), units),
+                    _binaries(letters, np.ones(len(letters), np.int64), np.repeat(number, sizes), units),
+                ],
+                ["unit_id", *PACKED],
+            )
+
+
 class _Query:
     """A query of a batch, with its words as codes."""
 
@@ -200,20 +266,37 @@ class _Query:
         self.codes = sorted({code for g in groups.values() for words, _ in g for code, _ in words})
 
 
+def _bytes(column: pa.BinaryArray) -> np.ndarray:
+    """The bytes of all values, one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+
+
+def _numbers(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers packed in all values, one after the other, and how many each value has."""
+    raw = _bytes(column)
+    before = np.append(0, np.cumsum(raw < 128))
+    ends = np.cumsum([len(value) for value in column.to_pylist()], dtype=np.int64)
+    return _unpacked(raw), np.diff(before[ends], prepend=0)
+
+
 class _Lists:
     """Hits of some units, in order of unit and position, and where each word has its own."""
 
     def __init__(self, batch: pa.RecordBatch, inverse: np.ndarray, words: int):
         hits = batch.column("hits")
-        lists = hits.flatten()
-        gaps, weights, codes = (lists.field(lists.type.get_field_index(c)) for c in ("gaps", "weights", "code"))
+        rows = hits.flatten()
+        heads, steps, letters = (rows.field(rows.type.get_field_index(c)) for c in PACKED)
         self.n = batch.num_rows
         owner = np.repeat(np.arange(self.n), np.diff(hits.offsets.to_numpy()))
-        of_list, pos = summed_gaps(gaps)
-        unit, code = owner[of_list], codes.to_numpy(zero_copy_only=False).astype(np.int64)[of_list]
+        numbers, count = _numbers(heads)
+        codes, sizes = numbers[::2], numbers[1::2]
+        owner = np.repeat(owner, count // 2)
+        bounds = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        of_list, pos = summed_gaps(pa.ListArray.from_arrays(pa.array(bounds), pa.array(_numbers(steps)[0])))
+        unit, code = owner[of_list], codes[of_list]
         order = np.argsort(unit * APART + pos, kind="stable")
         self.unit, self.pos, self.code = unit[order], pos[order], code[order]
-        self.inverse = inverse[np.frombuffer("".join(weights.to_pylist()).encode(), np.uint8)][order]
+        self.inverse = inverse[_bytes(letters)][order]
         self.by_code = np.argsort(self.code, kind="stable")
         self.bounds = np.searchsorted(self.code[self.by_code], np.arange(words + 1))
 
@@ -262,7 +345,7 @@ def fold_units(
     literals: list[tuple], codes: dict[str, int], weights: dict[str, float],
     hits_at_once: int = 1 << 19, rows_at_once: int = 1 << 16,
 ):
-    """Task body over (unit_id, hits(code, gaps, weights), listed): ranks of all queries of a batch.
+    """Task body over (unit_id, hits(lists, steps, letters), listed): ranks of all queries of a batch.
 
     `literals` holds (query_id, group_no, literal_no, [(lexeme, offset)], negated).  Listed units
     also answer the groups that only exclude, with rank 0.  A query without id matches no hit.
@@ -299,7 +382,9 @@ def fold_units(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last in _parts(batch, hits_at_once):
+            rows_of = batch.column("hits").flatten()
+            letters = rows_of.field(rows_of.type.get_field_index("letters"))
+            for first, last in _parts(batch, pc.binary_length(letters).to_numpy(), hits_at_once):
                 part = batch.slice(first, last - first)
                 held, count = [], 0
                 for one in found(part):

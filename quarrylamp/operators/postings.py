@@ -24,7 +24,7 @@ def simple_lexicon(tokens: Column) -> Column:
     return tokens
 
 
-def _runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+def runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Stretches of rows with about `limit` words in all."""
     first, held = 0, 0
     for at, size in enumerate(sizes.tolist()):
@@ -81,7 +81,7 @@ def _listed(keep: list[str], classes: list[str]):
         for batch in batches:
             columns = [batch.column(f"_lexemes{k}") for k in range(len(classes))]
             sizes = sum(np.diff(c.offsets.to_numpy()) for c in columns)
-            for first, last in _runs(sizes, WORDS_AT_ONCE):
+            for first, last in runs(sizes, WORDS_AT_ONCE):
                 yield lists(batch.slice(first, last - first))
 
     return run
@@ -138,7 +138,7 @@ def summed_gaps(gaps: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 def _unnested(kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first, last in _runs(np.diff(whole.column("gaps").offsets.to_numpy()), WORDS_AT_ONCE):
+            for first, last in runs(np.diff(whole.column("gaps").offsets.to_numpy()), WORDS_AT_ONCE):
                 batch = whole.slice(first, last - first)
                 row, pos = summed_gaps(batch.column("gaps"))
                 letters = np.frombuffer("".join(batch.column("weights").to_pylist()).encode(), np.uint8)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylamp.functions.text import words
-from quarrylamp.operators.covers import fold_batches, fold_units
+from quarrylamp.operators.covers import PACKED, fold_batches, fold_units, pack_hits
 from quarrylamp.operators.postings import Lexicon, lexeme_bucket, simple_lexicon
 from quarrylamp.operators.sizing import checked_rows, lookup_join, settle
 from quarrylamp.operators.topk import top_k
@@ -96,8 +96,11 @@ def _by_unit(
     codes = {word: code for code, word in enumerate(sorted({w for _, _, _, lexemes, _ in asked for w, _ in lexemes}))}
     spark = postings.sparkSession
     numbered = spark.createDataFrame(list(codes.items()), "lexeme string, code int")
-    hit = F.struct("code", "gaps", "weights").alias("hit")
-    rows = _hits(postings, numbered, True).select("unit_id", hit, F.lit(False).alias("listed"))
+    found = _hits(postings, numbered, True).select("unit_id", "code", "gaps", "weights")
+    kind = found.schema["unit_id"].dataType.simpleString()
+    # Packed before they are gathered: lists of places as numbers take several times as much.
+    packed = found.mapInArrow(pack_hits, f"unit_id {kind}, " + ", ".join(f"{c} binary" for c in PACKED))
+    rows = packed.select("unit_id", F.struct(*PACKED).alias("hit"), F.lit(False).alias("listed"))
     if units is not None:
         # Units without any asked word answer the groups that only exclude.
         none = F.lit(None).cast(rows.schema["hit"].dataType).alias("hit")

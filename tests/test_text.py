@@ -154,3 +154,31 @@ def test_fold_takes_many_pairs_in_parts(spark):
     assert whole == parts and len({r["text_rank"] for r in whole}) == 1
     words = "a x b x x a".split()
     assert whole[0]["text_rank"] == brute_rank(words, [["a", "b"]])
+
+
+def test_lists_are_packed_before_they_are_gathered():
+    import numpy as np
+    import pyarrow as pa
+
+    from quarrylamp.operators import covers
+
+    numbers = np.array([0, 1, 127, 128, 16383, 16384, 1 << 21, (1 << 28) - 1, 1 << 28, (1 << 31) - 1, 5])
+    raw, taken = covers._packed(numbers)
+    assert covers._unpacked(raw).tolist() == numbers.tolist() and taken.tolist() == [1, 1, 1, 2, 2, 3, 4, 4, 5, 5, 1]
+    # Unit 7 has its lists apart, one without a place; unit 9 a far place.
+    units, codes = [7, 9, 7, 7, None], [3, 300, 1, 2, 0]
+    gaps, weights = [[1, 2, 200], [70_000], [4], [], [6]], ["ABA", "D", "C", "", "B"]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(units, pa.int64()), pa.array(codes, pa.int32()), pa.array(gaps, pa.list_(pa.int32())), pa.array(weights)],
+        ["unit_id", "code", "gaps", "weights"],
+    )
+    rows = pa.Table.from_batches(covers.pack_hits(iter([batch]))).combine_chunks()
+    assert rows.column("unit_id").to_pylist() == [7, 9, None]
+    one = pa.array([[{c: r[c] for c in covers.PACKED}] for r in rows.to_pylist()],
+                   pa.list_(pa.struct([(c, pa.binary()) for c in covers.PACKED])))
+    inverse = np.zeros(256)
+    inverse[[ord(c) for c in "ABCD"]] = 1, 2, 3, 4
+    found = covers._Lists(pa.RecordBatch.from_arrays([one], ["hits"]), inverse, 301)
+    got = list(zip(found.unit.tolist(), found.pos.tolist(), found.code.tolist(), found.inverse.tolist()))
+    assert got == [(0, 1, 3, 1), (0, 3, 3, 2), (0, 4, 1, 3), (0, 203, 3, 1), (1, 70_000, 300, 4), (2, 6, 0, 2)]
+    assert sum(rows.column(c).nbytes for c in covers.PACKED) < batch.nbytes
