@@ -24,7 +24,8 @@ def top_k(
     as 1).  With `spread_by` the rows of a key are cut in `salts` independent pieces first
     and only the survivors meet in the final window; Spark additionally cuts each piece
     before the shuffle when `k` is a literal, or when `bound` states the largest value of
-    the column `k`; a row with a larger value raises an error.
+    the column `k`; a row with a larger value raises an error.  Where it does, all that a task has
+    of a key is one piece, so that a task sends `k` rows of a key and not `k` for every salt.
     """
 
     def within(place: Column) -> Column:
@@ -39,9 +40,8 @@ def top_k(
 
     rows = df
     if spread_by:
-        rows = rows.withColumn(
-            "_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-        )
+        piece = F.xxhash64(*spread_by) if isinstance(k, str) and bound is None else F.spark_partition_id()
+        rows = rows.withColumn("_salt", F.pmod(piece, F.lit(salts)).cast("int"))
         local = Window.partitionBy(*keys, "_salt").orderBy(*order)
         rows = (
             rows.withColumn("_local", F.row_number().over(local))

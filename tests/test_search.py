@@ -232,3 +232,12 @@ def test_rings_are_read_until_none_can_be_better(spark):
     _, used = search_rings(index, asked.filter("query_id < 5000"), 5, counted=True)
     # Clusters are narrow: a query reads far less than half of the rings.
     assert max(r.rings for r in used.collect()) < len(index.rings) / 2
+
+
+def test_a_task_sends_its_best_rows_once_for_a_key(spark):
+    df = spark.range(0, 6_000, 1, 3).select(F.lit(1).alias("q"), "id", (F.col("id") * 7 % 6_000).alias("s"))
+    cut = top_k(df, ["q"], [F.col("s").desc(), F.col("id")], 5, spread_by=["id"])
+    assert [r.s for r in cut.orderBy("rank").collect()] == [5_999, 5_998, 5_997, 5_996, 5_995]
+    # All rows of a task are one piece: the limit before the shuffle leaves five of them, not five a salt.
+    before_shuffle = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "SPARK_PARTITION_ID()" in before_shuffle and "xxhash64" not in before_shuffle
