@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylamp.llm.common import slices, whole_text
+from quarrylamp.llm.common import give_back, slices, whole_text
 
 _DIGIT = re.compile(rb"\d")
 #: Lines from this many tokens on have branches.
@@ -147,34 +147,36 @@ _SENT = "key long, doc long, text_key long, line int, tags binary"
 
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: lines that its own tree covers (tags null), and for all other keys the lines to merge."""
-    keys, counts, rows, numbers = [], [], [], []
+    keys, lined = [], []
     tags: list[bytes] = []
     docs: list[int] = []
     texts: list[int] = []
     for batch in slices(batches, "text"):
         own_keys: list[int] = []
+        own_lines: list[tuple[int, int, int]] = []
         for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
             raw = (text or "").encode("utf-8", "surrogatepass")
             for number, line in enumerate(raw.split(b"\n")):
                 tag, found = paths(line)
                 if found:
                     own_keys += found
-                    counts.append(len(found))
-                    rows.append(len(docs))
-                    numbers.append(number)
+                    own_lines.append((len(found), len(docs), number))
                     tags.append(tag)
             docs.append(doc)
             value = xxhash.xxh64_intdigest(raw, 42)  # as Spark's xxhash64
             texts.append(value - (1 << 64) if value >> 63 else value)
+        # As arrays: a Python number for every key and line would take several times as much.
         keys.append(np.array(own_keys, np.int64))
-    if not counts:
+        lined.append(np.array(own_lines, np.int32).reshape(-1, 3))
+    if not tags:
         return
-    key, count = np.concatenate(keys), np.array(counts)
+    key = np.concatenate(keys)
+    count, rows, number_of = np.concatenate(lined).T
+    del keys, lined
     owner = np.repeat(np.arange(len(count)), count)
     branch = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
     doc_of, text_of = np.array(docs, np.int64)[rows], np.array(texts, np.int64)[rows]
-    number_of = np.array(numbers, np.int32)
-
+    del docs, texts
     order = np.lexsort((number_of[owner], text_of[owner], doc_of[owner], key))
     key, owner, branch = key[order], owner[order], branch[order]
     doc = doc_of[owner]
@@ -209,6 +211,8 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["key", "doc", "text_key", "line", "tags"],
             )
+    del tags, key, count, rows, number_of, owner, branch, order, doc_of, text_of, doc, covered, settled, sent
+    give_back()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +238,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = slice(start, start + size)
             gone[part] = joined(doc[part], batch.column("tags").slice(start, size).to_pylist(), templates)
         yield batch.select(["doc", "text_key", "line"]).filter(pa.array(gone))
+    give_back()
 
 
 def recurring_lines(documents: DataFrame) -> DataFrame:
@@ -262,6 +267,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("rest"), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())],
             ["rest", "text", "n_lines", "n_dropped"],
         )
+    give_back()
 
 
 def deduped(documents: DataFrame) -> DataFrame:

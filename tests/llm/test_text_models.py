@@ -398,3 +398,19 @@ def test_licence_notices(spark):
     table = spark.createDataFrame(rows, TEXT).withColumn("licence", F.lit("x")).withColumn("digest", F.lit("y"))
     got = {r.doc_id: r.licences for r in licences.scan(table, licences.known_licences(spark)).collect()}
     assert got == {1: "GPL-3.0", 2: "MIT", 3: "BSD-2-Clause", 4: "Apache-2.0", 5: "CC-BY-4.0", 6: "MIT", 7: ""}
+
+
+def test_line_dedup_gives_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from quarrylamp.llm import linededup
+
+    given = []
+    monkeypatch.setattr(linededup, "give_back", lambda: given.append(1))
+    text = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one same line here now\nx", "one same line here now\ny"])], ["doc", "text"])
+    sent = list(linededup._grow(iter([text])))
+    # The second line is settled, and so are its branches: all that the first one sends, and two short lines.
+    assert given == [1] and [r["line"] for b in sent for r in b.to_pylist() if r["tags"] is None] == [0]
+    list(linededup._merge(iter([])))
+    list(linededup._rebuild(iter([])))
+    assert len(given) == 3
