@@ -33,6 +33,8 @@ QUERY_BLOCK = 16_384
 WINNERS = 1 << 19  # rows that one task may hold as winners: queries times k
 PENDING = 1 << 18  # rows that wait to be cut to the winners, or twice the winners if these are more
 _TILE = 1 << 21
+_SHARE = 16  # one in so many rows of a block tells below which score no other row is needed
+_ROUNDED = 2 * 10.0**-SCORE_DIGITS  # more than rounding changes a score
 
 NAN_FIRST = "first"  # an undefined similarity beats every number and is reported as NaN
 NAN_LAST = "last"  # an undefined similarity sorts behind every number and is reported as 0
@@ -87,22 +89,36 @@ def _score_block(best, ids, vectors, queries, query_ids, nan_order, skip_self, m
     wanted = np.arange(len(queries)) if members is None else members
     for start in range(0, len(wanted), width):
         part = wanted[start : start + width]
-        scores = np.round(vectors @ queries[part].T, SCORE_DIGITS)
-        scores[np.isnan(scores)] = np.inf if nan_order == NAN_FIRST else -np.inf
+        scores = vectors @ queries[part].T
+        undefined = np.isnan(scores)
+        if undefined.any():
+            scores[undefined] = np.inf if nan_order == NAN_FIRST else -np.inf
+        # Whatever the rest of the block holds, no row below the k-th best of some rows is among the
+        # best; a query's own row may be one of them.  Most rows go here, before they are rounded.
+        limit = int(best.limits[part].max(initial=1))
+        some = min(len(ids), max(len(ids) // _SHARE, 4 * (limit + 1)))
+        least = best.floor[part]
+        if best.minimum is not None:
+            least = np.maximum(least, best.minimum)
+        if some > limit + 1:
+            place = some - limit - 1
+            least = np.maximum(least, np.partition(scores[:some], place, axis=0)[place])
+        row, column = np.nonzero(scores >= least - _ROUNDED)
+        score = np.round(scores[row, column], SCORE_DIGITS)
         # A tie with the current k-th row still counts: the smaller id may win.
-        keep = scores >= best.floor[part]
+        keep = score >= best.floor[part][column]
         if best.minimum is not None:
-            keep &= scores > best.minimum
+            keep &= score > best.minimum
         if skip_self:
-            keep &= ids[:, None] != query_ids[part][None, :]
-        limit = int(best.limits[part].max(initial=1))
-        if len(ids) > limit:
-            masked = np.where(keep, scores, -np.inf)
-            cut = np.partition(masked, len(ids) - limit, axis=0)[len(ids) - limit]
-            keep &= scores >= cut
-        row, column = np.nonzero(keep)
+            keep &= ids[row] != query_ids[part[column]]
+        query, row, score = column[keep], ids[row[keep]], score[keep]
+        if len(row) > limit * len(part):
+            order = np.lexsort((row, -score, query))
+            query, row, score = query[order], row[order], score[order]
+            first = np.arange(len(query)) - np.searchsorted(query, query) < limit
+            query, row, score = query[first], row[first], score[first]
         if len(row):
-            best.offer(part[column], ids[row], scores[row, column])
+            best.offer(part[query], row, score)
 
 
 def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:

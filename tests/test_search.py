@@ -241,3 +241,27 @@ def test_a_task_sends_its_best_rows_once_for_a_key(spark):
     # All rows of a task are one piece: the limit before the shuffle leaves five of them, not five a salt.
     before_shuffle = cut._jdf.queryExecution().optimizedPlan().toString()
     assert "SPARK_PARTITION_ID()" in before_shuffle and "xxhash64" not in before_shuffle
+
+
+@pytest.mark.parametrize("minimum, nan_order", [(None, "last"), (None, "first"), (0.3, "last")])
+def test_most_scores_of_a_block_are_only_compared(monkeypatch, minimum, nan_order):
+    from quarrylamp.operators import nearest as module
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(1_000, 16)).repeat(2, 0)  # every row twice: ties
+    vectors[5] = 0
+    unit, ids, k = module._unit(vectors, False), rng.permutation(2_000), 4
+    worked = []
+    for name in ("round", "partition"):
+        plain = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda x, *a, _plain=plain, **b: worked.append(np.size(x)) or _plain(x, *a, **b))
+    best = module._Best(np.full(100, k), minimum)
+    module._score_block(best, ids, unit, unit[:100], ids[:100], nan_order, True)
+    query, row, score = best.compact()
+    monkeypatch.undo()
+    assert sum(worked) < 0.3 * 2_000 * 100
+    scores = np.round(unit @ unit[:100].T, 9)
+    scores[np.isnan(scores)] = np.inf if nan_order == "first" else -np.inf
+    for q in range(100):
+        rows = sorted((-s, i) for s, i in zip(scores[:, q], ids) if i != ids[q] and (minimum is None or s > minimum))[:k]
+        assert [(-s, i) for s, i in zip(score[query == q], row[query == q])] == rows
