@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,6 +128,92 @@ def positions(postings: DataFrame) -> DataFrame:
     return postings.select(*kept, "gaps", "weights").mapInArrow(_unnested(kept), f"{types}pos int, weight string")
 
 
+def lexeme_totals(places: DataFrame) -> DataFrame:
+    """`(lexeme, units, documents, places, pos_sum)` of rows (lexeme, unit_id, document_id, pos, ...).
+
+    Units have an id.  A task packs the different units and documents of a lexeme, some places at a
+    time, into a row for every 2 ** BLOCK_BITS ids; what many rows hold of a block is counted after they
+    have met.  So a frequent lexeme has many blocks, which lie in many tasks.
+    """
+    packed = places.select("lexeme", "unit_id", "document_id", "pos").mapInArrow(
+        _pack_places, "lexeme string, unit boolean, block long, ids binary, n long, pos long"
+    )
+    blocks = packed.groupBy("lexeme", "unit", "block").agg(
+        F.collect_list("ids").alias("ids"), F.sum("n").alias("n"), F.sum("pos").alias("pos")
+    )
+    counted = blocks.mapInArrow(_count_ids, "lexeme string, unit boolean, different long, n long, pos long")
+    of = lambda side: F.coalesce(F.sum(F.when(side, F.col("different"))), F.lit(0))
+    return counted.groupBy("lexeme").agg(
+        of(F.col("unit")).alias("units"), of(~F.col("unit")).alias("documents"),
+        F.sum("n").alias("places"), F.sum("pos").alias("pos_sum"),
+    )
+
+
+#: Neighbouring ids that are counted together have all but so many low bits in common.
+BLOCK_BITS = 20
+
+
+def _pack_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body over (lexeme, unit_id, document_id, pos): the ids of a lexeme in a block as one row."""
+
+    def packed(table: pa.Table, unit: bool) -> pa.RecordBatch:
+        table = table.filter(pc.is_valid(table.column("unit_id" if unit else "document_id")))
+        coded = table.column("lexeme").combine_chunks().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        ids = table.column("unit_id" if unit else "document_id").to_numpy()
+        order = np.lexsort((ids, code))
+        code, ids, pos = code[order], ids[order], table.column("pos").to_numpy().astype(np.int64)[order]
+        block = ids >> BLOCK_BITS
+        other = np.append(True, code[1:] != code[:-1])[: len(code)]
+        fresh = other | np.append(True, ids[1:] != ids[:-1])[: len(ids)]
+        starts = np.flatnonzero(other | np.append(True, block[1:] != block[:-1])[: len(ids)])
+        # The first number of a list, then the steps to the next ones: mostly zero bytes.
+        held = np.append(0, np.cumsum(fresh))[np.append(starts, len(ids))]
+        number = ids[fresh] & ((1 << BLOCK_BITS) - 1)
+        low = np.diff(number, prepend=0)
+        low[held[:-1]] = number[held[:-1]]
+        low = low.astype("<u4")
+        lists = pa.Array.from_buffers(
+            pa.binary(), len(starts), [None, pa.py_buffer((4 * held).astype(np.int32)), pa.py_buffer(low.tobytes())]
+        )
+        # Places are counted with the units.
+        ends, total = np.append(starts, len(ids)), np.append(0, np.cumsum(pos))
+        n, summed = (np.diff(ends), np.diff(total[ends])) if unit else (np.zeros((2, len(starts)), np.int64))
+        return pa.RecordBatch.from_arrays(
+            [coded.dictionary.take(pa.array(code[starts])), pa.array(np.full(len(starts), unit)),
+             pa.array(block[starts]), lists, pa.array(n), pa.array(summed)],
+            ["lexeme", "unit", "block", "ids", "n", "pos"],
+        )
+
+    held, rows = [], 0
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= 8 * WORDS_AT_ONCE or batch is None and rows:
+            table = pa.Table.from_batches(held)
+            yield packed(table, True)
+            yield packed(table, False)
+            held, rows = [], 0
+
+
+def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body over (lexeme, unit, block, ids, n, pos): how many different ids the lists of a row hold."""
+    for batch in batches:
+        lists = batch.column("ids")
+        held = lists.flatten()
+        sizes = pc.binary_length(held).to_numpy() // 4
+        low = np.cumsum(np.frombuffer(b"".join(held.to_pylist()), "<u4").astype(np.int64))
+        low -= np.repeat(np.append(0, low)[np.cumsum(sizes) - sizes], sizes)
+        row = np.repeat(np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), sizes)
+        different = np.unique(row << BLOCK_BITS | low) >> BLOCK_BITS
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("lexeme"), batch.column("unit"), pa.array(np.bincount(different, minlength=batch.num_rows)),
+             batch.column("n"), batch.column("pos")],
+            ["lexeme", "unit", "different", "n", "pos"],
+        )
+
+
 def summed_gaps(gaps: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """(number of the list, position) of every entry of lists of gaps."""
     sizes = np.diff(gaps.offsets.to_numpy())

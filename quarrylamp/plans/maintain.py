@@ -16,7 +16,7 @@ from quarrylamp.operators.postings import (
     laid_out_like,
     simple_lexicon,
 )
-from quarrylamp.operators.sizing import lookup_join
+from quarrylamp.operators.sizing import marked, without
 from quarrylamp.operators.topk import best_row
 from quarrylamp.plans.ingest import Changes, new_chunk_rows, replace_chunks
 from quarrylamp.schemas import CHUNK_COLUMNS
@@ -151,16 +151,16 @@ def refreshed_postings(
 
     Chunk postings go with their document, document postings also for a change of title or
     description alone.  What did not change is neither read as text nor moved: the changed ids
-    are few and looked up.
+    are looked up as words of bits.
     """
     void_chunks, void_documents = changes.replaced, changes.documents.select(F.col("id").alias("unit_id"))
     if gone is not None:
         void_chunks = void_chunks.unionByName(gone.select(F.col("id").alias("document_id")))
         void_documents = void_documents.unionByName(gone.select(F.col("id").alias("unit_id")))
-    chunks = lookup_join(chunk_index, void_chunks, ["document_id"], "left_anti").unionByName(
+    chunks = without(chunk_index, void_chunks, "document_id").unionByName(
         laid_out_like(chunk_index, chunk_postings(changes.chunks, lexicon))
     )
-    documents = lookup_join(document_index, void_documents, ["unit_id"], "left_anti").unionByName(
+    documents = without(document_index, void_documents, "unit_id").unionByName(
         laid_out_like(document_index, document_postings(changes.documents, lexicon))
     )
     return chunks, documents

@@ -113,3 +113,57 @@ def test_decoding_holds_no_ranks(tmp_path):
     light, whole = token_bytes(str(path)), Vocabulary(str(path))
     assert not hasattr(light, "rank") and not hasattr(light, "pairs")
     assert light.length.tolist() == whole.length.tolist() and light.bytes.tobytes() == whole.bytes.tobytes()
+
+
+def test_changed_ids_are_looked_up_and_lists_stay(spark):
+    from quarrylamp.plans.ingest import Changes
+    from quarrylamp.plans.maintain import refreshed_postings
+
+    rows = [(k, k // 3, f"word{k % 5} red") for k in range(40)]
+    chunks = spark.createDataFrame(rows, "id long, document_id long, content string")
+    chunks = chunks.unionByName(spark.createDataFrame([(99, None, "red")], chunks.schema))
+    titles = chunks.select("id", F.lit("a").alias("title"), F.lit("b").alias("description"), "content")
+    lists, whole = build_postings(chunks, "id", {"content": "D"}, keep=["document_id"]), build_postings(titles, "id", {"title": "A"})
+    # More ids than are broadcast as rows, one of them twice.
+    void = spark.range(5, 300_000).unionByName(spark.range(5, 6)).select(F.col("id").alias("document_id"))
+    void = void.unionByName(spark.createDataFrame([(None,), (-7,)], "document_id long"))
+    written = void.select(F.col("document_id").alias("id"), *(F.lit("new").alias(c) for c in ("title", "description", "content")))
+    changes = Changes(written.filter("id < 0"), void, None, None, lambda: chunks.limit(0))
+    found, _ = refreshed_postings(lists, whole, changes)
+    assert "hashpartitioning(document_id" not in _plan(found) and "BroadcastHashJoin" in _plan(found)
+    want = sorted((r.unit_id, r.lexeme) for r in lists.collect() if r.document_id is None or r.document_id < 5)
+    assert sorted((r.unit_id, r.lexeme) for r in found.collect()) == want and len(want) == 31
+
+
+def test_lexeme_totals_count_different_ids(spark):
+    from quarrylamp.operators.postings import lexeme_totals
+
+    ids = [0, 1, 63, 64, (1 << 20) - 1, 1 << 20, (1 << 53) + 1, (1 << 53) + 2, -1, -(1 << 40)]
+    rows = [(f"w{k % 7}", ids[k * 3 % 10], ids[k % 9] if k % 11 else None, k + 1) for k in range(400)]
+    rows += [("once", 5, None, 3), ("once", 5, None, 9)]
+    places = spark.createDataFrame(rows, "lexeme string, unit_id long, document_id long, pos int").repartition(5)
+    plain = places.groupBy("lexeme").agg(
+        F.count_distinct("unit_id"), F.count_distinct("document_id"), F.count("*"), F.sum("pos")
+    )
+    found = lexeme_totals(places)
+    assert "Expand" not in _plan(found)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+    assert lexeme_totals(places.limit(0)).count() == 0
+
+
+def test_chunks_without_vectors_are_the_same(spark, tmp_path):
+    from quarrylamp import testbed
+
+    spark.createDataFrame(
+        [(k, " ".join(f"w{i}" for i in range(200 * k))) for k in range(1, 12)] + [(None, "x")], "doc_id long, text string"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
+    given = [0, 1, 2, 2, 3, 5, 7, 8, 64, 65, None]  # some numbers are missing, one comes twice
+    spark.createDataFrame([(v, [1.0]) for v in given], "vec_id long, embedding array<float>").write.parquet(
+        f"{tmp_path}/embeddings.parquet"
+    )
+    whole, light = (testbed.chunks(spark, str(tmp_path), embedded) for embedded in (True, False))
+    assert light.columns == whole.columns and light.schema["embedding"].dataType == whole.schema["embedding"].dataType
+    columns = [c for c in whole.columns if c != "embedding"]
+    rows = [sorted(map(tuple, df.select(columns).collect())) for df in (whole, light)]
+    assert rows[0] == rows[1] and len(rows[0]) > len(set(rows[0]))
+    assert "hashpartitioning(vec_id" not in _plan(light) and "SortMergeJoin" not in _plan(light)
