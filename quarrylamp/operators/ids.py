@@ -13,11 +13,16 @@ def next_id(table: DataFrame, column: str = "id") -> int:
     return (table.agg(F.max(column)).first()[0] or 0) + 1
 
 
+def first_free(table: DataFrame, column: str = "id") -> DataFrame:
+    """`next_id` as a table of one row, worked out only where the numbered rows are read."""
+    return table.agg((F.coalesce(F.max(column), F.lit(0)) + 1).cast("long").alias("_first"))
+
+
 def number_rows(
-    df: DataFrame, key: Column, start: int = 1, output: str = "id", hex_digits: int = HEX_DIGITS,
+    df: DataFrame, key: Column, start: int | DataFrame = 1, output: str = "id", hex_digits: int = HEX_DIGITS,
     within: str | None = None,
 ) -> DataFrame:
-    """Give rows dense ids from `start`, in the order of the md5 of a unique key.
+    """Give rows dense ids from `start` (a number, or `first_free`), in the order of the md5 of a unique key.
 
     The leading hash digits split the rows into even buckets that are numbered in parallel;
     only one count per bucket is summed up in one place.  A row's id depends on nothing but
@@ -32,11 +37,15 @@ def number_rows(
     offsets = counts.select(
         "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
+    first = F.lit(start).cast("long") if isinstance(start, int) else F.col("_first")
+    if not isinstance(start, int):
+        offsets = offsets.crossJoin(F.broadcast(start))
+    offsets = offsets.withColumn("_offset", first - 1 + F.col("_offset")).select("_bucket", "_offset")
     in_bucket = Window.partitionBy("_bucket").orderBy("_hash")
     return (
         hashed.withColumn("_place", F.row_number().over(in_bucket))
         .join(F.broadcast(offsets), "_bucket")  # at most 16 ** hex_digits rows, for each value of `within`
-        .withColumn(output, F.lit(start - 1).cast("long") + F.col("_offset") + F.col("_place"))
+        .withColumn(output, F.col("_offset") + F.col("_place"))
         .drop("_hash", "_bucket", "_place", "_offset")
     )
 

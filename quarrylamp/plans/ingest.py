@@ -154,7 +154,7 @@ def ingest_changes(
 
 
 def new_chunk_rows(
-    pieces: DataFrame, encoder: Encoder, model: str, start_id: int, now: Column,
+    pieces: DataFrame, encoder: Encoder, model: str, start_id: int | DataFrame, now: Column,
     batch: str | None = None, hex_digits: int = HEX_DIGITS,
 ) -> DataFrame:
     """Encode `(document_id, chunk_index, content)` rows into stored chunks.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrylamp.functions.stats import ordered_text
 from quarrylamp.operators.chunking import LEGACY_MODEL, MAX_TOKENS, OVERLAP, rechunk
 from quarrylamp.operators.encode import Encoder
-from quarrylamp.operators.ids import next_id, number_rows
+from quarrylamp.operators.ids import first_free, next_id, number_rows
 from quarrylamp.operators.postings import (
     Lexicon,
     chunk_postings,
@@ -122,11 +122,11 @@ def reembed(
     """
     now = F.current_timestamp() if now is None else now
     targets = reembed_targets(documents, chunks, model, force, limit_documents)
-    theirs = chunks.select("document_id", "chunk_index", "content", "embedding_model").join(
-        targets, "document_id", "left_semi"
-    )
+    # Only the contents of the targets are gathered; the others stay where they are.
+    held = chunks.select("document_id", "chunk_index", "content", "embedding_model")
+    theirs = marked(held, targets, "document_id", "_target").filter("_target").drop("_target")
     pieces = rechunk(theirs, max_tokens, overlap, rechunk_legacy)
-    rewritten = new_chunk_rows(pieces, encoder, model, next_id(chunks), now)
+    rewritten = new_chunk_rows(pieces, encoder, model, first_free(chunks), now)
     touched = targets.select(F.col("document_id").alias("id"), F.lit(True).alias("_touched"))
     updated = (
         documents.join(touched, "id", "left")

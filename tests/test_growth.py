@@ -167,3 +167,26 @@ def test_chunks_without_vectors_are_the_same(spark, tmp_path):
     rows = [sorted(map(tuple, df.select(columns).collect())) for df in (whole, light)]
     assert rows[0] == rows[1] and len(rows[0]) > len(set(rows[0]))
     assert "hashpartitioning(vec_id" not in _plan(light) and "SortMergeJoin" not in _plan(light)
+
+
+def test_totals_move_only_the_contents_of_targets(spark):
+    from quarrylamp.operators.encode import hash_encoder
+    from quarrylamp.operators.ids import first_free, next_id, number_rows
+    from quarrylamp.plans.maintain import reembed
+    from quarrylamp.schemas import CHUNK, DOCUMENT
+
+    blank = lambda schema, **own: tuple(own.get(f.name) for f in schema.fields)
+    documents = spark.createDataFrame([blank(DOCUMENT, id=k) for k in range(9)], DOCUMENT)
+    chunks = spark.createDataFrame(
+        [blank(CHUNK, id=k, document_id=k // 3, chunk_index=k % 3, content=f"t{k}", embedding=[1.0],
+               embedding_model="old" if k % 4 == 0 else "new") for k in range(30)], CHUNK)
+    _, rewritten, totals = reembed(documents, chunks, hash_encoder(4), "new", now=F.current_timestamp())
+    assert "LeftSemi" not in _plan(totals)
+    # Documents 0 to 6 and 8 have an old chunk; document 9 is not stored.
+    want = {k // 3 for k in range(27) if k % 4 == 0}
+    assert tuple(totals.first()) == (len(want), 3 * len(want))
+    assert sorted(r.id for r in rewritten.collect() if r.id >= 30) == list(range(30, 30 + 3 * len(want)))
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(50)], "key string")
+    some = number_rows(keys, F.col("key"), next_id(chunks))
+    assert sorted(some.collect()) == sorted(number_rows(keys, F.col("key"), first_free(chunks)).collect())
+    assert min(r.id for r in number_rows(keys, F.col("key"), first_free(chunks.limit(0))).collect()) == 1
