@@ -342,13 +342,14 @@ class _Lists:
 
 
 def fold_units(
-    literals: list[tuple], codes: dict[str, int], weights: dict[str, float],
+    literals: list[tuple], codes: dict[str, int], weights: dict[str, float], kept: tuple[str, ...] | list[str] = (),
     hits_at_once: int = 1 << 19, rows_at_once: int = 1 << 16,
 ):
     """Task body over (unit_id, hits(lists, steps, letters), listed): ranks of all queries of a batch.
 
     `literals` holds (query_id, group_no, literal_no, [(lexeme, offset)], negated).  Listed units
     also answer the groups that only exclude, with rank 0.  A query without id matches no hit.
+    Columns of the units that are `kept` go with every row.
     """
     inverse = np.zeros(256)
     for name, weight in weights.items():
@@ -375,9 +376,9 @@ def fold_units(
         ids = [pa.repeat(pa.scalar(query_id, pa.int64()), len(units)) for query_id, units, _ in held]
         units = np.concatenate([units for _, units, _ in held])
         ranks = np.concatenate([rank for _, _, rank in held])
+        own = [part.column(c).take(pa.array(units)) for c in ("unit_id", *kept)]
         return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays(ids), part.column("unit_id").take(pa.array(units)), pa.array(ranks)],
-            ["query_id", "unit_id", "text_rank"],
+            [pa.concat_arrays(ids), own[0], pa.array(ranks), *own[1:]], ["query_id", "unit_id", "text_rank", *kept]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

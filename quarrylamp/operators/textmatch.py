@@ -86,9 +86,10 @@ def _hits(postings: DataFrame, wanted: DataFrame, bounded: bool) -> DataFrame:
 
 
 def _by_unit(
-    postings: DataFrame, literals: DataFrame, units: DataFrame | None, weights: dict[str, float]
+    postings: DataFrame, literals: DataFrame, units: DataFrame | None, weights: dict[str, float],
+    owners: DataFrame | None,
 ) -> DataFrame:
-    """`(query_id, unit_id, text_rank)` of a batch of literals that passed the size check."""
+    """`(query_id, unit_id, text_rank)` of a batch of literals that passed the size check, with owners."""
     asked = [
         (r["query_id"], r["group_no"], r["literal_no"], [tuple(e) for e in r["lexemes"]], r["negated"])
         for r in literals.select(*LITERAL, "lexemes", "negated").collect()
@@ -106,9 +107,13 @@ def _by_unit(
         none = F.lit(None).cast(rows.schema["hit"].dataType).alias("hit")
         rows = rows.unionByName(units.select(F.col("unit_id").cast("long"), none, F.lit(True).alias("listed")))
     gathered = rows.groupBy("unit_id").agg(F.collect_list("hit").alias("hits"), F.max("listed").alias("listed"))
-    return gathered.mapInArrow(
-        fold_units(asked, codes, weights), "query_id long, unit_id long, text_rank double"
-    )
+    schema, kept = "query_id long, unit_id long, text_rank double", []
+    if owners is not None:
+        # Owners meet the lists of a unit, of which there are far fewer than matches.
+        gathered = gathered.join(owners, "unit_id")
+        kept = [c for c in owners.columns if c != "unit_id"]
+        schema += "".join(f", {c} {owners.schema[c].dataType.simpleString()}" for c in kept)
+    return gathered.mapInArrow(fold_units(asked, codes, weights, kept), schema)
 
 
 def _folded(
@@ -192,9 +197,13 @@ def match_and_rank(
     units: DataFrame | None = None,
     weights: dict[str, float] | None = None,
     bounded: bool | None = None,
+    owners: DataFrame | None = None,
 ) -> DataFrame:
     """`(query_id, unit_id, text_rank)` of every unit that matches a query.
 
+    With `owners(unit_id, ...)` the result is joined with them, before the matches of a unit are made
+    where that is possible.
+
     The rank sums, over the minimal covers (shortest stretches that satisfy the query),
     the mean weight of the query words inside divided by one plus the number of other words
     inside; the sum r is reported as r / (r + 1).  Units matched only through an excluding
@@ -207,7 +216,9 @@ def match_and_rank(
     if bounded and checked_rows(literals) is not None:
         if units is not None and not _excluding(literals).head(1):
             units = None
-        return _by_unit(postings, literals, units, weights or WEIGHTS)
+        return _by_unit(postings, literals, units, weights or WEIGHTS, owners)
+    if owners is not None:
+        return match_and_rank(postings, literals, units, weights, False).join(owners, "unit_id")
     folded = _folded(postings, literals, weights or WEIGHTS, bounded)
     ranked = folded.filter("text_rank is not null").select(*PAIR, "text_rank")
     if units is None:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +59,58 @@ def top_k(
     return ranked.filter(within(F.col(rank_column)))
 
 
+def leading_groups(df: DataFrame, key: str, group: str, score: str, k: int) -> DataFrame:
+    """Rows of what may be, for each `key`, the `k` groups with the highest `score`, smaller group on ties.
+
+    Each task drops what cannot be among them: a group whose best row lies in a task, and that fewer
+    than `k` groups surpass, is not surpassed by more there.  The best row of every group among the
+    first k is kept; the choice itself follows.  Key and group are whole numbers; rows in which any of the
+    three is NULL stay.
+    """
+    return df.mapInArrow(_lead(key, group, score, k), df.schema)
+
+
+#: Rows that a task holds back, besides those it keeps, before it drops some.
+PENDING = 1 << 18
+
+
+def _lead(key: str, group: str, score: str, k: int):
+    def cut(table: pa.Table) -> pa.Table:
+        keys, groups, scores = (table.column(c).to_numpy() for c in (key, group, score))
+        # Best row of every group first, then the groups of a key by their best rows.
+        order = np.lexsort((-scores, groups, keys))
+        first = np.append(True, (keys[order][1:] != keys[order][:-1]) | (groups[order][1:] != groups[order][:-1]))
+        best = order[first]
+        best = best[np.lexsort((groups[best], -scores[best], keys[best]))]
+        place = np.arange(len(best)) - np.searchsorted(keys[best], keys[best])
+        kept = np.zeros(len(keys), bool)
+        kept[best[place < k]] = True
+        # Other rows of a group that stays, with the same score, matter to whoever looks at ties.
+        number = np.cumsum(first) - 1
+        top = scores[order][first][number]
+        alive = kept[order][np.flatnonzero(first)][number]
+        return table.take(pa.array(np.sort(order[alive & (scores[order] == top)])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, limit = [], 0, PENDING
+        for batch in batches:
+            whole = reduce(pc.and_, (pc.is_valid(batch.column(c)) for c in (key, group, score)))
+            if pc.any(pc.invert(whole)).as_py():
+                yield batch.filter(pc.invert(whole))
+                batch = batch.filter(whole)
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows > limit:
+                left = cut(pa.Table.from_batches(held).combine_chunks())
+                held, rows = left.to_batches(), left.num_rows
+                limit = PENDING + rows
+        if held:
+            yield from cut(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    return run
+
+
 def best_row(
     df: DataFrame, keys: list[str], score: str, tie: str, keep: list[str]
 ) -> DataFrame:

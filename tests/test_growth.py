@@ -190,3 +190,51 @@ def test_totals_move_only_the_contents_of_targets(spark):
     some = number_rows(keys, F.col("key"), next_id(chunks))
     assert sorted(some.collect()) == sorted(number_rows(keys, F.col("key"), first_free(chunks)).collect())
     assert min(r.id for r in number_rows(keys, F.col("key"), first_free(chunks.limit(0))).collect()) == 1
+
+
+def test_matches_are_cut_to_leading_groups_in_the_task(spark, monkeypatch):
+    import random
+
+    from quarrylamp.operators import topk
+
+    draw = random.Random(3)
+    rows = [(draw.randrange(4), unit, unit % 60, draw.randrange(9) / 8) for unit in range(3000)]
+    rows += [(None, 1, 1, 1.0), (1, 2, None, 1.0), (1, 3, 4, None)]
+    ranks = spark.createDataFrame(rows, "query_id long, unit_id long, document_id long, text_rank double").repartition(6)
+    left = topk.leading_groups(ranks, "query_id", "document_id", "text_rank", 5)
+    # A task holds no more than five groups of a key.
+    parts = left.filter("text_rank is not null").groupBy("query_id", F.spark_partition_id()).agg(
+        F.count_distinct("document_id").alias("n")
+    )
+    assert parts.agg(F.max("n")).first()[0] <= 5
+
+    def first(df):
+        best = topk.best_row(df.filter("query_id is not null and document_id is not null and text_rank is not null"),
+                             ["query_id", "document_id"], "text_rank", "unit_id", ["text_rank"])
+        order = [F.col("text_rank").desc(), F.col("document_id")]
+        return sorted(map(tuple, topk.top_k(best, ["query_id"], order, 5).collect()))
+
+    assert first(left) == first(ranks) and len(first(left)) == 20
+    whole = {r[1] for r in rows[-3:]}
+    assert whole <= {r.unit_id for r in left.filter("query_id is null or document_id is null or text_rank is null").collect()}
+    # Some rows at a time, as in a long task.
+    body = topk._lead("query_id", "document_id", "text_rank", 5)
+    monkeypatch.setattr(topk, "PENDING", 50)
+    batches = ranks.filter("query_id is not null and document_id is not null").toArrow().to_batches(max_chunksize=40)
+    few = list(body(iter(batches)))
+    assert sum(b.num_rows for b in few) < 400
+    import pyarrow as pa
+
+    assert first(spark.createDataFrame(pa.Table.from_batches(few))) == first(ranks)
+
+
+def test_owners_join_before_matches_are_made(spark):
+    units = spark.createDataFrame([(1, "red fox"), (2, "red hen"), (3, "fox")], "id long, content string")
+    owners = spark.createDataFrame([(1, 10), (2, 10), (2, 11), (4, 12)], "unit_id long, document_id long")
+    queries = spark.createDataFrame([(7, "red"), (8, "fox or hen")], "query_id long, query string")
+    lists = build_postings(units, "id", {"content": "D"})
+    plain = match_and_rank(lists, query_literals(queries)).join(owners, "unit_id")
+    for bounded in (True, False):
+        found = match_and_rank(lists, query_literals(queries), bounded=bounded, owners=owners)
+        columns = ["query_id", "unit_id", "text_rank", "document_id"]
+        assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
