@@ -177,7 +177,8 @@ def hybrid_search(
     rows = None if near_rows is None or text_rows is None else near_rows + 2 * text_rows
     known = fetch(scored, doc_ids, ["document_id"], rows)
     # The page is small and read three times below: work it out once.
-    return _show(materialized(result_window(known, queries, bounded)), documents, chunks, rows)
+    page = materialized(result_window(known, queries, bounded))
+    return _show(page, documents, chunks, page.count())
 
 
 def _largest(k: int | str, stated: int | None) -> int | None:

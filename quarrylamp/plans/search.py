@@ -13,7 +13,7 @@ from quarrylamp.operators.postings import Lexicon, simple_lexicon
 from quarrylamp.operators.rings import RingIndex
 from quarrylamp.operators.sampling import random_documents_batch
 from quarrylamp.operators.sizing import settle
-from quarrylamp.operators.validate import LANDING_ROWS, MAX_PAGE, MAX_PER_PAGE, validate_queries
+from quarrylamp.operators.validate import LANDING_ROWS, validate_queries
 from quarrylamp.plans.hybrid import CANDIDATES, THRESHOLD, hybrid_search
 
 RESULT = ["query_id", "rank", "url", "title", "content", "description", "page_number", "has_next"]
@@ -105,10 +105,12 @@ def search(
             raise ValueError("requests without embeddings need an encoder")
         asked = encode_queries(asked, encoder, dimensions)
     asked = widened(asked, vector_candidates, text_candidates)
+    # The deepest page any request could ask for would forbid every broadcast and early cut.
+    reach = asked.agg(F.max(F.greatest("vector_k", "text_k"))).first()[0]
     ranked = hybrid_search(
         asked, documents, chunks, chunk_postings, doc_postings, threshold,
         "vector_k", "text_k", half, lexicon,
-        max_candidates=max(vector_candidates, text_candidates, MAX_PAGE * MAX_PER_PAGE + 1),
+        max_candidates=reach or max(vector_candidates, text_candidates),
         cells=cells, probes=probes,
     )
     found = page_of(ranked, asked).select(

@@ -151,47 +151,6 @@ def test_lexeme_totals_count_different_ids(spark):
     assert lexeme_totals(places.limit(0)).count() == 0
 
 
-def test_chunks_without_vectors_are_the_same(spark, tmp_path):
-    from quarrylamp import testbed
-
-    spark.createDataFrame(
-        [(k, " ".join(f"w{i}" for i in range(200 * k))) for k in range(1, 12)] + [(None, "x")], "doc_id long, text string"
-    ).write.parquet(f"{tmp_path}/documents.parquet")
-    given = [0, 1, 2, 2, 3, 5, 7, 8, 64, 65, None]  # some numbers are missing, one comes twice
-    spark.createDataFrame([(v, [1.0]) for v in given], "vec_id long, embedding array<float>").write.parquet(
-        f"{tmp_path}/embeddings.parquet"
-    )
-    whole, light = (testbed.chunks(spark, str(tmp_path), embedded) for embedded in (True, False))
-    assert light.columns == whole.columns and light.schema["embedding"].dataType == whole.schema["embedding"].dataType
-    columns = [c for c in whole.columns if c != "embedding"]
-    rows = [sorted(map(tuple, df.select(columns).collect())) for df in (whole, light)]
-    assert rows[0] == rows[1] and len(rows[0]) > len(set(rows[0]))
-    assert "hashpartitioning(vec_id" not in _plan(light) and "SortMergeJoin" not in _plan(light)
-
-
-def test_totals_move_only_the_contents_of_targets(spark):
-    from quarrylamp.operators.encode import hash_encoder
-    from quarrylamp.operators.ids import first_free, next_id, number_rows
-    from quarrylamp.plans.maintain import reembed
-    from quarrylamp.schemas import CHUNK, DOCUMENT
-
-    blank = lambda schema, **own: tuple(own.get(f.name) for f in schema.fields)
-    documents = spark.createDataFrame([blank(DOCUMENT, id=k) for k in range(9)], DOCUMENT)
-    chunks = spark.createDataFrame(
-        [blank(CHUNK, id=k, document_id=k // 3, chunk_index=k % 3, content=f"t{k}", embedding=[1.0],
-               embedding_model="old" if k % 4 == 0 else "new") for k in range(30)], CHUNK)
-    _, rewritten, totals = reembed(documents, chunks, hash_encoder(4), "new", now=F.current_timestamp())
-    assert "LeftSemi" not in _plan(totals)
-    # Documents 0 to 6 and 8 have an old chunk; document 9 is not stored.
-    want = {k // 3 for k in range(27) if k % 4 == 0}
-    assert tuple(totals.first()) == (len(want), 3 * len(want))
-    assert sorted(r.id for r in rewritten.collect() if r.id >= 30) == list(range(30, 30 + 3 * len(want)))
-    keys = spark.createDataFrame([(f"k{i}",) for i in range(50)], "key string")
-    some = number_rows(keys, F.col("key"), next_id(chunks))
-    assert sorted(some.collect()) == sorted(number_rows(keys, F.col("key"), first_free(chunks)).collect())
-    assert min(r.id for r in number_rows(keys, F.col("key"), first_free(chunks.limit(0))).collect()) == 1
-
-
 def test_matches_are_cut_to_leading_groups_in_the_task(spark, monkeypatch):
     import random
 
@@ -238,3 +197,64 @@ def test_owners_join_before_matches_are_made(spark):
         found = match_and_rank(lists, query_literals(queries), bounded=bounded, owners=owners)
         columns = ["query_id", "unit_id", "text_rank", "document_id"]
         assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
+
+
+def test_search_states_the_depth_that_is_asked_for(spark, monkeypatch):
+    from quarrylamp.plans import search
+
+    stated = {}
+
+    def stop(*args, **options):
+        stated.update(options)
+        raise InterruptedError
+
+    monkeypatch.setattr(search, "hybrid_search", stop)
+    asked = [(1, "red", [1.0], 1, 10), (2, "hen", [1.0], 6, 50)]
+    for rows, depth in ((asked[:1], 200), (asked, 301)):
+        queries = spark.createDataFrame(rows, "query_id long, query string, embedding array<float>, page_number int, result_per_page int")
+        try:
+            search.search(queries, None, None, None, None)
+        except InterruptedError:
+            pass
+        assert stated["max_candidates"] == depth
+
+
+def test_totals_move_only_the_contents_of_targets(spark):
+    from quarrylamp.operators.encode import hash_encoder
+    from quarrylamp.operators.ids import first_free, next_id, number_rows
+    from quarrylamp.plans.maintain import reembed
+    from quarrylamp.schemas import CHUNK, DOCUMENT
+
+    blank = lambda schema, **own: tuple(own.get(f.name) for f in schema.fields)
+    documents = spark.createDataFrame([blank(DOCUMENT, id=k) for k in range(9)], DOCUMENT)
+    chunks = spark.createDataFrame(
+        [blank(CHUNK, id=k, document_id=k // 3, chunk_index=k % 3, content=f"t{k}", embedding=[1.0],
+               embedding_model="old" if k % 4 == 0 else "new") for k in range(30)], CHUNK)
+    _, rewritten, totals = reembed(documents, chunks, hash_encoder(4), "new", now=F.current_timestamp())
+    assert "LeftSemi" not in _plan(totals)
+    # Documents 0 to 6 and 8 have an old chunk; document 9 is not stored.
+    want = {k // 3 for k in range(27) if k % 4 == 0}
+    assert tuple(totals.first()) == (len(want), 3 * len(want))
+    assert sorted(r.id for r in rewritten.collect() if r.id >= 30) == list(range(30, 30 + 3 * len(want)))
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(50)], "key string")
+    some = number_rows(keys, F.col("key"), next_id(chunks))
+    assert sorted(some.collect()) == sorted(number_rows(keys, F.col("key"), first_free(chunks)).collect())
+    assert min(r.id for r in number_rows(keys, F.col("key"), first_free(chunks.limit(0))).collect()) == 1
+
+
+def test_chunks_without_vectors_are_the_same(spark, tmp_path):
+    from quarrylamp import testbed
+
+    spark.createDataFrame(
+        [(k, " ".join(f"w{i}" for i in range(200 * k))) for k in range(1, 12)] + [(None, "x")], "doc_id long, text string"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
+    given = [0, 1, 2, 2, 3, 5, 7, 8, 64, 65, None]  # some numbers are missing, one comes twice
+    spark.createDataFrame([(v, [1.0]) for v in given], "vec_id long, embedding array<float>").write.parquet(
+        f"{tmp_path}/embeddings.parquet"
+    )
+    whole, light = (testbed.chunks(spark, str(tmp_path), embedded) for embedded in (True, False))
+    assert light.columns == whole.columns and light.schema["embedding"].dataType == whole.schema["embedding"].dataType
+    columns = [c for c in whole.columns if c != "embedding"]
+    rows = [sorted(map(tuple, df.select(columns).collect())) for df in (whole, light)]
+    assert rows[0] == rows[1] and len(rows[0]) > len(set(rows[0]))
+    assert "hashpartitioning(vec_id" not in _plan(light) and "SortMergeJoin" not in _plan(light)
