@@ -9,7 +9,8 @@ those whose seed occurs more than once.
    hashes; hashes met once in all are dropped.
 2. Units with the remaining hashes cut out each anchor's suffix and what stands before it (its
    context, all strings with this anchor).  Contexts that repeat within a unit are settled
-   there; the others are sent as sorted, front-coded runs of suffixes, dealt out by seed.
+   there; the others are sent as sorted, front-coded runs of suffixes, dealt out by seed,
+   each run packed column by column into one row.
 3. Runs are merged by a loser tree that never compares known prefixes again.  Suffixes that share
    a seed come out together: contexts that repeat are settled, and different contexts of one
    seed are compared string by string.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,19 +155,41 @@ def _name(length: int):
     return run
 
 
-#: Rows that units send: settled stretches, suffixes of sorted runs, and strings by digest.
+#: Rows that units send: settled stretches, sorted runs of suffixes (`row` is their number), and strings by digest.
 GONE, SUFFIX, STRING = 0, 1, 2
-_SENT = (
-    "kind int, unit long, row int, doc long, start long, stop long, bucket int, place int, "
-    "shared int, tail binary, before binary, digest binary"
-)
+_SENT = "kind int, unit long, row int, doc long, start long, stop long, bucket int, run binary, digest binary"
 _SENT_NAMES = [c.split()[0] for c in _SENT.split(", ")]
 _SENT_TYPES = [
-    pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(),
-    pa.int32(), pa.binary(), pa.binary(), pa.binary(),
+    pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(),
 ]
 
 
+def packed_run(suffixes: list[tuple[bytes, bytes, int, int, int, int]]) -> bytes:
+    """A sorted run of (suffix, before, doc, start, row, stop), front-coded and packed by columns."""
+    shared, tails, previous = [], [], b""
+    for suffix, *_ in suffixes:
+        known = common_prefix(previous, suffix)
+        shared.append(known)
+        tails.append(suffix[known:])
+        previous = suffix
+    _, before, doc, start, row, stop = zip(*suffixes)
+    numbers = np.array([doc, start, stop, row, shared, [*map(len, tails)], [*map(len, before)]], np.int64)
+    # Bytes of equal weight side by side: the high ones are nearly all zero.
+    numbers = numbers.view(np.uint8).reshape(7, -1, 8).transpose(0, 2, 1)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([numbers.tobytes(), *tails, *before]))
+
+
+def unpacked_run(data: bytes, rows: int) -> tuple[list, ...]:
+    """(shared, tails, before, doc, start, row, stop): the columns of a packed run of so many rows."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    numbers = np.frombuffer(raw, np.uint8, 56 * rows).reshape(7, 8, rows).transpose(0, 2, 1)
+    *numbers, tail, before = np.ascontiguousarray(numbers).view(np.int64)[:, :, 0]
+    ends = (56 * rows + np.cumsum(np.r_[0, tail, before])).tolist()
+    parts = [raw[a:b] for a, b in zip(ends, ends[1:])]
+    doc, start, stop, row, shared = (column.tolist() for column in numbers)
+    return shared, parts[:rows], parts[rows:], doc, start, row, stop
+
+
 class _Earliest:
     """Occurrences by content: the earliest of each, and those that come after it."""
 
@@ -230,24 +254,19 @@ def _send(length: int, buckets: int):
         out: list[tuple] = []
         settled = [(row, start, stop) for doc, start, row, stop, *_ in contexts.late + strings.late]
         for row, start, stop in _joined_spans(settled):
-            out.append((GONE, unit, row, None, start, stop, None, None, None, None, None, None))
+            out.append((GONE, unit, row, None, start, stop, unit % buckets, None, None))
         while strings.kept:
             digest, places = strings.kept.popitem()
             for doc, start, row, stop in places:
-                out.append((STRING, unit, row, doc, start, stop, None, None, None, None, None, digest))
+                out.append((STRING, unit, row, doc, start, stop, int.from_bytes(digest[:8], "little") % buckets, None, digest))
         runs = defaultdict(list)
         while contexts.kept:  # what has been taken over need not be held twice
             content, places = contexts.kept.popitem()
             for doc, start, row, stop, cut, seed in places:
                 runs[seed % buckets].append((content[cut:], content[:cut], doc, start, row, stop))
         for bucket in list(runs):
-            suffixes = runs.pop(bucket)
-            suffixes.sort()
-            previous = b""
-            for place, (suffix, before, doc, start, row, stop) in enumerate(suffixes):
-                shared = common_prefix(previous, suffix)
-                out.append((SUFFIX, unit, row, doc, start, stop, bucket, place, shared, suffix[shared:], before, None))
-                previous = suffix
+            suffixes = sorted(runs.pop(bucket))
+            out.append((SUFFIX, unit, len(suffixes), None, None, None, bucket, packed_run(suffixes), None))
         columns = list(zip(*out)) or [()] * len(_SENT_TYPES)
         del contexts, strings, runs, out
         give_back()
@@ -276,29 +295,73 @@ def _settle(group: list[tuple], length: int, gone: dict) -> None:
                     gone[unit].append((row, first + k, first + k + length))
 
 
-def _merge(length: int):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("unit", "ascending"), ("place", "ascending")])
-        unit = table.column("unit").to_numpy()
-        cuts = np.r_[0, np.flatnonzero(unit[1:] != unit[:-1]) + 1, len(unit)].tolist()
-        names = ("row", "doc", "start", "stop", "shared", "tail", "before")
-        row, doc, start, stop, shared, tail, before = (table.column(c).to_pylist() for c in names)
-        gone: dict = defaultdict(list)
-        group: list[tuple] = []
-        runs = [(shared[a:b], tail[a:b]) for a, b in zip(cuts, cuts[1:])]
-        for run_, place, suffix, known in merged(runs):
-            if known < SEED and group:
-                if len(group) > 1:
-                    _settle(group, length, gone)
-                group = []
-            k = cuts[run_] + place
-            group.append((before[k] + suffix, doc[k], start[k], int(unit[k]), row[k], stop[k]))
-        if len(group) > 1:
-            _settle(group, length, gone)
-        out = [(u, *span) for u, spans in gone.items() for span in _joined_spans(spans)]
-        columns = list(zip(*out)) or [()] * 4
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["unit", "row", "start", "stop"])
+_SPANS = "unit long, row int, start long, stop long"
+_SPAN_NAMES = [c.split()[0] for c in _SPANS.split(", ")]
+
+
+def _spans(gone: dict[int, list]) -> pa.RecordBatch:
+    out = [(u, *span) for u, spans in gone.items() for span in _joined_spans(spans)]
+    columns = list(zip(*out)) or [()] * 4
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=_SPAN_NAMES)
+
+
+def _merge(held: list[tuple[int, int, bytes]], length: int) -> pa.RecordBatch:
+    """What the runs of one bucket, (unit, rows, run) by unit, settle among each other."""
+    runs = [unpacked_run(data, rows) for _, rows, data in held]
+    gone: dict = defaultdict(list)
+    group: list[tuple] = []
+    for at, place, suffix, known in merged([(shared, tails) for shared, tails, *_ in runs]):
+        if known < SEED and group:
+            if len(group) > 1:
+                _settle(group, length, gone)
+            group = []
+        before, doc, start, row, stop = (column[place] for column in runs[at][2:])
+        group.append((before + suffix, doc, start, held[at][0], row, stop))
+    if len(group) > 1:
+        _settle(group, length, gone)
+    return _spans(gone)
+
+
+class _Strings:
+    """Strings that come sorted by digest, doc and start: all after the first of a digest go."""
+
+    def __init__(self):
+        self.first = np.empty((0, 4), np.int64)
+
+    def late(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        digests = np.frombuffer(b"".join(batch.column("digest").to_pylist()), np.int64).reshape(-1, 2)
+        doc, start = (batch.column(c).to_numpy() for c in ("doc", "start"))
+        # The first string of the digest that came last goes before the others.
+        rows = np.concatenate([self.first, np.column_stack([digests, doc, start])])
+        new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+        gone = (rows[:, 2:] != rows[first, 2:]).any(axis=1)[len(self.first) :]
+        self.first = rows[first[-1:]]
+        return batch.select(_SPAN_NAMES).filter(pa.array(gone))
+
+
+def _settled(length: int):
+    """Removed stretches from rows sorted by kind, bucket, digest, doc, start and unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, strings = None, [], _Strings()
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            yield batch.select(_SPAN_NAMES).filter(pa.array(kind == GONE))
+            if (kind == STRING).any():
+                yield strings.late(batch.filter(pa.array(kind == STRING)))
+            runs = batch.filter(pa.array(kind == SUFFIX))
+            for at, unit, rows, data in zip(*(runs.column(c) for c in ("bucket", "unit", "row", "run"))):
+                if held and at.as_py() != bucket:
+                    yield _merge(held, length)
+                    held = []
+                bucket = at.as_py()
+                held.append((unit.as_py(), rows.as_py(), data.as_py()))
+        if held:
+            yield _merge(held, length)
+        del held, strings
+        give_back()
 
     return run
 
@@ -346,23 +409,15 @@ def remove_repeats(
     asked = named.withColumn("total", total).filter("total > 1").select(
         "unit", "seed", (F.col("total") > often).alias("hot")
     )
-    buckets = 4 * max(4, units.count())
-    sent = stored(
-        units.groupBy("unit").cogroup(asked.groupBy("unit")).applyInArrow(_send(length, buckets), _SENT)
-    )
-    settled = sent.filter(F.col("kind") == GONE).select("unit", "row", "start", "stop")
-    suffixes = sent.filter(F.col("kind") == SUFFIX).select(
-        "bucket", "unit", "place", "row", "doc", "start", "stop", "shared", "tail", "before"
-    )
-    from_runs = suffixes.groupBy("bucket").applyInArrow(
-        _merge(length), "unit long, row int, start long, stop long"
-    )
-    first = F.min(F.struct("doc", "start")).over(Window.partitionBy("digest"))
-    from_strings = (
-        sent.filter(F.col("kind") == STRING).withColumn("first", first)
-        .filter(F.struct("doc", "start") > F.col("first")).select("unit", "row", "start", "stop")
+    # Four a unit, but fewer where units are small: a unit may send a run to every bucket.
+    number, size = units.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("packed")), F.lit(0))).first()
+    buckets = max(16, min(4 * number, size >> 18))
+    sent = units.groupBy("unit").cogroup(asked.groupBy("unit")).applyInArrow(_send(length, buckets), _SENT)
+    # All kinds of rows go through one shuffle, so that none has to be written first.
+    spans = (
+        sent.repartition("bucket").sortWithinPartitions("kind", "bucket", "digest", "doc", "start", "unit")
+        .mapInArrow(_settled(length), _SPANS)
     )
-    spans = settled.unionByName(from_runs).unionByName(from_strings)
     return units.groupBy("unit").cogroup(spans.groupBy("unit")).applyInArrow(
         _cut_out(keep_text),
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",

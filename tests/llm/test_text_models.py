@@ -68,6 +68,40 @@ def test_long_texts_are_cut_into_stretches(spark, monkeypatch):
     assert found == {(r, k) for r, t in enumerate(texts) for k in range(len(t) - 99)}
 
 
+def test_a_unit_sends_one_row_for_each_run_of_suffixes():
+    from quarrylamp.llm.units import _packed
+
+    draw = random.Random(6)
+    texts = [bytes(draw.choice(b"abcdefgh ") for _ in range(900)) for _ in range(20)]
+    unit = pa.table([pa.array([7]), pa.array([_packed([*range(19), None], texts)])], names=["unit", "packed"])
+    named = pa.Table.from_batches(suffixdedup._name(100)(iter(unit.to_batches())))
+    asked = named.append_column("hot", pa.array([False] * named.num_rows))
+    sent = suffixdedup._send(100, 3)(unit, asked).to_pylist()
+    # A row for every suffix took most of the room in stored tables and shuffles.
+    assert sorted(r["bucket"] for r in sent) == [0, 1, 2] and sum(r["row"] for r in sent) == named.num_rows
+    for row in sent:
+        columns = suffixdedup.unpacked_run(row["run"], row["row"])
+        strings, last = [], b""
+        for shared, tail, before, doc, start, place, stop in zip(*columns):
+            last = last[:shared] + tail
+            strings.append(last)
+            assert texts[place][start:stop] == before + last and doc == (suffixdedup.LAST if place == 19 else place)
+        assert strings == sorted(strings)
+
+
+def test_the_first_of_a_digest_stays_over_batches():
+    names = ["kind", "unit", "row", "doc", "start", "stop", "bucket", "run", "digest"]
+    draw = random.Random(9)
+    rows = sorted((bytes(15) + bytes([draw.randrange(9)]), draw.randrange(3), draw.randrange(3), u) for u in range(200))
+    least = {d: min(r[1:3] for r in rows if r[0] == d) for d, *_ in rows}
+    table = pa.Table.from_pylist(
+        [dict(zip(names, (suffixdedup.STRING, u, 0, doc, at, at + 100, 1, None, d))) for d, doc, at, u in rows],
+        pa.schema(list(zip(names, suffixdedup._SENT_TYPES))),
+    )
+    got = [r["unit"] for b in suffixdedup._settled(100)(iter(table.to_batches(7))) for r in b.to_pylist()]
+    assert got == [u for d, doc, at, u in rows if (doc, at) > least[d]]
+
+
 def test_suffix_dedup_of_nothing(spark):
     empty = spark.createDataFrame([], TEXT)
     assert suffixdedup.remove_repeats(empty).count() == 0
