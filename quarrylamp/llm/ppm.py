@@ -17,8 +17,9 @@ from __future__ import annotations
 import functools
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +84,7 @@ def _distinct_words(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([k for k, _ in held])
     counts = np.concatenate([c for _, c in held])
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -197,25 +198,33 @@ def unseen_prices(trie: DataFrame, unseen: DataFrame) -> DataFrame:
 
 
 class _Lookup:
-    """Values by key for whole arrays of keys that are all there."""
+    """Values by key for whole arrays of different keys that are all there.
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+    Of keys whose hashes point to one slot the last holds it; the others go to a further, smaller table.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, factor: int = 0x9E3779B97F4A7C15):
+        self.keys, self.values, self.factor, self.rest = keys, values, np.uint64(factor), None
         bits = max(10, int(len(keys)).bit_length() + 1)
         self.shift = np.uint64(64 - bits)
         self.slot = np.zeros(1 << bits, np.int32)
-        self.slot[self._at(self.keys)] = np.arange(len(keys), dtype=np.int32)
+        at, places = self._at(keys), np.arange(len(keys), dtype=np.int32)
+        self.slot[at] = places
+        lost = np.flatnonzero(self.slot[at] != places)
+        if len(lost):
+            # An odd factor keeps different keys apart in 64 bits, so in the end each has a slot.
+            self.rest = _Lookup(keys[lost], values[lost], factor * 0xD1342543DE82EF95 + 2 & (1 << 64) - 1 | 1)
 
     def _at(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+        return (keys.view(np.uint64) * self.factor) >> self.shift
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Most keys are found where their hash points; the rest by bisection."""
         at = self.slot[self._at(keys)]
-        missed = np.flatnonzero(self.keys[at] != keys)
-        at[missed] = np.searchsorted(self.keys, keys[missed])
-        return self.values[at]
+        found = self.values[at]
+        if self.rest is not None:
+            missed = np.flatnonzero(self.keys[at] != keys)
+            found[missed] = self.rest(keys[missed])
+        return found
 
 
 def _score(total: int, different: int, end_count: int, is_held):
@@ -232,19 +241,22 @@ def _score(total: int, different: int, end_count: int, is_held):
             ids, texts = unpacked(packed.as_py())
             rows[0] += ids
             rows[1] += map(is_held, ids)
-            for first, last in _runs(texts):
-                raw = [t.lower() for t in texts[first:last]]
+            for begin, stop in _runs(texts):
+                raw = [t.lower() for t in texts[begin:stop]]
                 words = [t.split() for t in raw]
-                known = {w: k for k, w in enumerate(set().union(*words))}
+                # Every word is looked at once: a new one gets the next number.
+                known: defaultdict = defaultdict()
+                known.default_factory = known.__len__
+                ends = np.cumsum([0, *map(len, words)]).tolist()
+                own = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, ends[-1])
                 counts = word_of(np.fromiter(map(word_key, known), np.int64, len(known))) if known else np.empty(0)
+                seen, logs = (counts > 0)[own], np.log10(counts + 1)[own]
                 codes, starts = grams(raw)
-                sums = np.add.reduceat(gram_of(codes), starts)
-                for own, score in zip(words, sums.tolist()):
-                    c = counts[np.fromiter(map(known.__getitem__, own), np.int64, len(own))]
-                    rows[2].append(len(own) + 1)
-                    rows[3].append(int((c > 0).sum()) + (end_count > 0))
-                    rows[4].append(float(np.log10(c + 1).sum()) - floor * len(own) + end)
-                    rows[5].append(score)
+                rows[5] += np.add.reduceat(gram_of(codes), starts).tolist()
+                for first, last in zip(ends, ends[1:]):
+                    rows[2].append(last - first + 1)
+                    rows[3].append(int(np.count_nonzero(seen[first:last])) + (end_count > 0))
+                    rows[4].append(float(logs[first:last].sum()) - floor * (last - first) + end)
         del word_of, gram_of
         give_back()
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]

@@ -255,6 +255,18 @@ def test_language_model(spark, rows):
     assert ppm.scores(spark.createDataFrame([], TEXT)).count() == 0
 
 
+def test_lookup_finds_keys_that_share_slots():
+    draw = np.random.default_rng(4)
+    keys = np.unique(np.r_[draw.integers(-(1 << 62), 1 << 62, 50_000), np.arange(-3000, 3000) << 40])
+    draw.shuffle(keys)
+    asked = draw.integers(0, len(keys), 200_000)
+    look = ppm._Lookup(keys, keys * 0.5)
+    assert (look(keys[asked]) == keys[asked] * 0.5).all()
+    # Keys beyond the first table were searched by bisection, which took a fifth of the scoring time.
+    assert look.rest is not None and len(look.rest.keys) < len(keys) / 2
+    assert len(ppm._Lookup(np.empty(0, np.int64), np.empty(0))(np.empty(0, np.int64))) == 0
+
+
 def test_language_model_without_training_texts(spark):
     held = next(k for k in range(100) if brute.remainder(k, 7) == 2)
     (row,) = ppm.scores(spark.createDataFrame([(held, "Ab")], TEXT)).collect()
