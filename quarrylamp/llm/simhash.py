@@ -17,7 +17,7 @@ similarity t share one of the first (1 - t) of their shingles in any order that
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,12 +26,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylamp.llm.common import slices, stored
+from quarrylamp.llm.common import give_back, slices, stored
 from quarrylamp.llm.components import connected_components
 
 BITS = 64
 
 
+def _tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A task after which its worker keeps no freed memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """Fingerprint of one text as an unsigned number; zero where there is no word."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -383,8 +393,8 @@ def _heat(documents: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     Both only order and spread work; any values give the same links.
     """
     sums = (
-        documents.select("text").mapInArrow(_counts(words), "part int, at binary, n binary")
-        .repartition("part").mapInArrow(_summed, "part int, n binary")
+        documents.select("text").mapInArrow(_tidy(_counts(words)), "part int, at binary, n binary")
+        .repartition("part").mapInArrow(_tidy(_summed), "part int, n binary")
     )
     counts = np.zeros((CELLS // CELL_ROWS, CELL_ROWS), np.int64)
     for part, n in sums.toLocalIterator():
@@ -498,8 +508,9 @@ def _alike(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            # One pair at a time: lists of all sets of a batch would hold it once more.
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield batch.drop_columns(["x", "y"]).filter(pa.array(keep, pa.bool_()))
@@ -518,12 +529,12 @@ def _checked(documents: DataFrame, pairs: DataFrame, named: DataFrame, words: in
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = stored(
         _own_texts(documents, named.select("id", "class").join(asked, "id", "left_semi"))
-        .mapInArrow(_shingle_sets(words), "id long, shingles binary")
+        .mapInArrow(_tidy(_shingle_sets(words)), "id long, shingles binary")
     )
     kind = ", ".join(f"{c} long" for c in pairs.columns)
     return (
         pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        .select(*pairs.columns, "x", "y").mapInArrow(_alike(least), kind)
+        .select(*pairs.columns, "x", "y").mapInArrow(_tidy(_alike(least)), kind)
     )
 
 
@@ -537,23 +548,25 @@ def similar_groups(documents: DataFrame, words: int = 5, least: float = 0.8, rad
     by 64-bit hashes).  Texts under `words` words are one shingle.
     """
     documents = documents.filter("doc_id is not null").select("doc_id", "text")
-    rows = stored(documents.mapInArrow(_profiles, "doc_id long, class binary, print long, keys array<long>"))
+    rows = stored(documents.mapInArrow(_tidy(_profiles), "doc_id long, class binary, print long, keys array<long>"))
     distinct = rows.groupBy("class").agg(
         F.min("doc_id").alias("id"), F.first("print").alias("print"), F.first("keys").alias("keys")
     )
     buckets = distinct.select("id", "print", F.explode("keys").alias("key"))
     pairs = stored(
         buckets.repartition("key").sortWithinPartitions("key", F.xxhash64("id", "key"))
-        .mapInArrow(_leaders(radius), "a long, b long").filter("a != b")
+        .mapInArrow(_tidy(_leaders(radius)), "a long, b long").filter("a != b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     named = distinct.select("id", "class")
     roots = connected_components(_checked(documents, pairs, named, words, least)).toDF("id", "root")
     named = stored(named.join(roots, "id", "left").select("id", "class", F.coalesce("root", "id").alias("root")))
-    prefixes = _own_texts(documents, named).mapInArrow(_prefixes(words, least, *_heat(documents, words)), PREFIX)
+    prefixes = _own_texts(documents, named).mapInArrow(
+        _tidy(_prefixes(words, least, *_heat(documents, words))), PREFIX
+    )
     apart = stored(
         prefixes.repartition("key").sortWithinPartitions("key", "root")
-        .mapInArrow(_meetings(least), "a long, b long, root_a long, root_b long").distinct()
+        .mapInArrow(_tidy(_meetings(least)), "a long, b long, root_a long, root_b long").distinct()
     )
     joined = _checked(documents, apart, named, words, least).select(
         F.col("root_a").alias("a"), F.col("root_b").alias("b")

@@ -460,3 +460,11 @@ def test_line_dedup_gives_memory_back(monkeypatch):
     list(linededup._merge(iter([])))
     list(linededup._rebuild(iter([])))
     assert len(given) == 3
+
+
+def test_near_dedup_tasks_give_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(simhash, "give_back", lambda: given.append(1))
+    text = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["one two"])], ["doc_id", "text"])
+    assert sum(b.num_rows for b in simhash._tidy(simhash._profiles)(iter([text]))) == 1
+    assert given == [1]
