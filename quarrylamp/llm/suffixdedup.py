@@ -155,12 +155,13 @@ def _name(length: int):
     return run
 
 
-#: Rows that units send: settled stretches, sorted runs of suffixes (`row` is their number), and strings by digest.
+#: Rows that units send: settled stretches, sorted runs of suffixes, and strings by digest.  Of the latter two a row
+#: holds all that a unit has for a bucket, and `row` is their number.
 GONE, SUFFIX, STRING = 0, 1, 2
-_SENT = "kind int, unit long, row int, doc long, start long, stop long, bucket int, run binary, digest binary"
+_SENT = "kind int, unit long, row int, doc long, start long, stop long, bucket int, run binary"
 _SENT_NAMES = [c.split()[0] for c in _SENT.split(", ")]
 _SENT_TYPES = [
-    pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(),
+    pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(),
 ]
 
 
@@ -254,11 +255,15 @@ def _send(length: int, buckets: int):
         out: list[tuple] = []
         settled = [(row, start, stop) for doc, start, row, stop, *_ in contexts.late + strings.late]
         for row, start, stop in _joined_spans(settled):
-            out.append((GONE, unit, row, None, start, stop, unit % buckets, None, None))
+            out.append((GONE, unit, row, None, start, stop, unit % buckets, None))
+        dealt = defaultdict(list)
         while strings.kept:
             digest, places = strings.kept.popitem()
-            for doc, start, row, stop in places:
-                out.append((STRING, unit, row, doc, start, stop, int.from_bytes(digest[:8], "little") % buckets, None, digest))
+            one, two = (int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
+            dealt[one % buckets] += [(one, two, doc, start, row) for doc, start, row, _ in places]
+        for bucket in list(dealt):
+            some = np.array(dealt.pop(bucket), np.int64)
+            out.append((STRING, unit, len(some), None, None, None, bucket, some.tobytes()))
         runs = defaultdict(list)
         while contexts.kept:  # what has been taken over need not be held twice
             content, places = contexts.kept.popitem()
@@ -266,7 +271,7 @@ def _send(length: int, buckets: int):
                 runs[seed % buckets].append((content[cut:], content[:cut], doc, start, row, stop))
         for bucket in list(runs):
             suffixes = sorted(runs.pop(bucket))
-            out.append((SUFFIX, unit, len(suffixes), None, None, None, bucket, packed_run(suffixes), None))
+            out.append((SUFFIX, unit, len(suffixes), None, None, None, bucket, packed_run(suffixes)))
         columns = list(zip(*out)) or [()] * len(_SENT_TYPES)
         del contexts, strings, runs, out
         give_back()
@@ -323,44 +328,43 @@ def _merge(held: list[tuple[int, int, bytes]], length: int) -> pa.RecordBatch:
     return _spans(gone)
 
 
-class _Strings:
-    """Strings that come sorted by digest, doc and start: all after the first of a digest go."""
-
-    def __init__(self):
-        self.first = np.empty((0, 4), np.int64)
-
-    def late(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        digests = np.frombuffer(b"".join(batch.column("digest").to_pylist()), np.int64).reshape(-1, 2)
-        doc, start = (batch.column(c).to_numpy() for c in ("doc", "start"))
-        # The first string of the digest that came last goes before the others.
-        rows = np.concatenate([self.first, np.column_stack([digests, doc, start])])
-        new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
-        gone = (rows[:, 2:] != rows[first, 2:]).any(axis=1)[len(self.first) :]
-        self.first = rows[first[-1:]]
-        return batch.select(_SPAN_NAMES).filter(pa.array(gone))
+def _late(held: list[tuple[int, int, bytes]], length: int) -> pa.RecordBatch:
+    """Strings of one bucket, (unit, rows, packed), that stand after the first of their digest."""
+    rows = np.concatenate([np.frombuffer(data, np.int64).reshape(-1, 5) for *_, data in held])
+    unit = np.repeat([u for u, *_ in held], [n for _, n, _ in held])
+    order = np.lexsort(rows[:, 3::-1].T)
+    rows, unit = rows[order], unit[order]
+    new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+    late = (rows[:, 2:4] != rows[first, 2:4]).any(axis=1)
+    start, row = rows[late, 3], rows[late, 4]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(unit[late]), pa.array(row.astype(np.int32)), pa.array(start), pa.array(start + length)], _SPAN_NAMES
+    )
 
 
 def _settled(length: int):
-    """Removed stretches from rows sorted by kind, bucket, digest, doc, start and unit."""
+    """Removed stretches from rows sorted by kind, bucket and unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held, strings = None, [], _Strings()
+        key, held = None, []
+
+        def settle() -> pa.RecordBatch:
+            return (_late if key[0] == STRING else _merge)(held, length)
+
         for batch in batches:
             kind = batch.column("kind").to_numpy()
             yield batch.select(_SPAN_NAMES).filter(pa.array(kind == GONE))
-            if (kind == STRING).any():
-                yield strings.late(batch.filter(pa.array(kind == STRING)))
-            runs = batch.filter(pa.array(kind == SUFFIX))
-            for at, unit, rows, data in zip(*(runs.column(c) for c in ("bucket", "unit", "row", "run"))):
-                if held and at.as_py() != bucket:
-                    yield _merge(held, length)
+            sent = batch.filter(pa.array(kind != GONE))
+            for at, bucket, unit, rows, data in zip(*(sent.column(c) for c in ("kind", "bucket", "unit", "row", "run"))):
+                if held and key != (at.as_py(), bucket.as_py()):
+                    yield settle()
                     held = []
-                bucket = at.as_py()
+                key = at.as_py(), bucket.as_py()
                 held.append((unit.as_py(), rows.as_py(), data.as_py()))
         if held:
-            yield _merge(held, length)
-        del held, strings
+            yield settle()
+        held = []
         give_back()
 
     return run
@@ -415,7 +419,7 @@ def remove_repeats(
     sent = units.groupBy("unit").cogroup(asked.groupBy("unit")).applyInArrow(_send(length, buckets), _SENT)
     # All kinds of rows go through one shuffle, so that none has to be written first.
     spans = (
-        sent.repartition("bucket").sortWithinPartitions("kind", "bucket", "digest", "doc", "start", "unit")
+        sent.repartition("bucket").sortWithinPartitions("kind", "bucket", "unit")
         .mapInArrow(_settled(length), _SPANS)
     )
     return units.groupBy("unit").cogroup(spans.groupBy("unit")).applyInArrow(

@@ -90,16 +90,23 @@ def test_a_unit_sends_one_row_for_each_run_of_suffixes():
 
 
 def test_the_first_of_a_digest_stays_over_batches():
-    names = ["kind", "unit", "row", "doc", "start", "stop", "bucket", "run", "digest"]
     draw = random.Random(9)
-    rows = sorted((bytes(15) + bytes([draw.randrange(9)]), draw.randrange(3), draw.randrange(3), u) for u in range(200))
-    least = {d: min(r[1:3] for r in rows if r[0] == d) for d, *_ in rows}
-    table = pa.Table.from_pylist(
-        [dict(zip(names, (suffixdedup.STRING, u, 0, doc, at, at + 100, 1, None, d))) for d, doc, at, u in rows],
-        pa.schema(list(zip(names, suffixdedup._SENT_TYPES))),
+    rows = [(draw.randrange(-4, 4), draw.randrange(2), draw.randrange(3), draw.randrange(3), u) for u in range(200)]
+    least = {r[:2]: min(x[2:4] for x in rows if x[:2] == r[:2]) for r in rows}
+    # A unit sends its strings of a bucket as one row, however many it has.
+    units = [rows[k : k + 4] for k in range(0, len(rows), 4)]
+    table = pa.Table.from_arrays(
+        [
+            pa.array(c, t) for c, t in zip(
+                zip(*((suffixdedup.STRING, n, 4, None, None, None, 1, np.array(u, np.int64).tobytes()) for n, u in enumerate(units))),
+                suffixdedup._SENT_TYPES,
+            )
+        ],
+        names=suffixdedup._SENT_NAMES,
     )
-    got = [r["unit"] for b in suffixdedup._settled(100)(iter(table.to_batches(7))) for r in b.to_pylist()]
-    assert got == [u for d, doc, at, u in rows if (doc, at) > least[d]]
+    got = [r for b in suffixdedup._settled(100)(iter(table.to_batches(7))) for r in b.to_pylist()]
+    assert sorted(r["row"] for r in got) == [r[4] for r in rows if r[2:4] > least[r[:2]]]
+    assert all(r["stop"] == r["start"] + 100 and rows[r["row"]][3] == r["start"] and r["row"] // 4 == r["unit"] for r in got)
 
 
 def test_suffix_dedup_of_nothing(spark):
