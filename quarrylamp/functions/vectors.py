@@ -38,8 +38,9 @@ def cosine(left: Column, right: Column, nan_as_zero: bool = True) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     """Divide by the norm, guarding against zero vectors."""
-    length = F.greatest(norm(vector), F.lit(1e-12))
-    return F.transform(vector, lambda x: (x.cast("double") / length).cast("float"))
+    # The one-element array binds the length once for all components.
+    length = F.array(F.greatest(norm(vector), F.lit(1e-12)))
+    return F.transform(length, lambda whole: F.transform(vector, lambda x: (x.cast("double") / whole).cast("float")))[0]
 
 
 def half_value(value: Column) -> Column:

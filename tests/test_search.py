@@ -265,3 +265,75 @@ def test_most_scores_of_a_block_are_only_compared(monkeypatch, minimum, nan_orde
     for q in range(100):
         rows = sorted((-s, i) for s, i in zip(scores[:, q], ids) if i != ids[q] and (minimum is None or s > minimum))[:k]
         assert [(-s, i) for s, i in zip(score[query == q], row[query == q])] == rows
+
+
+def _by_hand(query_ids, queries, ids, vectors, k):
+    """(query, id, score) of the k best other rows, undefined scores last."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        unit = [m / np.sqrt((m.astype(float) ** 2).sum(1, keepdims=True)) for m in (queries, vectors)]
+    scores = np.round(unit[0] @ unit[1].T, 9)
+    scores[np.isnan(scores)] = -np.inf
+    return sorted(
+        (q, i, -s) for at, q in enumerate(query_ids)
+        for s, i in sorted((-s, i) for s, i in zip(scores[at], ids) if i != q)[:k]
+    )
+
+
+def test_few_scores_of_a_block_are_worked_out_in_double_precision(monkeypatch):
+    from quarrylamp.operators import nearest as module
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(6_000, 16))
+    unit, ids = module._unit(vectors, False), np.arange(6_000)
+    single, double = [], []
+    matmul, einsum = np.matmul, np.einsum
+    monkeypatch.setattr(np, "matmul", lambda a, b, **o: single.append((a.dtype, len(a) * b.shape[1])) or matmul(a, b, **o))
+    monkeypatch.setattr(np, "einsum", lambda s, a, b: double.append(len(a)) or einsum(s, a, b))
+    best = module._Best(np.full(50, 10), None)
+    module._score_block(best, ids, unit, unit[:50], ids[:50], "last", True)
+    query, row, score = best.compact()
+    monkeypatch.undo()
+    assert {kind for kind, _ in single} == {np.dtype(np.float32)} and sum(n for _, n in single) == 6_000 * 50
+    assert 50 * 10 <= sum(double) < 0.02 * 6_000 * 50
+    assert sorted(zip(query.tolist(), row.tolist(), score.tolist())) == _by_hand(range(50), vectors[:50], ids, vectors, 10)
+
+
+def test_own_rows_do_not_push_out_others():
+    from quarrylamp.operators import nearest as module
+
+    vectors = np.random.default_rng(6).normal(size=(500, 8)).repeat(6, 0)
+    unit, ids = module._unit(vectors, False), np.arange(500).repeat(6)
+    best = module._Best(np.full(30, 4), None)
+    module._score_block(best, ids, unit, unit[:180:6], ids[:180:6], "last", True)
+    query, row, score = best.compact()
+    assert sorted(zip(query.tolist(), row.tolist(), score.tolist())) == _by_hand(range(30), vectors[:180:6], ids, vectors, 4)
+
+
+def test_blocks_travel_packed(spark):
+    rng = np.random.default_rng(8)
+    matrix = rng.normal(size=(3_000, 6)).astype(np.float32)
+    matrix[7] = 0
+    matrix[40:80] = matrix[30]
+    ids = np.arange(3_000)
+    rows = [(int(i), v.tolist(), 5 if i < 2_000 else int(i) % 40 + 10) for i, v in zip(ids, matrix)]
+    stored = spark.createDataFrame(rows, "id long, embedding array<float>, cell int").repartition(3)
+    queries = stored.filter("id < 400").select(
+        F.col("id").alias("query_id"), "embedding", F.concat(F.lit([5, 999]), F.sequence(F.lit(10), F.lit(49))).alias("cells")
+    )
+    want = [(q, i, max(s, 0.0) if s == -np.inf else s) for q, i, s in _by_hand(ids[:400], matrix[:400], ids, matrix, 5)]
+    for by_cell in (False, True):
+        found = nearest(queries, stored, 5, exclude_self=True, by_cell=by_cell, max_broadcast_bytes=1, vector_block=700, query_block=90)
+        assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+        assert sorted((r.query_id, r.id, r.similarity) for r in found.collect()) == want
+    # Without an id: among the rows, and the first of equals.
+    nameless = spark.createDataFrame([(None, rows[0][1], 5)] * 2, stored.schema)
+    again = nearest(queries.filter("query_id = 0"), stored.unionByName(nameless), 2, max_broadcast_bytes=1)
+    assert [r.id for r in again.orderBy("rank").collect()] == [None, None]
+
+
+def test_length_of_a_vector_is_worked_out_once(spark):
+    from quarrylamp.functions.vectors import l2_normalize
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<float>").select(l2_normalize(F.col("v")).alias("u"))
+    assert [r.u and [round(x, 6) for x in r.u] for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    assert "/ greatest(" not in df._jdf.queryExecution().analyzed().toString()
