@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from quarrylamp.functions.vectors import l2_normalize
 from quarrylamp.operators.nearest import nearest
+from quarrylamp.sources.tables import materialized
 
 @dataclass
 class CellIndex:
@@ -122,7 +123,8 @@ def recall_benchmark(
     probes: tuple[int, ...] = (1, 2, 4, 8), seed: int = 42, index: CellIndex | None = None,
 ) -> DataFrame:
     """Recall of the cell search against the exact search for several probe counts."""
-    exact = nearest(queries, vectors, k, exclude_self=True)
+    # Stored, as it is both counted and looked up.
+    exact = materialized(nearest(queries, vectors, k, exclude_self=True).select("query_id", "id"))
     index = build_cells(vectors, cells, seed) if index is None else index
     runs = [
         search_cells(index, queries, k, p, exclude_self=True).withColumn("config", F.lit(p))

@@ -337,3 +337,14 @@ def test_length_of_a_vector_is_worked_out_once(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<float>").select(l2_normalize(F.col("v")).alias("u"))
     assert [r.u and [round(x, 6) for x in r.u] for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
     assert "/ greatest(" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_recall_stores_the_exact_search(spark, vectors):
+    from quarrylamp.operators.ann import recall_benchmark
+
+    queries = vectors.withColumnRenamed("id", "query_id")
+    report = recall_benchmark(vectors, queries, 4, cells=3, probes=(1, 3))
+    # The vectors are no file: what is read from one is the exact search, for both its uses.
+    assert "Scan parquet" in _plan(report)
+    found = {r.config: r.recall_at_k for r in report.collect()}
+    assert found[3] == 1.0 and 0 < found[1] < 1
