@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylamp.functions.text import words
+from quarrylamp.operators.sizing import give_back
 
 Lexicon = Callable[[Column], Column]
 
@@ -38,7 +40,52 @@ def runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
-def _listed(keep: list[str], classes: list[str]):
+#: Columns, all bytes, of the lists of a unit in one row: the lexemes and their lengths, the numbers of
+#: places, gaps and weights.
+_BY_UNIT = ("lexemes", "lengths", "sizes", "gaps", "weights")
+
+
+def _cut(values: np.ndarray, places: np.ndarray) -> pa.Array:
+    """The bytes of values between places, a row for every stretch."""
+    offsets = (places * values.itemsize).astype(np.int32)
+    data = pa.py_buffer(np.ascontiguousarray(values).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(offsets), data])
+
+
+def _letters(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the texts begin and end, and their bytes."""
+    texts = texts if texts.offset == 0 else pa.concat_arrays([texts])
+    bounds = np.frombuffer(texts.buffers()[1] or bytes(4), np.int32)[: len(texts) + 1]
+    return bounds, np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+
+
+def _flat(column: pa.BinaryArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all rows, number of values of each row)."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    return data.view(kind) if data.flags.aligned and data.ctypes.data % np.dtype(kind).itemsize == 0 else (
+        np.frombuffer(data.tobytes(), kind)
+    ), np.diff(bounds) // np.dtype(kind).itemsize
+
+
+def _opened(batch: pa.RecordBatch, kept: list[str], weighted: bool) -> pa.RecordBatch:
+    """The rows (kept columns, lexeme, gaps, weights) of lists that lie in a row for every unit."""
+    lengths, lists = _flat(batch.column("lengths"), np.int32)
+    text, _ = _flat(batch.column("lexemes"), np.uint8)
+    sizes, _ = _flat(batch.column("sizes"), np.int32)
+    gaps, _ = _flat(batch.column("gaps"), np.int32)
+    letters, bounds = (np.append(0, np.cumsum(n)).astype(np.int32) for n in (lengths, sizes))
+    lexemes = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(letters), pa.py_buffer(text.tobytes()))
+    owner = pa.array(np.repeat(np.arange(batch.num_rows), lists))
+    columns = [lexemes if c == "lexeme" else batch.column(c).take(owner) for c in kept]
+    columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(gaps)))
+    if weighted:
+        weight, _ = _flat(batch.column("weights"), np.uint8)
+        columns.append(pa.StringArray.from_buffers(len(lengths), pa.py_buffer(bounds), pa.py_buffer(weight.tobytes())))
+    return pa.RecordBatch.from_arrays(columns, [*kept, "gaps", *(["weights"] if weighted else [])])
+
+
+def _listed(keep: list[str], classes: list[str], by_unit: bool = False):
     """Task body over (unit_id, kept columns, one array of lexemes per field)."""
 
     def lists(rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -68,6 +115,9 @@ def _listed(keep: list[str], classes: list[str]):
         gaps = np.diff(pos, prepend=0)
         gaps[starts] = pos[starts]
         bounds = np.append(starts, len(key)).astype(np.int32)
+        if by_unit:
+            return gathered(rows, row[starts], coded.dictionary.take(coded.indices.take(pa.array(order[starts]))),
+                            np.append(starts, len(key)), gaps, weight)
         owner = pa.array(row[starts])
         weights = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(weight.tobytes()))
         lexemes = coded.dictionary.take(coded.indices.take(pa.array(order[starts])))
@@ -79,6 +129,20 @@ def _listed(keep: list[str], classes: list[str]):
             ["unit_id", *keep, "lexeme", "gaps", "weights"],
         )
 
+    def gathered(rows, owner, lexemes, bounds, gaps, weight) -> pa.RecordBatch:
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[: len(owner)])
+        lists = np.append(first, len(owner))
+        letters, text = _letters(lexemes)
+        units = pa.array(owner[first])
+        return pa.RecordBatch.from_arrays(
+            [
+                rows.column("unit_id").take(units), *(rows.column(c).take(units) for c in keep),
+                _cut(text, letters[lists]), _cut(np.diff(letters), lists), _cut(np.diff(bounds).astype(np.int32), lists),
+                _cut(gaps.astype(np.int32), bounds[lists]), _cut(weight, bounds[lists]),
+            ],
+            ["unit_id", *keep, *_BY_UNIT],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(f"_lexemes{k}") for k in range(len(classes))]
@@ -95,6 +159,7 @@ def build_postings(
     fields: dict[str, str],
     lexicon: Lexicon = simple_lexicon,
     keep: list[str] | None = None,
+    by_unit: bool = False,
 ) -> DataFrame:
     """`(unit_id, lexeme, gaps, weights)` of the given text columns.
 
@@ -103,7 +168,8 @@ def build_postings(
     continue after the last position an earlier field really uses.  A lexicon maps an array of
     words to an array of lexemes of the same length, with NULL for stop words, which keep their
     position.  Units without an id are left out.  The whole job is row-local: no shuffle,
-    whatever the vocabulary.
+    whatever the vocabulary.  With `by_unit` the lists of a unit are one row, as bytes, which `positions`
+    and `lexeme_totals` open: a row travels for a unit, not for each of its words.
     """
     if not set(fields.values()) <= set(WEIGHT_CLASSES):
         raise ValueError(f"weight classes are {WEIGHT_CLASSES}")
@@ -117,31 +183,51 @@ def build_postings(
         ],
     )
     kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in keep)
-    schema = f"unit_id long, {kept}lexeme string, gaps array<int>, weights string"
-    return rows.mapInArrow(_listed(keep, list(fields.values())), schema)
+    lists = ", ".join(f"{c} binary" for c in _BY_UNIT) if by_unit else "lexeme string, gaps array<int>, weights string"
+    return rows.mapInArrow(_listed(keep, list(fields.values()), by_unit), f"unit_id long, {kept}{lists}")
+
+
+def lies_by_unit(postings: DataFrame) -> bool:
+    """Whether the lists of a unit are one row."""
+    return "lengths" in postings.columns
+
 
+def positions(postings: DataFrame, then: Callable | None = None, schema: str | None = None) -> DataFrame:
+    """One row per (unit, lexeme, pos, weight) of posting lists; other columns stay.
 
-def positions(postings: DataFrame) -> DataFrame:
-    """One row per (unit, lexeme, pos, weight) of posting lists; other columns stay."""
-    kept = [c for c in postings.columns if c not in ("gaps", "weights", "bucket")]
+    Lists without weights give rows without.  A task body `then`, which makes rows of `schema`, takes
+    the rows in the task that tells them, texts coded: they then do not leave it one by one.
+    """
+    packed = lies_by_unit(postings)
+    kept = [c for c in postings.columns if c not in (*_BY_UNIT, "bucket")]
     types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in postings.schema.fields if f.name in kept)
-    return postings.select(*kept, "gaps", "weights").mapInArrow(_unnested(kept), f"{types}pos int, weight string")
+    weighted = "weights" in postings.columns
+    lists = postings.drop("bucket")
+    if packed:
+        kept, types = [*kept, "lexeme"], f"{types}lexeme string, "
+    if then is None:
+        told = f"{types}pos int{', weight string' if weighted else ''}"
+        return lists.mapInArrow(_unnested(kept, weighted, packed=packed), told)
+    tell = _unnested(kept, weighted, packed=packed, coded=True)
+    return lists.mapInArrow(lambda batches: then(tell(batches)), schema)
 
 
 def lexeme_totals(places: DataFrame) -> DataFrame:
     """`(lexeme, units, documents, places, pos_sum)` of rows (lexeme, unit_id, document_id, pos, ...).
 
-    Units have an id.  A task packs the different units and documents of a lexeme, some places at a
-    time, into a row for every 2 ** BLOCK_BITS ids; what many rows hold of a block is counted after they
-    have met.  So a frequent lexeme has many blocks, which lie in many tasks.
+    Instead of what `positions` gives, its lists may be given: the places are then told in the task that
+    packs them.  Units have an id.  A task packs the different units and documents of its lexemes, some
+    places at a time, into a row for every bucket of lexemes and of 2 ** BLOCK_BITS ids; what the rows
+    of a bucket hold is counted after they have met.  So a frequent lexeme has many blocks, which lie in
+    many tasks, and a rare one is no row of its own.
     """
-    packed = places.select("lexeme", "unit_id", "document_id", "pos").mapInArrow(
-        _pack_places, "lexeme string, unit boolean, block long, ids binary, n long, pos long"
-    )
-    blocks = packed.groupBy("lexeme", "unit", "block").agg(
-        F.collect_list("ids").alias("ids"), F.sum("n").alias("n"), F.sum("pos").alias("pos")
+    if "gaps" in places.columns:
+        packed = positions(places.drop("weights"), _pack_places, _PACKED)
+    else:
+        packed = places.select("lexeme", "unit_id", "document_id", "pos").mapInArrow(_pack_places, _PACKED)
+    counted = packed.groupBy("bucket").applyInArrow(
+        _count_ids, "lexeme string, unit boolean, different long, n long, pos long"
     )
-    counted = blocks.mapInArrow(_count_ids, "lexeme string, unit boolean, different long, n long, pos long")
     of = lambda side: F.coalesce(F.sum(F.when(side, F.col("different"))), F.lit(0))
     return counted.groupBy("lexeme").agg(
         of(F.col("unit")).alias("units"), of(~F.col("unit")).alias("documents"),
@@ -150,39 +236,82 @@ def lexeme_totals(places: DataFrame) -> DataFrame:
 
 
 #: Neighbouring ids that are counted together have all but so many low bits in common.
-BLOCK_BITS = 20
+BLOCK_BITS = 24
+#: Rows that a task's lexemes are dealt over at a time; what a bucket holds is counted at once.
+TOTAL_BUCKETS = 1 << 10
+
+_PACKED = (
+    "bucket int, unit boolean, lexemes binary, lengths binary, blocks binary, sizes binary, ids binary, "
+    "n binary, pos binary"
+)
+
+
+def _shortened(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers below 2 ** 28 as bytes, seven bits each, and where each number ends."""
+    size = 1 + (numbers >= 1 << 7) + (numbers >= 1 << 14) + (numbers >= 1 << 21)
+    ends = np.cumsum(size)
+    out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    left, size, at, more = numbers, size, ends - size, None
+    while len(left):
+        more = size > 1
+        out[at] = (left & 127) | (more << 7)
+        left, size, at = left[more] >> 7, size[more] - 1, at[more] + 1
+    return out, ends
+
+
+def _lengthened(coded: np.ndarray) -> np.ndarray:
+    """The numbers that `_shortened` wrote."""
+    ends = np.flatnonzero(coded < 128)
+    at = np.append(0, ends[:-1] + 1)[: len(ends)]
+    numbers = (coded[at] & 127).astype(np.int64)
+    open_, shift = np.flatnonzero(ends > at), 7
+    while len(open_):
+        at[open_] += 1
+        numbers[open_] |= (coded[at[open_]] & 127).astype(np.int64) << shift
+        open_, shift = open_[ends[open_] > at[open_]], shift + 7
+    return numbers
 
 
 def _pack_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task body over (lexeme, unit_id, document_id, pos): the ids of a lexeme in a block as one row."""
-
-    def packed(table: pa.Table, unit: bool) -> pa.RecordBatch:
-        table = table.filter(pc.is_valid(table.column("unit_id" if unit else "document_id")))
-        coded = table.column("lexeme").combine_chunks().dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
-        ids = table.column("unit_id" if unit else "document_id").to_numpy()
-        order = np.lexsort((ids, code))
-        code, ids, pos = code[order], ids[order], table.column("pos").to_numpy().astype(np.int64)[order]
+    """Task body over (lexeme, unit_id, document_id, pos): the ids of the lexemes of a bucket as one row."""
+
+    def packed(table: pa.Table, coded: pa.DictionaryArray, hashes: np.ndarray, unit: bool) -> pa.RecordBatch:
+        column = table.column("unit_id" if unit else "document_id")
+        code, pos = coded.indices.to_numpy().astype(np.int64), table.column("pos").to_numpy()
+        if column.null_count:
+            given = column.is_valid().to_numpy()
+            column, code, pos = column.drop_null(), code[given], pos[given]
+        ids = column.to_numpy()
+        mixed = (ids >> BLOCK_BITS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        bucket = ((hashes[code] ^ (mixed >> np.uint64(32))) % np.uint64(TOTAL_BUCKETS)).astype(np.int64)
+        key = bucket << 32 | code
+        order = np.lexsort((ids, key))
+        key, ids = key[order], ids[order]
         block = ids >> BLOCK_BITS
-        other = np.append(True, code[1:] != code[:-1])[: len(code)]
+        other = np.append(True, key[1:] != key[:-1])[: len(key)]
         fresh = other | np.append(True, ids[1:] != ids[:-1])[: len(ids)]
         starts = np.flatnonzero(other | np.append(True, block[1:] != block[:-1])[: len(ids)])
-        # The first number of a list, then the steps to the next ones: mostly zero bytes.
+        # The first number of a list, then the steps to the next ones: few bytes each.
         held = np.append(0, np.cumsum(fresh))[np.append(starts, len(ids))]
         number = ids[fresh] & ((1 << BLOCK_BITS) - 1)
         low = np.diff(number, prepend=0)
         low[held[:-1]] = number[held[:-1]]
-        low = low.astype("<u4")
-        lists = pa.Array.from_buffers(
-            pa.binary(), len(starts), [None, pa.py_buffer((4 * held).astype(np.int32)), pa.py_buffer(low.tobytes())]
-        )
+        low, ends = _shortened(low)
+        named = coded.dictionary.take(pa.array(key[starts] & 0xFFFFFFFF))
+        letters, text = _letters(named)
+        bucket = key[starts] >> 32
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+        bounds = np.append(first, len(starts))
+
         # Places are counted with the units.
-        ends, total = np.append(starts, len(ids)), np.append(0, np.cumsum(pos))
-        n, summed = (np.diff(ends), np.diff(total[ends])) if unit else (np.zeros((2, len(starts)), np.int64))
+        none, total = _cut(np.empty(0, np.int64), 0 * bounds), np.append(0, np.cumsum(pos[order], dtype=np.int64))
+        n = _cut(np.diff(np.append(starts, len(ids))), bounds) if unit else none
+        summed = _cut(np.diff(total[np.append(starts, len(ids))]), bounds) if unit else none
         return pa.RecordBatch.from_arrays(
-            [coded.dictionary.take(pa.array(code[starts])), pa.array(np.full(len(starts), unit)),
-             pa.array(block[starts]), lists, pa.array(n), pa.array(summed)],
-            ["lexeme", "unit", "block", "ids", "n", "pos"],
+            [pa.array(bucket[first], pa.int32()), pa.array(np.full(len(first), unit)), _cut(text, letters[bounds]),
+             _cut(np.diff(letters), bounds), _cut(block[starts], bounds), _cut(np.diff(held).astype(np.int32), bounds),
+             _cut(low, np.append(0, ends)[held[bounds]]), n, summed],
+            ["bucket", "unit", "lexemes", "lengths", "blocks", "sizes", "ids", "n", "pos"],
         )
 
     held, rows = [], 0
@@ -190,28 +319,64 @@ def _pack_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch is not None:
             held.append(batch)
             rows += batch.num_rows
-        if rows >= 8 * WORDS_AT_ONCE or batch is None and rows:
-            table = pa.Table.from_batches(held)
-            yield packed(table, True)
-            yield packed(table, False)
+        if rows >= 16 * WORDS_AT_ONCE or batch is None and rows:
+            table = pa.Table.from_batches(held).unify_dictionaries().combine_chunks()
             held, rows = [], 0
-
-
-def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task body over (lexeme, unit, block, ids, n, pos): how many different ids the lists of a row hold."""
-    for batch in batches:
-        lists = batch.column("ids")
-        held = lists.flatten()
-        sizes = pc.binary_length(held).to_numpy() // 4
-        low = np.cumsum(np.frombuffer(b"".join(held.to_pylist()), "<u4").astype(np.int64))
-        low -= np.repeat(np.append(0, low)[np.cumsum(sizes) - sizes], sizes)
-        row = np.repeat(np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), sizes)
-        different = np.unique(row << BLOCK_BITS | low) >> BLOCK_BITS
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("lexeme"), batch.column("unit"), pa.array(np.bincount(different, minlength=batch.num_rows)),
-             batch.column("n"), batch.column("pos")],
-            ["lexeme", "unit", "different", "n", "pos"],
+            # One chunk, unless there is more text than one may have.
+            coded = _whole(table.column("lexeme").dictionary_encode())
+            hashes = np.array([crc32(word) for word in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+            yield packed(table, coded, hashes, True)
+            yield packed(table, coded, hashes, False)
+            give_back()
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    column = column.unify_dictionaries().combine_chunks()
+    return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+
+
+def _count_ids(table: pa.Table) -> pa.Table:
+    """How many different ids, and places, the lexemes of a bucket have, apart for units and documents."""
+
+    def joined(rows: pa.Table, name: str, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+
+    counts = []
+    for unit in (True, False):
+        rows = table.filter(pc.equal(table.column("unit"), unit))
+        lengths, sizes = joined(rows, "lengths", np.int32), joined(rows, "sizes", np.int32)
+        if not len(sizes):
+            continue
+        letters = np.append(0, np.cumsum(lengths)).astype(np.int64)
+        text = pa.Array.from_buffers(
+            pa.large_string(), len(lengths),
+            [None, pa.py_buffer(letters), pa.py_buffer(b"".join(rows.column("lexemes").to_pylist()))],
+        )
+        coded = text.dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        listed, block = np.unique(joined(rows, "blocks", np.int64), return_inverse=True)
+        of, key, often = np.unique(code * len(listed) + block, return_inverse=True, return_counts=True)
+        # A list has no id twice; lists of the same lexeme and block may have the same one.
+        different = np.bincount(key, weights=sizes).astype(np.int64)
+        low = np.cumsum(_lengthened(joined(rows, "ids", np.uint8)))
+        ends = np.cumsum(sizes, dtype=np.int64)
+        low -= np.repeat(np.append(0, low)[ends - sizes], sizes)
+        several = often > 1
+        mine = np.repeat(several[key], sizes)
+        met = np.unique(np.repeat(key, sizes)[mine] << BLOCK_BITS | low[mine]) >> BLOCK_BITS
+        different[several] = np.bincount(met, minlength=len(of))[several]
+        order = np.argsort(code, kind="stable")
+        firsts = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
+        zeros = np.zeros(len(coded.dictionary), np.int64)
+        n, pos = (
+            np.add.reduceat(joined(rows, name, np.int64)[order], firsts) if unit else zeros for name in ("n", "pos")
         )
+        counts.append(pa.table({
+            "lexeme": coded.dictionary.cast(pa.string()), "unit": pa.array(np.full(len(zeros), unit)),
+            "different": np.bincount(of // len(listed), weights=different).astype(np.int64), "n": n, "pos": pos,
+        }))
+    give_back()
+    return pa.concat_tables(counts)
 
 
 def summed_gaps(gaps: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,27 +388,33 @@ def summed_gaps(gaps: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sizes)), sizes), total - np.repeat(before, sizes)
 
 
-def _unnested(kept: list[str]):
+def _unnested(kept: list[str], weighted: bool = True, packed: bool = False, coded: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first, last in runs(np.diff(whole.column("gaps").offsets.to_numpy()), WORDS_AT_ONCE):
+            gaps = whole.column("gaps")
+            places = pc.binary_length(gaps).to_numpy() // 4 if packed else np.diff(gaps.offsets.to_numpy())
+            for first, last in runs(places, WORDS_AT_ONCE):
                 batch = whole.slice(first, last - first)
+                if packed:
+                    batch = _opened(batch, kept, weighted)
                 row, pos = summed_gaps(batch.column("gaps"))
-                letters = np.frombuffer("".join(batch.column("weights").to_pylist()).encode(), np.uint8)
-                weight = pa.StringArray.from_buffers(
-                    len(pos), pa.py_buffer(np.arange(len(pos) + 1, dtype=np.int32)), pa.py_buffer(letters.tobytes())
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).take(pa.array(row)) for c in kept), pa.array(pos, pa.int32()), weight],
-                    [*kept, "pos", "weight"],
-                )
+                columns = [batch.column(c) for c in kept]
+                if coded:
+                    columns = [c.dictionary_encode() if pa.types.is_string(c.type) else c for c in columns]
+                told = [*(c.take(pa.array(row)) for c in columns), pa.array(pos, pa.int32())]
+                if weighted:
+                    letters = np.frombuffer("".join(batch.column("weights").to_pylist()).encode(), np.uint8)
+                    told.append(pa.StringArray.from_buffers(
+                        len(pos), pa.py_buffer(np.arange(len(pos) + 1, dtype=np.int32)), pa.py_buffer(letters.tobytes())
+                    ))
+                yield pa.RecordBatch.from_arrays(told, [*kept, "pos", *(["weight"] if weighted else [])])
 
     return run
 
 
-def chunk_postings(chunks: DataFrame, lexicon: Lexicon = simple_lexicon) -> DataFrame:
+def chunk_postings(chunks: DataFrame, lexicon: Lexicon = simple_lexicon, by_unit: bool = False) -> DataFrame:
     """Unweighted posting lists of chunk contents, with the owning document."""
-    return build_postings(chunks, "id", {"content": "D"}, lexicon, keep=["document_id"])
+    return build_postings(chunks, "id", {"content": "D"}, lexicon, keep=["document_id"], by_unit=by_unit)
 
 
 def document_postings(documents: DataFrame, lexicon: Lexicon = simple_lexicon) -> DataFrame:

@@ -13,7 +13,7 @@ from quarrylamp.functions.text import content_hash
 from quarrylamp.operators.chunking import MAX_TOKENS, OVERLAP, chunk
 from quarrylamp.operators.encode import Encoder, encode
 from quarrylamp.operators.ids import HEX_DIGITS, next_id, number_rows, random_key
-from quarrylamp.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join
+from quarrylamp.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS, fetch
 from quarrylamp.operators.topk import first_row
 from quarrylamp.operators.validate import validate_pages
 from quarrylamp.schemas import CHUNK_COLUMNS, DOCUMENT_COLUMNS
@@ -135,10 +135,10 @@ def ingest_changes(
         # Only the changed messages are looked up: broadcast if they are few, so that unchanged
         # contents stay where they are.  Equal messages give one content.
         rows, size = encodable.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("url") + 128), F.lit(0))).first()
-        named = messages.select("url", "seq", "content", content_hash(F.col("content")).alias("content_hash"))
-        found = lookup_join(
-            named, encodable, ["url", "seq", "content_hash"],
-            bounded=rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES,
+        few = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+        # Contents are hashed where a message of the same URL and number is asked for.
+        found = fetch(encodable, messages.select("url", "seq", "content"), ["url", "seq"], rows if few else None).filter(
+            content_hash(F.col("content")) == F.col("content_hash")
         )
         texts = found.groupBy("document_id").agg(F.first("content").alias("content"))
         pieces = chunk(texts, "content", max_tokens, overlap)

@@ -14,6 +14,7 @@ from quarrylamp.operators.postings import (
     chunk_postings,
     document_postings,
     laid_out_like,
+    lies_by_unit,
     simple_lexicon,
 )
 from quarrylamp.operators.sizing import marked, without
@@ -158,7 +159,7 @@ def refreshed_postings(
         void_chunks = void_chunks.unionByName(gone.select(F.col("id").alias("document_id")))
         void_documents = void_documents.unionByName(gone.select(F.col("id").alias("unit_id")))
     chunks = without(chunk_index, void_chunks, "document_id").unionByName(
-        laid_out_like(chunk_index, chunk_postings(changes.chunks, lexicon))
+        laid_out_like(chunk_index, chunk_postings(changes.chunks, lexicon, lies_by_unit(chunk_index)))
     )
     documents = without(document_index, void_documents, "unit_id").unionByName(
         laid_out_like(document_index, document_postings(changes.documents, lexicon))

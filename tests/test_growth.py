@@ -258,3 +258,64 @@ def test_chunks_without_vectors_are_the_same(spark, tmp_path):
     rows = [sorted(map(tuple, df.select(columns).collect())) for df in (whole, light)]
     assert rows[0] == rows[1] and len(rows[0]) > len(set(rows[0]))
     assert "hashpartitioning(vec_id" not in _plan(light) and "SortMergeJoin" not in _plan(light)
+
+
+def test_lists_of_a_unit_travel_as_one_row(spark):
+    from quarrylamp.operators.postings import lexeme_totals, positions
+
+    rows = [(k, None if k == 7 else k // 3, f"red word{k % 5} größe red" if k % 4 else None if k % 8 else " ") for k in range(60)]
+    rows += [(None, 1, "red"), (10, 3, "again red"), (1 << 40, 1 << 33, "far red " * 300)]
+    texts = spark.createDataFrame(rows, "id long, document_id long, content string").repartition(3)
+    lists, whole = (build_postings(texts, "id", {"content": "B"}, keep=["document_id"], by_unit=u) for u in (False, True))
+    assert whole.count() == lists.select("unit_id").distinct().count() + 1  # one id is there twice
+    columns = ["unit_id", "document_id", "lexeme", "pos", "weight"]
+    told = [sorted(map(str, positions(p).select(columns).collect())) for p in (lists, whole)]
+    assert told[0] == told[1] and len(told[0]) > 700
+    plain = positions(lists).groupBy("lexeme").agg(
+        F.count_distinct("unit_id"), F.count_distinct("document_id"), F.count("*"), F.sum("pos")
+    )
+    want = sorted(map(tuple, plain.collect()))
+    for given in (positions(lists), lists, whole):
+        assert sorted(map(tuple, lexeme_totals(given).collect())) == want
+    # Places are told and packed in one task: one body for the lists and one for the places.
+    assert _plan(lexeme_totals(whole)).split("== Initial Plan ==")[0].count("MapInArrow") == 2
+
+
+def test_lexemes_of_a_bucket_are_packed_as_one_row():
+    import numpy as np
+    import pyarrow as pa
+
+    from quarrylamp.operators import postings as module
+
+    numbers = np.array([0, 1, 127, 128, 16_383, 16_384, (1 << 21) - 1, 1 << 21, (1 << 28) - 1, 5])
+    coded, ends = module._shortened(numbers)
+    assert module._lengthened(coded).tolist() == numbers.tolist() and np.diff(ends, prepend=0).tolist() == [1, 1, 1, 2, 2, 3, 3, 4, 4, 1]
+    count = 40_000
+    columns = {"lexeme": [f"w{k % 9_000}" for k in range(count)], "unit_id": range(count), "document_id": [k // 2 for k in range(count)]}
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), pa.array(range(count), pa.int32())], [*columns, "pos"])
+    packed = pa.Table.from_batches(module._pack_places(iter([batch, batch])))
+    assert packed.num_rows <= 2 * module.TOTAL_BUCKETS  # 9,000 lexemes
+    buckets = set(packed.column("bucket").to_pylist())
+    counted = [module._count_ids(packed.filter(pa.compute.equal(packed.column("bucket"), b))).to_pylist() for b in buckets]
+    found = {(r["lexeme"], r["unit"]): (r["different"], r["n"]) for rows in counted for r in rows}
+    assert len(found) == 18_000 and found["w17", True] == (5, 10) and found["w17", False] == (5, 0)
+
+
+def test_only_contents_asked_for_are_hashed(spark):
+    from quarrylamp.operators.encode import hash_encoder
+    from quarrylamp.plans.ingest import ingest_changes
+    from quarrylamp.schemas import CHUNK, DOCUMENT
+
+    page = lambda n, seq, text: (f"https://a.example/{n}", "t", text, "d", seq)
+    rows = [page(1, 1, "old"), page(1, 2, "new"), page(1, 2, "new"), page(1, 2, "a tie"), page(2, 1, "other")]
+    pages = spark.createDataFrame(rows, "url string, title string, content string, description string, seq long")
+    changes = ingest_changes(
+        pages, spark.createDataFrame([], DOCUMENT), spark.createDataFrame([], CHUNK), hash_encoder(8), "m", F.lit("2024-01-01").cast("timestamp")
+    )
+    import hashlib
+
+    last = max(["new", "a tie"], key=lambda text: hashlib.sha256(text.encode()).hexdigest())
+    assert sorted(r.content for r in changes.chunks.collect()) == sorted([last, "other"])
+    plan = changes.chunks._jdf.queryExecution().optimizedPlan().toString()
+    # The hash belongs to the join of messages and what is asked for; no message is hashed for itself.
+    assert "sha2" in plan and not any("AS content_hash" in line and "sha2" in line for line in plan.splitlines())
