@@ -11,8 +11,9 @@ WORD = r"[\p{L}\p{N}]+"
 
 
 def strip_space(text: Column) -> Column:
-    """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    """Remove leading and trailing white space of any kind; a text without is only looked at at its ends."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(f"[{WHITESPACE}]"), F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")).otherwise(text)
 
 
 def collapse_space(text: Column) -> Column:
@@ -21,7 +22,7 @@ def collapse_space(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(strip_space(text) == "", F.lit(True))
+    return F.coalesce(~text.rlike(f"[^{WHITESPACE}]"), F.lit(True))
 
 
 def space_tokens(text: Column) -> Column:

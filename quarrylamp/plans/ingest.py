@@ -141,7 +141,8 @@ def ingest_changes(
             content_hash(F.col("content")) == F.col("content_hash")
         )
         texts = found.groupBy("document_id").agg(F.first("content").alias("content"))
-        pieces = chunk(texts, "content", max_tokens, overlap)
+        # Stored, as the ids are counted first and given then.
+        pieces = materialized(chunk(texts, "content", max_tokens, overlap))
         return new_chunk_rows(pieces, encoder, model, next_id(chunks), now)
 
     return Changes(

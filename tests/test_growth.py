@@ -301,11 +301,15 @@ def test_lexemes_of_a_bucket_are_packed_as_one_row():
     assert len(found) == 18_000 and found["w17", True] == (5, 10) and found["w17", False] == (5, 0)
 
 
-def test_only_contents_asked_for_are_hashed(spark):
+def test_only_contents_asked_for_are_hashed(spark, monkeypatch):
     from quarrylamp.operators.encode import hash_encoder
+    from quarrylamp.plans import ingest
     from quarrylamp.plans.ingest import ingest_changes
     from quarrylamp.schemas import CHUNK, DOCUMENT
 
+    plans, stored = [], ingest.materialized
+    note = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df)
+    monkeypatch.setattr(ingest, "materialized", note)
     page = lambda n, seq, text: (f"https://a.example/{n}", "t", text, "d", seq)
     rows = [page(1, 1, "old"), page(1, 2, "new"), page(1, 2, "new"), page(1, 2, "a tie"), page(2, 1, "other")]
     pages = spark.createDataFrame(rows, "url string, title string, content string, description string, seq long")
@@ -316,6 +320,5 @@ def test_only_contents_asked_for_are_hashed(spark):
 
     last = max(["new", "a tie"], key=lambda text: hashlib.sha256(text.encode()).hexdigest())
     assert sorted(r.content for r in changes.chunks.collect()) == sorted([last, "other"])
-    plan = changes.chunks._jdf.queryExecution().optimizedPlan().toString()
     # The hash belongs to the join of messages and what is asked for; no message is hashed for itself.
-    assert "sha2" in plan and not any("AS content_hash" in line and "sha2" in line for line in plan.splitlines())
+    assert "sha2" in plans[-1] and not any("AS content_hash" in line and "sha2" in line for line in plans[-1].splitlines())

@@ -140,3 +140,32 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session(spark_master="spark://host:7077"))
     assert shared_folder(Session(spark_master="yarn", spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y"
+
+
+def test_ends_and_blanks_are_told_without_reading_whole_texts(spark):
+    from quarrylamp.functions.text import is_blank, strip_space
+
+    spaces = [" ", "\t", "\n", "\r", "\x0b", "\x0c", "\x85", "\xa0", " ", " ", " ", " ", " ", " ", "　"]
+    inner = ["", "a", "a b", "größe\n\nx", "\U0001f600", "a​b", "\x00"]
+    texts = [None, *inner, *spaces, *(s + t + 2 * s for s in spaces for t in inner), *(s + t for s in spaces for t in inner), *(t + s for s in spaces for t in inner)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select("t", strip_space(F.col("t")).alias("s"), is_blank(F.col("t")).alias("b"))
+    trimmed = lambda t: t if t is None else t.strip("".join(spaces))
+    assert [(r.t, r.s, r.b) for r in found.collect()] == [(t, trimmed(t), not trimmed(t)) for t in texts]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring" in plan and plan.count("regexp_replace") == 1  # at the ends first; a blank is no stripped text
+
+
+def test_first_and_last_lines_of_stored_texts(spark, tmp_path):
+    from quarrylamp import testbed
+    from quarrylamp.workloads import document_messages
+
+    texts = [None, "", "one", "one\n", "\n", "\ntwo", "one\ntwo\nthree", "one\r\ntwo\n\n"]
+    rows = [(k, t, "en", "web", 0) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for read in (testbed.documents, document_messages):
+        table = read(spark, str(tmp_path))
+        found = {int(r.url.split("/doc/")[1].split("/")[0]): (r.title, r.description) for r in table.collect()}
+        assert found == {k: (None, None) if t is None else (t.split("\n")[0], t.split("\n")[-1]) for k, t in enumerate(texts)}
+        assert "split(" not in table._jdf.queryExecution().optimizedPlan().toString()
